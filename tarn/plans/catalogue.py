@@ -1,0 +1,11 @@
+"""All registered queries of the note-graph engine, with their SQL."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
