@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import exact_dedup, license_scan, ngram_join, packing, quality_rules, sharding
+from tarn.llm import exact_dedup, license_scan, ngram_join, packing, pii, piece_codec, quality_rules, sharding, token_codec, warc
 
 #: Production parameters.
 SHARD_BYTES = 64 << 20
@@ -50,12 +51,41 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public vocabulary file is; set TARN_TOKENIZERS to a folder to use other files."""
+    folder = os.environ.get("TARN_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_archive(table(spark, sf_dir, "pages"))
+    made = warc.read_back(spark, path)
+    return made.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_codec.write_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return token_codec.read_tokens(spark, path)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")))
     base = quality_rules.BASE.rejects().alias("base_failed")
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base, "kept", "fail_bits")
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encode_and_check(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.ablation(quality_rules.ledger(table(spark, sf_dir, "documents")))
 
@@ -67,7 +97,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_exact_dedup": op3_exact_dedup,
         "op4_packing": op4_packing,
         "op5_license_scan": op5_license_scan,
+        "op6_warc": op6_warc,
+        "op7_token_files": op7_token_files,
         "op8_quality_rules": op8_quality_rules,
+        "op9_pii": op9_pii,
+        "op10_sentencepiece": op10_sentencepiece,
         "sharding_small_limit": sharding_small_limit,
         "quality_ablation": quality_ablation,
     }
@@ -98,6 +132,13 @@ def oracle_sql() -> dict[str, str]:
     WITH n AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}') AS t FROM documents)
     SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
            doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM n""",
+        "op6_warc": f"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+    d AS (SELECT page_id, h, sha1(h) AS s, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+    SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+           {" || ".join(f"substr('{warc.BASE32}', CAST((CAST('0x' || substr(s, {5 * i + 1}, 5) AS BIGINT) >> {b}) & 31 AS INTEGER) + 1, 1)" for i in range(8) for b in (15, 10, 5, 0))} AS payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to, TRUE AS intact FROM d""",
         "op8_quality_rules": rf"""
     WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
                       list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
