@@ -5,11 +5,12 @@ A document is the set of its 5-word shingles; documents with equal sets are one
 coordinates are shared tokens sampled alike in all sets. Each of `runs` runs starts a tree of paths at one coordinate: sets
 with the same sampled token share a bucket. A bucket of at most SMALL sets is brute-forced; a larger one splits on BRANCH
 further sampled tokens, and so on. A bucket whose sets are so alike that splitting would not lower the number of comparisons
-is compared in blocks instead, so no bucket is cut off. Runs are repeated until the expected recall reaches `recall`:
+is compared in pairs of blocks instead, each bounded in memory, so no bucket is cut off. Runs are repeated until the expected recall reaches `recall`:
 two sets of similarity s meet in none of R runs with probability (1 - s)^R.
 
 Pairs are made once: a bucket compares a pair only if no earlier run or sibling token has brought the two together. Brute
-force first compares byte sketches (pairs far below the threshold go), then the whole shingle sets, exactly.
+force in small buckets first compares byte sketches (pairs far below the threshold go), then the whole shingle sets, exactly;
+blocks count shared shingles by matrix products, also exactly.
 
 Defined cases: words are runs of digits, letters a-z (after lower-casing A-Z) and anything beyond ASCII; a text of 1 to 4
 words is one shingle; a text without words (null, empty) links to nothing; a row with a null id links to nothing and has a
@@ -32,7 +33,9 @@ from tarn.llm.tokens import as_bytes, chunks, mix, words
 
 SHINGLE = 5
 SMALL = 96
-BLOCK = 192
+#: Bounds of a block: rows, and shingles of all its sets together (a longer set is a block of its own).
+BLOCK = 2048
+BLOCK_SHINGLES = 1_000_000
 BRANCH = 6
 LEVELS = 8
 SKETCH = BRANCH * LEVELS
@@ -116,12 +119,11 @@ def _mean_agreement(sketch: np.ndarray) -> float:
     return same / (sketch.shape[1] * m * (m - 1))
 
 
-def _candidates(rows: list[tuple], sides: list[int] | None, threshold: float, sketch_least: int) -> list[tuple[int, int]]:
-    """Index pairs of a bucket that are this bucket's to compare and whose sketches and sizes allow the threshold."""
-    run, level, trail = rows[0][1], rows[0][2], rows[0][3]
+def _own_pairs(rows: list[tuple], sides: list[int] | None, threshold: float) -> np.ndarray:
+    """Matrix, upper half: pairs that are this bucket's to compare and whose sizes allow the threshold."""
+    run, trail = rows[0][1], rows[0][3]
     m = len(rows)
     n = np.array([r[5] for r in rows])
-    sketch = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(m, SKETCH)
     ok = np.triu(np.minimum(n[:, None], n[None, :]) >= threshold * np.maximum(n[:, None], n[None, :]) - 1e-9, 1)
     if sides is not None:
         side = np.array(sides)
@@ -130,13 +132,21 @@ def _candidates(rows: list[tuple], sides: list[int] | None, threshold: float, sk
         keys = np.array([r[6][:run] for r in rows])
         for k in range(run):
             ok &= keys[:, k, None] != keys[None, :, k]
-    for depth, chosen in enumerate(trail):
-        for j in range(chosen):
-            column = sketch[:, depth * BRANCH + j]
-            ok &= column[:, None] != column[None, :]
-    a, b = np.nonzero(ok)
+    if trail:
+        sketch = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(m, SKETCH)
+        for depth, chosen in enumerate(trail):
+            for j in range(chosen):
+                column = sketch[:, depth * BRANCH + j]
+                ok &= column[:, None] != column[None, :]
+    return ok
+
+
+def _candidates(rows: list[tuple], threshold: float, sketch_least: int) -> list[tuple[int, int]]:
+    """Index pairs of a small bucket that are its own and whose sketches allow the threshold."""
+    a, b = np.nonzero(_own_pairs(rows, None, threshold))
     if not len(a):
         return []
+    sketch = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), SKETCH)
     near = (sketch[a] == sketch[b]).sum(axis=1) >= sketch_least
     return list(zip(a[near].tolist(), b[near].tolist(), strict=True))
 
@@ -178,35 +188,38 @@ def _walk(threshold: float, sketch_least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         out: list[tuple] = []
-        state, seen = None, 0  # of a large bucket: CHILD or DENSE
+        state, block, rows_in, shingles_in = None, 0, 0, 0  # of a large bucket: CHILD or DENSE, and where its last block stands
 
         def close() -> None:
             if state is None and len(held) > 1:
-                out.extend(_leaf_rows(held, _candidates(held, None, threshold, sketch_least), held[0][0]))
+                out.extend(_leaf_rows(held, _candidates(held, threshold, sketch_least), held[0][0]))
 
-        def large(row: tuple, at: int) -> None:
+        def large(row: tuple) -> None:
+            nonlocal block, rows_in, shingles_in
             if state == CHILD:
                 out.extend((*c, CHILD, None, None) for c in _children(row))
-            else:
-                out.append((*row, DENSE, at // BLOCK, None))
+                return
+            if rows_in and (rows_in >= BLOCK or shingles_in + row[5] > BLOCK_SHINGLES):
+                block, rows_in, shingles_in = block + 1, 0, 0
+            rows_in, shingles_in = rows_in + 1, shingles_in + row[5]
+            out.append((*row, DENSE, block, None))
 
         bucket = None
         for row in _grouped(batches):
             if row[0] != bucket:
                 close()
-                bucket, held, state, seen = row[0], [], None, 0
+                bucket, held, state = row[0], [], None
+                block, rows_in, shingles_in = 0, 0, 0
             if state is None:
                 held.append(row)
                 if len(held) > SMALL:
                     sketch = np.frombuffer(b"".join(r[7] for r in held), np.uint8).reshape(len(held), SKETCH)
                     state = DENSE if row[2] > LEVELS or _mean_agreement(sketch) * BRANCH >= 1 else CHILD
                     for r in held:
-                        large(r, seen)
-                        seen += 1
+                        large(r)
                     held = []
             else:
-                large(row, seen)
-                seen += 1
+                large(row)
             if len(out) >= 4096:
                 yield _emit(out)
                 out.clear()
@@ -216,42 +229,22 @@ def _walk(threshold: float, sketch_least: int):
     return run
 
 
-def _blocks(threshold: float, sketch_least: int):
-    """Compares pairs of blocks: rows come sorted by bucket, with `at` the row's side (0: both sides are one block)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def close() -> pa.RecordBatch:
-            sides = [r[8] for r in held]
-            pairs = _candidates(held, sides if any(sides) else None, threshold, sketch_least) if len(held) > 1 else []
-            return _emit(_leaf_rows(held, pairs, held[0][0]) if held else [])
-
-        for row in _grouped(batches):
-            if held and row[0] != held[0][0]:
-                yield close()
-                held = []
-            held.append(row)
-        yield close()
-
-    return run
-
-
 def _split_hot(rows: DataFrame, total: int) -> DataFrame | None:
     """(hot rows moved on by one level or dealt to blocks, the rest) if a bucket holds over total / HOT_PARTS rows."""
     limit = max(8192, total // HOT_PARTS)
-    hot = stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit), "hot")
+    hot = stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_rows"), F.sum("n").alias("_shingles")).filter(F.col("_rows") > limit), "hot")
     if hot.isEmpty():
         return None
     of_hot = rows.join(F.broadcast(hot), "bucket")  # at most HOT_PARTS buckets
-    values = of_hot.select("bucket", "_rows", F.posexplode(F.split(F.regexp_replace(F.hex("sketch"), "(..)", "$1 "), " ")).alias("p", "v")).filter("v <> ''")
-    agreement = values.groupBy("bucket", "_rows", "p", "v").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket", "_rows")
+    values = of_hot.select("bucket", "_rows", "_shingles", F.posexplode(F.split(F.regexp_replace(F.hex("sketch"), "(..)", "$1 "), " ")).alias("p", "v")).filter("v <> ''")
+    agreement = values.groupBy("bucket", "_rows", "_shingles", "p", "v").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket", "_rows", "_shingles")
     agreement = agreement.agg((F.sum(F.col("c").cast("double") * F.col("c")) / (F.lit(SKETCH) * F.col("_rows").cast("double") * F.col("_rows"))).alias("_mean"))
     return stored(agreement, "agreement")
 
 
-def candidates(sets: DataFrame, runs: int, threshold: float) -> DataFrame:
-    """(leaf, sid, partners): for each bucket, the sets in pairs that may reach the threshold. A written table."""
+def candidates(sets: DataFrame, runs: int, threshold: float) -> tuple[DataFrame, DataFrame | None]:
+    """(leaf, sid, partners): for each small bucket, the sets in pairs that may reach the threshold; and the rows of block
+    pairs (path columns, at), with `at` the row's side, 0 where both sides are one block. Written tables."""
     sketch_least = int(SKETCH * (threshold - 0.38))
     rows = sets.select(F.posexplode("keys").alias("run", "key"), "sid", "n", "keys", "sketch").filter(F.col("run") < runs)
     rows = rows.select(F.xxhash64("run", "key").alias("bucket"), "run", F.lit(1).alias("level"), F.lit(b"").alias("trail"), "sid", "n", "keys", "sketch")
@@ -270,7 +263,7 @@ def candidates(sets: DataFrame, runs: int, threshold: float) -> DataFrame:
             moved = of_hot.filter(splits).withColumn("j", F.explode(F.array(*[F.lit(j) for j in range(BRANCH)]))).select(
                 F.xxhash64("bucket", "j", value).alias("bucket"), "run", (F.col("level") + 1).alias("level"), F.concat("trail", F.unhex(F.lpad(F.hex("j"), 2, "0"))).alias("trail"), "sid", "n", "keys", "sketch"
             )
-            count = F.ceil(F.col("_rows") / BLOCK)
+            count = F.ceil(F.greatest(F.col("_rows") / (BLOCK // 2), F.col("_shingles") / (BLOCK_SHINGLES // 2)))
             dense.append(of_hot.filter(~splits).select(*_PATH_COLUMNS, F.pmod(F.xxhash64("sid"), count).alias("at")))
         walked = stored(rows.repartition("bucket").sortWithinPartitions("bucket", "sid").mapInArrow(_walk(threshold, sketch_least), OUT), f"level{level}")
         leaves.append(walked.filter(F.col("kind") == LEAF).select(F.col("bucket").alias("leaf"), "sid", "partners"))
@@ -287,13 +280,83 @@ def candidates(sets: DataFrame, runs: int, threshold: float) -> DataFrame:
         paired = all_dense.join(most, "bucket").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
         low, high = F.least("at", "other"), F.greatest("at", "other")
         side = F.when(low == high, 0).when(F.col("at") == low, 1).otherwise(2).cast("long")
-        paired = paired.select(F.xxhash64("bucket", low, high).alias("bucket"), *_PATH_COLUMNS[1:], side.alias("at"))
-        compared = stored(paired.repartition("bucket").sortWithinPartitions("bucket", "sid").mapInArrow(_blocks(threshold, sketch_least), OUT), "blocks")
-        leaves.append(compared.select(F.col("bucket").alias("leaf"), "sid", "partners"))
+        blocks = stored(paired.select(F.xxhash64("bucket", low, high).alias("bucket"), *_PATH_COLUMNS[1:], side.alias("at")), "blocks")
+    else:
+        blocks = None
     out = leaves[0] if leaves else sets.select(F.lit(0).cast("long").alias("leaf"), "sid", F.array("sid").alias("partners")).limit(0)
     for more in leaves[1:]:
         out = out.unionByName(more)
-    return out
+    return out, blocks
+
+
+LINKS = "sid binary, links long, root binary"
+
+
+def _link_batch(out: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*out, strict=True)) if out else [(), (), ()]
+    out.clear()
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int64(), pa.binary()), strict=True)], ["sid", "links", "root"])
+
+
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """Matrix of shared shingles: products of 0/1 columns, a slice of the shingles that at least two sets hold at a time."""
+    every = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, number, count = np.unique(every, return_inverse=True, return_counts=True)
+    common = count > 1
+    column = np.cumsum(common) - 1
+    use = common[number]
+    owner, number = owner[use], column[number[use]]
+    order = np.argsort(number, kind="stable")
+    owner, number = owner[order], number[order]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    width = 2048
+    for low in range(0, int(common.sum()), width):
+        a, b = np.searchsorted(number, [low, low + width])
+        part = np.zeros((len(sets), width), np.float32)
+        part[owner[a:b], number[a:b] - low] = 1
+        total += part @ part.T
+    return total
+
+
+def _verify_blocks(threshold: float):
+    """Exact links in pairs of blocks: rows (path columns, at, copies, text) come sorted by bucket."""
+
+    def of_pair(held: list[tuple]) -> list[tuple]:
+        made = shingle_sets([r[10] for r in held])
+        true = [i for i, s in enumerate(made) if set_digest(s) == held[i][4]]
+        held, made = [held[i] for i in true], [made[i] for i in true]
+        if len(held) < 2:
+            return []
+        sides = [r[8] for r in held]
+        ok = _own_pairs(held, sides if any(sides) else None, threshold)
+        n = np.array([len(s) for s in made], np.float64)
+        shared = _shared(made)
+        ok &= shared >= threshold * (n[:, None] + n[None, :] - shared) - 1e-9
+        ok |= ok.T
+        links = ok.astype(np.float64) @ np.array([r[9] for r in held], np.float64)
+        label = np.arange(len(held))
+        while True:
+            low = np.where(ok, label[None, :], len(held)).min(axis=1)
+            new = np.minimum(label, low)
+            new = np.minimum(new, new[new])
+            if (new == label).all():
+                break
+            label = new
+        return [(r[4], int(k), held[root][4]) for r, k, root in zip(held, links, label, strict=True) if k]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns[:-1]] + [as_bytes(batch.column(batch.num_columns - 1))]
+            for row in zip(*columns, strict=True):
+                if held and row[0] != held[0][0]:
+                    yield _link_batch(of_pair(held))
+                    held = []
+                held.append(row)
+        yield _link_batch(of_pair(held) if held else [])
+
+    return run
 
 
 def _verify(threshold: float):
@@ -331,11 +394,6 @@ def _verify(threshold: float):
         held: list[tuple] = []
         out: list[tuple] = []
 
-        def emit() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) if out else [(), (), ()]
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.int64(), pa.binary()), strict=True)], ["sid", "links", "root"])
-
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns[:4]] + [as_bytes(batch.column(4))]
             for row in zip(*columns, strict=True):
@@ -343,11 +401,11 @@ def _verify(threshold: float):
                     out += of_leaf(held)
                     held = []
                     if len(out) > 4096:
-                        yield emit()
+                        yield _link_batch(out)
                 held.append(row)
         if held:
             out += of_leaf(held)
-        yield emit()
+        yield _link_batch(out)
 
     return run
 
@@ -363,13 +421,18 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshol
     alive = signed.filter("sid is not null and doc_id is not null")
     first = F.min(F.struct("doc_id", "n", "keys", "sketch")).alias("f")
     sets = stored(alive.groupBy("sid").agg(first, F.count(F.lit(1)).alias("copies")).select("sid", "copies", F.col("f.doc_id").alias("set_id"), "f.n", "f.keys", "f.sketch"), "sets")
-    pairs = candidates(sets.select("sid", "n", "keys", "sketch"), runs, threshold)
-    wanted = pairs.join(sets.select("sid", "copies", "set_id"), "sid")
-    texts = df.select(F.col(id_col).cast("long").alias("set_id"), F.col(text_col).alias("text")).dropna(subset=["set_id"])
-    needed = stored(wanted.select("set_id").distinct(), "needed")
-    texts = texts.join(needed, "set_id")
-    listed = wanted.join(texts, "set_id").select("leaf", "sid", "partners", "copies", "text")
-    linked = stored(listed.repartition("leaf").sortWithinPartitions("leaf", "sid").mapInArrow(_verify(threshold), "sid binary, links long, root binary"), "links")
+    pairs, blocks = candidates(sets.select("sid", "n", "keys", "sketch"), runs, threshold)
+    known = sets.select("sid", "copies", "set_id")
+    needed = pairs.select("sid").union(blocks.select("sid")) if blocks is not None else pairs.select("sid")
+    needed = stored(needed.distinct().join(known, "sid"), "needed")
+    texts = df.select(F.col(id_col).cast("long").alias("set_id"), F.col(text_col).alias("text")).join(needed, "set_id").select("sid", "copies", "text")
+
+    listed = pairs.join(texts, "sid").select("leaf", "sid", "partners", "copies", "text")
+    linked = listed.repartition("leaf").sortWithinPartitions("leaf", "sid").mapInArrow(_verify(threshold), LINKS)
+    if blocks is not None:
+        listed = blocks.join(texts, "sid").select(*_PATH_COLUMNS, "at", "copies", "text")
+        linked = linked.unionByName(listed.repartition("bucket").sortWithinPartitions("bucket", "sid").mapInArrow(_verify_blocks(threshold), LINKS))
+    linked = stored(linked, "links")
     roots = components(linked.select(F.col("sid").alias("a"), F.col("root").alias("b")))
     counted = linked.groupBy("sid").agg(F.sum("links").alias("links"))
     placed = sets.select("sid", "copies", "set_id").join(counted, "sid", "left").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
