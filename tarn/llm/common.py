@@ -54,6 +54,24 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
+def _slot(on: Sequence[str], bits: int) -> Column:
+    return F.pmod(F.xxhash64(*on), F.lit(1 << bits)) + 1
+
+
+def bitmap_of(keys: DataFrame, on: Sequence[str], bits: int = 27) -> DataFrame:
+    """A one-hash Bloom filter of the keys as rows (bucket, bits): at most 2^bits / 8 bytes, whatever the input."""
+    slots = keys.select(_slot(on, bits).alias("slot"))
+    return slots.groupBy(F.bitmap_bucket_number("slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bits"))
+
+
+def in_bitmap(rows: DataFrame, on: Sequence[str], bitmap: DataFrame, bits: int = 27) -> DataFrame:
+    """Rows whose key may be in the bitmap, which is broadcast; no row whose key is in it is lost."""
+    marked = rows.withColumn("_bucket", F.bitmap_bucket_number(_slot(on, bits))).withColumn("_at", F.bitmap_bit_position(_slot(on, bits)))
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    set_bit = byte.bitwiseAND(F.pow(F.lit(2), F.col("_at") % 8).cast("int")) != 0
+    return marked.join(F.broadcast(bitmap), "_bucket").filter(set_bit).select(*rows.columns)
+
+
 def hot_lookup(left: DataFrame, right: DataFrame, on: Sequence[str], weight: str, total: int, spread: Column) -> DataFrame:
     """left LEFT JOIN right, where right has one row a key and `weight` is how many left rows have that key.
 
@@ -96,12 +114,3 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return current.select(F.col("u").alias("node"), F.col("v").alias("root")).union(current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
-def empty_like(df: DataFrame) -> bool:
-    """True if df has no rows (one limited job)."""
-    return df.isEmpty()
-
-
-def session_parallelism(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -18,9 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import ascii_lower, hot_lookup, new_path, stored
-
-BITS_A_ROW = 32768  # bitmap_construct_agg's bits in a row
+from tarn.llm.common import ascii_lower, bitmap_of, hot_lookup, in_bitmap, new_path, stored
 
 
 def normalised(text: Column) -> Column:
@@ -65,20 +63,13 @@ class DigestIndex:
         """Entries with one digest; statistics and Bloom filters of the runs are consulted by the Parquet reader."""
         return entries.filter(F.col("digest") == F.lit(digest))
 
-    def _slot(self) -> Column:
-        return F.pmod(F.xxhash64("digest"), F.lit(1 << self.filter_bits)) + 1
-
     def hit_filter(self, compacted: DataFrame) -> DataFrame:
-        """Bitmap of the digests held more than once: at most 2^filter_bits / 8 bytes, whatever the input."""
-        hits = compacted.filter("n > 1").select(self._slot().alias("slot"))
-        return hits.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+        """Bitmap of the digests held more than once."""
+        return bitmap_of(compacted.filter("n > 1"), ["digest"], self.filter_bits)
 
     def may_hit(self, rows: DataFrame, hit_filter: DataFrame) -> DataFrame:
         """Rows whose bit is set; no row of a digest held more than once is lost."""
-        byte = F.conv(F.hex(F.expr("substring(bits, cast(at div 8 as int) + 1, 1)")), 16, 10).cast("int")
-        bit = F.expr("cast(1 as int)") * F.pow(F.lit(2), F.col("at") % 8).cast("int")
-        rows = rows.withColumn("bucket", F.bitmap_bucket_number(self._slot())).withColumn("at", F.bitmap_bit_position(self._slot()))
-        return rows.join(F.broadcast(hit_filter), "bucket").filter(byte.bitwiseAND(bit) != 0).drop("bucket", "at", "bits")
+        return in_bitmap(rows, ["digest"], hit_filter, self.filter_bits)
 
     def verified(self, rows: DataFrame) -> DataFrame:
         """Groups of byte-equal texts among rows(): (digest, probe, keep_id, n). Fails if digest and probe both collide."""

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import HOT_PARTS, components, hot_lookup, stored
+from tarn.llm.common import HOT_PARTS, bitmap_of, components, hot_lookup, in_bitmap, stored
 from tarn.llm.tokens import as_bytes, chunks, mix, words
 
 SHINGLE = 5
@@ -425,8 +425,8 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshol
     known = sets.select("sid", "copies", "set_id")
     needed = pairs.select("sid").union(blocks.select("sid")) if blocks is not None else pairs.select("sid")
     needed = stored(needed.distinct().join(known, "sid"), "needed")
-    texts = df.select(F.col(id_col).cast("long").alias("set_id"), F.col(text_col).alias("text")).join(needed, "set_id").select("sid", "copies", "text")
-
+    texts = in_bitmap(df.select(F.col(id_col).cast("long").alias("set_id"), F.col(text_col).alias("text")), ["set_id"], bitmap_of(needed, ["set_id"]))
+    texts = stored(texts.join(needed, "set_id").select("sid", "copies", "text"), "texts")
     listed = pairs.join(texts, "sid").select("leaf", "sid", "partners", "copies", "text")
     linked = listed.repartition("leaf").sortWithinPartitions("leaf", "sid").mapInArrow(_verify(threshold), LINKS)
     if blocks is not None:
