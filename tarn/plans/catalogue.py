@@ -2,10 +2,514 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarn.functions import rules
+from tarn.operators import changes, graph, reconcile, related, search, tasks
+from tarn.sources.scratch import new_path, store
+from tarn.sources import tables
+from tarn.sources.tables import with_sql
+from tarn.streaming import replay
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+# --- graph reads -----------------------------------------------------------------------------------------------------
+
+
+def _tags(s: SparkSession, d: str) -> DataFrame:
+    return tables.link_nodes(s, d).select(F.col("id").alias("node"), F.col("priority").alias("tag"))
+
+
+@query(with_sql("ln", "SELECT priority AS tag, count(DISTINCT id) AS n FROM ln WHERE live GROUP BY priority"))
+def tag_counts(s, d):
+    return graph.tag_counts(_tags(s, d), tables.link_nodes(s, d))
+
+
+@query(with_sql("ln", "SELECT id AS node, [priority] AS tags FROM ln WHERE live AND priority = '1-URGENT'"))
+def tagged(s, d):
+    return graph.tagged(_tags(s, d), tables.link_nodes(s, d), "1-URGENT")
+
+
+@query(with_sql("ln", "SELECT DISTINCT id AS node, priority AS tag FROM ln WHERE live"))
+def node_tags(s, d):
+    return graph.node_tags(_tags(s, d), tables.link_nodes(s, d))
+
+
+BACK = "SELECT DISTINCT dst AS subject, src AS other FROM e JOIN ln ON ln.id = src AND live WHERE dst IS NOT NULL"
+FORWARD = "SELECT DISTINCT src AS subject, dst AS other FROM e JOIN ln ON ln.id = dst AND live WHERE dst <> src"
+EMBEDS = "SELECT DISTINCT src AS subject, att AS other FROM e JOIN ln ON ln.id = src AND ln.live JOIN a ON a.id = att AND a.live"
+UNRESOLVED = "SELECT DISTINCT src AS subject, ref FROM e WHERE dst IS NULL AND ref <> '' AND kind IN ('wikilink', 'markdown')"
+
+
+@query(with_sql("ln e", BACK))
+def backlinks(s, d):
+    return graph.backlinks(tables.edges(s, d), tables.link_nodes(s, d))
+
+
+@query(with_sql("ln e", FORWARD))
+def forward_links(s, d):
+    return graph.forward_links(tables.edges(s, d), tables.link_nodes(s, d))
+
+
+@query(with_sql("ln e a", EMBEDS))
+def attachment_embeds(s, d):
+    return graph.attachment_embeds(tables.edges(s, d), tables.link_nodes(s, d), tables.attachments(s, d))
+
+
+@query(with_sql("ln e", "SELECT DISTINCT att AS subject, src AS other FROM e JOIN ln ON ln.id = src AND live WHERE att IS NOT NULL"))
+def attachment_embedders(s, d):
+    return graph.attachment_embedders(tables.edges(s, d), tables.link_nodes(s, d))
+
+
+@query(with_sql("e", UNRESOLVED))
+def unresolved_refs(s, d):
+    return graph.unresolved_refs(tables.edges(s, d))
+
+
+@query(with_sql("ln e a", f"SELECT id AS subject, id AS other FROM ln UNION {FORWARD} UNION {BACK} UNION {EMBEDS}"))
+def exclusion_set(s, d):
+    return graph.exclusion_set(tables.edges(s, d), tables.link_nodes(s, d), tables.attachments(s, d))
+
+
+@query(with_sql("ln e a", f"""SELECT subject, count(*) FILTER (w = 'l') AS links, count(*) FILTER (w = 'b') AS backlinks, count(*) FILTER (w = 'f') AS files, count(*) FILTER (w = 'u') AS unresolved
+    FROM (SELECT subject, 'l' AS w FROM ({FORWARD}) UNION ALL SELECT subject, 'b' FROM ({BACK}) UNION ALL SELECT subject, 'f' FROM ({EMBEDS}) UNION ALL SELECT subject, 'u' FROM ({UNRESOLVED}))
+    WHERE subject IN (SELECT id FROM ln WHERE live) GROUP BY subject"""))
+def graph_summary(s, d):
+    return graph.graph_summary(tables.edges(s, d), tables.link_nodes(s, d), tables.attachments(s, d))
+
+
+@query(with_sql("dn", "SELECT id, path, id || '.md' AS name FROM dn WHERE live AND path LIKE 'src1/en/%'"))
+def ls_folder(s, d):
+    return graph.ls_folder(tables.doc_nodes(s, d), "/src1/en/")
+
+
+@query(with_sql("dn", "SELECT id, path, CAST(len(string_split(path, '/')) - 1 AS INTEGER) AS depth, row_number() OVER (ORDER BY string_split(path, '/'), id) AS place FROM dn WHERE live"))
+def tree_order(s, d):
+    return graph.tree_order(tables.doc_nodes(s, d))
+
+
+@query(with_sql("cl lt st", "SELECT l.id, l.rev, s.id IS NOT NULL AS mirrored FROM lt l LEFT JOIN st s ON s.id = l.id WHERE NOT l.trashed"))
+def mirrored_mark(s, d):
+    live = changes.latest(tables.changelog(s, d))
+    held = tables.sampled_state(live).select("id", F.lit(True).alias("m"))
+    return live.filter("not trashed").join(held, "id", "left").select("id", "rev", F.col("m").isNotNull().alias("mirrored"))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'rebuilding' WHEN o_orderkey % 3 = 0 THEN 'held' WHEN o_orderkey % 5 = 0 THEN 'stale' WHEN o_orderkey % 7 = 0 THEN 'not_served' ELSE 'not_synced' END AS slot FROM orders""")
+def graph_slots(s, d):
+    k = F.col("o_orderkey")
+    rows = tables.table(s, d, "orders").select(k.alias("id"), (k % 2 == 0).alias("rebuilding"), (k % 3 == 0).alias("matches"), (k % 5 == 0).alias("file_exists"), (k % 7 == 0).alias("asked"))
+    return rows.select("id", graph.graph_slot().alias("slot"))
+
+
+# --- change log ------------------------------------------------------------------------------------------------------
+
+
+@query(with_sql("cl lt", "SELECT id, rev, trashed, stamp, kind FROM lt WHERE NOT trashed"))
+def latest_live(s, d):
+    return changes.latest_live(tables.changelog(s, d))
+
+
+@query(with_sql("cl", "SELECT * FROM cl WHERE rev > 1000 OR (rev = 1000 AND id > 3) ORDER BY rev, id LIMIT 500"))
+def keyset_page(s, d):
+    return changes.keyset_page(tables.changelog(s, d), 1000, 3)
+
+
+@query(with_sql("cl", "SELECT id, rev, CAST(floor((row_number() OVER (ORDER BY rev, id) - 1) / 500) AS BIGINT) AS page FROM cl"))
+def page_index(s, d):
+    return changes.page_index(tables.changelog(s, d).select("id", "rev"))
+
+
+@query(with_sql("cl lt", "SELECT count(*) FILTER (NOT trashed) AS live_nodes, count(*) AS ledger, count(*) FILTER (NOT trashed) <> count(*) AS rebuild FROM lt"))
+def ledger_check(s, d):
+    last = changes.latest(tables.changelog(s, d))
+    return changes.ledger_check(last.filter("not trashed"), last)
+
+
+def _odd_paths(s, d):
+    """Document nodes with every kind of odd path mixed in by id."""
+    n = F.col("id") % 23
+    odd = (
+        F.when(n == 1, F.concat(F.lit("src0/.GIT/"), F.col("id").cast("string"))).when(n == 2, F.concat(F.lit("src0/x.CTL/"), F.col("id").cast("string")))
+        .when(n == 3, "src0/Claude.MD").when(n == 4, F.concat(F.lit("src0/"), F.col("id").cast("string"), F.lit(".txt"))).when(n == 5, F.concat(F.lit("src0/"), F.repeat(F.lit("é"), F.lit(130)), F.lit(".md")))
+        .when(n == 6, "src0").otherwise(F.col("path"))
+    )
+    kind = F.when(F.col("id") % 29 == 0, "canvas").otherwise("file")
+    return tables.doc_nodes(s, d).select("id", odd.alias("path"), (~F.col("live")).alias("trashed"), kind.alias("kind"))
+
+
+ODD = """, o AS (SELECT id, CASE id % 23 WHEN 1 THEN 'src0/.GIT/' || id WHEN 2 THEN 'src0/x.CTL/' || id WHEN 3 THEN 'src0/Claude.MD' WHEN 4 THEN 'src0/' || id || '.txt'
+    WHEN 5 THEN 'src0/' || repeat('é', 130) || '.md' WHEN 6 THEN 'src0' ELSE path END AS path, NOT live AS trashed, CASE WHEN id % 29 = 0 THEN 'canvas' ELSE 'file' END AS kind FROM dn),
+  r AS (SELECT *, CASE WHEN trashed THEN 'trashed' WHEN kind = 'canvas' THEN 'unknown_kind' WHEN id % 23 = 1 THEN 'reserved' WHEN id % 23 = 2 THEN 'control' WHEN path = 'src0' THEN 'scope_root'
+    WHEN NOT starts_with(path, 'src0/') THEN 'out_of_scope' WHEN id % 23 = 3 THEN 'instruction_name' WHEN NOT ends_with(path, '.md') THEN 'bad_note_name' WHEN id % 23 = 5 THEN 'unrepresentable' END AS reason FROM o)
+  SELECT id, path, CASE WHEN reason IS NULL THEN 'put' WHEN reason IN ('reserved', 'control', 'instruction_name', 'bad_note_name', 'unrepresentable') THEN 'park' WHEN id % 3 <> 0 THEN 'remove' ELSE 'ledger_only' END AS disposition, reason FROM r"""
+
+
+@query(with_sql("dn", "").rstrip() + ODD)
+def classify(s, d):
+    rows = _odd_paths(s, d)
+    return changes.classify(rows, rows.filter(F.col("id") % 3 != 0), "src0")
+
+
+FOLDED = "SELECT c_custkey AS id, c_mktsegment || '/' || CASE c_custkey % 3 WHEN 0 THEN 'Ärger' WHEN 1 THEN 'ÄRGER' ELSE 'A' || chr(776) || 'RGER' END || c_nationkey AS path, c_custkey AS seq FROM customer"
+
+
+def _fold_rows(s, d):
+    k = F.col("c_custkey")
+    name = F.when(k % 3 == 0, "Ärger").when(k % 3 == 1, "ÄRGER").otherwise("A\u0308RGER")
+    return tables.table(s, d, "customer").select(k.alias("id"), F.concat("c_mktsegment", F.lit("/"), name, F.col("c_nationkey").cast("string")).alias("path"), k.alias("seq"))
+
+
+@query(f"""SELECT id, replace(lower(nfc_normalize(path)), 'ς', 'σ') AS fold_key, CAST(row_number() OVER (PARTITION BY replace(lower(nfc_normalize(path)), 'ς', 'σ') ORDER BY CASE WHEN id % 50 = 0 THEN 0 ELSE 1 END, seq) AS INTEGER) AS place FROM ({FOLDED})""")
+def fold_collisions(s, d):
+    rows = _fold_rows(s, d)
+    return changes.fold_collisions(rows, rows.filter(F.col("id") % 50 == 0))
+
+
+@query(f"SELECT id, replace(lower(nfc_normalize(path)), 'ς', 'σ') AS folded FROM ({FOLDED})")
+def fold_path(s, d):
+    return _fold_rows(s, d).select("id", rules.fold_path(F.col("path")).alias("folded"))
+
+
+@query()
+def collision_fixpoint(s, d):
+    rows = _fold_rows(s, d)
+    below = rows.select((F.col("id") + 10_000_000).alias("id"), F.concat("path", F.lit("/child.md")).alias("path"), F.col("seq"))
+    return changes.collision_fixpoint(rows.unionByName(below), rows.filter(F.col("id") % 50 == 0), store)
+
+
+@query(with_sql("cl lt st", "SELECT id, rev FROM st WHERE id NOT IN (SELECT id FROM cl WHERE rev % 2 = 0)"))
+def prune(s, d):
+    log = tables.changelog(s, d)
+    return changes.prune(tables.sampled_state(changes.latest(log)), log.filter(F.col("rev") % 2 == 0))
+
+
+@query(with_sql("cl lt st", "SELECT id, rev FROM st WHERE id NOT IN (SELECT id FROM lt WHERE NOT trashed)"))
+def state_orphans(s, d):
+    last = changes.latest(tables.changelog(s, d))
+    return changes.prune(tables.sampled_state(last), last.filter("not trashed"))
+
+
+@query("SELECT page_id AS id, url FROM pages WHERE page_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0)")
+def orphan_markers(s, d):
+    named = tables.table(s, d, "documents").filter(F.col("doc_id") % 2 == 0).select(F.col("doc_id").alias("id"))
+    return changes.prune(tables.table(s, d, "pages").select(F.col("page_id").alias("id"), "url"), named)
+
+
+@query(with_sql("cl", "SELECT id, max(rev) AS rev FROM cl WHERE kind = 'view' GROUP BY id"))
+def claims_fold(s, d):
+    return changes.fold_claims(tables.changelog(s, d).filter("kind = 'view'"))
+
+
+@query(with_sql("cl lt st", "SELECT c.id, c.rev, st.rev AS stored_rev FROM (SELECT id, max(rev) AS rev FROM cl GROUP BY id) c JOIN st ON st.id = c.id WHERE c.rev > st.rev"))
+def claims_fire(s, d):
+    log = tables.changelog(s, d)
+    return changes.fire_claims(log, tables.sampled_state(changes.latest(log)))
+
+
+@query(with_sql("cl lt st", "SELECT cl.id, cl.rev FROM cl WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.id = cl.id AND st.rev >= cl.rev)"))
+def claims_append(s, d):
+    log = tables.changelog(s, d)
+    return changes.new_claims(log.select("id", "rev"), tables.sampled_state(changes.latest(log)))
+
+
+@query(with_sql("cl lt st", "SELECT l.id, l.rev FROM lt l JOIN st ON st.id = l.id WHERE (l.trashed OR (l.stamp IS NOT NULL AND l.stamp > 20)) AND l.rev > st.rev"))
+def marks_from(s, d):
+    last = changes.latest(tables.changelog(s, d))
+    held = tables.sampled_state(last).join(last.select("id", F.least("stamp", F.lit(20.0)).alias("stamp")), "id")
+    return changes.marks_from(last.select("id", "rev", F.col("stamp").alias("at"), F.col("trashed").alias("gone")), held)
+
+
+@query(with_sql("cl", """, x AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rev DESC) AS n FROM cl WHERE rev > 9000) WHERE n = 1)
+    SELECT id, rev, trashed AS gone FROM x WHERE (SELECT count(*) FROM x) <= 512""").replace(") , x", "), x"))
+def changed_set(s, d):
+    return changes.changed_set(tables.changelog(s, d), 9000)
+
+
+READY = "SELECT o_orderkey AS id, o_orderkey % 11 = 0 AS from_zero, CASE WHEN o_orderkey % 13 = 0 THEN 'a' ELSE 'b' END AS scope_key, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey * 1000 END AS h, 5000000 AS now, o_orderkey % 5 <> 0 AS at_head, o_orderkey % 3 AS tp, o_orderkey % 2 AS pr FROM orders"
+
+
+@query(f"""SELECT id, rebuild, CASE WHEN rebuild IS NOT NULL THEN rebuild WHEN NOT at_head THEN 'not_at_head' WHEN tp > 0 THEN 'transient_park' WHEN pr > 0 THEN 'pending_removal' WHEN h > now + 300 THEN 'clock_skew' END AS unusable,
+    from_zero OR NOT at_head OR tp > 0 OR pr > 0 AS incomplete FROM (SELECT *, CASE WHEN from_zero THEN 'from_zero' WHEN scope_key <> 'b' THEN 'scope_changed' WHEN h IS NULL THEN 'no_head' WHEN now - h > 2592000 THEN 'head_too_old' END AS rebuild FROM ({READY}))""")
+def readiness(s, d):
+    k = F.col("o_orderkey")
+    rows = tables.table(s, d, "orders").select(
+        k.alias("id"), (k % 11 == 0).alias("from_zero"), F.when(k % 13 == 0, "a").otherwise("b").alias("scope_key"), F.lit("b").alias("scope"), F.when(k % 7 != 0, k * 1000).alias("head_reached_at"),
+        F.lit(5_000_000).alias("now"), (k % 5 != 0).alias("at_head"), (k % 3).alias("transient_parks"), (k % 2).alias("pending_removals"),
+    )
+    return rows.select("id", changes.rebuild_reason().alias("rebuild"), changes.unusable_reason().alias("unusable"), changes.incomplete().alias("incomplete"))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'epoch_mismatch' WHEN o_orderkey % 3 > 1 THEN 'pending' WHEN o_orderkey % 5 <> 0 THEN 'rebuild_required' ELSE 'none' END AS delta,
+    CASE WHEN o_orderkey % 4 = 0 THEN 'new' WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'held' END AS graph, CASE WHEN o_orderkey % 4 = 0 THEN 'new' ELSE 'held' END AS related FROM orders""")
+def delta_and_riders(s, d):
+    k = F.col("o_orderkey")
+    served = F.when(k % 4 == 0, "new")
+    verdict = changes.delta_verdict(k % 2, F.lit(1), F.lit(1), k % 3, k % 5, F.lit(0))
+    return tables.table(s, d, "orders").select(k.alias("id"), verdict.alias("delta"), changes.graph_rider(k % 3 == 0, served, F.lit("held")).alias("graph"), changes.related_rider(served, F.lit("held")).alias("related"))
+
+
+@query(with_sql("cl lt", "SELECT id, rev, trashed, stamp, kind FROM lt"))
+def cdc_stream(s, d):
+    """The change log written as files and replayed as a stream: equal to the batch form."""
+    log = tables.changelog(s, d)
+    source = new_path(s, "log")
+    log.repartition(3, "id").write.parquet(source)
+    return replay.replay(s, source, log.schema, new_path(s, "state"), new_path(s, "checkpoint"))
+
+
+# --- reconciliation --------------------------------------------------------------------------------------------------
+
+RECON = """, server AS (SELECT id, path, n_chars AS digest FROM dn WHERE live), disk AS (SELECT path, CASE WHEN id % 5 = 0 THEN n_chars + 1 ELSE n_chars END AS digest, CASE WHEN id % 17 = 0 THEN id + 1 ELSE id END AS disk_id FROM dn WHERE id % 7 <> 0),
+  state AS (SELECT id, path FROM dn WHERE id % 4 <> 0), j AS (SELECT coalesce(s.path, k.path, t.path) AS path, s.id AS s_id, t.id AS t_id, disk_id, s.digest AS sd, k.digest AS dd FROM server s FULL JOIN disk k ON k.path = s.path FULL JOIN state t ON t.path = coalesce(s.path, k.path)),
+  c AS (SELECT path, coalesce(s_id, t_id, disk_id) AS id, unnest([CASE WHEN s_id IS NOT NULL AND dd IS NULL THEN 'missing-local' END, CASE WHEN s_id IS NOT NULL AND sd <> dd THEN 'digest-mismatch' END, CASE WHEN s_id <> disk_id THEN 'id-mismatch' END,
+    CASE WHEN s_id IS NOT NULL AND dd IS NOT NULL AND t_id IS NULL THEN 'untracked' END, CASE WHEN s_id IS NULL AND dd IS NOT NULL THEN 'missing-remote' END, CASE WHEN s_id IS NULL AND t_id IS NOT NULL THEN 'state-orphan' END]) AS class FROM j)"""
+
+
+def _reconciled(s, d):
+    nodes = tables.doc_nodes(s, d)
+    server = nodes.filter("live").select("id", "path", F.col("n_chars").alias("digest"))
+    disk = nodes.filter("id % 7 <> 0").select("path", F.expr("if(id % 5 = 0, n_chars + 1, n_chars)").alias("digest"), F.expr("if(id % 17 = 0, id + 1, id)").alias("disk_id"))
+    return reconcile.reconcile(server, disk, nodes.filter("id % 4 <> 0").select("id", "path"))
+
+
+@query(with_sql("dn", "").rstrip() + RECON + " SELECT path, id, class FROM c WHERE class IS NOT NULL")
+def reconcile_rows(s, d):
+    return _reconciled(s, d)
+
+
+@query(with_sql("dn", "").rstrip() + RECON + " SELECT class, count(*) AS n FROM c WHERE class IS NOT NULL GROUP BY class")
+def reconcile_counts(s, d):
+    return reconcile.class_counts(_reconciled(s, d))
+
+
+MOUNTS = "SELECT s_name AS name, CASE s_suppkey % 3 WHEN 0 THEN 'm/' || s_nationkey WHEN 1 THEN 'm/' || s_nationkey || '/' || s_suppkey ELSE 'k' || s_suppkey END AS dir FROM supplier"
+
+
+@query(f"SELECT DISTINCT least(a.name, b.name) AS a, greatest(a.name, b.name) AS b FROM ({MOUNTS}) a JOIN ({MOUNTS}) b ON a.name <> b.name AND (a.dir = b.dir OR starts_with(b.dir, a.dir || '/'))")
+def mount_overlap(s, d):
+    k, n = F.col("s_suppkey"), F.col("s_nationkey").cast("string")
+    place = F.when(k % 3 == 0, F.concat(F.lit("m/"), n)).when(k % 3 == 1, F.concat_ws("/", F.lit("m"), n, k.cast("string"))).otherwise(F.concat(F.lit("k"), k.cast("string")))
+    return reconcile.overlapping_mounts(tables.table(s, d, "supplier").select(F.col("s_name").alias("name"), place.alias("dir")))
+
+
+@query("SELECT c_nationkey AS nation, arg_max(code, sev) AS code FROM (SELECT c_nationkey, c_custkey % 5 AS code, CASE c_custkey % 5 WHEN 2 THEN 4 WHEN 4 THEN 3 WHEN 3 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS sev FROM customer WHERE c_custkey % 7 = c_nationkey % 7) GROUP BY 1")
+def batch_read_exit(s, d):
+    rows = tables.table(s, d, "customer").filter("c_custkey % 7 = c_nationkey % 7").select(F.col("c_nationkey").alias("nation"), (F.col("c_custkey") % 5).alias("code"))
+    severity = F.expr("case code when 2 then 4 when 4 then 3 when 3 then 2 when 1 then 1 else 0 end")
+    return rows.groupBy("nation").agg(F.max_by("code", severity).alias("code"))
+
+
+@query("SELECT lang AS path, CASE WHEN count(DISTINCT source) > 1 THEN 'ambiguous' ELSE 'found' END AS verdict FROM documents GROUP BY lang")
+def across_mounts(s, d):
+    return reconcile.across_mounts(tables.table(s, d, "documents").select(F.col("lang").alias("path"), F.col("source").alias("mount")))
+
+
+# --- related items ---------------------------------------------------------------------------------------------------
+
+ASKED = 25  # subjects: every 25th vector
+TERMS = "SELECT vec_id AS id, CAST(i AS INTEGER) AS term, CAST(embedding[i + 1] AS DOUBLE) AS weight FROM embeddings, range(0, 64) t(i) WHERE embedding[i + 1] > 0.1"
+DOTS = f""", tm AS ({TERMS}), nm AS (SELECT id, sqrt(sum(weight * weight)) AS norm FROM tm GROUP BY id),
+  cs AS (SELECT x.id AS subject, y.id, sum(x.weight * y.weight) / (any_value(m.norm) * any_value(n.norm)) AS cosine FROM tm x JOIN tm y USING (term) JOIN nm m ON m.id = x.id JOIN nm n ON n.id = y.id WHERE x.id % {ASKED} = 0 GROUP BY 1, 2)"""
+
+
+def _terms(s, d):
+    return tables.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("term", "w")).select("id", "term", F.col("w").cast("double").alias("weight")).filter("w > 0.1")
+
+
+def _cosines(s, d):
+    terms = _terms(s, d)
+    return related.cosine_pairs(terms, terms.filter(F.col("id") % ASKED == 0).select("id").distinct())
+
+
+@query("WITH " + DOTS[2:] + " SELECT subject, id, round(cosine, 6) AS cosine FROM cs")
+def cosine_pairs(s, d):
+    return _cosines(s, d).withColumn("cosine", F.round("cosine", 6))
+
+
+@query("WITH " + DOTS[2:] + """ SELECT subject, id, term, place FROM (SELECT x.id AS subject, y.id, x.term, CAST(row_number() OVER (PARTITION BY x.id, y.id ORDER BY round(x.weight * y.weight, 9) DESC, x.term) AS INTEGER) AS place
+    FROM tm x JOIN tm y USING (term) WHERE x.id % 25 = 0 AND y.id % 10 = 3) WHERE place <= 3""")
+def top_shared_terms(s, d):
+    return related.top_shared_terms(_terms(s, d), _cosines(s, d).filter("id % 10 = 3"))
+
+
+EXCL = "SELECT DISTINCT e.vec_id AS subject, f.vec_id AS other FROM embeddings e JOIN embeddings f ON f.vec_id % 97 = e.vec_id % 97 WHERE e.vec_id % 25 = 0"
+ARMS = DOTS + f""", ex AS ({EXCL}), liv AS (SELECT vec_id AS id, vec_id % 11 <> 0 AS live, label FROM embeddings),
+  l1 AS (SELECT subject, id, row_number() OVER (PARTITION BY subject ORDER BY round(cosine, 9) DESC, id) AS r FROM cs WHERE cosine > 0 AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.subject = cs.subject AND ex.other = cs.id)),
+  lx AS (SELECT subject, id, row_number() OVER (PARTITION BY subject ORDER BY r) AS rank FROM l1 JOIN liv USING (id) WHERE r <= 20 AND live),
+  hg AS (SELECT a.vec_id AS subject, b.vec_id AS id, b.vec_id AS position FROM embeddings a JOIN embeddings b ON b.vec_id % 31 = a.vec_id % 31 WHERE a.vec_id % 25 = 0),
+  ht AS (SELECT a.vec_id AS subject, b.vec_id AS id, b.vec_id AS position FROM embeddings a JOIN embeddings b ON b.label = a.label WHERE a.vec_id % 25 = 0 AND b.vec_id % 3 = 0),
+  g AS (SELECT h.subject, h.id, row_number() OVER (PARTITION BY h.subject ORDER BY position) AS rank FROM hg h JOIN liv ON liv.id = h.id WHERE live AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.subject = h.subject AND ex.other = h.id)),
+  t AS (SELECT h.subject, h.id, row_number() OVER (PARTITION BY h.subject ORDER BY position) AS rank FROM ht h JOIN liv ON liv.id = h.id WHERE live AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.subject = h.subject AND ex.other = h.id))"""
+
+
+def _arms(s, d):
+    vectors = tables.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    asked = vectors.filter(F.col("id") % ASKED == 0).select(F.col("id").alias("subject"), "label")
+    excluded = asked.withColumn("k", F.col("subject") % 97).join(vectors.select(F.col("id").alias("other"), (F.col("id") % 97).alias("k")), "k").select("subject", "other")
+    live = vectors.filter(F.col("id") % 11 != 0)
+    by_graph = asked.withColumn("k", F.col("subject") % 31).join(vectors.select("id", (F.col("id") % 31).alias("k")), "k").select("subject", "id", F.col("id").alias("position"))
+    by_tag = asked.join(vectors.filter(F.col("id") % 3 == 0), "label").select("subject", "id", F.col("id").alias("position"))
+    return related.held_arm(by_graph, excluded, live), related.lexical_arm(_cosines(s, d), excluded, live), related.held_arm(by_tag, excluded, live)
+
+
+@query("WITH " + ARMS[2:] + " SELECT 'graph' AS arm, subject, id, CAST(rank AS INTEGER) AS rank FROM g UNION ALL SELECT 'lexical', subject, id, CAST(rank AS INTEGER) FROM lx UNION ALL SELECT 'tags', subject, id, CAST(rank AS INTEGER) FROM t")
+def related_arms(s, d):
+    by_graph, lexical, by_tag = _arms(s, d)
+    named = [df.select(F.lit(n).alias("arm"), "subject", "id", "rank") for n, df in (("graph", by_graph), ("lexical", lexical), ("tags", by_tag))]
+    return named[0].unionByName(named[1]).unionByName(named[2])
+
+
+@query("WITH " + ARMS[2:] + """, f AS (SELECT subject, id, coalesce(1.0::DOUBLE / (60 + g.rank), 0) + coalesce(CASE WHEN subject % 50 = 0 THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END / (60 + lx.rank), 0) + coalesce(1.0::DOUBLE / (60 + t.rank), 0) AS score
+    FROM g FULL JOIN lx USING (subject, id) FULL JOIN t USING (subject, id)), o AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY score DESC, 'v/' || id) AS place FROM f)
+    SELECT subject, id, round(score, 4) AS score, CAST(place AS INTEGER) AS place FROM o WHERE place <= 10""")
+def related_fused(s, d):
+    by_graph, lexical, by_tag = _arms(s, d)
+    vectors = tables.table(s, d, "embeddings").select(F.col("vec_id").alias("id"))
+    words = vectors.select(F.col("id").alias("subject"), F.when(F.col("id") % 50 == 0, 100).otherwise(300).alias("wc"))
+    return related.fuse(by_graph, lexical, by_tag, words, vectors.select("id", F.concat(F.lit("v/"), F.col("id").cast("string")).alias("path")))
+
+
+# --- search and reading ----------------------------------------------------------------------------------------------
+
+LISTED = "WITH " + "x AS (SELECT doc_id AS id, source || '/' || lang || '/' || doc_id || '.md' AS path, lang, n_chars FROM documents WHERE (starts_with(source || '/' || lang || '/', 'src1/') OR starts_with(source || '/' || lang || '/', 'src2/en/')) AND lang IN ('en', 'fr') AND n_chars >= 500)"
+
+
+@query(LISTED + " SELECT id, path, lang, n_chars, (SELECT count(*) FROM x) AS total FROM x ORDER BY n_chars DESC, id LIMIT 20")
+def search_filter(s, d):
+    rows = tables.table(s, d, "documents").select(F.col("doc_id").alias("id"), tables.doc_path().alias("path"), "lang", "n_chars", F.array("lang").alias("tags"))
+    where = search.Filter.parse(["src1", "src2/en"], ["#en", "fr"], ["n_chars=500.."])
+    return search.listing(rows, where, "n_chars", 20).drop("tags")
+
+
+@query(with_sql("a", "SELECT id, path, 'name' AS match FROM a WHERE live AND contains(lower(path), '/1')"))
+def attachment_name_match(s, d):
+    return search.attachment_matches(tables.attachments(s, d), "/1")
+
+
+@query(r"""WITH w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+  r AS (SELECT id, len(w) AS l, len(list_filter(w, lambda x: x = 'that')) AS a, len(list_filter(w, lambda x: x = 'threa')) AS b FROM w), s AS (SELECT count(*) AS n, avg(l) AS av, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM r)
+  SELECT id, round(ln(1 + (n - da + 0.5::DOUBLE) / (da + 0.5::DOUBLE)) * a * 2.2::DOUBLE / (a + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / av)) + ln(1 + (n - db + 0.5::DOUBLE) / (db + 0.5::DOUBLE)) * b * 2.2::DOUBLE / (b + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / av)), 6) AS score
+  FROM r, s WHERE a > 0 OR b > 0 ORDER BY score DESC, id LIMIT 20""")
+def bm25_search(s, d):
+    return search.bm25(tables.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), ["that", "threa"])
+
+
+LINES = r"SELECT doc_id AS id, regexp_extract_all(text, '[^\n]*\n|[^\n]+$') AS l, text FROM documents"
+
+
+@query(f"SELECT id, list_aggregate(list_concat(l[2:4], ['']), 'string_agg', '') AS part, CAST(len(l) AS INTEGER) AS n_lines, text <> '' AND NOT ends_with(text, chr(10)) AS closing FROM ({LINES})")
+def line_slice(s, d):
+    text = F.col("text")
+    return tables.table(s, d, "documents").select(F.col("doc_id").alias("id"), rules.slice_lines(text, F.lit(2), F.lit(4)).alias("part"), rules.line_count(text).alias("n_lines"), rules.needs_closing_newline(text).alias("closing"))
+
+
+# --- scalar rules ----------------------------------------------------------------------------------------------------
+
+
+@query(r"""SELECT page_id AS id, nullif(regexp_extract(lower(url), '^.+\.([^.]+)$', 1), '') AS ext, regexp_extract(url, '^(.*)/[^/]*$', 1) AS parent, string_split(url, '/')[-1] AS leaf, CAST(len(string_split(url, '/')) - 1 AS INTEGER) AS depth,
+    CASE WHEN url = 'http:/' THEN '' WHEN starts_with(url, 'http:/' || '/') THEN substr(url, 8) END AS below, NOT regexp_matches(url, '[#|\[\]]') AS linkable, CAST(strlen(url) AS INTEGER) AS units, NOT starts_with(url, '/') AS contained FROM pages""")
+def scalars_path(s, d):
+    u = F.col("url")
+    return tables.table(s, d, "pages").select(
+        F.col("page_id").alias("id"), rules.extension(u).alias("ext"), rules.parent_of(u).alias("parent"), rules.leaf_of(u).alias("leaf"), rules.depth_of(u).alias("depth"), rules.scope_relative(u, "http:/").alias("below"),
+        rules.wikilink_expressible(u).alias("linkable"), rules.component_units(u).alias("units"), rules.lexical_contained(u).alias("contained"),
+    )
+
+
+@query(r"""SELECT event_id AS id, replace(event_type || chr(9) || user_id, chr(27), '') AS clean, event_type || chr(10) || '�' || chr(13) || chr(10) AS multi, regexp_matches(event_type, '^[a-z0-9-]{1,64}$') AS label,
+    CASE WHEN user_id = 1 THEN '1 note' ELSE user_id || ' notes' END AS counted, 'id ' || user_id || chr(10) || 'sha256 unknown' AS marker, CAST(user_id AS VARCHAR) AS marked_id,
+    event_type NOT IN ('view') AS syncs, sha256(event_type) AS digest FROM events""")
+def scalars_text(s, d):
+    t, u = F.col("event_type"), F.col("user_id").cast("string")
+    marker = rules.render_marker({"sha256": F.lit(None).cast("string"), "id": u})
+    return tables.table(s, d, "events").select(
+        F.col("event_id").alias("id"), rules.sanitize(F.concat(t, F.lit("\t"), u)).alias("clean"), rules.sanitize_multiline(F.concat(t, F.lit("\n\r\r\n"))).alias("multi"), rules.valid_label(t).alias("label"),
+        rules.plural(F.col("user_id"), "note", "notes").alias("counted"), marker.alias("marker"), rules.parse_marker(marker)["id"].alias("marked_id"),
+        rules.tool_warrants_sync(F.concat(F.lit("mcp__x__"), F.when(t == "view", "read_note").otherwise(t))).alias("syncs"), F.sha2(t, 256).alias("digest"),
+    )
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 < 2 THEN NULL WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderkey % 4 = 2 AND o_orderkey % 10 > o_orderkey % 7 THEN NULL WHEN o_orderkey % 4 = 2 AND o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey % 10 END AS low,
+    CASE WHEN o_orderkey % 4 = 0 THEN 'not_a_range' WHEN o_orderkey % 4 = 1 THEN 'not_a_range' WHEN o_orderkey % 10 = 0 OR (o_orderkey % 4 = 2 AND o_orderkey % 7 = 0) THEN 'starts_at_zero' WHEN o_orderkey % 4 = 2 AND o_orderkey % 7 < o_orderkey % 10 THEN 'backwards' END AS error FROM orders""")
+def line_ranges(s, d):
+    k = F.col("o_orderkey")
+    a, b = (k % 10).cast("string"), (k % 7).cast("string")
+    spec = F.when(k % 4 == 0, F.concat(a, F.lit("-1-2"))).when(k % 4 == 1, F.concat(F.lit("a-"), a)).when(k % 4 == 2, F.concat(F.lit(" "), a, F.lit(" - +"), b)).otherwise(F.concat(a, F.lit("-")))
+    r = rules.parse_range(spec)
+    return tables.table(s, d, "orders").select(k.alias("id"), r["from"].alias("low"), r["error"].alias("error"))
+
+
+@query("SELECT o_orderkey AS id, o_orderkey % 5 <> 0 AND (o_orderkey % 3, o_orderkey % 7, o_orderkey % 11) > (1, 2, 3) AS newer FROM orders")
+def semver_order(s, d):
+    k = F.col("o_orderkey")
+    version = F.concat_ws(".", (k % 3).cast("string"), (k % 7).cast("string"), (k % 11).cast("string"))
+    return tables.table(s, d, "orders").select(k.alias("id"), rules.version_notice(F.when(k % 5 == 0, F.concat(F.lit("v"), version)).otherwise(version), F.lit("1.2.3")).alias("newer"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN x < 60 THEN x || 's ago' WHEN x < 3600 THEN x // 60 || 'm ago' WHEN x < 86400 THEN x // 3600 || 'h ago' ELSE x // 86400 || 'd ago' END AS age, NOT (x < 86400) AS due, x <= 60 AS expired FROM (SELECT o_orderkey, o_orderkey * 37 AS x FROM orders)")
+def human_age(s, d):
+    x = F.col("o_orderkey") * 37
+    return tables.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), rules.human_age(x).alias("age"), rules.is_due(F.lit(0), x).alias("due"), rules.expires(x, F.lit(0)).alias("expired"))
+
+
+@query(r"""SELECT s_suppkey AS id, CASE WHEN s_suppkey % 5 = 0 THEN 'project-' || substr(sha256('мой'), 1, 8) ELSE lower(replace(replace(s_name, '#', ''), ' ', '-')) END AS label, CASE WHEN s_suppkey % 5 = 0 THEN 'мой' ELSE regexp_replace(regexp_replace(s_name, '[^\p{L}\p{N}_-]', '-', 'g'), '^-+|-+$', '', 'g') END AS dir FROM supplier""")
+def sanitize_label(s, d):
+    name = F.when(F.col("s_suppkey") % 5 == 0, "мой").otherwise(F.col("s_name"))
+    return tables.table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), rules.sanitize_label(name).alias("label"), rules.safe_directory(name).alias("dir"))
+
+
+WIN = """CASE p_partkey % 8 WHEN 0 THEN 'CON.md' WHEN 1 THEN 'a<%b|' || p_size || '.md' WHEN 2 THEN 'trail.' WHEN 3 THEN 'lpt³' WHEN 4 THEN 'plain%41' WHEN 5 THEN 'd:/NUL ' WHEN 6 THEN 'x' || chr(1) ELSE p_name END"""
+WIN_OUT = """CASE p_partkey % 8 WHEN 0 THEN '%43ON.md' WHEN 1 THEN 'a%3C%25b%7C' || p_size || '.md' WHEN 2 THEN 'trail%2E' WHEN 3 THEN '%6Cpt³' WHEN 4 THEN 'plain%41' WHEN 5 THEN 'd%3A/NUL%20' WHEN 6 THEN 'x%01' ELSE p_name END"""
+
+
+@query(f"SELECT p_partkey AS id, {WIN_OUT} AS encoded, {WIN} AS decoded FROM part")
+def win_paths(s, d):
+    k = F.col("p_partkey") % 8
+    name = (
+        F.when(k == 0, "CON.md").when(k == 1, F.concat(F.lit("a<%b|"), F.col("p_size").cast("string"), F.lit(".md"))).when(k == 2, "trail.").when(k == 3, "lpt³")
+        .when(k == 4, "plain%41").when(k == 5, "d:/NUL ").when(k == 6, "x\x01").otherwise(F.col("p_name"))
+    )
+    made = tables.table(s, d, "part").select(F.col("p_partkey").alias("id"), rules.encode_win_path(name).alias("encoded"))
+    return made.withColumn("decoded", F.array_join(F.transform(rules.segments(F.col("encoded")), rules.decode_win_segment), "/"))
+
+
+@query("SELECT p_partkey AS id, ['x ', p_brand, ' </b>y'] AS texts, [false, true, false] AS hits FROM part")
+def highlight_runs(s, d):
+    runs = rules.highlight_runs(F.concat(F.lit("x <b>"), F.col("p_brand"), F.lit("</b> </b>y")))
+    rows = tables.table(s, d, "part").select(F.col("p_partkey").alias("id"), runs.alias("r"))
+    return rows.select("id", F.col("r.text").alias("texts"), F.col("r.hit").alias("hits"))
+
+
+@query()
+def markdown_tasks(s, d):
+    """Every line of the documents as a checkbox of some kind."""
+    rows = tables.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.regexp_replace("text", r"(?m)^(\p{Lu})", "- [/] $1").alias("text"))
+    return tasks.extract_tasks(rows)
