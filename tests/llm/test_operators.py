@@ -1,0 +1,209 @@
+"""The training-data operators against brute force, round trips and held-out accuracy, with awkward rows."""
+
+import hashlib
+import itertools
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tarn.llm import exact_dedup, license_scan, ngram_join, packing, pii, piece_codec, quality_rules, queries, sharding, token_codec, warc
+from tarn.llm.common import components
+
+ROWS = [(1, "One two three four five six"), (2, "one TWO three four five six"), (3, None), (4, ""), (5, "É a"), (6, "é a"), (None, "x"), (7, "x"), (7, "x"), (8, "word " * 30_000)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Nulls, empty and long texts, ties, repeated rows, and extra columns with clashing names."""
+    return spark.createDataFrame(ROWS, "doc_id long, text string").withColumns({"digest": F.lit("d"), "bucket": F.lit(1), "_id": F.lit(0), "n": F.lit(2)})
+
+
+@pytest.fixture(scope="module")
+def empty(docs):
+    return docs.limit(0)
+
+
+def test_exact_dedup(docs, empty):
+    got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.decisions(docs, keep="largest").collect()}
+    assert {(1, 2, 2, False), (2, 2, 2, True), (3, 4, 2, False), (4, 4, 2, True), (5, 5, 1, True), (6, 6, 1, True), (None, 7, 3, False), (7, 7, 3, True), (8, 8, 1, True)} == got
+    kept = exact_dedup.deduplicate(docs.drop("_id"), keep="largest")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 4, 5, 6, 7, 8]
+    assert exact_dedup.decisions(empty).count() == 0
+
+
+def test_exact_dedup_tells_texts_under_one_digest_apart(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "doc_id long, text string")
+    got = {(r["doc_id"], r["keep_id"]) for r in exact_dedup.decisions(rows, digest=lambda t: F.encode(F.substring(t, 1, 0), "UTF-8")).collect()}
+    assert got == {(1, 1), (2, 2), (3, 1)}
+
+
+def test_sharding(docs, empty):
+    rows = sharding.assign(docs, 40).collect()
+    assert len(rows) == len(ROWS)
+    for shard, some in itertools.groupby(sorted(rows, key=lambda r: r["shard"]), key=lambda r: r["shard"]):
+        some = list(some)
+        size = sum(r["n_bytes"] for r in some)
+        assert size == some[0]["shard_bytes"] and (size <= 40 or some[0]["oversized"])
+        assert not any(shard != r["shard"] and r["shard"].startswith(shard) for r in rows)
+    assert sharding.assign(empty, 40).count() == 0
+
+
+def test_packing_bounds_are_optimal():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        lengths = np.unique(rng.integers(1, 40, 8))
+        counts = rng.integers(1, 9, len(lengths))
+        bounds = packing.optimal_bounds(lengths, counts, 3)
+
+        def padding(b):
+            return sum(int(n) * (min(x for x in b if x >= v) - int(v)) for v, n in zip(lengths, counts, strict=True))
+
+        best = min(padding([*c, int(lengths[-1])]) for k in range(3) for c in itertools.combinations(lengths[:-1].tolist(), k))
+        assert padding(bounds) == best and len(bounds) <= 3
+
+
+def test_packing(docs, empty):
+    rows = packing.pack(packing.lengths_of(docs), budget=16, buckets=3).collect()
+    assert len(rows) == len(ROWS)
+    batches = {}
+    for r in rows:
+        batches.setdefault((r["bucket"], r["batch"]), []).append(r)
+    for some in batches.values():
+        assert sum(r["bucket_length"] for r in some) <= 16 or len(some) == 1 and some[0]["over_budget"]
+        assert sorted(r["slot"] for r in some) == list(range(len(some)))
+    assert packing.pack(packing.lengths_of(empty)).count() == 0
+
+
+def brute_links(rows):
+    sets = [set(s.tolist()) for s in ngram_join.shingle_sets([(t or "").encode() for _, t in rows])]
+    links = [0] * len(rows)
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        a, b = sets[i], sets[j]
+        if a and b and rows[i][0] is not None and rows[j][0] is not None and len(a & b) >= 0.8 * len(a | b) - 1e-9:
+            links[i] += 1
+            links[j] += 1
+    return sorted((r[0] if r[0] is not None else -1, n) for r, n in zip(rows, links, strict=True))
+
+
+def test_ngram_join(spark, docs, empty):
+    rnd = random.Random(3)
+    base = [f"w{rnd.randint(0, 500)}" for _ in range(120)]
+    rows = list(ROWS)
+    for i in range(150):
+        words = list(base)
+        for _ in range(rnd.randint(0, 6)):
+            words[rnd.randrange(120)] = f"z{rnd.randint(0, 10**6)}"
+        rows.append((100 + i, " ".join(words)))
+    rows += [(400 + i, " ".join(base[:20] + [f"y{rnd.randint(0, 10**6)}" for _ in range(100)])) for i in range(150)]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_links"]) for r in got) == brute_links(rows)
+    assert ngram_join.join(empty).count() == 0
+    assert ngram_join.runs_for(0.8, 0.99999) == 8
+
+
+def test_components(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 30)] + [(50, 51), (52, 51), (60, 60)], "a long, b long")
+    assert {(r["node"], r["root"]) for r in components(edges).collect()} == {(i, 1) for i in range(1, 31)} | {(50, 50), (51, 50), (52, 50)}
+
+
+def test_license_scan(spark, docs, empty):
+    mit = license_scan.TEMPLATES[0][1]
+    text = f"foo {mit.title()}. CC-BY, all rights  reserved! cc by"
+    made = license_scan.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert made["base_labels"] == "cc-by,reserved" and made["labels"] == "cc-by,mit,reserved" and made["n_base"] == 3 and made["score"] == 1.0
+    assert made["last_word"] == made["n_words"] - 2
+    assert {r["doc_id"]: r["n_words"] for r in license_scan.scan(docs).collect()}[8] == 30_000
+    assert license_scan.scan(empty).count() == 0
+
+
+def test_quality_rules(docs, empty):
+    rows = {r["doc_id"]: r for r in quality_rules.apply_policy(quality_rules.ledger(docs)).collect()}
+    assert (rows[8]["n_words"], rows[8]["n_repeat_words"], rows[8]["kept"]) == (30_000, 30_000, False)
+    assert (rows[3]["n_words"], rows[4]["word_chars"], rows[5]["word_chars"]) == (0, 0, 2)
+    assert quality_rules._repeated_words(b"a b c x a b c".split()) == 6 and quality_rules._repeated_words(b"a a a a".split()) == 4
+    assert quality_rules.ablation(quality_rules.ledger(docs)).count() == 8
+    assert quality_rules.keep_rows(docs).columns == docs.columns and quality_rules.ledger(empty).count() == 0
+
+
+def test_warc(spark, empty):
+    pages = spark.createDataFrame([(2, "u2", "x"), (1, "u1", "x"), (3, None, None), (4, "u", "é" * 9)], "page_id long, url string, html string")
+    path = warc.write_archive(pages)
+    rows = {r["id"]: r for r in warc.read_back(spark, path).collect()}
+    assert (rows[1]["record_type"], rows[2]["record_type"], rows[2]["refers_to"]) == ("response", "revisit", 1)
+    assert rows[4]["payload_bytes"] == 18 and rows[3]["payload_digest"] == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ" and all(r["intact"] for r in rows.values())
+    records = warc.parse_warc(b"".join(r["member"] for r in warc.warc_bytes(warc.reconstruct(spark, path)).collect()))
+    assert sorted(len(b) for _, b in records) == [0, 0, 1, 18]
+    assert warc.read_back(spark, warc.write_archive(pages.limit(0))).count() == 0
+
+
+def test_token_files(spark, docs, empty):
+    path = queries.tokenizer_file("byte_bpe_50k.json")
+    made = token_codec.read_tokens(spark, token_codec.write_tokens(docs, path)).orderBy("start").collect()
+    from tokenizers import Tokenizer
+
+    t, start = Tokenizer.from_file(path), 0
+    for r, (doc_id, text) in zip(made, sorted(ROWS, key=lambda x: (x[0] is not None, x[0] or 0)), strict=True):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert token_codec.read_tokens(spark, token_codec.write_tokens(empty, path)).count() == 0
+
+
+def test_code_lengths_are_limited_and_complete():
+    lengths = token_codec.code_lengths(np.array([2**i for i in range(20)]), 8)
+    assert lengths.max() == 8 and (2.0**-lengths).sum() == 1
+    book = token_codec.Codebook(lengths, 8)
+    ids = np.random.default_rng(0).integers(0, 20, 5000).astype(np.uint32)
+    payload, checkpoints = book.encode(ids)
+    assert (book.decode([(payload, checkpoints, 5000), (payload, checkpoints, 5000)])[1] == ids).all()
+
+
+def test_pieces(docs, empty):
+    model = queries.tokenizer_file("piece_bpe_32k.model")
+    assert all(r["decoded_equal"] for r in piece_codec.encode_and_check(docs, model).collect())
+    pieces = piece_codec.pieces_of(model)
+    words = [piece_codec.MARK + w.encode() for w in ["hello", "wörld", "a▁b", "日本", "", "xyzzyq"]]
+    for w in words:
+        assert pieces.segment([w, w])[1] == pieces.segment_slowly(w)
+    assert piece_codec.encode(empty, model).count() == 0
+
+
+def test_pii(spark, docs, empty):
+    text = "mail a.b@x.org, 10.0.0.1, 4111 1111 1111 1111, +1 (499) 555-6503 token = \"1eb9c654e721b4f812088970e66a6345cee33dd6\" end"
+    row = pii.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row["n_email"], row["n_ip"], row["n_card"], row["n_phone"]) == (1, 1, 1, 1)
+    base = pii.written(pii.base_spans(text))
+    assert row["base_sha256"] == hashlib.sha256(base.encode()).hexdigest() and set(base.split(",")) <= set(row["spans"].split(",")) and "secret" in row["spans"]
+    assert pii.mask(docs).count() == len(ROWS) and pii.scan(empty).count() == 0
+    x, y = pii.training_windows(300, seed=99)
+    assert (pii.model_from(pii.trained()).decode(x) == y).mean() > 0.97
+
+
+def test_pii_gradient():
+    model, (x, y) = pii.Model(1), pii.training_windows(3, seed=2)
+    x, y = np.ascontiguousarray(x[:, :12].T), np.ascontiguousarray(y[:, :12].T)
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    _, grad = model.loss_and_gradient(x, y)
+    for k in ("t", "w"):
+        at = np.unravel_index(np.abs(grad[k]).argmax(), grad[k].shape)
+        old = model.p[k][at]
+        model.p[k][at] = old + 1e-3
+        up = model.loss_and_gradient(x, y)[0]
+        model.p[k][at] = old - 1e-3
+        down = model.loss_and_gradient(x, y)[0]
+        model.p[k][at] = old
+        assert (up - down) / 2e-3 == pytest.approx(float(grad[k][at]), rel=0.05)
+
+
+def test_pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and 0 < out.count() <= docs.count()
+        docs = out
+    assert corpus_pipeline.run(spark, sf_dir).count() == docs.count()
