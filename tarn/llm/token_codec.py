@@ -1,10 +1,10 @@
 """Token ids in canonical length-limited Huffman code.
 
-Two passes over the texts. The first tokenizes and counts ids (a histogram a task, summed by id, at most one row an id of the
-vocabulary); the driver builds code lengths by package-merge. The second deals documents to ranges of ascending ids,
-tokenizes and encodes blocks of whole documents. Tokenizing twice keeps no id table on disk. A block is independent: its ids
-decode from the codebook alone, and its checkpoints (bit offsets each CHECK ids) let all lanes of many blocks advance
-together by one table lookup a step.
+The texts are dealt to ranges of ascending ids and tokenized once, into a scratch table of blocks of whole documents (16 bits an
+id where the vocabulary allows). Its histogram, at most one row an id of the vocabulary, gives the code lengths by
+package-merge on the driver; a map over the scratch blocks then encodes them, and the scratch table is dropped. A block is
+independent: its ids decode from the codebook alone, and its checkpoints (bit offsets each CHECK ids) let all lanes of many
+blocks advance together by one table lookup a step.
 
 File format: Parquet rows (part, block, doc_ids, n_tokens, payload, checkpoints); parts and blocks in order hold documents in
 ascending order; the codebook is a table (id, length).
@@ -25,23 +25,29 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.common import new_path
+from tarn.llm.common import drop_path, new_path
+from tarn.llm.tokens import as_bytes
 
 MAX_LENGTH = 18
 CHECK = 256
 BLOCK_TOKENS = 65_536
 END_ID = 0
-#: Pieces of text that a worker remembers the ids of; a memory bound, results do not depend on it.
-REMEMBERED = 300_000
+#: Pieces of text that a worker remembers the ids of (some 150 bytes each); a memory bound, results do not depend on it.
+REMEMBERED = 1_000_000
+#: Bytes of text that are tokenized in one call; a longer text is a call of its own, never cut.
+CALL_BYTES = 4 << 20
+#: First bytes of characters that are never white space: visible ASCII, and U+00C0 to U+00FF.
+VISIBLE_LEAD = np.array([33 <= b <= 126 or b == 0xC3 for b in range(256)])
 
 _tokenizers: dict = {}
 
 
 class PieceTokenizer:
-    """The tokenizers library over distinct pieces of text.
+    """The tokenizers library over the distinct pieces of many texts at once.
 
-    A byte-level pre-tokenizer always breaks before a space that a letter, digit or ASCII mark follows, so text cut there
-    gets the same ids in pieces as in one. Distinct pieces are joined, encoded together and told apart by their offsets.
+    A byte-level pre-tokenizer always breaks before a space that a visible character follows, so text cut there gets the same ids
+    in pieces as in one. Pieces are found and made distinct as bytes, by numpy and Arrow; new ones are joined, encoded together
+    and told apart by the byte lengths of their ids. No loop runs over the places of pieces in the texts.
     """
 
     def __init__(self, path: str):
@@ -50,49 +56,68 @@ class PieceTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {}
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        out: list[str] = []
-        for i, part in enumerate(text.split(" ")):
-            if i == 0:
-                out.append(part)
-            elif part and ("!" <= part[0] <= "~" or part[0].isalnum()):
-                out.append(" " + part)
-            else:
-                out[-1] += " " + part
-        return out
-
-    def _learn(self, new: list[str]) -> None:
-        for low in range(0, len(new), 2000):
-            some = new[low : low + 2000]
-            joined = [p for p in some if p[:1] == " "]
-            alone = [p for p in some if p[:1] != " "]
-            for p, e in zip(alone, self.tokenizer.encode_batch(alone, add_special_tokens=False), strict=True):
-                self.known[p] = np.array(e.ids, np.uint32)
-            if joined:
-                e = self.tokenizer.encode("".join(joined), add_special_tokens=False)
-                begins = np.cumsum([0, *map(len, joined)])
-                at = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.offsets))
-                cut = np.searchsorted(at, begins)
-                ids = np.array(e.ids, np.uint32)
-                for k, p in enumerate(joined):
-                    self.known[p] = ids[cut[k] : cut[k + 1]]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out = []
-        for text in texts:
-            cut = self.pieces(text) if text else []
-            new = [p for p in dict.fromkeys(cut) if p not in self.known]
-            if new:
-                if len(self.known) > REMEMBERED:
-                    self.known.clear()
-                    new = list(dict.fromkeys(cut))
-                self._learn(new)
-            known = self.known
-            out.append(np.concatenate([*(known[p] for p in cut), np.array([END_ID], np.uint32)]))
-        return out
+        vocabulary = self.tokenizer.get_vocab()
+        self.size = max(vocabulary.values()) + 1
+        self.id_bytes = np.zeros(self.size, np.int64)
+        self.id_bytes[list(vocabulary.values())] = list(map(len, vocabulary))  # a byte-level piece has a character a byte
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slot_of: dict[bytes, int] = {}
+        self.ids, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
+
+    def _append(self, pieces: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """The pieces' ids, one after another, as the next slots."""
+        n = len(self.slot_of)
+        used = int(self.ends[n])
+        while used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n + len(pieces) >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ids[used : used + len(ids)] = ids
+        self.ends[n + 1 : n + 1 + len(pieces)] = used + np.cumsum(sizes)
+        self.slot_of.update(zip(pieces, range(n, n + len(pieces)), strict=True))
+
+    def _learn(self, new: list[bytes]) -> None:
+        joined = [p for p in new if p[:1] == b" "]
+        alone = [p for p in new if p[:1] != b" "]
+        for low in range(0, len(alone), 2000):
+            some = alone[low : low + 2000]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)]
+            self._append(some, np.array([i for x in found for i in x], np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
+        for low in range(0, len(joined), 2000):
+            some = joined[low : low + 2000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b"".join(some).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            bounds = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)))
+            cut = np.searchsorted(np.cumsum(self.id_bytes[ids]), bounds, side="right")
+            self._append(some, ids, np.diff(cut, prepend=0))
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with its end id; number of ids of each text)."""
+        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+        ends = np.cumsum(lengths)
+        data = b"".join(texts)
+        buf = np.frombuffer(data, np.uint8)
+        begin = np.zeros(len(buf), bool)
+        begin[:-1] = (buf[:-1] == 32) & VISIBLE_LEAD[buf[1:]]
+        begin[(ends - lengths)[lengths > 0]] = True
+        begins = np.flatnonzero(begin)
+        slots = np.zeros(len(begins), np.int64)
+        if len(begins):
+            offsets = pa.array(np.append(begins, len(data)), pa.int64())
+            cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, offsets.buffers()[1], pa.py_buffer(data)])
+            coded = cut.dictionary_encode()
+            distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            if len(self.slot_of) > REMEMBERED:
+                self._forget()
+            new = [p for p in distinct if p not in self.slot_of]
+            self._learn(new)
+            slots = np.fromiter(map(self.slot_of.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        sizes = self.ends[slots + 1] - self.ends[slots]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        flat = self.ids[np.repeat(self.ends[slots] - upto[:-1], sizes) + np.arange(upto[-1])]
+        cuts = upto[np.searchsorted(begins, ends, side="left")]  # ids before the end of each text
+        return np.insert(flat, cuts, END_ID), np.diff(cuts, prepend=0) + 1
 
 
 def tokenizer_for(path: str) -> PieceTokenizer:
@@ -188,30 +213,84 @@ class Codebook:
         return result
 
 
-def count_ids(df: DataFrame, tokenizer_path: str, text_col: str) -> DataFrame:
-    """(id, n): how often each id occurs, the end ids included."""
+BLOCKS = "part int, block int, doc_ids array<long>, n_tokens array<int>, payload binary, checkpoints array<int>"
+SCRATCH = "part int, block int, doc_ids array<long>, n_tokens array<int>, ids binary, width int"
+
+
+def _calls(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+    low, size = 0, 0
+    for i, text in enumerate(texts):
+        if i > low and size + len(text) > CALL_BYTES:
+            yield low, i
+            low, size = i, 0
+        size += len(text)
+    if low < len(texts):
+        yield low, len(texts)
+
+
+def token_blocks(rows: DataFrame, tokenizer_path: str) -> DataFrame:
+    """SCRATCH blocks of (doc_id, text) rows, in the rows' order within their partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer_for(tokenizer_path)
-        total = np.zeros(t.tokenizer.get_vocab_size(), np.int64)
+        kind = np.dtype("<u2" if t.size <= 1 << 16 else "<u4")
+        part, block = TaskContext.get().partitionId(), 0
+        doc_ids, sizes, made, held = [], [], [], 0
+
+        def emit() -> pa.RecordBatch:
+            nonlocal doc_ids, sizes, made, held, block
+            row = [[part], [block], [doc_ids], [sizes], [np.concatenate(made).tobytes()], [kind.itemsize]]
+            kinds = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.int32())
+            doc_ids, sizes, made, held, block = [], [], [], 0, block + 1
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds, strict=True)], ["part", "block", "doc_ids", "n_tokens", "ids", "width"])
+
         for batch in batches:
-            texts = [x or "" for x in batch.column(0).to_pylist()]
-            for low in range(0, len(texts), 500):
-                total += np.bincount(np.concatenate(t.encode(texts[low : low + 500])), minlength=len(total))
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], ["id", "n"])
+            keys, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
+            for low, high in _calls(texts):
+                ids, counts = t.encode(texts[low:high])
+                ids, at = ids.astype(kind), 0
+                for key, n in zip(keys[low:high], counts.tolist(), strict=True):
+                    doc_ids.append(key), sizes.append(n), made.append(ids[at : at + n])
+                    at, held = at + n, held + n
+                    if held >= BLOCK_TOKENS:
+                        yield emit()
+        if made:
+            yield emit()
 
-    return df.select(F.col(text_col).alias("text")).mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(run, SCRATCH)
 
 
-BLOCKS = "part int, block int, doc_ids array<long>, n_tokens array<int>, payload binary, checkpoints array<int>"
+def _ids_of(payload: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(payload, f"<u{width}")
+
+
+def count_ids(blocks: DataFrame) -> DataFrame:
+    """(id, n): how often each id occurs in SCRATCH blocks, the end ids included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for payload, width in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = np.bincount(_ids_of(payload, width), minlength=len(total))
+                found[: len(total)] += total
+                total = found
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], ["id", "n"])
+
+    return blocks.select("ids", "width").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_tokens(df: DataFrame, tokenizer_path: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None) -> str:
     """Encode every text and write the files; returns their path."""
     spark = df.sparkSession
     path = path or new_path(spark, "tokens")
-    counts = {r["id"]: r["n"] for r in count_ids(df, tokenizer_path, text_col).collect()}  # at most the vocabulary
+    scratch = new_path(spark, "token_blocks")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    token_blocks(ordered, tokenizer_path).write.option("compression", "zstd").parquet(scratch)
+    blocks = spark.read.schema(SCRATCH).parquet(scratch)
+    counts = {r["id"]: r["n"] for r in count_ids(blocks).collect()}  # at most the vocabulary
     dense = np.zeros(max(counts, default=0) + 1, np.int64)
     dense[list(counts)] = list(counts.values())
     lengths = code_lengths(dense)
@@ -219,32 +298,16 @@ def write_tokens(df: DataFrame, tokenizer_path: str, path: str | None = None, id
     shared = spark.sparkContext.broadcast(lengths)  # at most the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, book = tokenizer_for(tokenizer_path), Codebook(shared.value)
-        part, block = TaskContext.get().partitionId(), 0
-        doc_ids, made, size = [], [], 0
-
-        def emit() -> pa.RecordBatch:
-            nonlocal doc_ids, made, size, block
-            payload, checkpoints = book.encode(np.concatenate(made))
-            row = [[part], [block], [doc_ids], [[len(x) for x in made]], [payload], [checkpoints]]
-            kinds = (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int32()))
-            doc_ids, made, size, block = [], [], 0, block + 1
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds, strict=True)], ["part", "block", "doc_ids", "n_tokens", "payload", "checkpoints"])
-
+        book = Codebook(shared.value)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = t.encode([text or ""])[0]
-                doc_ids.append(doc_id), made.append(ids)
-                size += len(ids)
-                if size >= BLOCK_TOKENS:
-                    yield emit()
-        if made:
-            yield emit()
-
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                payload, checkpoints = book.encode(_ids_of(row.column(4)[0].as_py(), row.column(5)[0].as_py()))
+                made = [pa.array([payload], pa.binary()), pa.array([checkpoints], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*row.columns[:4], *made], ["part", "block", "doc_ids", "n_tokens", "payload", "checkpoints"])
+
+    blocks.mapInArrow(run, BLOCKS).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    drop_path(spark, scratch)
     return path
 
 
