@@ -36,8 +36,16 @@ END_ID = 0
 REMEMBERED = 1_000_000
 #: Bytes of text that are tokenized in one call; a longer text is a call of its own, never cut.
 CALL_BYTES = 4 << 20
-#: First bytes of characters that are never white space: visible ASCII, and U+00C0 to U+00FF.
-VISIBLE_LEAD = np.array([33 <= b <= 126 or b == 0xC3 for b in range(256)])
+#: Kinds of bytes. ACCENT begins U+00C0 to U+00FF; it and all kinds above begin characters that are never white space.
+SPACE, NEW_LINE, ACCENT, OTHER_VISIBLE, LETTER, MARK = 1, 2, 3, 4, 5, 6
+KIND = np.zeros(256, np.int8)
+KIND[33:127] = MARK
+KIND[[*range(65, 91), *range(97, 123)]] = LETTER
+KIND[[39, *range(48, 58)]] = OTHER_VISIBLE  # digits, and the apostrophe, which may begin a contraction
+KIND[32], KIND[10], KIND[0xC3] = SPACE, NEW_LINE, ACCENT
+VISIBLE = frozenset(bytes([b]) for b in np.flatnonzero(KIND >= ACCENT).tolist())
+#: Text after which a piece that begins with a visible character stands as at the start of a text.
+APART = b" a\n"
 
 _tokenizers: dict = {}
 
@@ -45,8 +53,8 @@ _tokenizers: dict = {}
 class PieceTokenizer:
     """The tokenizers library over the distinct pieces of many texts at once.
 
-    A byte-level pre-tokenizer always breaks before a space that a visible character follows, so text cut there gets the same ids
-    in pieces as in one. Pieces are found and made distinct as bytes, by numpy and Arrow; new ones are joined, encoded together
+    A byte-level pre-tokenizer always breaks before a space that a visible character follows, between an ASCII letter and a mark,
+    and after a single line end between visible characters, so text cut there gets the same ids in pieces as in one. Pieces are found and made distinct as bytes, by numpy and Arrow; new ones are joined, encoded together
     and told apart by the byte lengths of their ids. No loop runs over the places of pieces in the texts.
     """
 
@@ -79,18 +87,23 @@ class PieceTokenizer:
         self.slot_of.update(zip(pieces, range(n, n + len(pieces)), strict=True))
 
     def _learn(self, new: list[bytes]) -> None:
-        joined = [p for p in new if p[:1] == b" "]
-        alone = [p for p in new if p[:1] != b" "]
+        spaced = [p for p in new if p[0] == 32 and p[1:2] in VISIBLE]
+        bare = [p for p in new if p[:1] in VISIBLE]
+        alone = [p for p in new if p[:1] not in VISIBLE and (p[0] != 32 or p[1:2] not in VISIBLE)]
         for low in range(0, len(alone), 2000):
             some = alone[low : low + 2000]
             found = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False)]
             self._append(some, np.array([i for x in found for i in x], np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
-        for low in range(0, len(joined), 2000):
-            some = joined[low : low + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([b"".join(some).decode()], add_special_tokens=False)[0].ids, np.uint32)
-            bounds = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)))
-            cut = np.searchsorted(np.cumsum(self.id_bytes[ids]), bounds, side="right")
-            self._append(some, ids, np.diff(cut, prepend=0))
+        for pieces, before in ((spaced, b""), (bare, APART)):
+            for low in range(0, len(pieces), 2000):
+                some = pieces[low : low + 2000]
+                text = before + before.join(some)
+                ids = np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, np.uint32)
+                lengths = np.full(2 * len(some), len(before), np.int64)
+                lengths[1::2] = np.fromiter(map(len, some), np.int64, len(some))
+                sizes = np.diff(np.searchsorted(np.cumsum(self.id_bytes[ids]), np.cumsum(lengths), side="right"), prepend=0)
+                own = np.repeat(np.arange(len(sizes)) % 2 == 1, sizes)
+                self._append(some, ids[own], sizes[1::2])
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each with its end id; number of ids of each text)."""
@@ -99,7 +112,12 @@ class PieceTokenizer:
         data = b"".join(texts)
         buf = np.frombuffer(data, np.uint8)
         begin = np.zeros(len(buf), bool)
-        begin[:-1] = (buf[:-1] == 32) & VISIBLE_LEAD[buf[1:]]
+        if len(buf) > 1:
+            kind = KIND[buf]
+            here, follows = kind[:-1], kind[1:]
+            begin[:-1] = (here == SPACE) & (follows >= ACCENT)
+            begin[1:] |= (here == LETTER) & (follows == MARK)
+            begin[2:] |= (kind[:-2] >= OTHER_VISIBLE) & (here[1:] == NEW_LINE) & (follows[1:] >= ACCENT)
         begin[(ends - lengths)[lengths > 0]] = True
         begins = np.flatnonzero(begin)
         slots = np.zeros(len(begins), np.int64)

@@ -207,3 +207,15 @@ def test_pipeline(spark, sf_dir):
         assert out.columns == docs.columns and 0 < out.count() <= docs.count()
         docs = out
     assert corpus_pipeline.run(spark, sf_dir).count() == docs.count()
+
+
+def test_piece_tokenizer_equals_library():
+    import random
+
+    t, r = token_codec.PieceTokenizer(queries.tokenizer_file("byte_bpe_50k.json")), random.Random(5)
+    parts = ["a", "B", "s", " ", "  ", "\n", "\t", "\r", "'", "'s", ",", "***", "7", "é", "à", "日", "€", "😀", "́", "x y", "<|endoftext|>", "\x85", "½", "Ã "]
+    for _ in range(100):
+        texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(60)]
+        ids, n = t.encode([x.encode() for x in texts])
+        wanted = [[*t.tokenizer.encode(x, add_special_tokens=False).ids, 0] for x in texts]
+        assert n.tolist() == [len(x) for x in wanted] and ids.tolist() == [i for x in wanted for i in x]
