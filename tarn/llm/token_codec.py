@@ -26,16 +26,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.llm.common import drop_path, new_path
-from tarn.llm.tokens import as_bytes
 
 MAX_LENGTH = 18
 CHECK = 256
 BLOCK_TOKENS = 65_536
 END_ID = 0
 #: Pieces of text that a worker remembers the ids of (some 150 bytes each); a memory bound, results do not depend on it.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 #: Bytes of text that are tokenized in one call; a longer text is a call of its own, never cut.
-CALL_BYTES = 4 << 20
+CALL_BYTES = 1 << 20
 #: Kinds of bytes. ACCENT begins U+00C0 to U+00FF; it and all kinds above begin characters that are never white space.
 SPACE, NEW_LINE, ACCENT, OTHER_VISIBLE, LETTER, MARK = 1, 2, 3, 4, 5, 6
 KIND = np.zeros(256, np.int8)
@@ -50,6 +49,14 @@ APART = b" a\n"
 _tokenizers: dict = {}
 
 
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes of the texts one after another, the end of each text); a view, not a copy."""
+    texts = (texts.fill_null("") if texts.null_count else texts).cast(pa.large_binary())
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8))[at[0] : at[-1]], at[1:] - at[0]
+
+
 class PieceTokenizer:
     """The tokenizers library over the distinct pieces of many texts at once.
 
@@ -105,12 +112,10 @@ class PieceTokenizer:
                 own = np.repeat(np.arange(len(sizes)) % 2 == 1, sizes)
                 self._append(some, ids[own], sizes[1::2])
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, each with its end id; number of ids of each text)."""
-        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        ends = np.cumsum(lengths)
-        data = b"".join(texts)
-        buf = np.frombuffer(data, np.uint8)
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each with its end id; number of ids of each text); null is empty. Texts are read in place."""
+        buf, ends = _bytes_of(texts)
+        lengths = np.diff(ends, prepend=0)
         begin = np.zeros(len(buf), bool)
         if len(buf) > 1:
             kind = KIND[buf]
@@ -122,8 +127,8 @@ class PieceTokenizer:
         begins = np.flatnonzero(begin)
         slots = np.zeros(len(begins), np.int64)
         if len(begins):
-            offsets = pa.array(np.append(begins, len(data)), pa.int64())
-            cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, offsets.buffers()[1], pa.py_buffer(data)])
+            offsets = pa.array(np.append(begins, len(buf)), pa.int64())
+            cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, offsets.buffers()[1], pa.py_buffer(buf)])
             coded = cut.dictionary_encode()
             distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
             if len(self.slot_of) > REMEMBERED:
@@ -235,15 +240,13 @@ BLOCKS = "part int, block int, doc_ids array<long>, n_tokens array<int>, payload
 SCRATCH = "part int, block int, doc_ids array<long>, n_tokens array<int>, ids binary, width int"
 
 
-def _calls(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    low, size = 0, 0
-    for i, text in enumerate(texts):
-        if i > low and size + len(text) > CALL_BYTES:
-            yield low, i
-            low, size = i, 0
-        size += len(text)
-    if low < len(texts):
-        yield low, len(texts)
+def _calls(ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    low = 0
+    while low < len(ends):
+        before = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + CALL_BYTES, side="right")))
+        yield low, high
+        low = high
 
 
 def token_blocks(rows: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -263,9 +266,9 @@ def token_blocks(rows: DataFrame, tokenizer_path: str) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(row, kinds, strict=True)], ["part", "block", "doc_ids", "n_tokens", "ids", "width"])
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
-            for low, high in _calls(texts):
-                ids, counts = t.encode(texts[low:high])
+            keys, texts = batch.column(0).to_pylist(), batch.column(1)
+            for low, high in _calls(_bytes_of(texts)[1]):
+                ids, counts = t.encode(texts.slice(low, high - low))
                 ids, at = ids.astype(kind), 0
                 for key, n in zip(keys[low:high], counts.tolist(), strict=True):
                     doc_ids.append(key), sizes.append(n), made.append(ids[at : at + n])

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,6 +217,6 @@ def test_piece_tokenizer_equals_library():
     parts = ["a", "B", "s", " ", "  ", "\n", "\t", "\r", "'", "'s", ",", "***", "7", "é", "à", "日", "€", "😀", "́", "x y", "<|endoftext|>", "\x85", "½", "Ã "]
     for _ in range(100):
         texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(60)]
-        ids, n = t.encode([x.encode() for x in texts])
+        ids, n = t.encode(pa.array(texts, pa.string()))
         wanted = [[*t.tokenizer.encode(x, add_special_tokens=False).ids, 0] for x in texts]
         assert n.tolist() == [len(x) for x in wanted] and ids.tolist() == [i for x in wanted for i in x]
