@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.common import HOT_PARTS, bitmap_of, components, hot_lookup, in_bitmap, stored
-from tarn.llm.tokens import as_bytes, chunks, mix, words
+from tarn.llm.tokens import as_bytes, chunks, mix, slices, words
 
 SHINGLE = 5
 SMALL = 96
@@ -90,7 +90,7 @@ def signatures(df: DataFrame, runs: int, id_col: str, text_col: str) -> DataFram
         rng = np.random.default_rng(4242)
         odd = rng.integers(1, 2**63, runs + SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         add = rng.integers(1, 2**63, runs + SKETCH, dtype=np.uint64)
-        for batch in batches:
+        for batch in slices(batches):
             sid, n, keys, sketch = [], [], [], []
             texts = as_bytes(batch.column(1))
             for low, high in chunks(texts):
@@ -160,7 +160,7 @@ def _children(row: tuple) -> Iterator[tuple]:
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for batch in batches:
+    for batch in slices(batches):
         yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
@@ -347,7 +347,7 @@ def _verify_blocks(threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for batch in batches:
+        for batch in slices(batches):
             columns = [c.to_pylist() for c in batch.columns[:-1]] + [as_bytes(batch.column(batch.num_columns - 1))]
             for row in zip(*columns, strict=True):
                 if held and row[0] != held[0][0]:
@@ -394,7 +394,7 @@ def _verify(threshold: float):
         held: list[tuple] = []
         out: list[tuple] = []
 
-        for batch in batches:
+        for batch in slices(batches):
             columns = [c.to_pylist() for c in batch.columns[:4]] + [as_bytes(batch.column(4))]
             for row in zip(*columns, strict=True):
                 if held and row[0] != held[0][0]:

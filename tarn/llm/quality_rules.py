@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tarn.llm.tokens import as_bytes
+from tarn.llm.tokens import as_bytes, slices
 
 SYMBOLS = b"#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks", "n_pipes")
@@ -99,7 +99,7 @@ def measurements(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             made = list(map(_measure, as_bytes(batch.column(1))))
             columns = zip(*made, strict=True) if made else [()] * len(MEASURES)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], ["doc_id", *MEASURES])
@@ -143,7 +143,7 @@ def keep_rows(df: DataFrame, policy: Policy = STANDARD, id_col: str = "doc_id",
     at = names.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             made = list(map(_measure, as_bytes(batch.column(at))))
             columns = list(zip(*made, strict=True)) if made else [()] * len(MEASURES)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in columns)], [*names, *(f"_q_{m}" for m in MEASURES)])

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Bytes of text in one kernel call; a longer text is a call of its own, never cut.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Words are runs of digits, a-z and anything beyond ASCII, after lower-casing A-Z.
 WORD = np.array([48 <= c <= 57 or 97 <= c <= 122 or c >= 128 for c in range(256)])
@@ -82,6 +82,13 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield low, len(texts)
 
 
+def slices(batches: Iterator, rows: int = 512) -> Iterator:
+    """The batches in views of a few rows, so that only those become Python objects at a time."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def as_bytes(column) -> list[bytes]:
     """An Arrow string column as UTF-8; null is empty."""
     import pyarrow as pa
