@@ -272,3 +272,70 @@ def slice_lines(text: Column, low: Column, high: Column) -> Column:
 
 def line_count(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit("[^\n]*\n|[^\n]+\\z"), 0))
+
+
+def _strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
+
+
+def front_matter_value(text: Column, key: str) -> Column:
+    """A key of the front matter with its continuation lines joined by blanks; null without the key or a closed front matter."""
+    front = F.regexp_extract(text, r"(?s)\A---\n(.*?)\n---", 1)
+    more = r"(?:\n(?![^\s:][^:\n]*:)(?!\s*(?:\n|\z))[^\n]*)*"
+    found = F.get(F.regexp_extract_all(front, F.lit(rf"(?:\A|\n){key}:([^\n]*{more})"), 1), 0)
+    return F.array_join(F.transform(F.split(found, "\n"), _strip), " ")
+
+
+#: Keys of a tool call that hold a path, and those that hold several.
+PATH_KEYS = ("file_path", "filePath", "notebook_path", "notebookPath", "path")
+PATH_LISTS = ("file_paths", "paths")
+#: Headers of a patch that name a path, at the start of a line.
+PATCH_HEADERS = ("*** Add File: ", "*** Update File: ", "*** Delete File: ", "*** Move to: ")
+
+
+def patch_paths(command: Column) -> Column:
+    """The paths that the headers of a patch name, in order; a header after a blank is quoted text."""
+    heads = "|".join(h.replace("*", r"\*") for h in PATCH_HEADERS)
+    found = F.regexp_extract_all(command, F.lit(rf"(?m)^(?:{heads})([^\n]*)"), 1)
+    return F.filter(F.transform(found, _strip), lambda x: x != "")
+
+
+def candidate_paths(payload: Column) -> Column:
+    """Every path that a tool call (JSON) is about to write, in order; remote tools write none. Other than text is skipped."""
+    call = F.try_parse_json(payload)
+
+    def text_at(v: Column, path: str) -> Column:
+        return F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.try_variant_get(v, path, "string"))
+
+    def many(path: str) -> Column:
+        return F.coalesce(F.try_variant_get(call, path, "array<variant>"), F.expr("cast(array() as array<variant>)"))
+
+    of_keys = lambda v, at: [text_at(v, f"{at}.{k}") for k in PATH_KEYS]
+    edits = F.flatten(F.transform(many("$.tool_input.edits"), lambda e: F.array(*of_keys(e, "$"))))
+    lists = [F.transform(many(f"$.tool_input.{k}"), lambda e: text_at(e, "$")) for k in PATH_LISTS]
+    none = F.expr("cast(array() as array<string>)")
+    patch = F.coalesce(patch_paths(text_at(call, "$.tool_input.command")), none)
+    found = F.concat(F.array(*of_keys(call, "$.tool_input")), edits, *lists, patch)
+    named = F.filter(found, lambda x: x.isNotNull() & (_strip(x) != ""))
+    return F.when(F.coalesce(F.startswith(text_at(call, "$.tool_name"), F.lit("mcp__")), F.lit(False)), none).otherwise(F.coalesce(named, none))
+
+
+def percent_decode(c: Column) -> Column:
+    """+ is a blank; a % without two hex digits is itself."""
+    return F.url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def parse_callback(line: Column) -> Column:
+    """struct(code, state, problem) of a request line `GET /callback?...`; of a repeated key the last value counts."""
+    target = F.get(F.regexp_extract_all(line, F.lit(r"(?U)\S+"), 0), 1)
+    pairs = F.split(F.substring(target, len("/callback?") + 1, 1 << 30), "&")
+
+    def last(key: str) -> Column:
+        own = F.filter(pairs, lambda p: F.substring_index(p, "=", 1) == key)
+        return percent_decode(F.try_element_at(F.transform(own, lambda p: F.regexp_extract(p, r"(?s)^[^=]*=(.*)\z", 1)), F.lit(-1)))
+
+    problem = (
+        F.when(target.isNull(), "malformed").when(~F.startswith(target, F.lit("/callback?")), "unexpected_path").when(last("error").isNotNull(), "refused")
+        .when(last("code").isNull(), "no_code").when(last("state").isNull(), "no_state")
+    )
+    return F.struct(F.when(problem.isNull(), last("code")).alias("code"), F.when(problem.isNull(), last("state")).alias("state"), problem.alias("problem"))

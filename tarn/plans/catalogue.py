@@ -508,6 +508,35 @@ def highlight_runs(s, d):
     return rows.select("id", F.col("r.text").alias("texts"), F.col("r.hit").alias("hits"))
 
 
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_brand || ' ' || p_type || ' more' END AS value FROM part")
+def front_matter(s, d):
+    head = F.concat(F.lit("---\nname: x\ndescription: "), "p_brand", F.lit("\n  "), "p_type", F.lit("\nmore\nwhen: y\n"))
+    text = F.when(F.col("p_partkey") % 3 == 0, head).otherwise(F.concat(head, F.lit("---\nbody description: no\n---\n")))
+    return tables.table(s, d, "part").select(F.col("p_partkey").alias("id"), rules.front_matter_value(text, "description").alias("value"))
+
+
+@query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN CAST([] AS VARCHAR[]) ELSE ['a/' || s_suppkey, 'e.md', 'l.md', s_name, 'to.md'] END AS paths FROM supplier")
+def tool_paths(s, d):
+    tool = F.when(F.col("s_suppkey") % 4 == 0, "mcp__x__write").otherwise("Write")
+    command = F.concat(F.lit("x\n*** Add File: "), "s_name", F.lit("\n *** Update File: quoted\n*** Delete File:  \n*** Move to: to.md \n"))
+    edit, blank = F.struct(F.lit("e.md").alias("file_path")), F.lit(" ").alias("path")
+    given = F.struct(F.concat(F.lit("a/"), F.col("s_suppkey").cast("string")).alias("file_path"), blank, F.array(edit).alias("edits"), F.array(F.lit("l.md")).alias("paths"), command.alias("command"))
+    payload = F.to_json(F.struct(tool.alias("tool_name"), given.alias("tool_input")))
+    return tables.table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), rules.candidate_paths(payload).alias("paths"))
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey % 6 = 5 THEN replace(p_brand, '#', ' ') || '%zA' END AS code, CASE WHEN p_partkey % 6 = 5 THEN '' END AS state,
+    CASE p_partkey % 6 WHEN 0 THEN 'malformed' WHEN 1 THEN 'unexpected_path' WHEN 2 THEN 'refused' WHEN 3 THEN 'no_code' WHEN 4 THEN 'no_state' END AS problem FROM part""")
+def callbacks(s, d):
+    k, code = F.col("p_partkey") % 6, F.concat(F.lit("code=old&code="), F.replace(F.col("p_brand"), F.lit("#"), F.lit("+")), F.lit("%zA"))
+    line = (
+        F.when(k == 0, "GET").when(k == 1, "GET /other?code=1").when(k == 2, F.concat(F.lit("GET /callback?error=x&"), code, F.lit("&state=1"))).when(k == 3, "GET /callback?state=1")
+        .when(k == 4, F.concat(F.lit("GET /callback?"), code)).otherwise(F.concat(F.lit("GET /callback?"), code, F.lit("&state HTTP/1.1")))
+    )
+    r = rules.parse_callback(line)
+    return tables.table(s, d, "part").select(F.col("p_partkey").alias("id"), r["code"].alias("code"), r["state"].alias("state"), r["problem"].alias("problem"))
+
+
 @query()
 def markdown_tasks(s, d):
     """Every line of the documents as a checkbox of some kind."""

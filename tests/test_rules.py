@@ -79,3 +79,24 @@ def test_tasks():
     rows = tasks.parse_tasks(text)
     assert [(r["line"], r["parent"], r["category"], r["text"], r["task_id"], r["dates"], r["is_task"]) for r in rows] == [(4, None, "in_progress", "do", "t-1", ["due=2026-01-02"], False), (5, 0, "open", "child", None, [], False)]
     assert tasks.fnv1a(b"a") == 0xE40C292C
+
+
+def test_front_matter(spark):
+    texts = ["---\ndescription: a\n  b\nwhen: c\n---\n", "---\ndescription: a\n\n  b\n---", "---\nname: a\n---\ndescription: x", "description: a", "---\ndescription:\n b\n:c\n---"]
+    assert values(spark, texts, lambda c: rules.front_matter_value(c, "description")) == ["a b", "a", None, None, " b :c"]
+
+
+def test_tool_paths(spark):
+    calls = [
+        '{"tool_name": "Write", "tool_input": {"path": " a ", "file_path": 3, "edits": [{"filePath": "b"}, 4], "paths": ["c", 5, ""]}}',
+        '{"tool_name": "mcp__x__y", "tool_input": {"path": "a"}}',
+        '{"tool_input": {"command": "*** Move to: x \\r\\n *** Add File: no\\n*** Add File: y z\\n*** Delete File: "}}',
+        '{"tool_name": "Write"}', "not json", None,
+    ]
+    assert values(spark, calls, rules.candidate_paths) == [[" a ", "b", "c"], [], ["x", "y z"], [], [], []]
+
+
+def test_callbacks(spark):
+    lines = ["GET /callback?code=a%20b+c%2&state=%D0%BC HTTP/1.1", "GET", "GET /x?code=1", "GET /callback?error=no&code=1&state=2", "GET /callback?state=2", "GET /callback?code=1&code=2&state"]
+    got = [(r["code"], r["state"], r["problem"]) for r in values(spark, lines, rules.parse_callback)]
+    assert got == [("a b c%2", "м", None), (None, None, "malformed"), (None, None, "unexpected_path"), (None, None, "refused"), (None, None, "no_code"), ("2", "", None)]
