@@ -3,8 +3,8 @@
 Dynamic programming over the global histogram of lengths chooses bucket upper bounds that minimise padding; inside each
 bucket, rows in key-hash order form batches whose padded size stays within the token budget.
 
-The driver gets the histogram only. It has at most `max_cells` rows: while there are more distinct lengths, lengths are
-rounded up to a multiple of a power of two, so bounds are exact up to `max_cells` distinct lengths and within that multiple beyond.
+The driver gets the exact histogram only: one row a distinct length, and since distinct lengths add up to at most all
+words, their number grows with the square root of the input's words at most. Bounds are optimal at any number of them.
 
 Defined cases: a null or empty text has length 0 and is packed like any other; a row longer than the budget is a batch of
 its own, marked over_budget; repeated and null keys are rows like others; an empty table gives an empty result.
@@ -31,16 +31,27 @@ def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> lis
     n = len(lengths)
     if n == 0:
         return []
-    number, tokens = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(counts * lengths)])
-    # padding of cells i .. j-1 in one bucket is lengths[j-1] * rows - tokens
-    best = np.concatenate([[0], lengths * number[1:] - tokens[1:]]).astype(np.float64)
-    choice = [np.zeros(n + 1, np.int64)]
+    number, tokens, sizes = [0, *np.cumsum(counts).tolist()], [0, *np.cumsum(counts * lengths).tolist()], lengths.tolist()
+    # padding of cells i .. j-1 in one bucket is sizes[j-1] * (number[j] - number[i]) - (tokens[j] - tokens[i]): for fixed i a
+    # line in sizes[j-1] of slope -number[i], so a lower hull of lines gives the best i in O(n) a bucket, the least i of equals
+    best = [0, *(x * k - t for x, k, t in zip(sizes, number[1:], tokens[1:], strict=True))]
+    choice = [[0] * (n + 1)]
     for _ in range(1, min(buckets, n)):
-        now, back = best.copy(), np.zeros(n + 1, np.int64)
+        now, back = [0] * (n + 1), [0] * (n + 1)
+        hull, first = [], 0
         for j in range(1, n + 1):
-            cost = best[:j] + lengths[j - 1] * (number[j] - number[:j]) - (tokens[j] - tokens[:j])
-            back[j] = int(np.argmin(cost))
-            now[j] = cost[back[j]]
+            i, c = j - 1, best[j - 1] + tokens[j - 1]
+            while len(hull) - first >= 2:
+                (h, b), (g, a) = hull[-1], hull[-2]
+                if (c - a) * (number[h] - number[g]) > (b - a) * (number[i] - number[g]):
+                    break
+                hull.pop()
+            hull.append((i, c))
+            x = sizes[j - 1]
+            while first + 1 < len(hull) and hull[first + 1][1] - x * number[hull[first + 1][0]] < hull[first][1] - x * number[hull[first][0]]:
+                first += 1
+            i, c = hull[first]
+            now[j], back[j] = c - x * number[i] + x * number[j] - tokens[j], i
         best = now
         choice.append(back)
     bounds, j = [], n
@@ -52,14 +63,9 @@ def optimal_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> lis
     return bounds[::-1]
 
 
-def histogram(rows: DataFrame, max_cells: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ascending lengths and their row counts, at most max_cells of them."""
-    counted = stored(rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")), "lengths")
-    distinct, longest = counted.agg(F.count(F.lit(1)), F.max("length")).first()
-    step = 1
-    while distinct > max_cells and (longest or 0) / step > max_cells - 1:
-        step *= 2
-    cells = counted.groupBy((F.ceil(F.col("length") / step) * step).alias("length")).agg(F.sum("n").alias("n")).orderBy("length").collect()
+def histogram(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending lengths and their row counts."""
+    cells = sorted(rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect())
     return np.array([r[0] for r in cells], np.int64), np.array([r[1] for r in cells], np.int64)
 
 
@@ -69,13 +75,13 @@ def lengths_of(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", l
     return stored(df.select(F.col(key_col).cast("long").alias("key"), measured.alias("length")), "packing")
 
 
-def pack(rows: DataFrame, budget: int = 8192, buckets: int = 16, max_cells: int = 2048) -> DataFrame:
+def pack(rows: DataFrame, budget: int = 8192, buckets: int = 16) -> DataFrame:
     """(key, length, bucket, bucket_length, batch, slot, padding, over_budget) for rows(key, length).
 
     Ranks inside a bucket come from a window over cells of about CELL_ROWS rows by key hash plus each cell's offset, so no
     task holds a bucket; all batches of a bucket but its last are full.
     """
-    lengths, counts = histogram(rows, max_cells)
+    lengths, counts = histogram(rows)
     bounds = optimal_bounds(lengths, counts, buckets)
     if not bounds:
         bounds = [0]

@@ -78,6 +78,15 @@ def test_packing(docs, empty):
     assert packing.pack(packing.lengths_of(empty)).count() == 0
 
 
+def test_packing_is_optimal_with_many_lengths_and_an_outlier(spark):
+    lengths = np.array([*range(1, 2101), 200_000])
+    rows = spark.range(1, 2102).selectExpr("id as key", "if(id = 2101, 200000L, id) as length")
+    got = packing.pack(rows, budget=8192, buckets=4).agg(F.sum("padding"), F.countDistinct("bucket")).first()
+    # the outlier alone; 2100 lengths in three buckets of 700, each with padding 0 + 1 + ... + 699
+    assert tuple(got) == (3 * 700 * 699 // 2, 4)
+    assert packing.optimal_bounds(lengths, np.ones(2101, np.int64), 4) == [700, 1400, 2100, 200_000]
+
+
 def brute_links(rows):
     sets = [set(s.tolist()) for s in ngram_join.shingle_sets([(t or "").encode() for _, t in rows])]
     links = [0] * len(rows)
