@@ -2,7 +2,7 @@
 
 Index: the words of all templates, each with its inverse document frequency over templates and its postings (template,
 position). A scan looks up the words of a file that are in the index, keeps for each template the postings of its rare
-words (highest IDF; at least SEEDS of them must occur), and intersects them by relative position: file position minus template position is the same for words
+words (highest IDF; at least SEEDS of them must occur, or all if it has fewer), and intersects them by relative position: file position minus template position is the same for words
 of one copy. The best-supported alignment is scored over the whole template; a label needs a score of `least` and every
 mandatory key phrase of the template, found as consecutive words. Plain base phrases give labels of their own.
 
@@ -27,10 +27,13 @@ from tarn.llm.tokens import as_bytes, chunks, words
 #: Rare words of a template that a file must hold before its postings are intersected.
 SEEDS = 3
 
+#: Alignments scored at once.
+ALIGNMENTS = 4096
+
 #: Base phrases and their labels.
 BASE_PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Label, words of the template, mandatory key phrases.
+#: Label, words of the template, mandatory key phrases; bodies first, then one-line notices.
 TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", ("permission is hereby granted free of charge",)),
     ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", ("apache license",)),
@@ -42,6 +45,19 @@ TEMPLATES = (
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution",)),
     ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("related or neighboring rights",)),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("released into the public domain",)),
+    ("mit", "released under the mit license", ("mit license",)),
+    ("apache-2.0", "licensed under the apache license version 2 0", ("apache license version 2 0",)),
+    ("apache-2.0", "licensed under the apache license 2 0", ("apache license 2 0",)),
+    ("bsd", "released under the bsd license", ("bsd license",)),
+    ("bsd", "licensed under the bsd 2 clause license", ("bsd 2 clause",)),
+    ("bsd", "licensed under the bsd 3 clause license", ("bsd 3 clause",)),
+    ("gpl", "gnu general public license version", ("gnu general public license",)),
+    ("lgpl", "gnu lesser general public license version", ("gnu lesser general public license",)),
+    ("mpl-2.0", "licensed under the mozilla public license version 2 0", ("mozilla public license version 2 0",)),
+    ("mpl-2.0", "licensed under the mozilla public license 2 0", ("mozilla public license 2 0",)),
+    ("isc", "released under the isc license", ("isc license",)),
+    ("cc0", "released under cc0 1 0", ("cc0 1 0",)),
+    ("unlicense", "released under the unlicense", ("the unlicense",)),
 )
 
 
@@ -98,13 +114,11 @@ def _template_score(ids: np.ndarray, template: tuple, where: dict[int, np.ndarra
     if not votes:
         return 0.0
     shift, n = np.unique(np.concatenate(votes), return_counts=True)
-    best = 0.0
-    for s in shift[n == n.max()]:
-        at = np.arange(len(wanted)) + s
-        inside = (at >= 0) & (at < len(ids))
-        same = np.zeros(len(wanted), bool)
-        same[inside] = ids[at[inside]] == wanted[inside]
-        best = max(best, float(weight[same].sum() / weight.sum()))
+    best, shift = 0.0, shift[n == n.max()]
+    for low in range(0, len(shift), ALIGNMENTS):
+        at = shift[low : low + ALIGNMENTS, None] + np.arange(len(wanted))
+        same = (at >= 0) & (at < len(ids)) & (ids[np.clip(at, 0, len(ids) - 1)] == wanted)
+        best = max(best, float((same @ weight).max() / weight.sum()))
     return best
 
 
@@ -124,7 +138,7 @@ def scan_text(ids: np.ndarray, index: Index, least: float) -> tuple:
     labels, score = set(base), 1.0 if base else 0.0
     for template in index.templates:
         rare = [w for w in template[3] if present[w]]
-        if len(rare) < SEEDS:
+        if len(rare) < min(SEEDS, len(template[3])):
             continue
         where = {w: known[numbers == w] for w in rare}
         s = _template_score(ids, template, where)

@@ -129,6 +129,18 @@ def test_license_scan(spark, docs, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_license_scan_labels_one_line_notices(spark):
+    filler = " ".join(f"word{i} the under" for i in range(3000))
+    notices = [
+        ("Released under the MIT License.", "mit"), ("Licensed under the MIT License.", "mit"), ("Licensed under the Apache License, Version 2.0.", "apache-2.0"),
+        ("Licensed under the Apache License 2.0", "apache-2.0"), ("Licensed under the BSD 3-Clause License.", "bsd"), ("Licensed under the Mozilla Public License, version 2.0.", "mpl-2.0"),
+        ("Licensed under the Apache License, Version 1.1.", ""), ("Released under the terms of the license.", ""), ("The MIT campus; a license to drive.", ""), ("GNU General Public License, version 3.", "gpl"), ("GNU Lesser General Public License, version 3", "gpl,lgpl"),
+    ]
+    rows = [(i, text) for i, (t, _) in enumerate(notices) for text in (t, f"{filler}\n{t}\n{filler}")]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r["doc_id"], r["labels"]) for r in sorted(got, key=lambda r: r["doc_id"])] == [(i, notices[i][1]) for i, _ in rows]
+
+
 def test_quality_rules(docs, empty):
     rows = {r["doc_id"]: r for r in quality_rules.apply_policy(quality_rules.ledger(docs)).collect()}
     assert (rows[8]["n_words"], rows[8]["n_repeat_words"], rows[8]["kept"]) == (30_000, 30_000, False)
