@@ -1,11 +1,12 @@
 """Personal data: base patterns, and a character-level bidirectional LSTM with CRF transitions trained in numpy.
 
 The model is trained once a driver process on TRAIN_WINDOWS synthetic windows with labelled spans (a documented bound; the
-labels come from the generator, no row of the corpus is used). Every kind it knows holds a digit or an @, so the windows to
-decode are all windows of WINDOW characters (start STRIDE apart, so each place is in two) that hold one; the rest of the text
-cannot hold a span. Windows are decoded by Viterbi over the CRF, and their spans are reconciled over the whole text: a span
-cut by a window's edge gives way to the neighbour's whole span; of overlapping spans the one decoded nearer a window's middle
-stays. Base spans always stay; a model span is added only if it overlaps none of them and is well-formed for its kind.
+labels come from the generator, no row of the corpus is used). Every kind it knows holds a digit or an @, or is a run of
+token characters as long as a secret, so the windows to decode are all windows of WINDOW characters (start STRIDE apart, so
+each place is in two) that hold one; the rest of the text cannot hold a span. Windows are decoded by Viterbi over the CRF, and
+their spans are reconciled over the whole text: a span cut by a window's edge gives way to a neighbour's whole span; cut
+pieces of one kind that overlap or touch are joined, and a cut secret goes on to the end of its run of token characters, so
+spans of any length come out whole (so does a secret of which the model found a part as long as one); of overlapping spans the one decoded nearer a window's middle stays. Base spans always stay; a model span is added only if it overlaps none of them and is well-formed for its kind.
 
 Defined cases: a null or empty text has no spans; ids are passed through, null and repeated ones too; other columns are
 ignored; offsets are code points, end exclusive.
@@ -35,7 +36,11 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
+#: Characters of secrets, and their least length.
+TOKEN, SECRET = "A-Za-z0-9_-", 20
+_TRIGGER = re.compile(rf"[{TOKEN}]{{{SECRET},}}|[0-9@]")
+_RUN, _ONE = re.compile(rf"[{TOKEN}]+"), re.compile(rf"[{TOKEN}]")
+_PREFIX = re.compile(r"sk-|ghp_|AKIA")
 
 
 def luhn(digits: str) -> bool:
@@ -296,14 +301,11 @@ def model_from(p: dict) -> Model:
 
 
 def window_starts(text: str) -> list[int]:
-    """Starts of all windows that hold a digit or an @."""
+    """Starts of all windows that hold a digit, an @ or part of a run of token characters as long as a secret."""
     starts: set[int] = set()
     for m in _TRIGGER.finditer(text):
-        k = m.start() // STRIDE
-        starts.add(k * STRIDE)
-        if k:
-            starts.add((k - 1) * STRIDE)
-    return sorted(starts)
+        starts.update(range(max(0, m.start() // STRIDE - 1), (m.end() - 1) // STRIDE + 1))
+    return [k * STRIDE for k in sorted(starts)]
 
 
 def _spans_of(tags: np.ndarray) -> list[tuple[int, int, int]]:
@@ -334,16 +336,44 @@ def well_formed(text: str, kind: int, start: int, end: int) -> bool:
         return 13 <= len(d) <= 19 and luhn(d) and bool(re.fullmatch(r"[0-9]+([ .-]?[0-9]+)*", s))
     if kind == 3:
         return 10 <= len(d) <= 15 and bool(re.fullmatch(r"[+(]?[0-9][ ().0-9-]*[0-9]", s)) and bool(re.search(r"[ ().-]", s)) and not re.fullmatch(r"[0-9]+(\.[0-9]+){3,}", s)
-    return len(s) >= 20 and len(d) >= 3 and bool(re.fullmatch(r"[A-Za-z0-9_-]+", s)) and bool(re.search(r"[A-Za-z]", s))
+    # a word of few digits is a secret only with a known prefix, or with capitals or digits amid its letters
+    odd = len(d) >= 3 or _PREFIX.match(s) or re.search(r"[a-z][A-Z]|[A-Za-z][0-9][A-Za-z]", s)
+    return len(s) >= SECRET and bool(odd) and bool(re.fullmatch(rf"[{TOKEN}]+", s)) and bool(re.search(r"[A-Za-z]", s))
+
+
+def _joined(text: str, pieces: list[tuple[int, int, int, bool, bool]]) -> list[tuple[int, int, int]]:
+    """Spans of cut pieces (start, kind, end, open on the left, on the right): those of one kind that overlap or touch are one span."""
+    out: list[list[int]] = []
+    for kind in range(len(KINDS)):
+        for s, _, e, left, right in sorted(p for p in pieces if p[1] == kind):
+            done = out[-1][2] if out and out[-1][1] == kind else 0
+            while kind == 4 and left and s > done and _ONE.match(text[s - 1]):
+                s -= 1
+            if kind == 4 and right and e > done and (run := _RUN.match(text, e)):
+                e = run.end()
+            if out and out[-1][1] == kind and s <= out[-1][2]:
+                out[-1][2] = max(out[-1][2], e)
+            else:
+                out.append([s, kind, e])
+    return [(s, kind, e) for s, kind, e in out]
 
 
 def reconcile(text: str, base: list[tuple[int, int, int]], windows: list[tuple[int, list[tuple[int, int, int]]]]) -> list[tuple[int, int, int]]:
     """Base spans and the model spans added to them, in order. windows: start, and spans inside."""
-    found = []
+    found, pieces = [], []
     for begin, spans in windows:
         for s, kind, e in spans:
-            cut = (s == 0 and begin > 0) or (e == WINDOW and begin + e < len(text))
-            found.append((cut, abs(begin + WINDOW // 2 - (begin + s + begin + e) // 2), begin + s, kind, min(begin + e, len(text))))
+            left, right = s == 0 and begin > 0, e == WINDOW and begin + e < len(text)
+            if kind == 4 and e - s >= SECRET:  # as long as a secret, and yet only a part of its word
+                left |= begin + s > 0 and text[begin + s - 1 : begin + s + 1].isalnum()
+                right |= text[begin + e - 1 : begin + e + 1].isalnum() and begin + e < len(text)
+            if left or right:
+                a, b = begin + s, min(begin + e, len(text))
+                # a secret's piece that runs past its word is cut down to its words
+                runs = [(a + r.start(), a + r.end()) for r in _RUN.finditer(text[a:b])] if kind == 4 else [(a, b)]
+                pieces += [(x, kind, y, left and x == a, right and y == b) for x, y in runs]
+            found.append((2 if left or right else 0, abs(begin + WINDOW // 2 - (begin + s + begin + e) // 2), begin + s, kind, min(begin + e, len(text))))
+    found += [(1, 0, *span) for span in _joined(text, pieces)]
     taken = [(s, e) for s, _, e in base]
     added = []
     for _, _, s, kind, e in sorted(found):
