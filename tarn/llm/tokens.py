@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 
 #: Bytes of text in one kernel call; a longer text is a call of its own, never cut.
 CHUNK_BYTES = 1_000_000
@@ -91,6 +93,74 @@ def slices(batches: Iterator, rows: int = 512) -> Iterator:
 
 def as_bytes(column) -> list[bytes]:
     """An Arrow string column as UTF-8; null is empty."""
-    import pyarrow as pa
-
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes of the texts one after another, the end of each text); a view, not a copy. Null is empty."""
+    texts = (texts.fill_null("") if texts.null_count else texts).cast(pa.large_binary())
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8))[at[0] : at[-1]], at[1:] - at[0]
+
+
+def calls(ends: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts, given their ends, of about `size` bytes together; a longer text is a range of its own."""
+    low = 0
+    while low < len(ends):
+        before = ends[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield low, high
+        low = high
+
+
+def pieces_between(buf: np.ndarray, begins: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """(distinct pieces, number of each piece) of bytes cut at `begins`; the first begin is 0."""
+    offsets = pa.array(np.append(begins, len(buf)), pa.int64())
+    cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, offsets.buffers()[1], pa.py_buffer(buf)])
+    coded = cut.dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+
+
+class Slots:
+    """The ids of remembered byte strings, which stand in numbered slots of one flat array. `limit` bounds the memory: with more
+    strings than that all are forgotten, and learnt again where they occur."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.slot_of: dict[bytes, int] = {}
+        self.ids, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
+
+    def append(self, strings: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """The strings' ids, one after another, as the next slots."""
+        n = len(self.slot_of)
+        used = int(self.ends[n])
+        while used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while n + len(strings) >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ids[used : used + len(ids)] = ids
+        self.ends[n + 1 : n + 1 + len(strings)] = used + np.cumsum(sizes)
+        self.slot_of.update(zip(strings, range(n, n + len(strings)), strict=True))
+
+    def slots(self, distinct: list[bytes], learn: Callable[[list[bytes]], None]) -> np.ndarray:
+        """The slot of each string; `learn` appends those that are new."""
+        if len(self.slot_of) > self.limit:
+            self.clear()
+        found = np.fromiter(map(self.slot_of.get, distinct, repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new = [distinct[i] for i in missing.tolist()]
+            learn(new)
+            found[missing] = np.fromiter(map(self.slot_of.__getitem__, new), np.int64, len(new))
+        return found
+
+    def gathered(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the slots one after another, how many ids stand before each slot and at the end)."""
+        begin = self.ends[slots]
+        sizes = self.ends[slots + 1] - begin
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        return self.ids[np.repeat(begin - upto[:-1], sizes) + np.arange(upto[-1])], upto
