@@ -2,14 +2,17 @@
 
 A text is cut at spaces; each word is its start mark (U+2581) and its UTF-8 bytes, and its segmentation is the path of
 greatest total score. Distinct words of equal length advance together: at each end position the hashes of all substrings
-that end there are probed in the sorted hashes of the pieces, and a vectorised maximum stores the back pointer. Each path is
-checked against the word's bytes, so a hash that matches by chance cannot pass.
+that end there are probed in the sorted hashes of the pieces (a table of their leading bits is asked first), a vectorised
+maximum stores the back pointer, and all words step back together. Paths are checked against the words' bytes, so a hash that
+matches by chance cannot pass. Words are cut, made distinct and put together again by numpy and Arrow, and decoding gathers
+from one table of all pieces' bytes; no loop runs over words or ids of a text.
 
 The public model file is a BPE model whose scores are merge ranks, so it has no unigram log-probabilities; a piece of rank r
 scores -ln(r + 1), a byte piece BYTE_SCORE. Pieces with an inner start mark are left out; a mark that stands in the text is
 encoded as bytes, so decoding is exact. Of equal totals the path whose last piece is longest is taken, at each position.
 
-Defined cases: a null text is empty; an empty text is the lone start mark; ids are passed through; other columns are ignored.
+Defined cases: a null text is empty; an empty text is the lone start mark; texts and words of any length are taken whole; ids
+are passed through, null and repeated ones too; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,15 +25,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarn.llm.tokens import Slots, bytes_of, calls, pieces_between
+
 MARK = "▁".encode()
 BYTE_SCORE = -14.0
 #: Distinct words that a worker remembers the ids of; a memory bound, results do not depend on it.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Cells (words x positions) of one Viterbi call; a memory bound.
 CELLS = 400_000
+#: Bytes of text in one call; a longer text is a call of its own, never cut.
+CALL_BYTES = 1 << 21
+#: Words of more bytes than this go one by one, with the probes of all their places at once.
+LONG = 200
+#: Bits of the tables that tell most substrings apart from all pieces before the sorted keys are searched.
+SIEVE_BITS = 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _VALUE = np.random.default_rng(991).integers(1, 2**63, 256, dtype=np.uint64)
-_loaded: dict = {}
+_encoders: dict = {}
 
 
 class Pieces:
@@ -59,13 +70,24 @@ class Pieces:
                     tables[0].setdefault(len(piece), []).append(i)
                 elif MARK not in piece:
                     tables[1].setdefault(len(piece), []).append(i)
+        self.byte_ids = np.array(self.byte_id)
+        self.sizes = np.array([len(b) for b in self.bytes])
         self.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(4096, np.uint64(_BASE))]))
         self.tables = tuple({length: self._sorted(ids) for length, ids in sorted(t.items(), reverse=True)} for t in tables)
-
-    def _sorted(self, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        self.longest = max(self.tables[1])
+        # for decoding: the bytes of all pieces one after another, a start mark as a blank
+        texts = [b if self.is_byte[i] or not b.startswith(MARK) else b" " + b[len(MARK) :] for i, b in enumerate(self.bytes)]
+        self.text_bytes = np.frombuffer(b"".join(texts), np.uint8)
+        self.text_sizes = np.array([len(b) for b in texts])
+        self.text_at = np.cumsum(self.text_sizes) - self.text_sizes
+
+    def _sorted(self, ids: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sorted hashes, their ids, which leading bits of a hash occur)."""
         h = np.array([self.hash(self.bytes[i]) for i in ids], np.uint64)
         order = np.argsort(h)
-        return h[order], np.array(ids)[order]
+        sieve = np.zeros(1 << SIEVE_BITS, bool)
+        sieve[h >> np.uint64(64 - SIEVE_BITS)] = True
+        return h[order], np.array(ids)[order], sieve
 
     def hash(self, b: bytes) -> int:
         total = 0
@@ -73,59 +95,108 @@ class Pieces:
             total = (total * _BASE + int(_VALUE[c])) & 0xFFFFFFFFFFFFFFFF
         return total
 
-    def segment(self, words: list[bytes]) -> list[list[int]]:
-        """Best paths of words of one length (start mark included)."""
+    @staticmethod
+    def _probe(table: tuple, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of h that are keys of the table, their ids)."""
+        keys, ids, sieve = table
+        maybe = np.flatnonzero(sieve[h >> np.uint64(64 - SIEVE_BITS)])
+        wanted = h[maybe]
+        at = np.searchsorted(keys, wanted)
+        at[at == len(keys)] = 0
+        equal = keys[at] == wanted
+        return maybe[equal], ids[at[equal]]
+
+    def segment(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Best paths of words of one length (start mark included): (ids one after another, number of ids of each word)."""
         m, n = len(words), len(words[0])
         data = np.frombuffer(b"".join(words), np.uint8).reshape(m, n)
+        columns = np.ascontiguousarray(data.T)
         prefix = np.zeros((n + 1, m), np.uint64)
         base = np.uint64(_BASE)
         for e in range(n):
-            prefix[e + 1] = prefix[e] * base + _VALUE[data[:, e]]
-        powers = self.powers if n < len(self.powers) else np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base)]))
+            prefix[e + 1] = prefix[e] * base + _VALUE[columns[e]]
         best = np.full((n + 1, m), -np.inf)
         best[0] = 0
-        piece = np.full((n + 1, m), -1, np.int64)
-        byte_ids = np.array(self.byte_id)
-        longest = max(self.tables[1])
+        piece = np.full((n + 1, m), -1, np.int32)
         for e in range(len(MARK), n + 1):
-            top, chosen = np.full(m, -np.inf), np.full(m, -1, np.int64)
+            top, chosen = best[e], piece[e]
             options = [(0, self.tables[0][e])] if e in self.tables[0] else []
-            options += [(e - length, self.tables[1][length]) for length in range(min(longest, e - len(MARK)), 0, -1) if length in self.tables[1]]
-            for s, (keys, ids) in options:
-                h = prefix[e] - prefix[s] * powers[e - s]
-                at = np.searchsorted(keys, h)
-                at[at == len(keys)] = 0
-                found = ids[at]
-                total = np.where(keys[at] == h, best[s] + self.score[found], -np.inf)
-                better = total > top
-                top[better], chosen[better] = total[better], found[better]
+            options += [(e - length, self.tables[1][length]) for length in range(min(self.longest, e - len(MARK)), 0, -1) if length in self.tables[1]]
+            for s, table in options:
+                here, found = self._probe(table, prefix[e] - prefix[s] * self.powers[e - s] if s else prefix[e])
+                total = best[s, here] + self.score[found]
+                better = total > top[here]
+                here = here[better]
+                top[here], chosen[here] = total[better], found[better]
             if e > len(MARK):
                 total = best[e - 1] + BYTE_SCORE
-                better = total > top
-                top[better], chosen[better] = total[better], byte_ids[data[better, e - 1]]
-            best[e], piece[e] = top, chosen
-        sizes = np.array([len(b) for b in self.bytes])
-        out = []
-        for k, word in enumerate(words):
-            path, e = [], n
-            while e > 0:
-                i = int(piece[e, k])
-                path.append(i)
-                e -= int(sizes[i])
-            path.reverse()
-            if b"".join(self.bytes[i] for i in path) != word:
-                path = self.segment_slowly(word)
-            out.append(path)
-        return out
+                better = np.flatnonzero(total > top)
+                top[better], chosen[better] = total[better], self.byte_ids[columns[e - 1, better]]
+        steps, ends, live = [], np.full(m, n), np.arange(m)
+        while len(live):  # all words step back together
+            found = piece[ends[live], live]
+            steps.append((live, found))
+            ends[live] -= self.sizes[found]
+            live = live[ends[live] > 0]
+        owner = np.concatenate([w for w, _ in steps[::-1]])
+        order = np.argsort(owner, kind="stable")
+        ids, counts = np.concatenate([f for _, f in steps[::-1]])[order], np.bincount(owner, minlength=m)
+        if not np.array_equal(self._spelled(ids), data.reshape(-1)):  # a hash matched by chance
+            paths = [self.segment_slowly(w) for w in words]
+            ids, counts = np.array([i for p in paths for i in p]), np.array([len(p) for p in paths])
+        return ids, counts
+
+    def _spelled(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of the pieces, start marks as they are."""
+        return np.frombuffer(b"".join(map(self.bytes.__getitem__, ids.tolist())), np.uint8)
+
+    def segment_long(self, word: bytes) -> list[int]:
+        """The same path for one word: all its substrings of a length are probed at once."""
+        n = len(word)
+        data = np.frombuffer(word, np.uint8)
+        # hash of [s, e) is prefix[e] - prefix[s] * base^(e - s); prefixes come from sums of value * base^-place, which need no loop
+        up, down = np.full(n + 1, np.uint64(_BASE)), np.full(n + 1, np.uint64(pow(_BASE, -1, 2**64)))
+        up[0] = down[0] = 1
+        up, down = np.cumprod(up), np.cumprod(down)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[data] * down[1:])])
+        starts, found, ends = [], [], []
+        for length, table in self.tables[1].items():
+            if length <= n - len(MARK):
+                low = np.arange(len(MARK), n - length + 1)
+                here, ids = self._probe(table, (total[low + length] - total[low]) * up[low + length])
+                starts.append(low[here]), found.append(ids), ends.append(low[here] + length)
+        for length, table in self.tables[0].items():
+            if length <= n:
+                here, ids = self._probe(table, total[length : length + 1] * up[length : length + 1])
+                starts.append(here * 0), found.append(ids), ends.append(here * 0 + length)
+        begin, ids, end = (np.concatenate(x) for x in (starts, found, ends))
+        order = np.lexsort((begin, end))  # at each end the longest piece first
+        best, back = [0.0] + [-np.inf] * n, [-1] * (n + 1)
+        options = list(zip(begin[order].tolist(), ids[order].tolist(), self.score[ids[order]].tolist(), strict=True))
+        upto = np.searchsorted(end[order], np.arange(n + 2)).tolist()
+        for e in range(len(MARK), n + 1):
+            top, chosen = -np.inf, -1
+            for s, i, score in options[upto[e] : upto[e + 1]]:
+                if best[s] + score > top:
+                    top, chosen = best[s] + score, i
+            if e > len(MARK) and best[e - 1] + BYTE_SCORE > top:
+                top, chosen = best[e - 1] + BYTE_SCORE, self.byte_id[word[e - 1]]
+            best[e], back[e] = top, chosen
+        path, e = [], n
+        while e > 0:
+            path.append(back[e])
+            e -= len(self.bytes[back[e]])
+        path.reverse()
+        return path if b"".join(map(self.bytes.__getitem__, path)) == word else self.segment_slowly(word)
 
     def segment_slowly(self, word: bytes) -> list[int]:
         """The same path for one word, by its bytes."""
         if not hasattr(self, "spelled"):
-            self.spelled = [{self.bytes[i]: i for _, ids in t.values() for i in ids} for t in self.tables]
+            self.spelled = [{self.bytes[i]: i for _, ids, _ in t.values() for i in ids} for t in self.tables]
         n = len(word)
         best: list[tuple[float, int]] = [(0.0, -1)] + [(-np.inf, -1)] * n
         for e in range(len(MARK), n + 1):
-            for s in [0, *range(len(MARK), e)]:
+            for s in [0, *range(max(len(MARK), e - self.longest), e)]:
                 i = self.spelled[0 if s == 0 else 1].get(word[s:e])
                 if i is not None and best[s][0] + self.score[i] > best[e][0]:
                     best[e] = (best[s][0] + self.score[i], i)
@@ -137,93 +208,120 @@ class Pieces:
             e -= len(self.bytes[best[e][1]])
         return path[::-1]
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids."""
-        marked = b"".join(b" " + self.bytes[i][len(MARK) :] if not self.is_byte[i] and self.bytes[i].startswith(MARK) else self.bytes[i] for i in ids)
-        return marked[1:].decode()
-
-
-def pieces_of(path: str) -> Pieces:
-    if path not in _loaded:
-        _loaded[path] = Pieces(path)
-    return _loaded[path]
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of ids: a blank for each start mark, the first one included."""
+        sizes = self.text_sizes[ids]
+        ends = np.cumsum(sizes)
+        return self.text_bytes[np.repeat(self.text_at[ids] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class Encoder:
-    """Encodes texts; remembers distinct words."""
+    """Encodes and decodes whole batches of texts; remembers distinct words."""
 
-    def __init__(self, pieces: Pieces):
-        self.pieces, self.known = pieces, {}
+    def __init__(self, path: str):
+        self.pieces, self.known = Pieces(path), Slots(REMEMBERED)
 
-    def learn(self, new: list[str]) -> None:
-        by_length: dict[int, list[tuple[str, bytes]]] = {}
+    def _learn(self, new: list[bytes]) -> None:
+        """new: words, each with the blank before it."""
+        by_length: dict[int, list[bytes]] = {}
         for w in new:
-            b = MARK + w.encode()
-            by_length.setdefault(len(b), []).append((w, b))
+            by_length.setdefault(len(w), []).append(w)
         for length, some in by_length.items():
-            step = max(1, CELLS // length)
+            n = length - 1 + len(MARK)
+            if n > LONG:
+                for w in some:
+                    path = self.pieces.segment_long(MARK + w[1:])
+                    self.known.append([w], np.array(path), np.array([len(path)]))
+                continue
+            step = max(1, CELLS // n)
             for low in range(0, len(some), step):
                 part = some[low : low + step]
-                for (w, _), path in zip(part, self.pieces.segment([b for _, b in part]), strict=True):
-                    self.known[w] = np.array(path, np.int32)
+                self.known.append(part, *self.pieces.segment([MARK + w[1:] for w in part]))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each text, the texts' bytes with a blank before each, their ends)."""
+        buf, ends = bytes_of(texts)
+        n = len(ends)
+        marked = np.insert(buf, ends - np.diff(ends, prepend=0), 32)  # a blank before each text
+        ends = ends + np.arange(1, n + 1)
+        begins = np.flatnonzero(marked == 32)
+        if not n:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64), marked, ends
+        distinct, number = pieces_between(marked, begins)
+        ids, upto = self.known.gathered(self.known.slots(distinct, self._learn)[number])
+        cuts = upto[np.searchsorted(begins, ends, side="left")]
+        return ids, np.diff(cuts, prepend=0), marked, ends
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of all texts with a blank before each, their ends)."""
+        ends = np.concatenate([[0], np.cumsum(self.pieces.text_sizes[ids])])[np.cumsum(counts)]
+        return self.pieces.decode(ids), ends
+
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [t.split(" ") for t in texts]
-        new = {w for ws in cut for w in ws if w not in self.known}
-        if new:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-                new = {w for ws in cut for w in ws}
-            self.learn(sorted(new))
-        known = self.known
-        return [np.concatenate([known[w] for w in ws]) for ws in cut]
+def encoder_for(path: str) -> Encoder:
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def _lists(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids.astype(np.int32)))
 
 
 def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(pieces_of(model_path))
+        encoder = encoder_for(model_path)
         for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                some = batch.slice(low, 1000)
-                ids = encoder.encode([x or "" for x in some.column(1).to_pylist()])
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))
-                yield pa.RecordBatch.from_arrays([some.column(0), lists], ["doc_id", "ids"])
+            for low, high in calls(bytes_of(batch.column(1))[1], CALL_BYTES):
+                some = batch.slice(low, high - low)
+                yield pa.RecordBatch.from_arrays([some.column(0), _lists(*encoder.encode(some.column(1))[:2])], ["doc_id", "ids"])
 
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
-    """(doc_id, text) for rows (doc_id, ids)."""
+    """(doc_id, text) for rows (doc_id, ids); null ids give a null text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pieces_of(model_path)
+        encoder = encoder_for(model_path)
         for batch in batches:
-            texts = [pieces.decode(ids) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+            for low in range(0, batch.num_rows, 500):
+                some = batch.slice(low, 500)
+                lists = some.column(1)
+                counts = np.array([len(x) if x.is_valid else 0 for x in lists], np.int64)
+                data, ends = encoder.decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), counts)
+                raw = data.tobytes()
+                texts = [raw[a + 1 : b].decode() if x.is_valid else None for x, a, b in zip(lists, [0, *ends.tolist()], ends.tolist(), strict=False)]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
+def _equal(data: np.ndarray, ends: np.ndarray, wanted: np.ndarray, wanted_ends: np.ndarray) -> list[bool]:
+    """Whether each text of `data` is that of `wanted`."""
+    if np.array_equal(ends, wanted_ends) and np.array_equal(data, wanted):
+        return [True] * len(ends)
+    at, of = [0, *ends.tolist()], [0, *wanted_ends.tolist()]
+    return [np.array_equal(data[at[i] : at[i + 1]], wanted[of[i] : of[i + 1]]) for i in range(len(ends))]
+
+
 def encode_and_check(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_ids, n_byte_ids, ids_crc32, decoded_equal, ids): each text encoded, decoded again and compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pieces_of(model_path)
-        encoder = Encoder(pieces)
+        encoder = encoder_for(model_path)
         for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                some = batch.slice(low, 1000)
-                texts = [x or "" for x in some.column(1).to_pylist()]
-                ids = encoder.encode(texts)
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))
-                crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
-                equal = [pieces.decode(x.tolist()) == t for x, t in zip(ids, texts, strict=True)]
-                n_bytes = [int(pieces.is_byte[x].sum()) for x in ids]
-                arrays = [some.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(n_bytes, pa.int64()), pa.array(crc, pa.int64()), pa.array(equal), lists]
+            for low, high in calls(bytes_of(batch.column(1))[1], CALL_BYTES):
+                some = batch.slice(low, high - low)
+                ids, counts, marked, ends = encoder.encode(some.column(1))
+                equal = _equal(*encoder.decode(ids, counts), marked, ends)
+                cuts = [0, *np.cumsum(counts).tolist()]
+                n_bytes = np.concatenate([[0], np.cumsum(encoder.pieces.is_byte[ids])])
+                plain = ids.astype("<u4")
+                crc = [zlib.crc32(plain[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+                arrays = [some.column(0), pa.array(counts, pa.int64()), pa.array(np.diff(n_bytes[cuts]), pa.int64()), pa.array(crc, pa.int64()), pa.array(equal), _lists(ids, counts)]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_ids", "n_byte_ids", "ids_crc32", "decoded_equal", "ids"])
 
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
