@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -249,6 +249,80 @@ def fold_path(path: Column, ignore_case: bool = True) -> Column:
     return F.regexp_replace(F.lower(made), "ς", "σ") if ignore_case else made
 
 
+def with_fold_key(df: DataFrame, path: str = "path", name: str = "fold_key", ignore_case: bool = True) -> DataFrame:
+    """df with fold_path() of a column. Only rows beyond ASCII pass through Python: the others never meet the function."""
+    plain = F.octet_length(path) == F.char_length(path)
+    ascii_key = F.lower(path) if ignore_case else F.col(path)
+    return df.filter(plain | F.col(path).isNull()).withColumn(name, ascii_key).unionByName(df.filter(~plain).withColumn(name, fold_path(F.col(path), ignore_case)))
+
+
+def geometry_key(df: DataFrame, path: str = "dir", name: str = "key", ignore_case: bool = True) -> DataFrame:
+    """df with the key under which two folders are one place: lexically normal, without . and empty parts, folded where case is ignored."""
+    normal = df.withColumn(name, lexical_normalize(F.col(path)))
+    if not ignore_case:
+        return normal
+    key = "_key"
+    return with_fold_key(normal, name, key).drop(name).withColumnRenamed(key, name)
+
+
+def lexical_normalize(path: Column) -> Column:
+    """The path without . and empty parts, and with each .. taking the part before it away; a .. with none before it stays out."""
+    step = lambda acc, x: (
+        F.when(x.isin("", "."), acc).when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x)))
+    )
+    parts = F.aggregate(segments(path), F.expr("cast(array() as array<string>)"), step)
+    return F.concat(F.when(F.startswith(path, F.lit("/")), "/").otherwise(""), F.array_join(parts, "/"))
+
+
+def contained_join(root: Column, path: Column) -> Column:
+    """The path below a root; null for an absolute path, an empty one, and one that has a .. part."""
+    inside = (path != "") & lexical_contained(path) & ~F.exists(segments(path), lambda x: x.isin("", "."))
+    return F.when(inside, F.concat(root, F.lit("/"), path))
+
+
+def normal_server_path(path: Column) -> Column:
+    """A path as typed, for comparison with a server path: trimmed, without leading ./ and slashes, and without slashes at the end."""
+    return F.regexp_replace(F.regexp_replace(_strip(path), r"^(?:\./)*/*", ""), r"/+\z", "")
+
+
+def snippet_text(s: Column) -> Column:
+    """The text of highlight_runs() without its marks."""
+    return F.array_join(highlight_runs(s)["text"], "")
+
+
+def clip(text: Column, width: int) -> Column:
+    """The text if it has at most `width` characters, else its first width - 1 and three dots."""
+    return F.when(F.char_length(text) <= width, text).otherwise(F.concat(F.substring(text, 1, max(width - 1, 0)), F.lit("...")))
+
+
+def derived_marker_path(local: Column, taken: Column, control_files: tuple[str, ...] = (), max_component: int = 255, windows: bool = False) -> Column:
+    """The path of a file's marker, beside it; null if its name is too long, is that of a control file, or is taken."""
+    made = F.concat(local, F.lit(CONTROL_SUFFIX))
+    too_long = component_units(leaf_of(made), windows) > max_component
+    reserved = ascii_lower(made).isin(*[c.lower() for c in control_files]) if control_files else F.lit(False)
+    return F.when(~too_long & ~reserved & ~F.coalesce(taken, F.lit(False)), made)
+
+
+def relocated_marker(workspace: Column, id_: Column, folder: str = CONTROL_SUFFIX) -> Column:
+    """Where a marker goes that cannot stand beside its file."""
+    return F.concat(F.lit(f"{folder}/markers/"), workspace, F.lit("/"), id_, F.lit(CONTROL_SUFFIX))
+
+
+def relocated_leaf(path: Column, workspace: Column, folder: str = CONTROL_SUFFIX) -> Column:
+    """The leaf of a relocated marker of this workspace, named by an id; null for any other path."""
+    prefix = F.concat(F.lit(f"{folder}/markers/"), workspace, F.lit("/"))
+    leaf = F.substring(path, F.char_length(prefix) + 1, F.lit(1 << 30))
+    named = F.rlike(leaf, F.lit(r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}" + CONTROL_SUFFIX.replace(".", r"\.") + r"\z"))
+    return F.when(F.startswith(path, prefix) & named, leaf)
+
+
+def node_marker(id_: Column, mime: Column, path: Column, sha256: Column, size: Column) -> Column:
+    """The marker of an attachment: its facts as sorted lines, with the link that embeds it."""
+    link = F.when(wikilink_expressible(path), F.concat(F.lit("![["), path, F.lit("]]"))).otherwise("not-expressible")
+    fields = {"id": id_, "mime": F.coalesce(mime, F.lit("unknown")), "path": path, "sha256": sha256, "size": size.cast("string"), "wikilink": link}
+    return F.concat(render_marker(fields), F.lit("\n"))
+
+
 def highlight_runs(s: Column) -> Column:
     """array(struct(text, hit)): <b> opens where none is open, </b> closes where one is; other tags are text."""
     init = F.struct(F.lit("").alias("text"), F.lit(False).alias("on"), F.expr("cast(array() as array<struct<text:string,hit:boolean>>)").alias("runs"))

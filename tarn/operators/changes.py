@@ -24,9 +24,14 @@ def latest_live(changes: DataFrame) -> DataFrame:
     return latest(changes).filter("not trashed")
 
 
+def after(changes: DataFrame, rev: int, id_: int) -> DataFrame:
+    """Rows strictly after (rev, id)."""
+    return changes.filter((F.col("rev") > rev) | ((F.col("rev") == rev) & (F.col("id") > id_)))
+
+
 def keyset_page(changes: DataFrame, rev: int, id_: int, limit: int = PAGE_ROWS) -> DataFrame:
     """Rows strictly after (rev, id), in that order."""
-    return changes.filter((F.col("rev") > rev) | ((F.col("rev") == rev) & (F.col("id") > id_))).orderBy("rev", "id").limit(limit)
+    return after(changes, rev, id_).orderBy("rev", "id").limit(limit)
 
 
 def page_index(changes: DataFrame, size: int = PAGE_ROWS) -> DataFrame:
@@ -44,51 +49,102 @@ def ledger_check(live_nodes: DataFrame, ledger: DataFrame) -> DataFrame:
     return counts.withColumn("rebuild", F.col("live_nodes") != F.col("ledger"))
 
 
-def classify(rows: DataFrame, tracked: DataFrame, scope: str | None = None, max_component: int = 255) -> DataFrame:
-    """(id, path, disposition, reason) of rows(id, kind, path, trashed): the first test that holds decides."""
+def classify(rows: DataFrame, tracked: DataFrame, scope: str | None = None, max_component: int = 255, windows: bool = False) -> DataFrame:
+    """(id, path, disposition, reason) of rows(id, kind, path, trashed): the first test that holds decides.
+
+    A reserved segment is skipped (removed where it is tracked), not parked; names that agents read as instructions are looked
+    for below the scope only, since only those land on disk; a part's length counts bytes, or UTF-16 units under Windows rules.
+    """
     path = F.col("path")
     local = rules.scope_relative(path, scope) if scope else path
     name = rules.leaf_of(path)
-    long_part = F.exists(rules.segments(local), lambda x: F.octet_length(x) > max_component)
+    long_part = F.exists(rules.segments(local), lambda x: rules.component_units(x, windows) > max_component)
     reason = (
-        F.when(F.col("trashed"), "trashed").when(~F.col("kind").isin("folder", "file", "attachment"), "unknown_kind").when(rules.has_reserved_segment(path), "reserved")
-        .when(rules.in_control_namespace(path), "control").when(local.isNull(), "out_of_scope").when(local == "", "scope_root").when(rules.names_instructions(path), "instruction_name")
+        F.when(F.col("trashed"), "trashed").when(known_kind(F.col("kind")).isNull(), "unknown_kind").when(rules.has_reserved_segment(path), "reserved")
+        .when(rules.in_control_namespace(path), "control").when(local.isNull(), "out_of_scope").when(local == "", "scope_root").when(rules.names_instructions(local), "instruction_name")
         .when((F.col("kind") == "file") & ~rules.is_note_name(name), "bad_note_name").when(long_part, "unrepresentable")
     )
-    marked = rows.join(tracked.select("id", F.lit(True).alias("held")), "id", "left").withColumn("reason", reason)
-    parks = F.col("reason").isin("reserved", "control", "instruction_name", "bad_note_name", "unrepresentable")
+    marked = rows.join(tracked.select("id", F.lit(True).alias("held")).distinct(), "id", "left").withColumn("reason", reason)
+    parks = F.col("reason").isin("control", "instruction_name", "bad_note_name", "unrepresentable")
     disposition = F.when(F.col("reason").isNull(), "put").when(parks, "park").when(F.col("held"), "remove").otherwise("ledger_only")
     return marked.select("id", "path", disposition.alias("disposition"), "reason")
 
 
-def fold_collisions(rows: DataFrame, incumbents: DataFrame) -> DataFrame:
-    """(id, fold_key, place) of rows(id, path, seq): the first claimant of a folded key has place 1, incumbents go first."""
-    keyed = rows.join(incumbents.select("id", F.lit(0).alias("newcomer")), "id", "left").withColumn("fold_key", rules.fold_path(F.col("path")))
-    order = Window.partitionBy("fold_key").orderBy(F.coalesce("newcomer", F.lit(1)), "seq")
-    return keyed.select("id", "fold_key", F.row_number().over(order).alias("place"))
-
-
-def collision_fixpoint(rows: DataFrame, incumbents: DataFrame, store, max_rounds: int = 50) -> DataFrame:
-    """(id, path, park): parks until nothing changes, derived anew each round: a row parks if its folded key is taken by an
-    earlier unparked claimant, or if an ancestor's path belongs to a parked row. `store` writes a DataFrame and reads it back."""
-    base = store(fold_collisions(rows, incumbents).join(rows.select("id", "path", "seq"), "id").withColumn("first", F.coalesce(F.col("place") == 1, F.lit(False))))
-    parents = store(base.select("id", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(F.split("path", "/")) - 1, F.lit(1))), lambda i: F.array_join(F.slice(F.split(F.col("path"), "/"), 1, i), "/"))).alias("up")).join(base.select("id", "path"), "id").filter("up <> path").select("id", "up"))
-    parked = store(base.filter("not first").select("id", F.lit("collision").alias("park")))
-    before = -1
-    for _ in range(max_rounds):
-        held = base.join(parked.select("id"), "id", "left_semi").select(F.col("path").alias("up")).distinct()
-        free = base.join(held.select(F.col("up").alias("path")), "path", "left_semi").join(parked, "id", "left_anti").select(F.col("path").alias("up")).distinct()
-        lost = held.join(free, "up", "left_anti")
-        under = parents.join(lost, "up", "left_semi").select("id").distinct().select("id", F.lit("ancestor").alias("park"))
-        still = base.join(under, "id", "left_anti")
-        order = Window.partitionBy("fold_key").orderBy("place")
-        clash = still.withColumn("n", F.row_number().over(order)).filter("n > 1").select("id", F.lit("collision").alias("park"))
-        parked = store(under.unionByName(clash))
-        state = parked.agg(F.count(F.lit(1)), F.sum(F.xxhash64("id", "park").cast("decimal(38,0)"))).first()
-        if state == before:
+def known_kind(kind: Column) -> Column:
+    """note, folder or attachment; null for any other kind."""
+    return F.when(kind == "file", "note").when(kind.isin("folder", "attachment"), kind)
+
+
+def first_claimants(rows: DataFrame, incumbents: DataFrame) -> DataFrame:
+    """(id, fold_key, holder) of rows(id, path, seq): incumbents(id) claim a folded key before others, then the order of seq decides.
+
+    The first claimant is a minimum, which is combined map-side: a key that many rows claim moves one row a task.
+    """
+    keyed = rules.with_fold_key(rows.join(incumbents.select("id", F.lit(0).alias("newcomer")).distinct(), "id", "left"))
+    first = F.min_by("id", F.struct(F.coalesce("newcomer", F.lit(1)), "seq", "id"))
+    holders = keyed.groupBy("fold_key").agg(first.alias("holder"))
+    return keyed.join(holders, "fold_key").select("id", "fold_key", "holder")
+
+
+def _ancestors(path: str) -> Column:
+    """All proper ancestors of a path."""
+    parts = F.split(path, "/")
+    return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).otherwise(F.expr("cast(array() as array<string>)"))
+
+
+def collision_fixpoint(rows: DataFrame, store, incumbents: DataFrame | None = None, parks: DataFrame | None = None) -> DataFrame:
+    """(id, path, park) of deliveries rows(id, path, seq, parked): which of them park, and why.
+
+    Every round derives the parks anew from those of the round before, until they stay: a delivery parks as `ancestor` below the
+    path of a parked delivery (one that came `parked`, or parked in the last round) or of a durable park(id, path); as
+    `projection` if another node holds its very path, as `fold` if another holds its folded key. Incumbents(id, path) hold theirs
+    before any delivery, unless they are delivered themselves; then deliveries that do not park hold theirs in the order of seq.
+    With n deliveries there are n + 2 rounds at most, and the last one stands; a cycle of rounds is run once and counted on.
+    `store` writes a DataFrame and reads it back.
+    """
+    none = rows.select("id", "path").limit(0)
+    delivered = rows.select("id")
+    base = store(rules.with_fold_key(rows.select("id", "path", "seq", "parked")))
+    fixed = (parks if parks is not None else none).join(delivered, "id", "left_anti").select("path").union(base.filter("parked").select("path"))
+    fixed = store(fixed.filter("path <> ''").distinct())
+    held = store(rules.with_fold_key((incumbents if incumbents is not None else none).join(delivered, "id", "left_anti").select("id", "path")))
+    held_keys, held_paths = held.select("fold_key", F.lit(True).alias("key_held")).distinct(), held.select("path", F.lit(True).alias("path_held")).distinct()
+    puts = base.filter("not parked")
+    puts = store(puts.join(held_keys, "fold_key", "left").join(held_paths, "path", "left"))
+    above = store(puts.select("id", F.explode(_ancestors("path")).alias("path")))
+
+    def derive(parked: DataFrame | None) -> DataFrame:
+        prefixes = fixed if parked is None else fixed.union(puts.join(parked.select("id"), "id", "left_semi").select("path")).distinct()
+        under = above.join(prefixes, "path", "left_semi").select("id").distinct()
+        free = puts.join(under, "id", "left_anti")
+        first = free.groupBy("fold_key").agg(F.min_by(F.struct("id", "path"), F.struct("seq", "id")).alias("first"))
+        lost = free.join(first, "fold_key").filter(F.col("key_held") | (F.col("id") != F.col("first.id")))
+        same = F.coalesce("path_held", F.lit(False)) | (F.col("key_held").isNull() & (F.col("path") == F.col("first.path")))
+        return under.select("id", F.lit("ancestor").alias("park")).union(lost.select("id", F.when(same, "projection").otherwise("fold")))
+
+    rounds, seen = rows.count() + 2, {(0, None): 0}
+    history: list[DataFrame | None] = [None]
+    for number in range(1, rounds + 1):
+        history.append(store(derive(history[-1])))
+        state = tuple(history[-1].agg(F.count(F.lit(1)), F.sum(F.xxhash64("id").cast("decimal(38,0)"))).first())
+        if state in seen:
+            start = seen[state]
+            if start < number - 1:  # not stable but a cycle: the table that the last round would give
+                return _parked(base, history[start + (rounds - start) % (number - start)])
             break
-        before = state
-    return base.join(parked, "id", "left").select("id", "path", "park")
+        seen[state] = number
+    return _parked(base, history[-1])
+
+
+def _parked(base: DataFrame, parks: DataFrame | None) -> DataFrame:
+    if parks is None:
+        return base.select("id", "path", F.when(F.col("parked"), "classified").alias("park"))
+    return base.join(parks, "id", "left").select("id", "path", F.when(F.col("parked"), "classified").otherwise(F.col("park")).alias("park"))
+
+
+def park_counts(parks: DataFrame) -> DataFrame:
+    """(class, n) of parks(class)."""
+    return parks.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
 
 
 def prune(tracked: DataFrame, delivered: DataFrame) -> DataFrame:
@@ -130,6 +186,44 @@ def changed_set(changes: DataFrame, rev: int, budget: int = CHANGED_BUDGET) -> D
     return above.join(F.broadcast(few)).filter("few").select("id", "rev", F.col("trashed").alias("gone"))  # one row
 
 
+def settle_removals(pending: DataFrame, tracked: DataFrame) -> DataFrame:
+    """What is still to be removed of pending(path): a path whose folded key a tracked(path) node claims again is no debt any more."""
+    claimed = rules.with_fold_key(tracked.select("path")).select("fold_key").distinct()
+    return rules.with_fold_key(pending.select("path")).join(claimed, "fold_key", "left_anti").select("path").distinct()
+
+
+def redelivery(deliveries: DataFrame, disk: DataFrame, state: DataFrame) -> DataFrame:
+    """(id, path, outcome) of deliveries(id, path, sha) against disk(path, sha) and state(id, path, sha), the last delivered.
+
+    A path that nothing stands at is written; one that this node is tracked at is overwritten, and is an edit by hand (and still
+    overwritten) if its bytes are neither the last delivered nor the incoming ones; of a path that it is not tracked at, equal bytes
+    are adopted and others park for the time being.
+    """
+    own = state.select("id", F.col("path").alias("held_path"), F.col("sha").alias("held_sha"))
+    there = disk.select("path", F.col("sha").alias("disk_sha"))
+    joined = deliveries.join(there, "path", "left").join(own, "id", "left")
+    tracked = F.coalesce(F.col("held_path") == F.col("path"), F.lit(False))
+    same, known = F.col("disk_sha") == F.col("sha"), F.col("disk_sha").eqNullSafe(F.col("held_sha"))
+    outcome = (
+        F.when(F.col("disk_sha").isNull(), "write").when(tracked & same, "unchanged").when(tracked & known, "overwrite").when(tracked, "overwrite_edit")
+        .when(same, "adopt").otherwise("park_transient")
+    )
+    return joined.select("id", "path", outcome.alias("outcome"))
+
+
+def invalidator(mounts: DataFrame, nodes: DataFrame, disk: DataFrame) -> DataFrame:
+    """(mount, reason) of mounts whose state cannot be trusted: mounts(mount, scope and the columns of rebuild_reason()), tracked
+    nodes(mount, kind, path, at) and disk(mount, at, is_folder): a reason to rebuild, else `instruction_name` if a node is tracked below
+    a name that agents read, else `gone` if something tracked is not on disk as what it is. `at` is where a node stands."""
+    there = disk.select("mount", "at", "is_folder")
+    inside = F.when(F.col("scope").isNull(), F.col("path")).when(F.startswith("path", F.concat("scope", F.lit("/"))), F.expr("substring(path, length(scope) + 2)"))
+    rows = nodes.join(mounts.select("mount", "scope"), "mount").join(there, ["mount", "at"], "left")
+    gone = ~F.coalesce(F.col("is_folder") == (F.col("kind") == "folder"), F.lit(False))
+    found = rows.groupBy("mount").agg(F.bool_or(F.coalesce(rules.names_instructions(inside), F.lit(False))).alias("named"), F.bool_or(gone).alias("gone"))
+    reason = F.when(rebuild_reason().isNotNull(), rebuild_reason()).when(F.col("named"), "instruction_name").when(F.col("gone"), "gone")
+    return mounts.join(found, "mount", "left").select("mount", reason.alias("reason"))
+
+
 def rebuild_reason() -> Column:
     """For columns from_zero, scope_key, scope, head_reached_at, now."""
     return (

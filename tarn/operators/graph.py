@@ -18,6 +18,11 @@ def tag_counts(tags: DataFrame, nodes: DataFrame) -> DataFrame:
     return tags.join(_live(nodes, "node"), "node", "left_semi").groupBy("tag").agg(F.countDistinct("node").alias("n"))
 
 
+def tag_list(tags: DataFrame, nodes: DataFrame) -> DataFrame:
+    """tag_counts() with the place of each tag: the most frequent first, then by name."""
+    return global_rank(tag_counts(tags, nodes), [-F.col("n"), F.col("tag")], "place")
+
+
 def tagged(tags: DataFrame, nodes: DataFrame, tag: str) -> DataFrame:
     """Live nodes that carry exactly the tag, with all their tags."""
     every = tags.join(_live(nodes, "node"), "node", "left_semi").groupBy("node").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
@@ -55,9 +60,10 @@ def unresolved_refs(edges: DataFrame) -> DataFrame:
 
 
 def exclusion_set(edges: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFrame:
-    """(subject, other): a note's self, links in both directions and embeds."""
-    self_pairs = nodes.select(F.col("id").alias("subject"), F.col("id").alias("other"))
-    return self_pairs.union(forward_links(edges, nodes)).union(backlinks(edges, nodes)).union(attachment_embeds(edges, nodes, files)).distinct()
+    """(subject, other): a note's self, links in both directions and embeds; an attachment's self and the notes that embed it."""
+    self_pairs = nodes.select("id").union(files.select("id")).select(F.col("id").alias("subject"), F.col("id").alias("other"))
+    notes = self_pairs.union(forward_links(edges, nodes)).union(backlinks(edges, nodes)).union(attachment_embeds(edges, nodes, files))
+    return notes.union(attachment_embedders(edges, nodes)).distinct()
 
 
 def graph_summary(edges: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFrame:
@@ -68,15 +74,31 @@ def graph_summary(edges: DataFrame, nodes: DataFrame, files: DataFrame) -> DataF
         .union(attachment_embeds(edges, nodes, files).select("subject", F.lit("files")))
         .union(unresolved_refs(edges).select("subject", F.lit("unresolved")))
     )
-    counts = tagged_pairs.groupBy("subject").agg(*(F.count_if(F.col("what") == w).alias(w) for w in ("links", "backlinks", "files", "unresolved")))
-    return counts.join(_live(nodes, "subject"), "subject", "left_semi")
+    what = ("links", "backlinks", "files", "unresolved")
+    counts = tagged_pairs.groupBy("subject").agg(*(F.count_if(F.col("what") == w).alias(w) for w in what))
+    return _live(nodes, "subject").join(counts, "subject", "left").select("subject", *(F.coalesce(w, F.lit(0)).alias(w) for w in what))
 
 
 def ls_folder(nodes: DataFrame, folder: str) -> DataFrame:
-    """Live nodes right in a folder."""
+    """Live nodes right in a folder; a folder that has none and is none (see folder_exists) is absent, not empty."""
     return nodes.filter("live").filter(rules.parent_of(F.col("path")) == folder.strip("/")).select("id", "path", rules.leaf_of(F.col("path")).alias("name"))
 
 
+def folder_exists(nodes: DataFrame, folders: DataFrame) -> DataFrame:
+    """(folder, present) of folders(folder): whether a live node lies below it or is it; the root is always there."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    known = nodes.filter("live").select(F.explode(above).alias("key")).distinct().withColumn("known", F.lit(True))
+    asked = folders.withColumn("key", F.regexp_replace("folder", r"^/+|/+\z", ""))
+    return asked.join(known, "key", "left").select("folder", (F.col("known").isNotNull() | (F.col("key") == "")).alias("present"))
+
+
+def node_refs(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, name, path, place) of the live nodes among ids(id), by path, then id."""
+    rows = nodes.filter("live").join(ids.select("id").distinct(), "id", "left_semi")
+    return global_rank(rows.select("id", rules.leaf_of(F.col("path")).alias("name"), "path"), [F.col("path"), F.col("id")], "place")
+
+
 def global_rank(df: DataFrame, order: list[Column], name: str, parts: int | None = None) -> DataFrame:
     """Adds a 1-based rank in a total order without a single sorting task: range partitions are ranked apart, and each gets
     the count of those before it (one row a partition)."""

@@ -1,32 +1,78 @@
-"""Three-way reconciliation of server, disk and recorded state, and mount checks."""
+"""Three-way reconciliation of server, disk and recorded state, by folded path and by id, and checks between mounts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarn.functions import rules
+from tarn.operators import changes
 
-def reconcile(server: DataFrame, disk: DataFrame, state: DataFrame) -> DataFrame:
-    """(path, id, class) for server(id, path, digest), disk(path, digest, disk_id) and state(id, path): one row a discrepancy."""
-    s = server.select("path", F.col("id").alias("s_id"), F.col("digest").alias("s_digest"))
-    d = disk.select("path", F.col("digest").alias("d_digest"), "disk_id")
-    t = state.select(F.col("path"), F.col("id").alias("t_id"))
-    joined = s.join(d, "path", "full").join(t, "path", "full")
-    on_server, on_disk, recorded = F.col("s_id").isNotNull(), F.col("d_digest").isNotNull(), F.col("t_id").isNotNull()
+WRITE_TEMP_PREFIX = ".write-"
+
+
+def expectations(server: DataFrame, state: DataFrame, parks: DataFrame, scope: str | None = None, ignore_case: bool = True) -> DataFrame:
+    """(id, kind, path, fold_key, digest): what server(id, kind, path, digest) wants on disk. Parked nodes want nothing, nor do
+    nodes that classify() would not put; an attachment wants its marker, where state(id, kind, local_path, marker_path) has it or beside it."""
+    placed = changes.classify(server.withColumn("trashed", F.lit(False)), state, scope).filter("disposition = 'put'").select("id")
+    live = server.join(parks.select("id"), "id", "left_anti").join(placed, "id", "left_semi")
+    local = rules.scope_relative(F.col("path"), scope) if scope else F.col("path")
+    known = state.select("id", "marker_path")
+    want = F.when(F.col("kind") == "attachment", F.coalesce("marker_path", F.concat(local, F.lit(rules.CONTROL_SUFFIX)))).otherwise(local)
+    rows = live.join(known, "id", "left").select("id", changes.known_kind(F.col("kind")).alias("kind"), want.alias("path"), "digest")
+    return rules.with_fold_key(rows, ignore_case=ignore_case)
+
+
+def reconcile(server: DataFrame, disk: DataFrame, state: DataFrame, parks: DataFrame, scope: str | None = None, ignore_case: bool = True) -> DataFrame:
+    """(path, id, class): one row a discrepancy between server(id, kind, path, digest), disk(path, is_folder, digest) and
+    state(id, kind, local_path, marker_path); parks(id, path). Digests of attachments are those of their markers. Markers that were
+    moved to the control folder stand in `disk` under their path there. Ids are numbers."""
+    wanted = expectations(server, state, parks, scope, ignore_case)
+    there = rules.with_fold_key(disk, ignore_case=ignore_case)
+    own = state.select("id", F.when(F.col("kind") == "attachment", F.col("marker_path")).otherwise(F.col("local_path")).alias("held_at"))
+    by_path = state.filter("kind <> 'attachment'").groupBy(F.col("local_path").alias("path")).agg(F.min("id").alias("held_by"))
+    facts = there.select("fold_key", F.col("is_folder"), F.col("digest").alias("disk_digest"), F.lit(True).alias("on_disk"))
+    rows = wanted.join(facts, "fold_key", "left").join(own, "id", "left").join(by_path, "path", "left")
+    is_kind = lambda k: F.col("kind") == k
+    present = F.coalesce(F.col("on_disk") & (F.col("is_folder") == is_kind("folder")), F.lit(False))
+    differs = ~F.col("disk_digest").eqNullSafe(F.col("digest"))
+    elsewhere = ~F.coalesce(F.col("held_at") == F.col("path"), F.lit(False))
     classes = F.array_compact(
         F.array(
-            F.when(on_server & ~on_disk, "missing-local"), F.when(on_server & on_disk & (F.col("s_digest") != F.col("d_digest")), "digest-mismatch"),
-            F.when(on_server & on_disk & (F.col("disk_id") != F.col("s_id")), "id-mismatch"), F.when(on_server & on_disk & ~recorded, "untracked"),
-            F.when(~on_server & on_disk, "missing-remote"), F.when(~on_server & recorded, "state-orphan"),
+            F.when(~present, "missing-local"), F.when(present & is_kind("note") & differs, "digest-mismatch"),
+            F.when(present & is_kind("note") & (F.col("held_by") != F.col("id")), "id-mismatch"), F.when(present & is_kind("attachment") & differs, "marker-drift"),
+            F.when(present & F.when(is_kind("note"), F.col("held_by").isNull()).when(is_kind("folder"), elsewhere).otherwise(~differs & elsewhere), "untracked"),
         )
     )
-    return joined.select("path", F.coalesce("s_id", "t_id", "disk_id").alias("id"), F.explode(classes).alias("class"))
+    found = rows.select("path", "id", F.explode(classes).alias("class"))
+    # of several nodes on one folded path the one that the state tracks at its path keeps it, else the first
+    tracked = wanted.join(own, "id", "left").withColumn("loose", elsewhere)
+    keeper = tracked.groupBy("fold_key").agg(F.min_by("id", F.struct("loose", "id")).alias("keeper"))
+    collided = tracked.join(keeper, "fold_key").filter("id <> keeper").select("path", "id", F.lit("fold-collision").alias("class"))
+    left_over = rules.is_write_temp(rules.leaf_of(F.col("path")), WRITE_TEMP_PREFIX) & ~F.col("is_folder")
+    strays = there.join(wanted.select("fold_key"), "fold_key", "left_anti").select("path", F.lit(None).cast("long").alias("id"), F.when(left_over, "crash-residue").otherwise("missing-remote").alias("class"))
+    orphans = changes.prune(state, server).select(F.col("local_path").alias("path"), "id", F.lit("state-orphan").alias("class"))
+    parked = parks.select("path", "id", F.lit("parked").alias("class"))
+    return found.unionByName(collided).unionByName(strays).unionByName(orphans).unionByName(parked)
+
+
+def mount_findings(mounts: DataFrame) -> DataFrame:
+    """(mount, class) of mounts(mount, access, has_state, from_zero, at_head): one that may not be read has no further finding."""
+    refused = F.col("access").isin("no-access", "not-entitled")
+    pending = F.col("has_state") & (F.col("from_zero") | ~F.col("at_head")) | ~F.col("has_state")  # a fresh state begins from zero
+    classes = F.when(refused, F.array("access")).otherwise(F.array_compact(F.array(F.when(~F.col("has_state"), "state-missing"), F.when(pending, "repair-pending"))))
+    return mounts.select("mount", F.explode(classes).alias("class"))
 
 
 def class_counts(found: DataFrame) -> DataFrame:
     return found.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
 
 
+def exit_code(found: DataFrame) -> DataFrame:
+    """One row: how many discrepancies there are, and 1 if any, else 0."""
+    return found.agg(F.count(F.lit(1)).alias("total")).select("total", F.when(F.col("total") > 0, 1).otherwise(0).alias("code"))
+
+
 def overlapping_mounts(mounts: DataFrame) -> DataFrame:
     """(a, b) of mounts(name, dir) whose folders contain one another. Ancestors are exploded, so it is an equi-join."""
     up = F.transform(F.sequence(F.lit(1), F.size(F.split("dir", "/"))), lambda i: F.array_join(F.slice(F.split(F.col("dir"), "/"), 1, i), "/"))
@@ -35,12 +81,16 @@ def overlapping_mounts(mounts: DataFrame) -> DataFrame:
     return pairs.select(F.least("name", "inner_name").alias("a"), F.greatest("name", "inner_name").alias("b")).distinct()
 
 
-def worst_exit(rows: DataFrame) -> DataFrame:
-    """The worst exit code of rows(code) by severity: 2 over 4 over 3 over 1 over 0."""
-    severity = F.when(F.col("code") == 2, 4).when(F.col("code") == 4, 3).when(F.col("code") == 3, 2).when(F.col("code") == 1, 1).otherwise(0)
-    return rows.agg(F.max_by("code", severity).alias("code"))
+def severity(code: Column) -> Column:
+    """How bad an exit code is: 2 over 4 over 3 over 1 over 0."""
+    return F.when(code == 2, 4).when(code == 4, 3).when(code == 3, 2).when(code == 1, 1).otherwise(0)
+
+
+def worst_exit(rows: DataFrame, *by: str) -> DataFrame:
+    """The worst exit code of rows(code), for each group of the columns `by`."""
+    return rows.groupBy(*by).agg(F.max_by("code", severity(F.col("code"))).alias("code"))
 
 
-def across_mounts(hits: DataFrame) -> DataFrame:
-    """(path, verdict) of hits(path, mount): one mount found, several ambiguous."""
-    return hits.groupBy("path").agg(F.countDistinct("mount").alias("n")).select("path", F.when(F.col("n") > 1, "ambiguous").otherwise("found").alias("verdict"))
+def deepest_first(folders: DataFrame) -> DataFrame:
+    """folders(path) in an order in which they can be removed: the deepest first, then by path."""
+    return folders.withColumn("depth", rules.depth_of(F.col("path"))).orderBy(F.desc("depth"), "path")

@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
+MISFIT = "!misfit"
+#: Verdicts on a mirror's delta that this engine knows.
+KNOWN_DELTA = ("none", "pending", "epoch_mismatch", "rebuild_required")
 
 
 @dataclass
 class Filter:
-    """Conditions are joined by AND, the values of one condition by OR."""
+    """Conditions are joined by AND, the values of one condition by OR. The value "" asks for rows where the field is not set, MISFIT
+    for those whose value does not fit the field's declared kind (`kinds`: number or date; this engine's own test, a cast)."""
 
     under: list[str] = field(default_factory=list)
     tags: list[str] = field(default_factory=list)
     fields: dict[str, list[str]] = field(default_factory=dict)
     ranges: dict[str, tuple[str | None, str | None]] = field(default_factory=dict)
+    kinds: dict[str, str] = field(default_factory=dict)
 
     @classmethod
     def parse(cls, under: list[str], tags: list[str], specs: list[str]) -> Filter:
@@ -44,12 +50,27 @@ class Filter:
         if self.tags:
             every = every & F.exists(F.col(tags), lambda x: _any([(x == t) | F.startswith(x, F.lit(t + "/")) for t in self.tags]))
         for key, values in self.fields.items():
-            every = every & _any([F.col(key).isNull() if v == "" else F.col(key).cast("string") == v for v in values])
+            every = every & _any([self._matches(key, v) for v in values])
         for key, (low, high) in self.ranges.items():
-            value = F.col(key).try_cast("double")
-            every = every & (F.lit(True) if low is None else value >= float(low)) & (F.lit(True) if high is None else value <= float(high))
+            value = self._typed(key)
+            bound = (lambda x: F.to_date(F.lit(x))) if self.kinds.get(key) == "date" else (lambda x: F.lit(float(x)))
+            every = every & (F.lit(True) if low is None else value >= bound(low)) & (F.lit(True) if high is None else value <= bound(high))
         return every
 
+    def _typed(self, key: str) -> Column:
+        """The field's value as its declared kind; null where it does not fit. A number may have a decimal comma."""
+        text = F.trim(F.col(key).cast("string"))
+        if self.kinds.get(key) == "date":
+            return F.when(F.rlike(text, F.lit(r"^\d{4}-\d{2}-\d{2}\z")), text.try_cast("date"))
+        return F.when(F.rlike(text, F.lit(r"^-?[0-9]+([.,][0-9]+)?\z")), F.replace(text, F.lit(","), F.lit(".")).try_cast("double"))
+
+    def _matches(self, key: str, value: str) -> Column:
+        if value == "":
+            return F.col(key).isNull()
+        if value == MISFIT:
+            return F.col(key).isNotNull() & self._typed(key).isNull() if key in self.kinds else F.lit(False)
+        return F.coalesce(F.col(key).cast("string") == value, F.lit(False))
+
 
 def _any(conditions: list[Column]) -> Column:
     out = conditions[0]
@@ -85,8 +106,96 @@ def bm25(docs: DataFrame, query: list[str], limit: int = 20) -> DataFrame:
     return scored.select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
+def postings(docs: DataFrame, path: str, parts: int = 64) -> None:
+    """Write docs(id, text) as an index for bm25_indexed(): postings(term, id, tf, len) in folders of term hashes, sorted by term, and
+    one row of totals. It is written once and read by scans that are pruned to the asked terms."""
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    counted = docs.select("id", words.alias("w"))
+    rows = counted.select("id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+    dealt = rows.withColumn("part", _part(F.col("term"), parts)).repartition("part", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("part", "term")
+    dealt.write.partitionBy("part").parquet(f"{path}/postings")
+    counted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size("w")), F.lit(0.0)).alias("avg"), F.lit(parts).alias("parts")).write.parquet(f"{path}/totals")
+
+
+def _part(term: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
+
+
+def bm25_indexed(spark: SparkSession, path: str, query: list[str], limit: int = 20) -> DataFrame:
+    """(id, score): bm25() from an index of postings(); only the folders and row groups of the asked terms are read."""
+    totals = spark.read.parquet(f"{path}/totals").first()  # one row
+    if totals is None:
+        raise ValueError(f"no index at {path}")
+    terms = sorted(set(query))
+    numbers = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "term string").select(_part(F.col("term"), totals["parts"])).distinct().collect()]
+    rows = spark.read.schema("term string, id long, tf int, len int, part int").parquet(f"{path}/postings").filter(F.col("part").isin(numbers) & F.col("term").isin(terms))
+    frequency = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (totals["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(totals["avg"])))
+    scored = rows.join(F.broadcast(frequency), "term").withColumn("s", part)  # one row a term of the query
+    return scored.groupBy("id").agg(F.round(F.sum("s"), 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+
+
+def ranked_hits(scores: DataFrame, nodes: DataFrame, texts: DataFrame, terms: list[str], width: int = 160) -> DataFrame:
+    """(id, name, path, snippet, rank) of scores(id, score): texts(id, text) give a clip around the first hit, with hits in <b> marks."""
+    words = "|".join(sorted(re.escape(t) for t in set(terms)))
+    around = F.regexp_extract("text", rf"(?is)(?:\A|(?<=\s)).{{0,60}}?(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}]).{{0,{width}}}", 0)
+    marked = F.regexp_replace(F.substring(around, 1, width), rf"(?i)(?<![\p{{L}}\p{{N}}])({words})(?![\p{{L}}\p{{N}}])", "<b>$1</b>")
+    rows = scores.join(nodes.select("id", "path"), "id").join(texts, "id")
+    return rows.select("id", F.element_at(F.split("path", "/"), -1).alias("name"), "path", marked.alias("snippet"), F.col("score").cast("float").alias("rank"))
+
+
 def attachment_matches(files: DataFrame, needle: str) -> DataFrame:
-    return files.filter("live").filter(F.contains(F.lower("path"), F.lit(needle.lower()))).select("id", "path", F.lit("name").alias("match"))
+    """(id, path, match, page) of live files(id, path, live[, pages]): by name, or by the text of a page (pages: array of texts); a
+    match by name goes first, and has no page."""
+    has = lambda c: F.contains(F.lower(c), F.lit(needle.lower()))
+    pages = F.col("pages") if "pages" in files.columns else F.expr("cast(null as array<string>)")
+    numbers = F.filter(F.transform(pages, lambda x, i: F.when(has(x), i + 1)), lambda x: x.isNotNull())
+    rows = files.filter("live").withColumn("page", F.get(numbers, 0)).withColumn("named", has(F.col("path")))
+    return rows.filter(F.col("named") | F.col("page").isNotNull()).select("id", "path", F.when(F.col("named"), "name").otherwise("content").alias("match"), F.when(~F.col("named"), F.col("page")).cast("int").alias("page"))
+
+
+def envelopes(workspaces: DataFrame, outcomes: DataFrame, hits: DataFrame) -> DataFrame:
+    """One row a workspace that was asked, of outcomes(workspace, refused, degraded, delta): the number of its hits(workspace), none if
+    it was refused, whatever befell others; an unknown delta is null; an answer for a workspace that was not asked is dropped."""
+    counted = hits.groupBy("workspace").agg(F.count(F.lit(1)).alias("n"))
+    rows = workspaces.select("workspace").join(outcomes, "workspace", "left").join(counted, "workspace", "left")
+    refused = F.col("refused").isNotNull()
+    known = F.when(F.col("delta").isin(*KNOWN_DELTA), F.col("delta"))
+    return rows.select("workspace", "refused", F.coalesce("degraded", F.lit(False)).alias("degraded"), F.when(~refused, known).alias("delta"), F.when(refused, 0).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("hits"))
+
+
+def verdict(rows: DataFrame) -> DataFrame:
+    """One row of envelopes(): any_hit, any_degraded, any_refused, and what no hits mean: refused over degraded over no_hits."""
+    any_of = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    one = rows.agg(any_of(F.col("hits") > 0).alias("any_hit"), any_of(F.col("degraded")).alias("any_degraded"), any_of(F.col("refused").isNotNull()).alias("any_refused"))
+    return one.withColumn("verdict", search_verdict(F.col("any_refused"), F.col("any_degraded"), F.col("any_hit")))
+
+
+def ask_decision() -> Column:
+    """Whether a mirror's position goes with a request, for columns state, identity and unusable (a reason or null)."""
+    return (
+        F.when(F.col("state") == "unreadable", "state_unreadable").when(F.col("state") == "absent", "never_synced")
+        .when((F.col("identity") != "ours") | F.col("unusable").isNotNull(), "unusable").otherwise("ask")
+    )
+
+
+def mirror_sentence() -> Column:
+    """Which sentence about its mirror goes with a workspace's answer, for columns refused, decision, identity and delta; null for none: a
+    refusal silences it, as does a mirror that was never synced."""
+    return (
+        F.when(F.col("refused").isNotNull() | (F.col("decision") == "never_synced"), None).when(F.col("decision") == "state_unreadable", "state_unreadable")
+        .when((F.col("decision") == "unusable") & (F.col("identity") == "foreign"), "not_this_mirror").when(F.col("decision") == "unusable", "cannot_be_vouched_for")
+        .when(F.col("delta").isin("pending", "epoch_mismatch", "rebuild_required"), F.col("delta"))
+    )
+
+
+def filter_problem(mounts: int, filtered: bool, outcomes: DataFrame) -> DataFrame:
+    """One row (problem): a filter needs exactly one mount, and a server that answers without applying it is an error; else null."""
+    ignored = outcomes.filter("refused is null and not filter_applied").limit(1).agg(F.count(F.lit(1)).alias("n"))
+    if not filtered:
+        return ignored.select(F.lit(None).cast("string").alias("problem"))
+    return ignored.select(F.when(F.lit(mounts != 1), "needs_one_mount").when(F.col("n") > 0, "filter_not_applied").alias("problem"))
 
 
 def coverage_line(counts: dict[str, Column]) -> Column:
@@ -94,9 +203,15 @@ def coverage_line(counts: dict[str, Column]) -> Column:
 
 
 def search_verdict(refused: Column, degraded: Column, hits: Column) -> Column:
-    return F.when(refused, "refused").when(hits > 0, "hits").when(degraded, "degraded").otherwise("no_hits")
+    """What a search without hits means; `hits` if there are any."""
+    return F.when(hits, "hits").when(refused, "refused").when(degraded, "degraded").otherwise("no_hits")
 
 
 def batches(workspaces: DataFrame, size: int = 16) -> DataFrame:
     """workspaces(id) in batches for one request each; workspaces are configured by hand, so one window suffices."""
     return workspaces.withColumn("batch", F.floor((F.row_number().over(Window.orderBy("id")) - 1) / size))
+
+
+def hit_lists(notes: DataFrame, files: DataFrame) -> DataFrame:
+    """Hits of both kinds as one table (arm, id, path, ...): the lists stay apart by their arm, and lack each other's columns."""
+    return notes.withColumn("arm", F.lit("notes")).unionByName(files.withColumn("arm", F.lit("attachments")), allowMissingColumns=True)

@@ -1,9 +1,15 @@
-"""Markdown task lines: one Arrow-batched pass from (id, text) to typed task rows."""
+"""Markdown task lines: one Arrow-batched pass from (id, text) to typed task rows.
+
+A checkbox is a list item `[mark]` whose mark is one of CATEGORY, followed by a blank or the line's end. Items nest as lists do:
+an item belongs to the nearest one whose content it is indented to, and a checkbox's parent is the nearest checkbox among those.
+Front matter, fenced, indented and inline code and `%%` comments are never read. A null or empty text holds no task.
+"""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from datetime import date
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,10 +20,15 @@ CATEGORY = {" ": "open", "/": "in_progress", "h": "waiting", "x": "done", "X": "
 DATES = {"📅": "due", "⏳": "scheduled", "✅": "done"}
 SIGNAL_FIELDS = ("owner", "horizon", "check", "waiting", "milestone")
 
-_BOX = re.compile(r"^(?P<quote>(?:\s*>)*)(?P<indent>\s*)(?:[-*+]|\d+[.)]) \[(?P<mark>[ /hxX-])\] ?(?P<text>.*)$")
-_FIELD = re.compile(r"\[([^\[\]:]+):: ?([^\[\]]*)\]")
-_DATE = re.compile(r"\s*(📅|⏳|✅)\s*(\d{4}-\d{2}-\d{2})\s*$")
-_ID = re.compile(r"\s\^([A-Za-z0-9-]+)\s*$")
+_QUOTE = re.compile(r" {0,3}>[ \t]?")
+_FENCE = re.compile(r"[ \t]*(`{3,}|~{3,})")
+_ITEM = re.compile(r"(?P<indent>[ \t]*)(?P<bullet>[-*+]|\d{1,9}[.)])(?:(?P<gap>[ \t]+)(?P<rest>.*))?$")
+_BOX = re.compile(r"\[([ /hxX-])\](?:\s+(.*))?$")
+_FIELD = re.compile(r"(?<!\[)\[([^\[\]:]+)::\s*([^\[\]]*)\](?!\])")
+_DATE = re.compile(r"(?:^|\s)(📅|⏳|✅)️?\s*(\d{4}-\d{2}-\d{2})$")
+_ID = re.compile(r"(?:^|\s)\^([A-Za-z0-9-]+)$")
+_CODE = re.compile(r"(`+)(?!`).+?(?<!`)\1(?!`)")
+_TAG = re.compile(r"(?<![\w&#/])#([\w/-]+)")
 
 
 def fnv1a(data: bytes) -> int:
@@ -27,67 +38,134 @@ def fnv1a(data: bytes) -> int:
     return h
 
 
-def parse_tasks(text: str) -> list[dict]:
-    """Task rows in document order; code fences, comments and front matter are never read."""
-    out: list[dict] = []
-    stack: list[tuple[int, int]] = []
-    switch, fence, comment, front = None, None, False, False
-    for number, line in enumerate(text.split("\n"), 1):
-        if number == 1 and line.strip() == "---":
-            front = True
-            continue
-        if front:
-            if line.strip() == "---":
-                front = False
-            elif m := re.fullmatch(r"tasks:\s*(true|false)\s*", line):
-                switch = m[1] == "true"
+def _real_day(text: str) -> bool:
+    try:
+        date.fromisoformat(text)
+    except ValueError:
+        return False
+    return True
+
+
+def _front_matter(lines: list[str]) -> tuple[int, bool | None]:
+    """(number of lines that the front matter takes, its boolean `tasks`); an unclosed one is no front matter."""
+    if not lines or lines[0].rstrip() != "---":
+        return 0, None
+    for end, line in enumerate(lines[1:], 1):
+        if line.rstrip() == "---":
+            found = [m[1] == "true" for x in lines[1:end] if (m := re.fullmatch(r"tasks:\s*(true|false)\s*", x))]
+            return end + 1, found[-1] if found else None
+    return 0, None
+
+
+def _visible(lines: list[str], first: int) -> Iterator[tuple[int, int, str]]:
+    """(line number from 1, depth of quotes, text without quote marks and comments) of lines that are no fenced code."""
+    fence, comment = "", False
+    for number, line in enumerate(lines[first:], first + 1):
+        depth = 0
+        while not comment and (m := _QUOTE.match(line)):
+            depth, line = depth + 1, line[m.end() :]
+        if fence:
+            if (m := _FENCE.match(line)) and m[1].startswith(fence) and not line[m.end() :].strip():
+                fence = ""
             continue
-        bare = re.sub(r"^(\s*>)*\s*", "", line)
-        if fence or bare.startswith(("```", "~~~")):
-            fence = bare[:3] if not fence else (None if bare.startswith(fence) else fence)
+        if not comment and (m := _FENCE.match(line)):
+            fence = m[1]
+            yield number, depth, ""
             continue
-        if line.count("%%") % 2:
-            comment = not comment
+        kept = []
+        for k, part in enumerate(line.split("%%")):
+            comment = comment if k == 0 else not comment
+            if not comment:
+                kept.append(part)
+        yield number, depth, "".join(kept).rstrip()
+
+
+def _tags(body: str) -> list[str]:
+    """Tags of a line, one per tag ignoring case, the first spelling kept."""
+    out: dict[str, str] = {}
+    for m in _TAG.finditer(body):
+        tag = m[1].strip("/")
+        if tag and not tag.replace("/", "").isdigit():
+            out.setdefault(tag.lower(), tag)
+    return list(out.values())
+
+
+def _task(bullet_on: str, mark: str, body: str) -> dict:
+    """What a checkbox line says; bullet_on is the line from its bullet to the end."""
+    hidden = _CODE.sub(lambda m: "\0" * len(m[0]), body)
+    tags = _tags(hidden)
+    task = block = None
+    if m := _ID.search(hidden):
+        task, block = (m[1], None) if m[1].startswith("t-") else (None, m[1])
+        hidden = hidden[: m.start()].rstrip()
+    dates = []
+    while (m := _DATE.search(hidden)) and _real_day(m[2]):
+        dates.append((DATES[m[1]], m[2]))
+        hidden = hidden[: m.start()].rstrip()
+    fields, text, at = [], [], 0
+    for m in _FIELD.finditer(hidden):
+        fields.append((m[1].strip(), m[2].strip()))
+        text.append(body[at : m.start()])
+        at = m.end()
+    text.append(body[at : len(hidden)])
+    signal = bool(task or dates or mark in "/h-" or any(k in SIGNAL_FIELDS for k, _ in fields))
+    return {
+        "category": CATEGORY[mark], "symbol": mark, "text": " ".join("".join(text).split()), "task_id": task, "block_id": block,
+        "hash": None if task or block else f"{fnv1a(bullet_on.encode()):08x}", "fields": [f"{k}={v}" for k, v in fields],
+        "dates": [f"{k}={v}" for k, v in reversed(dates)], "tags": tags, "is_task": signal,
+    }
+
+
+def parse_tasks(text: str) -> list[dict]:
+    """Task rows in document order."""
+    lines = text.replace("\r\n", "\n").split("\n")
+    first, switch = _front_matter(lines)
+    out: list[dict] = []
+    open_items: list[tuple[int, int | None]] = []  # (column of the item's content, ordinal of a checkbox)
+    quotes, blank = 0, True
+    for number, depth, line in _visible(lines, first):
+        if not line.strip():
+            blank = True
             continue
-        m = None if comment else _BOX.match(line)
+        if depth != quotes:
+            open_items, quotes = [], depth
+        indent = len(line) - len(line.lstrip()) if "\t" not in line else len(re.match(r"[ \t]*", line)[0].expandtabs(4))
+        m = _ITEM.match(line)
         if not m:
-            if line.strip() and not line.startswith((" ", "\t", ">")):
-                stack.clear()
+            if blank:  # else it goes on with the item's paragraph
+                open_items = [x for x in open_items if x[0] <= indent]
+            blank = False
             continue
-        indent = len(m["indent"].expandtabs(4))
-        body, task, block = m["text"], None, None
-        if i := _ID.search(" " + body):
-            task, block = (i[1], None) if i[1].startswith("t-") else (None, i[1])
-            body = (" " + body)[: i.start()].strip()
-        dates = []
-        while d := _DATE.search(body):
-            dates.append((DATES[d[1]], d[2]))
-            body = body[: d.start()]
-        fields = _FIELD.findall(body)
-        described = " ".join(_FIELD.sub("", body).split())
-        while stack and stack[-1][0] >= indent:
-            stack.pop()
-        signal = bool(task or dates or m["mark"] in "/h-" or any(k.strip() in SIGNAL_FIELDS for k, _ in fields))
-        out.append({
-            "ordinal": len(out), "parent": stack[-1][1] if stack else None, "line": number, "category": CATEGORY[m["mark"]], "symbol": m["mark"], "text": described,
-            "task_id": task, "block_id": block, "hash": None if task or block else f"{fnv1a(described.encode()):08x}", "fields": [f"{k.strip()}={v.strip()}" for k, v in fields],
-            "dates": [f"{k}={v}" for k, v in reversed(dates)], "is_task": signal if switch is None else switch,
-        })
-        stack.append((indent, out[-1]["ordinal"]))
+        while open_items and open_items[-1][0] > indent:
+            open_items.pop()
+        blank = False
+        if indent >= (open_items[-1][0] if open_items else 0) + 4:
+            continue  # indented code
+        gap = len((m["gap"] or " ").expandtabs(4))
+        content = indent + len(m["bullet"]) + (gap if gap <= 4 else 1)
+        box = _BOX.match(m["rest"] or "")
+        if box:
+            parent = next((o for _, o in reversed(open_items) if o is not None), None)
+            made = _task(line.strip(), box[1], box[2] or "")
+            made["is_task"] = made["is_task"] if switch is None else switch
+            out.append({"ordinal": len(out), "parent": parent, "line": number, **made})
+        open_items.append((content, len(out) - 1 if box else None))
     return out
 
 
-SCHEMA = "id long, ordinal int, parent int, line int, category string, symbol string, text string, task_id string, block_id string, hash string, fields array<string>, dates array<string>, is_task boolean"
+SCHEMA = "id long, ordinal int, parent int, line int, category string, symbol string, text string, task_id string, block_id string, hash string, fields array<string>, dates array<string>, tags array<string>, is_task boolean"
+_KINDS = [pa.int64(), *[pa.int32()] * 3, *[pa.string()] * 6, *[pa.list_(pa.string())] * 3, pa.bool_()]
 
 
 def extract_tasks(docs: DataFrame) -> DataFrame:
     """One row a task of docs(id, text)."""
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.string()] * 6, pa.list_(pa.string()), pa.list_(pa.string()), pa.bool_()]
     names = [part.split()[0] for part in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [{"id": i, **task} for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for task in parse_tasks(text or "")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names)
+            for low in range(0, batch.num_rows, 1000):
+                ids, texts = (batch.column(k).slice(low, 1000).to_pylist() for k in range(2))
+                rows = [{"id": i, **task} for i, text in zip(ids, texts, strict=True) for task in parse_tasks(text or "")]
+                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, _KINDS, strict=True)], names)
 
     return docs.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(run, SCHEMA)

@@ -2,44 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import partial
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions import rules
 from tarn.operators import changes, graph, reconcile, related, search, tasks
-from tarn.sources.scratch import new_path, store
+from tarn.plans.registry import ORACLES, QUERIES, Query, query
 from tarn.sources import tables
+from tarn.sources.scratch import new_path, store
 from tarn.sources.tables import with_sql
 from tarn.streaming import replay
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL."""
-
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
 
 def queries() -> dict[str, Query]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLES)
 
 
+def _load() -> None:
+    """The other modules of queries register theirs when they are imported."""
+    from tarn.plans import mirror, reads  # noqa: F401
+
+
 # --- graph reads -----------------------------------------------------------------------------------------------------
 
 
@@ -52,6 +41,11 @@ def tag_counts(s, d):
     return graph.tag_counts(_tags(s, d), tables.link_nodes(s, d))
 
 
+@query(with_sql("ln", "SELECT tag, n, row_number() OVER (ORDER BY n DESC, tag) AS place FROM (SELECT priority AS tag, count(DISTINCT id) AS n FROM ln WHERE live GROUP BY priority)"))
+def tag_list(s, d):
+    return graph.tag_list(_tags(s, d), tables.link_nodes(s, d))
+
+
 @query(with_sql("ln", "SELECT id AS node, [priority] AS tags FROM ln WHERE live AND priority = '1-URGENT'"))
 def tagged(s, d):
     return graph.tagged(_tags(s, d), tables.link_nodes(s, d), "1-URGENT")
@@ -83,7 +77,10 @@ def attachment_embeds(s, d):
     return graph.attachment_embeds(tables.edges(s, d), tables.link_nodes(s, d), tables.attachments(s, d))
 
 
-@query(with_sql("ln e", "SELECT DISTINCT att AS subject, src AS other FROM e JOIN ln ON ln.id = src AND live WHERE att IS NOT NULL"))
+EMBEDDERS = "SELECT DISTINCT att AS subject, src AS other FROM e JOIN ln ON ln.id = src AND ln.live WHERE att IS NOT NULL"
+
+
+@query(with_sql("ln e", EMBEDDERS))
 def attachment_embedders(s, d):
     return graph.attachment_embedders(tables.edges(s, d), tables.link_nodes(s, d))
 
@@ -93,14 +90,14 @@ def unresolved_refs(s, d):
     return graph.unresolved_refs(tables.edges(s, d))
 
 
-@query(with_sql("ln e a", f"SELECT id AS subject, id AS other FROM ln UNION {FORWARD} UNION {BACK} UNION {EMBEDS}"))
+@query(with_sql("ln e a", f"SELECT id AS subject, id AS other FROM ln UNION SELECT id, id FROM a UNION {FORWARD} UNION {BACK} UNION {EMBEDS} UNION {EMBEDDERS}"))
 def exclusion_set(s, d):
     return graph.exclusion_set(tables.edges(s, d), tables.link_nodes(s, d), tables.attachments(s, d))
 
 
-@query(with_sql("ln e a", f"""SELECT subject, count(*) FILTER (w = 'l') AS links, count(*) FILTER (w = 'b') AS backlinks, count(*) FILTER (w = 'f') AS files, count(*) FILTER (w = 'u') AS unresolved
-    FROM (SELECT subject, 'l' AS w FROM ({FORWARD}) UNION ALL SELECT subject, 'b' FROM ({BACK}) UNION ALL SELECT subject, 'f' FROM ({EMBEDS}) UNION ALL SELECT subject, 'u' FROM ({UNRESOLVED}))
-    WHERE subject IN (SELECT id FROM ln WHERE live) GROUP BY subject"""))
+@query(with_sql("ln e a", f"""SELECT id AS subject, count(*) FILTER (w = 'l') AS links, count(*) FILTER (w = 'b') AS backlinks, count(*) FILTER (w = 'f') AS files, count(*) FILTER (w = 'u') AS unresolved
+    FROM ln LEFT JOIN (SELECT subject, 'l' AS w FROM ({FORWARD}) UNION ALL SELECT subject, 'b' FROM ({BACK}) UNION ALL SELECT subject, 'f' FROM ({EMBEDS}) UNION ALL SELECT subject, 'u' FROM ({UNRESOLVED})) ON subject = id
+    WHERE live GROUP BY id"""))
 def graph_summary(s, d):
     return graph.graph_summary(tables.edges(s, d), tables.link_nodes(s, d), tables.attachments(s, d))
 
@@ -169,7 +166,7 @@ ODD = """, o AS (SELECT id, CASE id % 23 WHEN 1 THEN 'src0/.GIT/' || id WHEN 2 T
     WHEN 5 THEN 'src0/' || repeat('é', 130) || '.md' WHEN 6 THEN 'src0' ELSE path END AS path, NOT live AS trashed, CASE WHEN id % 29 = 0 THEN 'canvas' ELSE 'file' END AS kind FROM dn),
   r AS (SELECT *, CASE WHEN trashed THEN 'trashed' WHEN kind = 'canvas' THEN 'unknown_kind' WHEN id % 23 = 1 THEN 'reserved' WHEN id % 23 = 2 THEN 'control' WHEN path = 'src0' THEN 'scope_root'
     WHEN NOT starts_with(path, 'src0/') THEN 'out_of_scope' WHEN id % 23 = 3 THEN 'instruction_name' WHEN NOT ends_with(path, '.md') THEN 'bad_note_name' WHEN id % 23 = 5 THEN 'unrepresentable' END AS reason FROM o)
-  SELECT id, path, CASE WHEN reason IS NULL THEN 'put' WHEN reason IN ('reserved', 'control', 'instruction_name', 'bad_note_name', 'unrepresentable') THEN 'park' WHEN id % 3 <> 0 THEN 'remove' ELSE 'ledger_only' END AS disposition, reason FROM r"""
+  SELECT id, path, CASE WHEN reason IS NULL THEN 'put' WHEN reason IN ('control', 'instruction_name', 'bad_note_name', 'unrepresentable') THEN 'park' WHEN id % 3 <> 0 THEN 'remove' ELSE 'ledger_only' END AS disposition, reason FROM r"""
 
 
 @query(with_sql("dn", "").rstrip() + ODD)
@@ -178,6 +175,21 @@ def classify(s, d):
     return changes.classify(rows, rows.filter(F.col("id") % 3 != 0), "src0")
 
 
+@query(with_sql("dn", "").rstrip() + """, g AS (SELECT id, id % 7 AS n, path, live FROM dn), r AS (SELECT id, CASE n WHEN 0 THEN '.github/docs' WHEN 1 THEN '.github/docs/.claude/' || id || '.md' WHEN 2 THEN '.github/' || path
+    WHEN 3 THEN '.github/docs/.GitHub/x/' || id || '.md' WHEN 4 THEN '.git/docs/' || path ELSE '.github/docs/' || path END AS path,
+    CASE WHEN NOT live THEN 'trashed' WHEN n = 0 THEN 'scope_root' WHEN n IN (1, 3) THEN 'instruction_name' WHEN n = 2 THEN 'out_of_scope' WHEN n = 4 THEN 'reserved' END AS reason FROM g)
+  SELECT id, path, CASE WHEN reason IS NULL THEN 'put' WHEN reason = 'instruction_name' THEN 'park' WHEN id % 3 <> 0 THEN 'remove' ELSE 'ledger_only' END AS disposition, reason FROM r""")
+def classify_below_instructions(s, d):
+    """A scope that itself lies below a name that agents read: only names below the scope park."""
+    n, text = F.col("id") % 7, F.col("id").cast("string")
+    path = (
+        F.when(n == 0, ".github/docs").when(n == 1, F.concat(F.lit(".github/docs/.claude/"), text, F.lit(".md"))).when(n == 2, F.concat(F.lit(".github/"), F.col("path")))
+        .when(n == 3, F.concat(F.lit(".github/docs/.GitHub/x/"), text, F.lit(".md"))).when(n == 4, F.concat(F.lit(".git/docs/"), F.col("path"))).otherwise(F.concat(F.lit(".github/docs/"), F.col("path")))
+    )
+    rows = tables.doc_nodes(s, d).select("id", path.alias("path"), (~F.col("live")).alias("trashed"), F.lit("file").alias("kind"))
+    return changes.classify(rows, rows.filter(F.col("id") % 3 != 0), ".github/docs")
+
+
 FOLDED = "SELECT c_custkey AS id, c_mktsegment || '/' || CASE c_custkey % 3 WHEN 0 THEN 'Ärger' WHEN 1 THEN 'ÄRGER' ELSE 'A' || chr(776) || 'RGER' END || c_nationkey AS path, c_custkey AS seq FROM customer"
 
 
@@ -187,28 +199,33 @@ def _fold_rows(s, d):
     return tables.table(s, d, "customer").select(k.alias("id"), F.concat("c_mktsegment", F.lit("/"), name, F.col("c_nationkey").cast("string")).alias("path"), k.alias("seq"))
 
 
-@query(f"""SELECT id, replace(lower(nfc_normalize(path)), 'ς', 'σ') AS fold_key, CAST(row_number() OVER (PARTITION BY replace(lower(nfc_normalize(path)), 'ς', 'σ') ORDER BY CASE WHEN id % 50 = 0 THEN 0 ELSE 1 END, seq) AS INTEGER) AS place FROM ({FOLDED})""")
-def fold_collisions(s, d):
+@query(f"""WITH k AS (SELECT id, seq, replace(lower(nfc_normalize(path)), 'ς', 'σ') AS fold_key FROM ({FOLDED}))
+    SELECT id, fold_key, first_value(id) OVER (PARTITION BY fold_key ORDER BY CASE WHEN id % 50 = 0 THEN 0 ELSE 1 END, seq, id) AS holder FROM k""")
+def first_claimants(s, d):
     rows = _fold_rows(s, d)
-    return changes.fold_collisions(rows, rows.filter(F.col("id") % 50 == 0))
+    return changes.first_claimants(rows, rows.filter(F.col("id") % 50 == 0))
 
 
 @query(f"SELECT id, replace(lower(nfc_normalize(path)), 'ς', 'σ') AS folded FROM ({FOLDED})")
 def fold_path(s, d):
-    return _fold_rows(s, d).select("id", rules.fold_path(F.col("path")).alias("folded"))
+    return rules.with_fold_key(_fold_rows(s, d), name="folded").select("id", "folded")
 
 
 @query()
 def collision_fixpoint(s, d):
-    rows = _fold_rows(s, d)
-    below = rows.select((F.col("id") + 10_000_000).alias("id"), F.concat("path", F.lit("/child.md")).alias("path"), F.col("seq"))
-    return changes.collision_fixpoint(rows.unionByName(below), rows.filter(F.col("id") % 50 == 0), store)
+    """Customers as folders with children below them, some tracked already, some parked on arrival, and durable parks of earlier pages."""
+    rows = _fold_rows(s, d).withColumn("parked", F.col("id") % 31 == 0)
+    below = rows.select((F.col("id") + 10_000_000).alias("id"), F.concat("path", F.lit("/child.md")).alias("path"), "seq", F.lit(False).alias("parked"))
+    held = rows.select((F.col("id") + 20_000_000).alias("id"), "path").filter(F.col("id") % 50 == 0)
+    parks = rows.select((F.col("id") + 30_000_000).alias("id"), "path").filter(F.col("id") % 41 == 0)
+    return changes.collision_fixpoint(rows.unionByName(below), store, held, parks)
 
 
-@query(with_sql("cl lt st", "SELECT id, rev FROM st WHERE id NOT IN (SELECT id FROM cl WHERE rev % 2 = 0)"))
+@query(with_sql("cl lt st", "SELECT id, rev FROM st WHERE id NOT IN (SELECT id FROM lt WHERE kind = 'view')"))
 def prune(s, d):
-    log = tables.changelog(s, d)
-    return changes.prune(tables.sampled_state(changes.latest(log)), log.filter(F.col("rev") % 2 == 0))
+    """Tracked ids that a replay does not deliver; here it delivers those last viewed."""
+    last = changes.latest(tables.changelog(s, d))
+    return changes.prune(tables.sampled_state(last), last.filter("kind = 'view'"))
 
 
 @query(with_sql("cl lt st", "SELECT id, rev FROM st WHERE id NOT IN (SELECT id FROM lt WHERE NOT trashed)"))
@@ -282,22 +299,75 @@ def cdc_stream(s, d):
     log = tables.changelog(s, d)
     source = new_path(s, "log")
     log.repartition(3, "id").write.parquet(source)
-    return replay.replay(s, source, log.schema, new_path(s, "state"), new_path(s, "checkpoint"))
+    return replay.replay(s, source, log.schema, new_path(s, "state"), new_path(s, "checkpoint"), parts=8)
 
 
 # --- reconciliation --------------------------------------------------------------------------------------------------
 
-RECON = """, server AS (SELECT id, path, n_chars AS digest FROM dn WHERE live), disk AS (SELECT path, CASE WHEN id % 5 = 0 THEN n_chars + 1 ELSE n_chars END AS digest, CASE WHEN id % 17 = 0 THEN id + 1 ELSE id END AS disk_id FROM dn WHERE id % 7 <> 0),
-  state AS (SELECT id, path FROM dn WHERE id % 4 <> 0), j AS (SELECT coalesce(s.path, k.path, t.path) AS path, s.id AS s_id, t.id AS t_id, disk_id, s.digest AS sd, k.digest AS dd FROM server s FULL JOIN disk k ON k.path = s.path FULL JOIN state t ON t.path = coalesce(s.path, k.path)),
-  c AS (SELECT path, coalesce(s_id, t_id, disk_id) AS id, unnest([CASE WHEN s_id IS NOT NULL AND dd IS NULL THEN 'missing-local' END, CASE WHEN s_id IS NOT NULL AND sd <> dd THEN 'digest-mismatch' END, CASE WHEN s_id <> disk_id THEN 'id-mismatch' END,
-    CASE WHEN s_id IS NOT NULL AND dd IS NOT NULL AND t_id IS NULL THEN 'untracked' END, CASE WHEN s_id IS NULL AND dd IS NOT NULL THEN 'missing-remote' END, CASE WHEN s_id IS NULL AND t_id IS NOT NULL THEN 'state-orphan' END]) AS class FROM j)"""
+# Server nodes: documents as notes, pages as attachments, suppliers as folders, parts as notes of which two at a time fold onto one path.
+RECON = """, srv AS (SELECT id, 'file' AS kind, path, CAST(n_chars AS VARCHAR) AS digest FROM dn WHERE live
+    UNION ALL SELECT page_id + 1000000000, 'attachment', 'pages/' || page_id || '.html', 'm' || page_id FROM pages
+    UNION ALL SELECT s_suppkey + 2000000000, 'folder', 'dir/' || s_suppkey, NULL FROM supplier
+    UNION ALL SELECT p_partkey + 3000000000, 'file', CASE WHEN p_partkey % 2 = 0 THEN 'fold/N' ELSE 'fold/n' END || p_partkey // 2 || '.md', 'p' FROM part),
+  st AS (SELECT id, 'note' AS kind, path AS local_path, NULL AS marker_path FROM dn WHERE id % 4 <> 0 AND id % 13 <> 0 AND id % 11 <> 0
+    UNION ALL SELECT id, 'note', 'old/' || id || '.md', NULL FROM dn WHERE id % 4 <> 0 AND id % 13 <> 0 AND id % 11 = 0
+    UNION ALL SELECT id + 5000000, 'note', path, NULL FROM dn WHERE id % 13 = 0
+    UNION ALL SELECT page_id + 1000000000, 'attachment', 'pages/' || page_id || '.html', CASE WHEN page_id % 3 = 0 THEN '.ctl/markers/' ELSE 'pages/' END || page_id || '.html.ctl' FROM pages WHERE page_id % 4 <> 0
+    UNION ALL SELECT s_suppkey + 2000000000, 'folder', 'dir/' || s_suppkey, NULL FROM supplier WHERE s_suppkey % 2 = 0
+    UNION ALL SELECT p_partkey + 3000000000, 'note', 'fold/n' || p_partkey // 2 || '.md', NULL FROM part WHERE p_partkey % 6 = 1),
+  pk AS (SELECT id, path FROM dn WHERE live AND id % 29 = 0),
+  e AS (SELECT s.id, CASE s.kind WHEN 'file' THEN 'note' ELSE s.kind END AS kind, CASE WHEN s.kind = 'attachment' THEN coalesce(t.marker_path, s.path || '.ctl') ELSE s.path END AS path, digest
+    FROM srv s LEFT JOIN st t ON t.id = s.id WHERE s.id NOT IN (SELECT id FROM pk)),
+  dk AS (SELECT CASE WHEN id % 19 = 0 THEN upper(path) ELSE path END AS path, FALSE AS is_folder, CASE WHEN id % 5 = 0 THEN 'x' ELSE CAST(n_chars AS VARCHAR) END AS digest FROM dn WHERE id % 7 <> 0
+    UNION ALL SELECT path, FALSE, CASE WHEN id % 5 = 0 THEN 'drift' ELSE digest END FROM e WHERE kind = 'attachment' AND id % 8 <> 1
+    UNION ALL SELECT 'dir/' || s_suppkey, s_suppkey % 5 <> 0, NULL FROM supplier WHERE s_suppkey % 3 <> 0
+    UNION ALL SELECT 'fold/n' || p_partkey // 2 || '.md', FALSE, 'p' FROM part WHERE p_partkey % 2 = 1
+    UNION ALL SELECT 'stray/' || n_name || '.txt', FALSE, 's' FROM nation UNION ALL SELECT 'stray/' || n_name, TRUE, NULL FROM nation
+    UNION ALL SELECT 'tmp/.write-' || lpad(CAST(r_regionkey AS VARCHAR), 16, '0') || '.tmp', FALSE, 't' FROM region),
+  o AS (SELECT id, CASE WHEN kind = 'attachment' THEN marker_path ELSE local_path END AS at FROM st),
+  j AS (SELECT e.*, dk.path IS NOT NULL AND dk.is_folder = (kind = 'folder') AS present, dk.digest IS DISTINCT FROM e.digest AS differs, coalesce(o.at <> e.path, TRUE) AS elsewhere, h.id AS held_by
+    FROM e LEFT JOIN dk ON lower(dk.path) = lower(e.path) LEFT JOIN o ON o.id = e.id LEFT JOIN (SELECT local_path, min(id) AS id FROM st WHERE kind <> 'attachment' GROUP BY 1) h ON h.local_path = e.path),
+  c AS (SELECT path, id, unnest([CASE WHEN NOT present THEN 'missing-local' END, CASE WHEN present AND kind = 'note' AND differs THEN 'digest-mismatch' END, CASE WHEN present AND kind = 'note' AND held_by <> id THEN 'id-mismatch' END,
+      CASE WHEN present AND kind = 'attachment' AND differs THEN 'marker-drift' END,
+      CASE WHEN present AND (kind = 'note' AND held_by IS NULL OR kind = 'folder' AND elsewhere OR kind = 'attachment' AND NOT differs AND elsewhere) THEN 'untracked' END]) AS class FROM j
+    UNION ALL SELECT path, id, 'fold-collision' FROM (SELECT path, id, row_number() OVER (PARTITION BY lower(path) ORDER BY elsewhere, id) AS n FROM j) WHERE n > 1
+    UNION ALL SELECT path, NULL, CASE WHEN contains(path, '/.write-') THEN 'crash-residue' ELSE 'missing-remote' END FROM dk WHERE lower(path) NOT IN (SELECT lower(path) FROM e)
+    UNION ALL SELECT local_path, id, 'state-orphan' FROM st WHERE id NOT IN (SELECT id FROM srv) UNION ALL SELECT path, id, 'parked' FROM pk)"""
 
 
 def _reconciled(s, d):
-    nodes = tables.doc_nodes(s, d)
-    server = nodes.filter("live").select("id", "path", F.col("n_chars").alias("digest"))
-    disk = nodes.filter("id % 7 <> 0").select("path", F.expr("if(id % 5 = 0, n_chars + 1, n_chars)").alias("digest"), F.expr("if(id % 17 = 0, id + 1, id)").alias("disk_id"))
-    return reconcile.reconcile(server, disk, nodes.filter("id % 4 <> 0").select("id", "path"))
+    nodes, table = tables.doc_nodes(s, d), lambda n: tables.table(s, d, n)
+    text, none = (lambda c: F.col(c).cast("string")), F.lit(None).cast("string")
+    digest = F.col("n_chars").cast("string")
+    page, dir_, half = F.concat(F.lit("pages/"), text("page_id"), F.lit(".html")), F.concat(F.lit("dir/"), text("s_suppkey")), F.expr("cast(p_partkey div 2 as string)")
+    server = (
+        nodes.filter("live").select("id", F.lit("file").alias("kind"), "path", digest.alias("digest"))
+        .union(table("pages").select(F.col("page_id") + 1_000_000_000, F.lit("attachment"), page, F.concat(F.lit("m"), text("page_id"))))
+        .union(table("supplier").select(F.col("s_suppkey") + 2_000_000_000, F.lit("folder"), dir_, none))
+        .union(table("part").select(F.col("p_partkey") + 3_000_000_000, F.lit("file"), F.concat(F.when(F.col("p_partkey") % 2 == 0, "fold/N").otherwise("fold/n"), half, F.lit(".md")), F.lit("p")))
+    )
+    marker = F.concat(F.when(F.col("page_id") % 3 == 0, ".ctl/markers/").otherwise("pages/"), text("page_id"), F.lit(".html.ctl"))
+    place = F.when(F.col("id") % 11 == 0, F.concat(F.lit("old/"), text("id"), F.lit(".md"))).otherwise(F.col("path"))
+    state = (
+        nodes.filter("id % 4 <> 0 and id % 13 <> 0").select("id", F.lit("note").alias("kind"), place.alias("local_path"), none.alias("marker_path"))
+        .union(nodes.filter("id % 13 = 0").select(F.col("id") + 5_000_000, F.lit("note"), "path", none))
+        .union(table("pages").filter("page_id % 4 <> 0").select(F.col("page_id") + 1_000_000_000, F.lit("attachment"), page, marker))
+        .union(table("supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey") + 2_000_000_000, F.lit("folder"), dir_, none))
+        .union(table("part").filter("p_partkey % 6 = 1").select(F.col("p_partkey") + 3_000_000_000, F.lit("note"), F.concat(F.lit("fold/n"), half, F.lit(".md")), none))
+    )
+    parks = nodes.filter("live and id % 29 = 0").select("id", "path")
+    wanted = reconcile.expectations(server, state, parks).filter("kind = 'attachment' and id % 8 <> 1")
+    file = F.lit(False).alias("is_folder")
+    disk = (
+        nodes.filter("id % 7 <> 0").select(F.expr("if(id % 19 = 0, upper(path), path)").alias("path"), file, F.when(F.col("id") % 5 == 0, "x").otherwise(digest).alias("digest"))
+        .union(wanted.select("path", file, F.expr("if(id % 5 = 0, 'drift', digest)")))
+        .union(table("supplier").filter("s_suppkey % 3 <> 0").select(dir_, F.col("s_suppkey") % 5 != 0, none))
+        .union(table("part").filter("p_partkey % 2 = 1").select(F.concat(F.lit("fold/n"), half, F.lit(".md")), file, F.lit("p")))
+        .union(table("nation").select(F.concat(F.lit("stray/"), "n_name", F.lit(".txt")), file, F.lit("s")))
+        .union(table("nation").select(F.concat(F.lit("stray/"), "n_name"), F.lit(True), none))
+        .union(table("region").select(F.concat(F.lit("tmp/.write-"), F.lpad(text("r_regionkey"), 16, F.lit("0")), F.lit(".tmp")), file, F.lit("t")))
+    )
+    return reconcile.reconcile(server, disk, state, parks)
 
 
 @query(with_sql("dn", "").rstrip() + RECON + " SELECT path, id, class FROM c WHERE class IS NOT NULL")
@@ -310,6 +380,11 @@ def reconcile_counts(s, d):
     return reconcile.class_counts(_reconciled(s, d))
 
 
+@query(with_sql("dn", "").rstrip() + RECON + " SELECT count(*) AS total, CAST(count(*) > 0 AS INTEGER) AS code FROM c WHERE class IS NOT NULL")
+def reconcile_exit(s, d):
+    return reconcile.exit_code(_reconciled(s, d))
+
+
 MOUNTS = "SELECT s_name AS name, CASE s_suppkey % 3 WHEN 0 THEN 'm/' || s_nationkey WHEN 1 THEN 'm/' || s_nationkey || '/' || s_suppkey ELSE 'k' || s_suppkey END AS dir FROM supplier"
 
 
@@ -320,49 +395,56 @@ def mount_overlap(s, d):
     return reconcile.overlapping_mounts(tables.table(s, d, "supplier").select(F.col("s_name").alias("name"), place.alias("dir")))
 
 
-@query("SELECT c_nationkey AS nation, arg_max(code, sev) AS code FROM (SELECT c_nationkey, c_custkey % 5 AS code, CASE c_custkey % 5 WHEN 2 THEN 4 WHEN 4 THEN 3 WHEN 3 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS sev FROM customer WHERE c_custkey % 7 = c_nationkey % 7) GROUP BY 1")
+@query("""WITH c AS (SELECT c_nationkey AS nation, (c_nationkey + CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END) % 5 AS code FROM customer)
+    SELECT nation, arg_max(code, CASE code WHEN 2 THEN 4 WHEN 4 THEN 3 WHEN 3 THEN 2 WHEN 1 THEN 1 ELSE 0 END) AS code FROM c GROUP BY nation""")
 def batch_read_exit(s, d):
-    rows = tables.table(s, d, "customer").filter("c_custkey % 7 = c_nationkey % 7").select(F.col("c_nationkey").alias("nation"), (F.col("c_custkey") % 5).alias("code"))
-    severity = F.expr("case code when 2 then 4 when 4 then 3 when 3 then 2 when 1 then 1 else 0 end")
-    return rows.groupBy("nation").agg(F.max_by("code", severity).alias("code"))
-
-
-@query("SELECT lang AS path, CASE WHEN count(DISTINCT source) > 1 THEN 'ambiguous' ELSE 'found' END AS verdict FROM documents GROUP BY lang")
-def across_mounts(s, d):
-    return reconcile.across_mounts(tables.table(s, d, "documents").select(F.col("lang").alias("path"), F.col("source").alias("mount")))
+    code = ((F.col("c_nationkey") + F.when(F.col("c_acctbal") < 0, 1).otherwise(0)) % 5).alias("code")
+    return reconcile.worst_exit(tables.table(s, d, "customer").select(F.col("c_nationkey").alias("nation"), code), "nation")
 
 
 # --- related items ---------------------------------------------------------------------------------------------------
 
-ASKED = 25  # subjects: every 25th vector
-TERMS = "SELECT vec_id AS id, CAST(i AS INTEGER) AS term, CAST(embedding[i + 1] AS DOUBLE) AS weight FROM embeddings, range(0, 64) t(i) WHERE embedding[i + 1] > 0.1"
-DOTS = f""", tm AS ({TERMS}), nm AS (SELECT id, sqrt(sum(weight * weight)) AS norm FROM tm GROUP BY id),
-  cs AS (SELECT x.id AS subject, y.id, sum(x.weight * y.weight) / (any_value(m.norm) * any_value(n.norm)) AS cosine FROM tm x JOIN tm y USING (term) JOIN nm m ON m.id = x.id JOIN nm n ON n.id = y.id WHERE x.id % {ASKED} = 0 GROUP BY 1, 2)"""
+ASKED = 25  # the stated subjects: every 25th vector, against all vectors
+TERMS = "SELECT vec_id AS id, CAST(i AS INTEGER) AS term, CAST(embedding[i + 1] AS FLOAT) AS weight FROM embeddings, range(0, 64) t(i) WHERE embedding[i + 1] > 0.1"
+# sums in single precision, in the order of terms; a quotient or root of doubles, rounded to single, is that of the singles
+DOTS = f""", tm AS ({TERMS}), nm AS (SELECT id, CAST(sqrt(CAST(list_reduce(list(weight * weight ORDER BY term), lambda a, b: a + b) AS DOUBLE)) AS FLOAT) AS norm FROM tm GROUP BY id),
+  dt AS (SELECT x.id AS subject, y.id, list_reduce(list(x.weight * y.weight ORDER BY x.term), lambda a, b: a + b) AS dot FROM tm x JOIN tm y USING (term) WHERE x.id % {ASKED} = 0 GROUP BY 1, 2),
+  cs AS (SELECT subject, dt.id, CAST(CAST(dot AS DOUBLE) / CAST(m.norm * n.norm AS DOUBLE) AS FLOAT) AS cosine FROM dt JOIN nm m ON m.id = subject JOIN nm n ON n.id = dt.id WHERE dot <> 0)"""
 
 
 def _terms(s, d):
     return tables.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("term", "w")).select("id", "term", F.col("w").cast("double").alias("weight")).filter("w > 0.1")
 
 
-def _cosines(s, d):
-    terms = _terms(s, d)
-    return related.cosine_pairs(terms, terms.filter(F.col("id") % ASKED == 0).select("id").distinct())
+def _subjects(s, d):
+    return tables.table(s, d, "embeddings").filter(F.col("vec_id") % ASKED == 0).select(F.col("vec_id").alias("id"))
 
 
-@query("WITH " + DOTS[2:] + " SELECT subject, id, round(cosine, 6) AS cosine FROM cs")
+@query("WITH " + DOTS[2:] + " SELECT subject, id, CAST(cosine AS DOUBLE) AS cosine FROM cs")
 def cosine_pairs(s, d):
-    return _cosines(s, d).withColumn("cosine", F.round("cosine", 6))
+    return related.cosine_pairs(_terms(s, d), _subjects(s, d)).withColumn("cosine", F.col("cosine").cast("double"))
 
 
-@query("WITH " + DOTS[2:] + """ SELECT subject, id, term, place FROM (SELECT x.id AS subject, y.id, x.term, CAST(row_number() OVER (PARTITION BY x.id, y.id ORDER BY round(x.weight * y.weight, 9) DESC, x.term) AS INTEGER) AS place
-    FROM tm x JOIN tm y USING (term) WHERE x.id % 25 = 0 AND y.id % 10 = 3) WHERE place <= 3""")
+@query(f"""WITH tm AS ({TERMS}), v AS (SELECT id, list(weight ORDER BY term) AS w, list(term ORDER BY term) AS t FROM tm GROUP BY id), n AS (SELECT *, CAST(sqrt(CAST(list_reduce([x * x FOR x IN w], lambda a, b: a + b) AS DOUBLE)) AS FLOAT) AS norm FROM v),
+    p AS (SELECT x.id, list(x.weight * y.weight ORDER BY x.term) AS p FROM tm x JOIN tm y ON y.id = x.id + 1 AND y.term = x.term GROUP BY x.id)
+    SELECT a.id, CASE WHEN p IS NULL THEN 0 ELSE CAST(CAST(CAST(list_reduce(p, lambda x, y: x + y) AS DOUBLE) / CAST(a.norm * b.norm AS DOUBLE) AS FLOAT) AS DOUBLE) END AS cosine FROM n a JOIN n b ON b.id = a.id + 1 LEFT JOIN p ON p.id = a.id""")
+def exact_cosine(s, d):
+    """Each vector against the next one, as a Column expression."""
+    held = related.vectors(_terms(s, d)).select("id", F.transform(F.arrays_zip("terms", "weights"), lambda x: F.struct(x["terms"].alias("term"), x["weights"].alias("weight"))).alias("v"))
+    following = held.select((F.col("id") - 1).alias("id"), F.col("v").alias("next"))
+    return held.join(following, "id").select("id", related.exact_cosine(F.col("v"), F.col("next")).cast("double").alias("cosine"))
+
+
+@query("WITH " + DOTS[2:] + """ SELECT subject, id, term, place FROM (SELECT x.id AS subject, y.id, x.term, CAST(row_number() OVER (PARTITION BY x.id, y.id ORDER BY x.weight * y.weight DESC, x.term) AS INTEGER) AS place
+    FROM tm x JOIN tm y USING (term) WHERE x.id % 25 = 0) WHERE place <= 3""")
 def top_shared_terms(s, d):
-    return related.top_shared_terms(_terms(s, d), _cosines(s, d).filter("id % 10 = 3"))
+    terms = _terms(s, d)
+    return related.top_shared_terms(terms, related.cosine_pairs(terms, _subjects(s, d)))
 
 
 EXCL = "SELECT DISTINCT e.vec_id AS subject, f.vec_id AS other FROM embeddings e JOIN embeddings f ON f.vec_id % 97 = e.vec_id % 97 WHERE e.vec_id % 25 = 0"
 ARMS = DOTS + f""", ex AS ({EXCL}), liv AS (SELECT vec_id AS id, vec_id % 11 <> 0 AS live, label FROM embeddings),
-  l1 AS (SELECT subject, id, row_number() OVER (PARTITION BY subject ORDER BY round(cosine, 9) DESC, id) AS r FROM cs WHERE cosine > 0 AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.subject = cs.subject AND ex.other = cs.id)),
+  l1 AS (SELECT subject, id, row_number() OVER (PARTITION BY subject ORDER BY cosine DESC, id) AS r FROM cs WHERE cosine > 0 AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.subject = cs.subject AND ex.other = cs.id)),
   lx AS (SELECT subject, id, row_number() OVER (PARTITION BY subject ORDER BY r) AS rank FROM l1 JOIN liv USING (id) WHERE r <= 20 AND live),
   hg AS (SELECT a.vec_id AS subject, b.vec_id AS id, b.vec_id AS position FROM embeddings a JOIN embeddings b ON b.vec_id % 31 = a.vec_id % 31 WHERE a.vec_id % 25 = 0),
   ht AS (SELECT a.vec_id AS subject, b.vec_id AS id, b.vec_id AS position FROM embeddings a JOIN embeddings b ON b.label = a.label WHERE a.vec_id % 25 = 0 AND b.vec_id % 3 = 0),
@@ -377,7 +459,7 @@ def _arms(s, d):
     live = vectors.filter(F.col("id") % 11 != 0)
     by_graph = asked.withColumn("k", F.col("subject") % 31).join(vectors.select("id", (F.col("id") % 31).alias("k")), "k").select("subject", "id", F.col("id").alias("position"))
     by_tag = asked.join(vectors.filter(F.col("id") % 3 == 0), "label").select("subject", "id", F.col("id").alias("position"))
-    return related.held_arm(by_graph, excluded, live), related.lexical_arm(_cosines(s, d), excluded, live), related.held_arm(by_tag, excluded, live)
+    return related.held_arm(by_graph, excluded, live), related.lexical_arm(_terms(s, d), _subjects(s, d), excluded, live).drop("cosine"), related.held_arm(by_tag, excluded, live)
 
 
 @query("WITH " + ARMS[2:] + " SELECT 'graph' AS arm, subject, id, CAST(rank AS INTEGER) AS rank FROM g UNION ALL SELECT 'lexical', subject, id, CAST(rank AS INTEGER) FROM lx UNION ALL SELECT 'tags', subject, id, CAST(rank AS INTEGER) FROM t")
@@ -387,31 +469,35 @@ def related_arms(s, d):
     return named[0].unionByName(named[1]).unionByName(named[2])
 
 
-@query("WITH " + ARMS[2:] + """, f AS (SELECT subject, id, coalesce(1.0::DOUBLE / (60 + g.rank), 0) + coalesce(CASE WHEN subject % 50 = 0 THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END / (60 + lx.rank), 0) + coalesce(1.0::DOUBLE / (60 + t.rank), 0) AS score
+@query("WITH " + ARMS[2:] + """, f AS (SELECT subject, id, coalesce(1.0::DOUBLE / (60 + g.rank), 0) + coalesce(CASE WHEN subject % 50 = 0 AND subject % 100 <> 0 THEN 0.4::DOUBLE ELSE 1.0::DOUBLE END / (60 + lx.rank), 0) + coalesce(1.0::DOUBLE / (60 + t.rank), 0) AS score
     FROM g FULL JOIN lx USING (subject, id) FULL JOIN t USING (subject, id)), o AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY score DESC, 'v/' || id) AS place FROM f)
     SELECT subject, id, round(score, 4) AS score, CAST(place AS INTEGER) AS place FROM o WHERE place <= 10""")
 def related_fused(s, d):
     by_graph, lexical, by_tag = _arms(s, d)
     vectors = tables.table(s, d, "embeddings").select(F.col("vec_id").alias("id"))
-    words = vectors.select(F.col("id").alias("subject"), F.when(F.col("id") % 50 == 0, 100).otherwise(300).alias("wc"))
+    words = vectors.filter("id % 100 <> 0").select(F.col("id").alias("subject"), F.when(F.col("id") % 50 == 0, 100).otherwise(300).alias("wc"))  # others have no words
     return related.fuse(by_graph, lexical, by_tag, words, vectors.select("id", F.concat(F.lit("v/"), F.col("id").cast("string")).alias("path")))
 
 
 # --- search and reading ----------------------------------------------------------------------------------------------
 
-LISTED = "WITH " + "x AS (SELECT doc_id AS id, source || '/' || lang || '/' || doc_id || '.md' AS path, lang, n_chars FROM documents WHERE (starts_with(source || '/' || lang || '/', 'src1/') OR starts_with(source || '/' || lang || '/', 'src2/en/')) AND lang IN ('en', 'fr') AND n_chars >= 500)"
+LISTED = """WITH x AS (SELECT o_orderkey AS id, o_orderpriority || '/' || o_orderstatus || '/' || o_orderkey || '.md' AS path, o_totalprice AS price, o_orderdate AS changed FROM orders
+    WHERE (o_orderpriority = '1-URGENT' OR o_orderpriority || '/' || o_orderstatus = '2-HIGH/F') AND o_orderstatus IN ('F', 'P') AND o_totalprice >= 1000 AND o_totalprice <= 300000)"""
 
 
-@query(LISTED + " SELECT id, path, lang, n_chars, (SELECT count(*) FROM x) AS total FROM x ORDER BY n_chars DESC, id LIMIT 20")
+@query(LISTED + " SELECT id, path, price, changed, (SELECT count(*) FROM x) AS total FROM x ORDER BY changed DESC, id LIMIT 20")
 def search_filter(s, d):
-    rows = tables.table(s, d, "documents").select(F.col("doc_id").alias("id"), tables.doc_path().alias("path"), "lang", "n_chars", F.array("lang").alias("tags"))
-    where = search.Filter.parse(["src1", "src2/en"], ["#en", "fr"], ["n_chars=500.."])
-    return search.listing(rows, where, "n_chars", 20).drop("tags")
+    path = F.concat_ws("/", "o_orderpriority", "o_orderstatus", F.concat(F.col("o_orderkey").cast("string"), F.lit(".md")))
+    rows = tables.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), path.alias("path"), F.col("o_totalprice").alias("price"), F.col("o_orderdate").alias("changed"), F.array("o_orderstatus").alias("tags"))
+    where = search.Filter.parse(["1-URGENT", "2-HIGH/F"], ["#F", "P"], ["price=1000..300000"])
+    return search.listing(rows, where, "changed", 20).drop("tags")
 
 
-@query(with_sql("a", "SELECT id, path, 'name' AS match FROM a WHERE live AND contains(lower(path), '/1')"))
-def attachment_name_match(s, d):
-    return search.attachment_matches(tables.attachments(s, d), "/1")
+@query(with_sql("a", """SELECT a.id, path, CASE WHEN contains(lower(path), '/1') THEN 'name' ELSE 'content' END AS match, CASE WHEN NOT contains(lower(path), '/1') THEN CAST(list_position([contains(lower(x), '/1') FOR x IN string_split(html, '<p')], TRUE) AS INTEGER) END AS page
+    FROM a JOIN pages ON page_id = a.id - 1000000000 WHERE live AND (contains(lower(path), '/1') OR contains(lower(html), '/1'))"""))
+def attachment_match(s, d):
+    pages = tables.table(s, d, "pages").select((F.col("page_id") + tables.ATTACHMENT_BASE).alias("id"), F.split("html", "<p").alias("pages"))
+    return search.attachment_matches(tables.attachments(s, d).join(pages, "id"), "/1")
 
 
 @query(r"""WITH w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),

@@ -1,4 +1,5 @@
-"""Written intermediate tables in the shared folder that the session names."""
+"""Written intermediate tables in the shared folder that the session names, and small file operations in any file system that
+Spark reaches."""
 
 from __future__ import annotations
 
@@ -11,10 +12,12 @@ _local: str | None = None
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below spark.checkpoint.dir, or a temporary one only where that is unset, as in tests."""
+    """A fresh path below spark.checkpoint.dir, or a temporary one only where that is unset in local mode, as in tests."""
     global _local
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         _local = _local or "file://" + tempfile.mkdtemp(prefix="tarn-plans-")
         root = _local
     return f"{root.rstrip('/')}/tarn/{uuid.uuid4().hex}/{name}"
@@ -25,3 +28,60 @@ def store(df: DataFrame) -> DataFrame:
     path = new_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _at(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, place = _at(spark, path)
+    return fs.exists(place)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, sorted; none if there is no such folder."""
+    fs, place = _at(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(place)) if fs.exists(place) else []
+
+
+def empty_files(spark: SparkSession, root: str) -> list[str]:
+    """Paths, without scheme, of the empty files below a root."""
+    fs, place = _at(spark, root)
+    found, out = fs.listFiles(place, True), []
+    while found.hasNext():
+        status = found.next()
+        if status.getLen() == 0:
+            out.append(status.getPath().toUri().getPath())
+    return sorted(out)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, place = _at(spark, path)
+    fs.delete(place, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text, written beside its place and moved there, so that a reader sees the old text or the new one."""
+    fs, place = _at(spark, path)
+    _, beside = _at(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(place):
+        fs.delete(place, False)
+    if not fs.rename(beside, place):
+        raise OSError(f"cannot move {beside} to {place}")
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text; None if there is no such file."""
+    fs, place = _at(spark, path)
+    if not fs.exists(place):
+        return None
+    source = fs.open(place)
+    try:
+        return bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()

@@ -1,5 +1,8 @@
 """Scalar rules and small operators on hand-checked inputs."""
 
+import random
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +18,7 @@ def values(spark, inputs, make):
 
 @pytest.mark.parametrize(
     ("spec", "low", "high", "error"),
-    [("40-80", 40, 80, None), ("40-", 40, None, None), ("40", 40, 40, None), (" 3 - 5 ", 3, 5, None), ("0-4", None, None, "starts_at_zero"), ("9-3", None, None, "backwards"), ("", None, None, "not_a_range"), ("-5", None, None, "not_a_range"), ("a-b", None, None, "not_a_range"), ("1-2-3", None, None, "not_a_range"), ("+5", 5, 5, None)],
+    [("12-19", 12, 19, None), ("7-", 7, None, None), ("  8 ", 8, 8, None), ("+2 -  +6", 2, 6, None), ("0", None, None, "starts_at_zero"), ("3-0", None, None, "starts_at_zero"), ("21-20", None, None, "backwards"), ("  ", None, None, "not_a_range"), ("-", None, None, "not_a_range"), ("4-x", None, None, "not_a_range"), ("5-6-", None, None, "not_a_range"), ("1.5", None, None, "not_a_range")],
 )
 def test_ranges(spark, spec, low, high, error):
     (got,) = values(spark, [spec], rules.parse_range)
@@ -23,8 +26,8 @@ def test_ranges(spark, spec, low, high, error):
 
 
 def test_names(spark):
-    assert values(spark, ["note.md", "Note.MD", "a.b.md", "Привет.md", "Map.canvas", "README", ".md", "trailing."], rules.is_note_name) == [True] * 4 + [False] * 4
-    assert values(spark, ["blog", "a-1", "Blog", "a.b", "", "x" * 65, "ok\n"], rules.valid_label) == [True, True] + [False] * 5
+    assert values(spark, ["plan.md", "PLAN.mD", "v1.2.md", "über.md", "x.md ", "md", ".md", "plan.mdx", "plan.", ""], rules.is_note_name) == [True] * 4 + [False] * 6
+    assert values(spark, ["team-7", "0", "Team", "a_b", "", "y" * 64, "y" * 65, "end\n"], rules.valid_label) == [True, True, False, False, False, True, False, False]
 
 
 def test_fold(spark):
@@ -47,13 +50,32 @@ def test_highlight(spark):
 
 
 def test_exclusion_before_the_cut_liveness_after(spark):
-    cosines = spark.createDataFrame([(0, i, 1 - i / 100) for i in range(1, 40)], "subject int, id int, cosine double")
-    excluded = spark.createDataFrame([(0, 3)], "subject int, other int")
-    live = spark.createDataFrame([(i,) for i in range(1, 40) if i != 5], "id int")
-    got = [(r["id"], r["rank"]) for r in related.lexical_arm(cosines, excluded, live).orderBy("rank").collect()]
+    """Candidates in descending cosine by id; the third is excluded and makes room, the fifth is dead and does not."""
+    rows = [(0, 0, 1.0)] + [x for i in range(1, 40) for x in ((i, 0, 1.0), (i, 1, i / 10))]
+    terms = spark.createDataFrame(rows, "id long, term int, weight double")
+    excluded = spark.createDataFrame([(0, 3), (0, 0)], "subject long, other long")
+    live = spark.createDataFrame([(i,) for i in range(1, 40) if i != 5], "id long")
+    got = [(r["id"], r["rank"]) for r in related.lexical_arm(terms, terms.filter("id = 0").select("id").distinct(), excluded, live).orderBy("rank").collect()]
     assert got == [(i, n) for n, i in enumerate([i for i in range(1, 22) if i not in (3, 5)], 1)]
 
 
+def test_blocks_give_the_same_arm(spark, monkeypatch):
+    rnd = random.Random(2)
+    terms = spark.createDataFrame([(i, t, rnd.random()) for i in range(60) for t in rnd.sample(range(30), 5)], "id long, term int, weight double")
+    subjects, none = terms.filter("id % 4 = 0").select("id").distinct(), spark.createDataFrame([], "subject long, other long")
+    whole = sorted(map(tuple, related.lexical_arm(terms, subjects, none, terms.select("id").distinct(), 7).collect()))
+    monkeypatch.setattr(related, "SUBJECT_BLOCK", 4)
+    monkeypatch.setattr(related, "ROW_BLOCK", 9)
+    assert sorted(map(tuple, related.lexical_arm(terms, subjects, none, terms.select("id").distinct(), 7).collect())) == whole
+
+
+def test_subjects_without_words_are_ranked(spark):
+    arm = spark.createDataFrame([(9, 1, 1)], "subject long, id long, rank int")
+    words = spark.createDataFrame([(5, 10)], "subject long, wc int")
+    paths = spark.createDataFrame([(1, "a.md")], "id long, path string")
+    assert [tuple(r) for r in related.fuse(arm, arm.limit(0), arm.limit(0), words, paths).collect()] == [(9, 1, round(1 / 61, 4), 1)]
+
+
 def test_exact_cosine(spark):
     a = F.array(F.struct(F.lit(1).alias("term"), F.lit(3.0).cast("float").alias("weight")), F.struct(F.lit(2).alias("term"), F.lit(4.0).cast("float").alias("weight")))
     b = F.array(F.struct(F.lit(2).alias("term"), F.lit(2.0).cast("float").alias("weight")))
@@ -68,17 +90,120 @@ def test_filter_parse():
             Filter.parse([], [], bad)
 
 
+def plain_fixpoint(rows, incumbents=(), parks=()):
+    """The rule as a loop: rows (id, path, seq, parked)."""
+    key = lambda p: unicodedata.normalize("NFC", p).lower()
+    ids, parked = {r[0] for r in rows}, {}
+    for _ in range(len(rows) + 2):
+        prefixes = [p + "/" for i, p in parks if i not in ids] + [p + "/" for i, p, _, arrived in rows if arrived or i in parked]
+        exact, folded, made = {}, {}, {}
+        for i, p in incumbents:
+            if i not in ids:
+                exact.setdefault(p, i), folded.setdefault(key(p), i)
+        for i, p, _, arrived in sorted(rows, key=lambda r: (r[2], r[0])):
+            if arrived:
+                continue
+            if any(p.startswith(x) for x in prefixes):
+                made[i] = "ancestor"
+            elif p in exact:
+                made[i] = "projection"
+            elif key(p) in folded:
+                made[i] = "fold"
+            else:
+                exact[p] = folded[key(p)] = i
+        stable, parked = made.keys() == parked.keys(), made
+        if stable:
+            break
+    return {i: "classified" if arrived else parked.get(i) for i, _, _, arrived in rows}
+
+
+def fixpoint(spark, rows, incumbents=(), parks=()):
+    frame = lambda some: spark.createDataFrame(list(some), "id long, path string")
+    made = changes.collision_fixpoint(spark.createDataFrame(rows, "id long, path string, seq long, parked boolean"), store, frame(incumbents), frame(parks))
+    return {r["id"]: r["park"] for r in made.collect()}
+
+
 def test_fixpoint_parks_what_lies_under_a_parked_folder(spark):
-    rows = spark.createDataFrame([(1, "A", 1), (2, "a", 2), (3, "a/x.md", 3), (4, "A/y.md", 4)], "id long, path string, seq long")
-    got = {r["id"]: r["park"] for r in changes.collision_fixpoint(rows, rows.limit(0), store).collect()}
-    assert got == {1: None, 2: "collision", 3: "ancestor", 4: None}
+    rows = [(1, "A", 1, False), (2, "a", 2, False), (3, "a/x.md", 3, False), (4, "A/y.md", 4, False), (5, "P", 5, True), (6, "P/z.md", 6, False)]
+    assert fixpoint(spark, rows) == {1: None, 2: "fold", 3: "ancestor", 4: None, 5: "classified", 6: "ancestor"} == plain_fixpoint(rows)
+    rows = [(1, "A", 1, False), (2, "A", 2, False), (3, "A/x.md", 3, False)]
+    assert fixpoint(spark, rows) == {1: None, 2: "projection", 3: "ancestor"} == plain_fixpoint(rows)
+
+
+def test_fixpoint_equals_the_loop(spark):
+    rnd, names = random.Random(6), ["a", "A", "b", "É", "é"]
+    for _ in range(4):
+        some = lambda n, low: [(low + i, "/".join(rnd.choices(names, k=rnd.randint(1, 3)))) for i in range(n)]
+        rows = [(i, p, rnd.randint(0, 20), rnd.random() < 0.1) for i, p in some(25, 0)]
+        held, parks = some(3, 20), some(2, 24)  # some of them delivered
+        assert fixpoint(spark, rows, held, parks) == plain_fixpoint(rows, held, parks)
+
+
+def test_fixpoint_runs_as_long_as_it_takes(spark):
+    """Each step of the chain parks only when the one before it has: far more rounds than any fixed bound."""
+    chain = []
+    for k in range(30):
+        chain += [(2 * k, f"d{k}", 10 * k + 1, False), (2 * k + 1, f"d{k}/e", 10 * k, False)]
+    rows = [(1000, "d0", 0, False)] + chain
+    for k in range(1, 30):  # a child of d(k-1) claims d(k) once its own folder parks
+        rows.append((2000 + k, f"d{k - 1}/D{k}", 5, False))
+    assert fixpoint(spark, rows) == plain_fixpoint(rows)
+
+
+def test_reserved_segments_are_skipped_and_instruction_names_count_below_the_scope(spark):
+    rows = spark.createDataFrame([(1, "file", ".git/x.md", False), (2, "file", ".git/y.md", False), (3, "file", ".github/d/ok.md", False), (4, "file", ".github/d/.cursor/no.md", False)], "id long, kind string, path string, trashed boolean")
+    got = {r["id"]: (r["disposition"], r["reason"]) for r in changes.classify(rows, rows.filter("id = 1"), ".github/d").collect()}
+    assert got == {1: ("remove", "reserved"), 2: ("ledger_only", "reserved"), 3: ("put", None), 4: ("park", "instruction_name")}
+
+
+def found(text, *names):
+    return [tuple(r[n] for n in names) for r in tasks.parse_tasks(text)]
+
+
+def test_task_marks():
+    marks = "".join(f"- [{m}] one {i}\n" for i, m in enumerate(" /hxX-"))
+    assert [c for (c,) in found(marks, "category")] == ["open", "in_progress", "waiting", "done", "done", "dropped"]
+    assert found("- [>] a\n- [*] b\n- []\n- [x]b\n- c\n[ ] d\n* e [ ]\n", "text") == []
+    assert found("- [ ]\n3) [x] y\n+ [/]\tz", "line", "text") == [(1, ""), (2, "y"), (3, "z")]
+
+
+def test_task_fields_dates_and_identity():
+    text = "- [ ] write [who:: A B] it [[page|name]] [size::2] ⏳ 2025-03-01 ✅ 2025-04-01 ^t-9\n- [x] a ^own-1\n- [ ] b  \n- [ ] 2^8 📅 2025-02-30"
+    assert found(text, "text", "fields", "dates", "task_id", "block_id") == [
+        ("write it [[page|name]]", ["who=A B", "size=2"], ["scheduled=2025-03-01", "done=2025-04-01"], "t-9", None), ("a", [], [], None, "own-1"), ("b", [], [], None, None), ("2^8 📅 2025-02-30", [], [], None, None),
+    ]
+    assert found("  > - [ ] b  ", "hash") == found("- [ ] b", "hash") == found("- [ ] b %%c%%", "hash") == [(f"{tasks.fnv1a(b'- [ ] b'):08x}",)]
+    assert found("- [ ] b [k:: v]", "hash") == [(f"{tasks.fnv1a(b'- [ ] b [k:: v]'):08x}",)] and tasks.fnv1a(b"a") == 0xE40C292C
+
+
+def test_task_nesting():
+    text = "- [ ] a\n  - plain\n    - [ ] b\n      1. [x] c\n  - [ ] d\n\n  more of a\n  - [ ] e\n\nend\n  - [ ] f\n> - [ ] q\n>   - [ ] r\n"
+    assert found(text, "text", "parent") == [("a", None), ("b", 0), ("c", 1), ("d", 0), ("e", 0), ("f", None), ("q", None), ("r", 6)]
+
+
+def test_tasks_in_code_and_comments_are_not_read():
+    text = "~~~\n- [ ] fenced\n```\n~~~\n- [ ] a `[owner:: x] #no`\n\n      - [ ] code in the item\n%%\n- [ ] hidden\n%%\n- [ ] b %%[owner:: y]%% c\n"
+    assert found(text, "text", "fields", "is_task", "tags") == [("a `[owner:: x] #no`", [], False, []), ("b c", [], False, [])]
+    assert found("\n    - [ ] code\n\t- [ ] code\n", "text") == []
+
+
+def test_task_switch_and_signals():
+    signals = "- [ ] a [check:: 1]\n- [/] b\n- [ ] c 📅 2025-01-01\n- [ ] d ^t-1\n- [ ] e [size:: 2] ^x #tag\n"
+    assert [x for (x,) in found(signals, "is_task")] == [True] * 4 + [False]
+    assert [x for (x,) in found("---\ntasks: true\n---\n" + signals, "is_task")] == [True] * 5
+    assert [x for (x,) in found("---\na: b\ntasks: false\n---\n" + signals, "is_task")] == [False] * 5
+    assert [x for (x,) in found("---\ntasks: 1\n---\n" + signals, "is_task")] == [True] * 4 + [False]
+    assert found("---\ntasks: true\n- [ ] a", "line", "is_task") == [(3, False)]  # never closed
+
+
+def test_task_tags():
+    assert found("- [ ] #One and #two/sub #ONE a#b ==#three== &#39; #42 #4x", "tags") == [(["One", "two/sub", "three", "4x"],)]
 
 
-def test_tasks():
-    text = "---\ntasks: false\n---\n- [/] do [owner:: me] 📅 2026-01-02 ^t-1\n  - [ ] child\n```\n- [ ] code\n```\n%%\n- [ ] hidden\n%%\n- [?] none"
-    rows = tasks.parse_tasks(text)
-    assert [(r["line"], r["parent"], r["category"], r["text"], r["task_id"], r["dates"], r["is_task"]) for r in rows] == [(4, None, "in_progress", "do", "t-1", ["due=2026-01-02"], False), (5, 0, "open", "child", None, [], False)]
-    assert tasks.fnv1a(b"a") == 0xE40C292C
+def test_tasks_as_rows(spark):
+    docs = spark.createDataFrame([(1, "- [ ] a\n- [h] b #t"), (2, None), (3, ""), (1, "- [ ] a")], "id long, text string")
+    got = sorted((r["id"], r["ordinal"], r["text"], tuple(r["tags"]), r["is_task"]) for r in tasks.extract_tasks(docs).collect())
+    assert got == [(1, 0, "a", (), False), (1, 0, "a", (), False), (1, 1, "b #t", ("t",), True)]
 
 
 def test_front_matter(spark):
