@@ -1,13 +1,16 @@
 """Packing into optimal length buckets.
 
 Dynamic programming over the global histogram of lengths chooses bucket upper bounds that minimise padding; inside each
-bucket, rows in key-hash order form batches whose padded size stays within the token budget.
+bucket, rows in key-hash order form batches whose padded size stays within the token budget. Lengths are words unless the
+caller gives a length of its own (of token ids, say).
 
 The driver gets the exact histogram only: one row a distinct length, and since distinct lengths add up to at most all
 words, their number grows with the square root of the input's words at most. Bounds are optimal at any number of them.
 
-Defined cases: a null or empty text has length 0 and is packed like any other; a row longer than the budget is a batch of
-its own, marked over_budget; repeated and null keys are rows like others; an empty table gives an empty result.
+Defined cases: a null or empty text has length 0 and is packed like any other; texts of any length are measured whole; a row
+longer than the budget fits no batch, so it stands alone, unpadded, in one further bucket, and only such rows are marked
+over_budget; repeated and null keys are rows like others, in any number; an empty table gives an empty result; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.common import stored
+from tarn.llm.common import HOT_PARTS, stored
 
 #: Rows of a bucket that one task ranks.
 CELL_ROWS = 20_000
@@ -70,33 +73,48 @@ def histogram(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lengths_of(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", length: Column | None = None) -> DataFrame:
-    """(key, length) written once."""
+    """(key, length, place) written once; place tells apart rows that repeat a key."""
     measured = word_count(F.col(text_col)) if length is None else length.cast("long")
-    return stored(df.select(F.col(key_col).cast("long").alias("key"), measured.alias("length")), "packing")
+    return stored(df.select(F.col(key_col).cast("long").alias("key"), measured.alias("length")).withColumn("place", F.monotonically_increasing_id()), "packing")
 
 
 def pack(rows: DataFrame, budget: int = 8192, buckets: int = 16) -> DataFrame:
-    """(key, length, bucket, bucket_length, batch, slot, padding, over_budget) for rows(key, length).
+    """(key, length, bucket, bucket_length, batch, slot, padding, over_budget) for rows (key, length) such as those of lengths_of().
 
     Ranks inside a bucket come from a window over cells of about CELL_ROWS rows by key hash plus each cell's offset, so no
-    task holds a bucket; all batches of a bucket but its last are full.
+    task holds a bucket; all batches of a bucket but its last are full. A cell that repeated keys make several times as large
+    is split by the rows' places.
     """
+    if "place" not in rows.columns:
+        rows = stored(rows.withColumn("place", F.monotonically_increasing_id()), "places")
     lengths, counts = histogram(rows)
-    bounds = optimal_bounds(lengths, counts, buckets)
-    if not bounds:
-        bounds = [0]
+    fit = lengths <= budget
+    bounds = optimal_bounds(lengths[fit], counts[fit], buckets)
     in_bucket = [int(counts[(lengths <= b) & (lengths > a)].sum()) for a, b in zip([-1, *bounds], bounds, strict=False)]
-    which = F.expr("case " + " ".join(f"when length <= {b} then {k}" for k, b in enumerate(bounds)) + " end")
-    upper = F.expr("case " + " ".join(f"when length <= {b} then {b}" for b in bounds) + " end").cast("long")
-    cells = F.expr("case " + " ".join(f"when length <= {b} then {-(-n // CELL_ROWS) or 1}" for b, n in zip(bounds, in_bucket, strict=True)) + " end")
-    placed = rows.withColumn("bucket", which).withColumn("bucket_length", upper).withColumn("cell", F.pmod(F.xxhash64("key"), cells))
-    sizes = placed.groupBy("bucket", "cell").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("bucket").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("bucket", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    rank = F.row_number().over(Window.partitionBy("bucket", "cell").orderBy("key", "length")) - 1
-    capacity = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.greatest("bucket_length", F.lit(1)))).cast("long")
-    ranked = placed.withColumn("rank", rank).join(offsets, ["bucket", "cell"]).withColumn("rank", F.col("rank") + F.col("offset")).withColumn("capacity", capacity)
+    over = F.col("length") > budget
+
+    def by_bound(values: list[int], otherwise: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(0))
+        for b, v in zip(bounds, values, strict=True):
+            out = out.when(F.col("length") <= b, F.lit(v))
+        return out.otherwise(otherwise).cast("long")
+
+    parts = by_bound([-(-n // CELL_ROWS) or 1 for n in in_bucket], F.lit(max(1, -(-int(counts[~fit].sum()) // CELL_ROWS))))
+    placed = rows.withColumn("bucket", by_bound(list(range(len(bounds))), F.lit(len(bounds))).cast("int")).withColumn("bucket_length", by_bound(bounds, F.col("length")))
+    placed = placed.withColumn("cell", F.pmod(F.xxhash64("key"), parts))
+    total = int(counts.sum())
+    most = max(8 * CELL_ROWS, total // HOT_PARTS)
+    # at most HOT_PARTS cells are that large
+    large = placed.groupBy("bucket", "cell").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most).withColumn("_split", F.ceil(F.col("_n") / CELL_ROWS))
+    placed = placed.join(F.broadcast(large.drop("_n")), ["bucket", "cell"], "left")
+    placed = placed.withColumn("sub", F.coalesce(F.pmod(F.xxhash64("place"), F.col("_split")), F.lit(0))).drop("_split")
+    sizes = placed.groupBy("bucket", "cell", "sub").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("bucket").orderBy("cell", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("bucket", "cell", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    rank = F.row_number().over(Window.partitionBy("bucket", "cell", "sub").orderBy("key", "length", "place")) - 1
+    capacity = F.when(over, 1).otherwise(F.floor(F.lit(budget) / F.greatest("bucket_length", F.lit(1)))).cast("long")
+    ranked = placed.withColumn("rank", rank).join(offsets, ["bucket", "cell", "sub"]).withColumn("rank", F.col("rank") + F.col("offset")).withColumn("capacity", capacity)
     return ranked.select(
         "key", "length", "bucket", "bucket_length", F.floor(F.col("rank") / F.col("capacity")).cast("long").alias("batch"), (F.col("rank") % F.col("capacity")).cast("long").alias("slot"),
-        (F.col("bucket_length") - F.col("length")).alias("padding"), (F.col("bucket_length") > budget).alias("over_budget"),
+        (F.col("bucket_length") - F.col("length")).alias("padding"), over.alias("over_budget"),
     )
