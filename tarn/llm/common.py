@@ -11,15 +11,20 @@ from pyspark.sql import functions as F
 
 #: A key heavier than total / HOT_PARTS is "hot"; at most HOT_PARTS keys can be, which bounds what is broadcast.
 HOT_PARTS = 2048
+#: A bitmap of more than 2^MAX_BITS bits (32 MB) is not broadcast.
+MAX_BITS = 28
 _fallback_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or (only if that is unset, as in tests) a temporary one."""
+    """The folder that all executors share: spark.checkpoint.dir, or (only if that is unset in local mode, as in tests) a
+    temporary one. On a cluster an unset folder is an error, since executors do not see each other's."""
     global _fallback_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _fallback_dir is None:
         _fallback_dir = "file://" + tempfile.mkdtemp(prefix="tarn-shared-")
     return _fallback_dir
@@ -48,6 +53,18 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to clash with no column of df, in any letter case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. lower() does just that on pure ASCII, and far faster than translate()."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -58,13 +75,13 @@ def _slot(on: Sequence[str], bits: int) -> Column:
     return F.pmod(F.xxhash64(*on), F.lit(1 << bits)) + 1
 
 
-def bitmap_of(keys: DataFrame, on: Sequence[str], bits: int = 27) -> DataFrame:
+def bitmap_of(keys: DataFrame, on: Sequence[str], bits: int) -> DataFrame:
     """A one-hash Bloom filter of the keys as rows (bucket, bits): at most 2^bits / 8 bytes, whatever the input."""
     slots = keys.select(_slot(on, bits).alias("slot"))
     return slots.groupBy(F.bitmap_bucket_number("slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("_bits"))
 
 
-def in_bitmap(rows: DataFrame, on: Sequence[str], bitmap: DataFrame, bits: int = 27) -> DataFrame:
+def in_bitmap(rows: DataFrame, on: Sequence[str], bitmap: DataFrame, bits: int) -> DataFrame:
     """Rows whose key may be in the bitmap, which is broadcast; no row whose key is in it is lost."""
     marked = rows.withColumn("_bucket", F.bitmap_bucket_number(_slot(on, bits))).withColumn("_at", F.bitmap_bit_position(_slot(on, bits)))
     byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
@@ -72,6 +89,15 @@ def in_bitmap(rows: DataFrame, on: Sequence[str], bitmap: DataFrame, bits: int =
     return marked.join(F.broadcast(bitmap), "_bucket").filter(set_bit).select(*rows.columns)
 
 
+def may_be_among(rows: DataFrame, on: Sequence[str], keys: DataFrame, n_keys: int, max_bits: int = MAX_BITS) -> DataFrame:
+    """Rows whose key may be among the keys; no row whose key is among them is lost. A bitmap of 16 to 32 bits a key tells; keys
+    that need more than 2^max_bits bits are joined by shuffle instead, and then the answer is exact."""
+    bits = max(16, (16 * n_keys).bit_length())
+    if bits > max_bits:
+        return rows.join(keys.select(*on).distinct(), list(on), "left_semi")
+    return in_bitmap(rows, on, bitmap_of(keys, on, bits), bits)
+
+
 def hot_lookup(left: DataFrame, right: DataFrame, on: Sequence[str], weight: str, total: int, spread: Column) -> DataFrame:
     """left LEFT JOIN right, where right has one row a key and `weight` is how many left rows have that key.
 

@@ -5,16 +5,18 @@ A document is the set of its 5-word shingles; documents with equal sets are one
 coordinates are shared tokens sampled alike in all sets. Each of `runs` runs starts a tree of paths at one coordinate: sets
 with the same sampled token share a bucket. A bucket of at most SMALL sets is brute-forced; a larger one splits on BRANCH
 further sampled tokens, and so on. A bucket whose sets are so alike that splitting would not lower the number of comparisons
-is compared in pairs of blocks instead, each bounded in memory, so no bucket is cut off. Runs are repeated until the expected recall reaches `recall`:
-two sets of similarity s meet in none of R runs with probability (1 - s)^R.
+is compared in pairs of blocks instead, each bounded in memory, so no bucket is cut off. Runs are repeated until the expected
+recall reaches `recall`: two sets of similarity s meet in none of R runs with probability (1 - s)^R, and a bucket that splits
+loses them at a level with probability (1 - s)^BRANCH, at most LEVELS times, since later runs leave a pair to the first.
 
 Pairs are made once: a bucket compares a pair only if no earlier run or sibling token has brought the two together. Brute
 force in small buckets first compares byte sketches (pairs far below the threshold go), then the whole shingle sets, exactly;
 blocks count shared shingles by matrix products, also exactly.
 
 Defined cases: words are runs of digits, letters a-z (after lower-casing A-Z) and anything beyond ASCII; a text of 1 to 4
-words is one shingle; a text without words (null, empty) links to nothing; a row with a null id links to nothing and has a
-null class; repeated ids are rows like others; an empty table gives an empty result; other columns are ignored.
+words is one shingle; texts of any length are taken whole; a text without words (null, empty) links to nothing; a row with a
+null id links to nothing and has a null class; rows that repeat an id, with the same text or another, are rows like others, each
+counted; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import HOT_PARTS, bitmap_of, components, hot_lookup, in_bitmap, stored
+from tarn.llm.common import HOT_PARTS, components, free_names, hot_lookup, may_be_among, stored
 from tarn.llm.tokens import as_bytes, chunks, mix, slices, words
 
 SHINGLE = 5
@@ -36,16 +38,26 @@ SMALL = 96
 #: Bounds of a block: rows, and shingles of all its sets together (a longer set is a block of its own).
 BLOCK = 2048
 BLOCK_SHINGLES = 1_000_000
-BRANCH = 6
-LEVELS = 8
+BRANCH = 8
+LEVELS = 6
+#: Rows of a bucket that one task may walk; see _hot.
+HOT_ROWS = 512
 SKETCH = BRANCH * LEVELS
 _rng = np.random.default_rng(77)
 WEIGHTS = _rng.integers(1, 2**63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 
 
+def expected_recall(threshold: float, runs: int) -> float:
+    """A lower bound of the share of pairs at the threshold that are found."""
+    return 1 - (1 - threshold) ** runs - LEVELS * (1 - threshold) ** BRANCH
+
+
 def runs_for(threshold: float, recall: float) -> int:
-    """Runs after which the expected recall at the threshold is at least `recall`."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold)))
+    """The least number of runs whose expected recall at the threshold is at least `recall`."""
+    left = 1 - recall - LEVELS * (1 - threshold) ** BRANCH
+    if left <= 0:
+        raise ValueError(f"a recall of {recall} at {threshold} needs a larger BRANCH")
+    return max(1, math.ceil(math.log(left) / math.log(1 - threshold)))
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -84,7 +96,7 @@ def _minhash(s: np.ndarray, odd: np.ndarray, add: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, runs: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, sid, n, keys, sketch): sid is the digest of the shingle set, null without words."""
+    """(doc_id, hash, sid, n, keys, sketch): the text's hash, and the digest of its shingle set, null without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(4242)
@@ -101,11 +113,11 @@ def signatures(df: DataFrame, runs: int, id_col: str, text_col: str) -> DataFram
                         continue
                     m = _minhash(s, odd, add)
                     sid.append(set_digest(s)), keys.append(m[:runs].view(np.int64)), sketch.append(mix(m[runs:]).astype(np.uint8).tobytes())
-            arrays = [batch.column(0), pa.array(sid, pa.binary()), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "sid", "n", "keys", "sketch"])
+            arrays = [batch.column(0), batch.column(2), pa.array(sid, pa.binary()), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "hash", "sid", "n", "keys", "sketch"])
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, sid binary, n int, keys array<long>, sketch binary")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
+    return rows.mapInArrow(run, "doc_id long, hash long, sid binary, n int, keys array<long>, sketch binary")
 
 
 PATH = "bucket long, run int, level int, trail binary, sid binary, n int, keys array<long>, sketch binary"
@@ -183,7 +195,8 @@ def _leaf_rows(rows: list[tuple], pairs: list[tuple[int, int]], leaf: int) -> li
 
 
 def _walk(threshold: float, sketch_least: int):
-    """One level of all paths: rows come sorted by bucket. At most SMALL + 1 rows of a bucket are held."""
+    """One level of all paths: rows (path columns, mode) come sorted by bucket; a row with a mode makes its children, alone. At most
+    SMALL + 1 rows of a bucket are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -205,12 +218,16 @@ def _walk(threshold: float, sketch_least: int):
             out.append((*row, DENSE, block, None))
 
         bucket = None
-        for row in _grouped(batches):
-            if row[0] != bucket:
+        for *row, mode in _grouped(batches):
+            if mode is not None:
+                out.extend((*c, CHILD, None, None) for c in _children(row))
+            elif row[0] != bucket:
                 close()
                 bucket, held, state = row[0], [], None
                 block, rows_in, shingles_in = 0, 0, 0
-            if state is None:
+            if mode is not None:
+                pass
+            elif state is None:
                 held.append(row)
                 if len(held) > SMALL:
                     sketch = np.frombuffer(b"".join(r[7] for r in held), np.uint8).reshape(len(held), SKETCH)
@@ -229,17 +246,30 @@ def _walk(threshold: float, sketch_least: int):
     return run
 
 
-def _split_hot(rows: DataFrame, total: int) -> DataFrame | None:
-    """(hot rows moved on by one level or dealt to blocks, the rest) if a bucket holds over total / HOT_PARTS rows."""
-    limit = max(8192, total // HOT_PARTS)
+def _hot(rows: DataFrame, total: int) -> DataFrame | None:
+    """(bucket, rows, shingles, mean similarity) of buckets that hold over total / HOT_PARTS rows, and HOT_ROWS at least. The mean, by
+    which a bucket splits or goes in blocks, is that of about SMALL of its rows, drawn by their hash; either way gives the same pairs."""
+    limit = max(HOT_ROWS, total // HOT_PARTS)
     hot = stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_rows"), F.sum("n").alias("_shingles")).filter(F.col("_rows") > limit), "hot")
     if hot.isEmpty():
         return None
-    of_hot = rows.join(F.broadcast(hot), "bucket")  # at most HOT_PARTS buckets
-    values = of_hot.select("bucket", "_rows", "_shingles", F.posexplode(F.split(F.regexp_replace(F.hex("sketch"), "(..)", "$1 "), " ")).alias("p", "v")).filter("v <> ''")
-    agreement = values.groupBy("bucket", "_rows", "_shingles", "p", "v").agg(F.count(F.lit(1)).alias("c")).groupBy("bucket", "_rows", "_shingles")
-    agreement = agreement.agg((F.sum(F.col("c").cast("double") * F.col("c")) / (F.lit(SKETCH) * F.col("_rows").cast("double") * F.col("_rows"))).alias("_mean"))
-    return stored(agreement, "agreement")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        out: list[tuple] = []
+        bucket = None
+        for row in [*_grouped(batches), (None, b"")]:
+            if row[0] != bucket:
+                if len(held) > 1:
+                    out.append((bucket, _mean_agreement(np.frombuffer(b"".join(held), np.uint8).reshape(len(held), SKETCH))))
+                bucket, held = row[0], []
+            held.append(row[1])
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([m for _, m in out], pa.float64())], ["bucket", "_mean"])
+
+    some = rows.select("bucket", "sid", "sketch").join(F.broadcast(hot.select("bucket", "_rows")), "bucket")  # at most HOT_PARTS buckets, or one for HOT_ROWS rows
+    some = some.filter(F.pmod(F.xxhash64("sid"), F.floor(F.col("_rows") / SMALL)) == 0).select("bucket", "sketch")
+    mean = some.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket long, _mean double")
+    return stored(hot.join(mean, "bucket", "left").withColumn("_mean", F.coalesce("_mean", F.lit(1.0))), "agreement")
 
 
 def candidates(sets: DataFrame, runs: int, threshold: float) -> tuple[DataFrame, DataFrame | None]:
@@ -253,24 +283,21 @@ def candidates(sets: DataFrame, runs: int, threshold: float) -> tuple[DataFrame,
         total = rows.count()
         if total < 2:
             break
-        hot = _split_hot(rows, total)
-        moved = None
+        hot = _hot(rows, total)
+        rows = rows.withColumn("mode", F.lit(None).cast("int"))
         if hot is not None:
-            of_hot = rows.join(F.broadcast(hot), "bucket")
-            rows = rows.join(F.broadcast(hot.select("bucket")), "bucket", "left_anti")
+            marked = rows.drop("mode").join(F.broadcast(hot), "bucket", "left")
             splits = (F.col("_mean") * BRANCH < 1) & (F.col("level") <= LEVELS)
-            value = F.expr(f"substring(sketch, (level - 1) * {BRANCH} + j + 1, 1)")
-            moved = of_hot.filter(splits).withColumn("j", F.explode(F.array(*[F.lit(j) for j in range(BRANCH)]))).select(
-                F.xxhash64("bucket", "j", value).alias("bucket"), "run", (F.col("level") + 1).alias("level"), F.concat("trail", F.unhex(F.lpad(F.hex("j"), 2, "0"))).alias("trail"), "sid", "n", "keys", "sketch"
-            )
             count = F.ceil(F.greatest(F.col("_rows") / (BLOCK // 2), F.col("_shingles") / (BLOCK_SHINGLES // 2)))
-            dense.append(of_hot.filter(~splits).select(*_PATH_COLUMNS, F.pmod(F.xxhash64("sid"), count).alias("at")))
-        walked = stored(rows.repartition("bucket").sortWithinPartitions("bucket", "sid").mapInArrow(_walk(threshold, sketch_least), OUT), f"level{level}")
+            dense.append(marked.filter(F.col("_mean").isNotNull() & ~splits).select(*_PATH_COLUMNS, F.pmod(F.xxhash64("sid"), count).alias("at")))
+            rows = marked.filter(F.col("_mean").isNull() | splits).select(*_PATH_COLUMNS, F.when(splits, F.lit(CHILD)).alias("mode"))
+        # the rows of a hot bucket that splits need not meet: each makes its own children, wherever it is dealt to
+        dealt = rows.withColumn("salt", F.when(F.col("mode").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("sid"), F.lit(4096))))
+        dealt = dealt.repartition("bucket", "salt").drop("salt").sortWithinPartitions("bucket", "sid")
+        walked = stored(dealt.mapInArrow(_walk(threshold, sketch_least), OUT), f"level{level}")
         leaves.append(walked.filter(F.col("kind") == LEAF).select(F.col("bucket").alias("leaf"), "sid", "partners"))
         dense.append(walked.filter(F.col("kind") == DENSE).select(*_PATH_COLUMNS, "at"))
         rows = walked.filter(F.col("kind") == CHILD).select(*_PATH_COLUMNS)
-        if moved is not None:
-            rows = rows.unionByName(moved)
     all_dense = None
     for d in dense:
         all_dense = d if all_dense is None else all_dense.unionByName(d)
@@ -410,23 +437,23 @@ def _verify(threshold: float):
     return run
 
 
-def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, recall: float = 0.99999) -> DataFrame:
-    """(doc_id, class_id, n_links, set_id, copies) for each row of df.
-
-    class_id is the smallest id that links (J >= threshold, over any chain) lead to; n_links counts the other rows whose set
-    reaches the threshold with this row's; set_id is the smallest id with an equal set and copies the number of such rows.
-    """
+def _decided(df: DataFrame, id_col: str, text_col: str, threshold: float, recall: float) -> DataFrame:
+    """(doc_id, hash, n_links, copies, set_id, class_id, class_hash) for each row of df; null beyond `hash` for rows that link
+    to nothing by definition. A class is known by its smallest (id, hash of text)."""
     runs = runs_for(threshold, recall)
     signed = stored(signatures(df, runs, id_col, text_col), "signatures")
     alive = signed.filter("sid is not null and doc_id is not null")
-    first = F.min(F.struct("doc_id", "n", "keys", "sketch")).alias("f")
-    sets = stored(alive.groupBy("sid").agg(first, F.count(F.lit(1)).alias("copies")).select("sid", "copies", F.col("f.doc_id").alias("set_id"), "f.n", "f.keys", "f.sketch"), "sets")
+    first = F.min(F.struct("doc_id", "hash", "n", "keys", "sketch")).alias("f")
+    sets = alive.groupBy("sid").agg(first, F.count(F.lit(1)).alias("copies"))
+    sets = stored(sets.select("sid", "copies", F.col("f.doc_id").alias("set_id"), F.col("f.hash").alias("set_hash"), "f.n", "f.keys", "f.sketch"), "sets")
     pairs, blocks = candidates(sets.select("sid", "n", "keys", "sketch"), runs, threshold)
-    known = sets.select("sid", "copies", "set_id")
+    known = sets.select("sid", "copies", "set_id", "set_hash")
     needed = pairs.select("sid").union(blocks.select("sid")) if blocks is not None else pairs.select("sid")
     needed = stored(needed.distinct().join(known, "sid"), "needed")
-    texts = in_bitmap(df.select(F.col(id_col).cast("long").alias("set_id"), F.col(text_col).alias("text")), ["set_id"], bitmap_of(needed, ["set_id"]))
-    texts = stored(texts.join(needed, "set_id").select("sid", "copies", "text"), "texts")
+    own = ["set_id", "set_hash"]
+    texts = df.select(F.col(id_col).cast("long").alias("set_id"), F.xxhash64(text_col).alias("set_hash"), F.col(text_col).alias("text"))
+    texts = may_be_among(texts, own, needed, needed.count())
+    texts = stored(texts.dropDuplicates(own).join(needed, own).select("sid", "copies", "text"), "texts")  # one row a set
     listed = pairs.join(texts, "sid").select("leaf", "sid", "partners", "copies", "text")
     linked = listed.repartition("leaf").sortWithinPartitions("leaf", "sid").mapInArrow(_verify(threshold), LINKS)
     if blocks is not None:
@@ -435,19 +462,38 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshol
     linked = stored(linked, "links")
     roots = components(linked.select(F.col("sid").alias("a"), F.col("root").alias("b")))
     counted = linked.groupBy("sid").agg(F.sum("links").alias("links"))
-    placed = sets.select("sid", "copies", "set_id").join(counted, "sid", "left").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
+    placed = known.join(counted, "sid", "left").join(roots.withColumnRenamed("node", "sid"), "sid", "left")
     placed = stored(placed.withColumn("root", F.coalesce("root", "sid")), "placed")
-    classes = placed.groupBy("root").agg(F.min("set_id").alias("class_id"))
-    facts = placed.join(classes, "root").select("sid", "copies", "set_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    total = signed.count()
-    found = hot_lookup(signed.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("sid")).alias("sid")), stored(facts, "facts"), ["sid"], "copies", total, F.col("doc_id"))
+    classes = placed.groupBy("root").agg(F.min(F.struct("set_id", "set_hash")).alias("c"))
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    facts = placed.join(classes, "root").select("sid", "copies", "set_id", F.col("c.set_id").alias("class_id"), F.col("c.set_hash").alias("class_hash"), n_links)
+    rows = signed.select("doc_id", "hash", F.when(F.col("doc_id").isNotNull(), F.col("sid")).alias("sid"))
+    return hot_lookup(rows, stored(facts, "facts"), ["sid"], "copies", signed.count(), F.struct("doc_id", "hash")).drop("sid")
+
+
+def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, recall: float = 0.99998) -> DataFrame:
+    """(doc_id, class_id, n_links, set_id, copies) for each row of df.
+
+    class_id is the smallest id that links (J >= threshold, over any chain) lead to; n_links counts the other rows whose set
+    reaches the threshold with this row's; set_id is the smallest id with an equal set and copies the number of such rows.
+    """
+    found = _decided(df, id_col, text_col, threshold, recall)
     own = lambda c: F.coalesce(c, F.col("doc_id"))
     return found.select("doc_id", own(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own(F.col("set_id")).alias("set_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, recall: float = 0.99999) -> DataFrame:
-    """The rows of df that stay, all columns: of each class the row with the smallest id. Rows with a null id stay."""
-    made = join(df, id_col, text_col, threshold, recall)
-    gone = made.filter("doc_id is not null and doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    out = df.join(gone, df[id_col].cast("long") == gone["_gone"], "left_anti")
-    return out
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, recall: float = 0.99998) -> DataFrame:
+    """The rows of df that stay, all columns: of each class one row, that with the smallest (id, hash of text); of rows that repeat
+    both, one. Rows with a null id and rows without words stay, all of them."""
+    made = _decided(df, id_col, text_col, threshold, recall).filter("class_id is not null")
+    first = (F.col("doc_id") == F.col("class_id")) & (F.col("hash") == F.col("class_hash"))
+    id_, hash_ = own = free_names(df, "id", "hash")
+    named = [F.col("doc_id").alias(id_), F.col("hash").alias(hash_)]
+    decided = stored(made.withColumn("first", first), "decided")
+    gone = decided.filter(~F.col("first")).select(*named).distinct()
+    rows = df.withColumn(id_, F.col(id_col).cast("long")).withColumn(hash_, F.xxhash64(text_col))
+    stay = rows.join(gone, own, "left_anti")
+    repeated = stored(decided.filter("first").select(*named).groupBy(*own).count().filter("count > 1").select(*own), "repeated")
+    if not repeated.isEmpty():
+        stay = stay.join(repeated, own, "left_anti").unionByName(stay.join(repeated, own, "left_semi").dropDuplicates(own))
+    return stay.select(*df.columns)
