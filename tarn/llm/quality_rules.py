@@ -4,8 +4,9 @@ Every rule is evaluated once a text; the ledger keeps the measurements and one b
 versioned sets of (mask, votes): a row is rejected if it fails a rule of the policy's veto mask, or at least `votes` rules of
 its vote mask. Applying another policy, or asking what a rule alone rejects, reads the ledger's bits only.
 
-Defined cases: a null text has no words; an empty text fails MIN_WORDS; ids are passed through, null and repeated ones too;
-other columns are ignored.
+Defined cases: a null text has no words; an empty text fails few_words; texts of any length are measured whole; ids are passed
+through, null and repeated ones too; an empty table gives an empty result (and an ablation of zeros); other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from tarn.llm.common import free_names
 from tarn.llm.tokens import as_bytes, slices
 
 SYMBOLS = b"#*$%&|<>"
@@ -138,17 +140,17 @@ def ablation(rows: DataFrame, policy: Policy = STANDARD) -> DataFrame:
 
 def keep_rows(df: DataFrame, policy: Policy = STANDARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that the policy keeps, all columns, in one pass and without a join."""
-    schema = df.schema
     names = df.columns
     at = names.index(text_col)
+    *own, bits = free_names(df, *MEASURES, "fail_bits")
+    renamed = dict(zip(MEASURES, own, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             made = list(map(_measure, as_bytes(batch.column(at))))
             columns = list(zip(*made, strict=True)) if made else [()] * len(MEASURES)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in columns)], [*names, *(f"_q_{m}" for m in MEASURES)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, pa.int64()) for c in columns)], [*names, *own])
 
-    wide = StructType([*schema.fields, *(StructField(f"_q_{m}", LongType()) for m in MEASURES)])
-    rows = df.mapInArrow(run, wide)
-    bits = sum((F.when(F.expr(re.sub(r"\b(n_\w+|word_chars)\b", r"_q_\1", sql)), F.lit(BIT[name])).otherwise(F.lit(0)) for name, sql in RULES), F.lit(0))
-    return rows.withColumn("_q_bits", bits.cast("int")).filter(~policy.rejects("_q_bits")).select(*names)
+    rows = df.mapInArrow(run, StructType([*df.schema.fields, *(StructField(m, LongType()) for m in own)]))
+    failed = sum((F.when(F.expr(re.sub(r"\b(n_\w+|word_chars)\b", lambda m: f"`{renamed[m[0]]}`", sql)), F.lit(BIT[name])).otherwise(F.lit(0)) for name, sql in RULES), F.lit(0))
+    return rows.withColumn(bits, failed.cast("int")).filter(~policy.rejects(bits)).select(*names)

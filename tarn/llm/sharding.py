@@ -6,7 +6,8 @@ combined sum: `step` bits at a time, and a further round looks only at prefixes
 
 Defined cases: a null key hashes as the empty string, a null text has 0 bytes; rows that share the key share all bits, so
 they stay together at the greatest depth and the shard is marked oversized if they alone exceed the limit (a single row
-over the limit likewise); an empty table gives an empty directory; other columns are ignored.
+over the limit likewise); texts of any length count whole; repeated rows all count; an empty table gives an empty directory;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import new_path, stored
+from tarn.llm.common import free_names, new_path, stored
 
 HASH_BITS = 60
+#: Shards of a directory that is broadcast when rows are written (some 40 bytes each); a larger one is joined by shuffle.
+BROADCAST_SHARDS = 1 << 20
 
 
 def key_hash(key: Column) -> Column:
@@ -72,8 +75,27 @@ def assign(df: DataFrame, limit: int, key_col: str = "doc_id", text_col: str = "
 
 
 def write_shards(df: DataFrame, limit: int, path: str | None = None, key_col: str = "doc_id", text_col: str = "text", step: int = 12) -> str:
-    """Write df as Parquet, a folder for each shard; returns the path."""
+    """Write df as Parquet, a folder for each shard, named by a column `shard` (with underscores before it where df has one);
+    returns the path. An oversized shard, which holds the rows of one key, is written by several tasks."""
     path = path or new_path(df.sparkSession, "shards")
-    places = assign(df, limit, key_col, text_col, step).select(F.col("doc_id").alias("_key"), "shard").distinct()
-    df.join(places, df[key_col].eqNullSafe(places["_key"])).drop("_key").repartition("shard").write.partitionBy("shard").parquet(path)
+    shard, depth, part, hashed = free_names(df, "shard", "depth", "part", "h")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = df.withColumn(hashed, key_hash(F.col(key_col)))
+    found = directory(stored(rows.select(F.col(hashed).alias("h"), F.octet_length(text).cast("long").alias("n_bytes")), "rows"), limit, step)
+    parts = F.ceil(F.col("shard_bytes") / limit).cast("long")
+    places = found.select(F.col("depth").alias(depth), F.col("prefix").alias("_prefix"), parts.alias("_parts"))
+    if found.count() <= BROADCAST_SHARDS:  # then rows are not shuffled to find their shards
+        places = F.broadcast(places)
+    depths = sorted(r["depth"] for r in found.select("depth").distinct().collect())  # at most 61 numbers
+    if not depths:
+        df.withColumn(shard, F.lit("")).write.partitionBy(shard).parquet(path)
+        return path
+    # the prefix lengths in use are tried one after another: a row's shard is the one whose prefix it has
+    probes = rows.withColumn(depth, F.explode(F.array(*[F.lit(d) for d in depths]))).alias("r")
+    same = (F.col(f"r.{depth}") == F.col(f"p.{depth}")) & (F.expr(f"shiftright(r.`{hashed}`, {HASH_BITS} - r.`{depth}`)") == F.col("p._prefix"))
+    joined = probes.join(places.alias("p"), same)
+    bits = F.when(F.col(f"r.{depth}") == 0, F.lit("")).otherwise(F.lpad(F.conv(F.col("p._prefix").cast("string"), 10, 2), F.col(f"r.{depth}"), F.lit("0")))
+    salt = F.pmod(F.xxhash64(F.struct(*[F.col(f"r.`{c}`") for c in df.columns])), F.col("p._parts"))
+    dealt = joined.select(*[F.col(f"r.`{c}`") for c in df.columns], bits.alias(shard), salt.alias(part)).repartition(shard, part).drop(part)
+    dealt.write.partitionBy(shard).parquet(path)
     return path
