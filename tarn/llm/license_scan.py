@@ -1,13 +1,16 @@
 """License scans with a positional rare-token index over licence templates.
 
 Index: the words of all templates, each with its inverse document frequency over templates and its postings (template,
-position). A scan looks up the words of a file that are in the index, keeps for each template the postings of its rare
-words (highest IDF; at least SEEDS of them must occur, or all if it has fewer), and intersects them by relative position: file position minus template position is the same for words
-of one copy. The best-supported alignment is scored over the whole template; a label needs a score of `least` and every
-mandatory key phrase of the template, found as consecutive words. Plain base phrases give labels of their own.
-
-Defined cases: a null text counts as empty; texts without words have null positions, empty labels and score 0; ids are
-passed through, null and repeated ones too; other columns are ignored.
+position). A scan looks up the words of a file that are in the index, byte by byte, keeps for each template the postings of its
+rare words (highest IDF; at least SEEDS of them must occur, or all if it has fewer), and intersects them by relative position:
+file position minus template position is the same for words of one copy. The well-supported alignments are scored over the whole
+template; a label needs an alignment with a score of `least` and with every mandatory key phrase of the template inside it, as
+consecutive words. Templates are whole licence bodies, their first sentences, and one-line notices. Plain base phrases give
+labels of their own.
+
+Defined cases: a null text counts as empty; texts of any length are scanned whole; texts without words have null positions, empty
+labels and score 0; of alignments that tie any may give the label, and the score is theirs; ids are passed through, null and
+repeated ones too; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ ALIGNMENTS = 4096
 #: Base phrases and their labels.
 BASE_PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Label, words of the template, mandatory key phrases; bodies first, then one-line notices.
+#: Label, words of the template, mandatory key phrases; first sentences, then one-line notices, then whole bodies.
 TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", ("permission is hereby granted free of charge",)),
     ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", ("apache license",)),
@@ -58,6 +61,14 @@ TEMPLATES = (
     ("isc", "released under the isc license", ("isc license",)),
     ("cc0", "released under cc0 1 0", ("cc0 1 0",)),
     ("unlicense", "released under the unlicense", ("the unlicense",)),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software", ("permission is hereby granted free of charge",)),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software", ("with or without fee is hereby granted",)),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage", ("redistribution and use in source and binary forms",)),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", ("apache license version 2 0",)),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program if not see https www gnu org licenses", ("gnu general public license",)),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain", ("free and unencumbered software",)),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required 2 altered source versions must be plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or altered from any source distribution", ("the origin of this software must not be misrepresented",)),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software in whole or in part and all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor", ("to any person or organization",)),
 )
 
 
@@ -107,19 +118,28 @@ def _phrase_at(ids: np.ndarray, phrase: tuple[int, ...]) -> np.ndarray:
     return np.flatnonzero(hit)
 
 
-def _template_score(ids: np.ndarray, template: tuple, where: dict[int, np.ndarray]) -> float:
-    """Share of the template's IDF mass matched in the best alignment of its rare words."""
+def _alignments(ids: np.ndarray, template: tuple, where: dict[int, np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(shifts, scores) of the alignments on which the rare words agree nearly as often as on any: shares of the template's IDF mass."""
     _, wanted, weight, postings, _ = template
     votes = [where[w] - p for w, places in postings.items() if w in where for p in places]
-    if not votes:
-        return 0.0
     shift, n = np.unique(np.concatenate(votes), return_counts=True)
-    best, shift = 0.0, shift[n == n.max()]
+    shift = shift[n >= least * n.max()]
+    scores = np.zeros(len(shift))
     for low in range(0, len(shift), ALIGNMENTS):
         at = shift[low : low + ALIGNMENTS, None] + np.arange(len(wanted))
         same = (at >= 0) & (at < len(ids)) & (ids[np.clip(at, 0, len(ids) - 1)] == wanted)
-        best = max(best, float((same @ weight).max() / weight.sum()))
-    return best
+        scores[low : low + ALIGNMENTS] = same @ weight / weight.sum()
+    return shift, scores
+
+
+def _has_phrases(ids: np.ndarray, template: tuple, shifts: np.ndarray) -> bool:
+    """Whether all key phrases stand inside one of the alignments."""
+    size = len(template[1])
+    for shift in shifts.tolist():
+        inside = ids[max(shift, 0) : max(shift + size, 0)]
+        if all(len(_phrase_at(inside, k)) for k in template[4]):
+            return True
+    return False
 
 
 def scan_text(ids: np.ndarray, index: Index, least: float) -> tuple:
@@ -141,23 +161,32 @@ def scan_text(ids: np.ndarray, index: Index, least: float) -> tuple:
         if len(rare) < min(SEEDS, len(template[3])):
             continue
         where = {w: known[numbers == w] for w in rare}
-        s = _template_score(ids, template, where)
-        score = max(score, s)
-        if s >= least and all(len(_phrase_at(ids, k)) for k in template[4]):
+        shifts, scores = _alignments(ids, template, where, least)
+        score = max(score, float(scores.max()))
+        if template[0] not in labels and _has_phrases(ids, template, shifts[scores >= least]):
             labels.add(template[0])
     at = np.concatenate(places) if places else np.zeros(0, np.int64)
     return len(at), int(at.min()) if len(at) else None, int(at.max()) if len(at) else None, ",".join(sorted(base)), ",".join(sorted(labels)), round(min(score, 1.0), 6)
 
 
 def number_words(texts: list[bytes], index: Index) -> list[np.ndarray]:
-    """For each text, its words as numbers of the index or -1; a hash that matches is checked against the spelling."""
+    """For each text, its words as numbers of the index or -1; a word whose hash matches is compared with the spelling."""
     out = []
+    spelled = np.frombuffer(b"".join(index.spelling), np.uint8)
+    sizes = np.array([len(x) for x in index.spelling])
+    begins = np.cumsum(sizes) - sizes
     for low, high in chunks(texts):
         w = words(texts[low:high])
         at = np.minimum(np.searchsorted(index.vocabulary, w.hashes), len(index.vocabulary) - 1)
         ids = np.where(index.vocabulary[at] == w.hashes, at, -1)
-        lengths = np.array([len(x) for x in index.spelling])
-        ids[(ids >= 0) & (lengths[ids] != w.ends - w.starts)] = -1
+        ids[(ids >= 0) & (sizes[ids] != w.ends - w.starts)] = -1
+        known = np.flatnonzero(ids >= 0)
+        if len(known):
+            n = sizes[ids[known]]
+            first = np.cumsum(n) - n
+            inside = np.arange(n.sum()) - np.repeat(first, n)
+            same = np.frombuffer(w.data, np.uint8)[np.repeat(w.starts[known], n) + inside] == spelled[np.repeat(begins[ids[known]], n) + inside]
+            ids[known[~np.logical_and.reduceat(same, first)]] = -1
         out += np.split(ids, w.first[1:-1])
     return out
 
