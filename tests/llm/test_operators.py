@@ -3,6 +3,8 @@
 import hashlib
 import itertools
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -30,11 +32,29 @@ def empty(docs):
 def test_exact_dedup(docs, empty):
     got = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.decisions(docs, keep="largest").collect()}
     assert {(1, 2, 2, False), (2, 2, 2, True), (3, 4, 2, False), (4, 4, 2, True), (5, 5, 1, True), (6, 6, 1, True), (None, 7, 3, False), (7, 7, 3, True), (8, 8, 1, True)} == got
-    kept = exact_dedup.deduplicate(docs.drop("_id"), keep="largest")
-    assert sorted(r["doc_id"] for r in kept.collect()) == [2, 4, 5, 6, 7, 8]
+    clashing = docs.withColumns({"id": F.col("doc_id") + 70, "hash": F.lit("h"), "_hash": F.lit("i")})
+    kept = exact_dedup.deduplicate(clashing, keep="largest")
+    assert kept.columns == clashing.columns
+    assert sorted((r["doc_id"], r["id"], r["hash"], r["_id"]) for r in kept.collect()) == [(i, i + 70, "h", 0) for i in (2, 4, 5, 6, 7, 8)]
+    for bits in (3, 28):  # with a filter that may not be broadcast, the same rows
+        assert exact_dedup.decisions(docs, keep="largest", filter_bits=bits).filter("kept").count() == 7
     assert exact_dedup.decisions(empty).count() == 0
 
 
+def test_digest_index_merges_levels(spark):
+    index = exact_dedup.DigestIndex(spark)
+    schema = "doc_id long, text string"
+    index.flush(spark.createDataFrame([(5, "a"), (6, "b"), (7, "a")], schema))
+    assert sorted((r["keep_id"], r["n"]) for r in index.compact().collect()) == [(5, 2), (6, 1)]
+    index.flush(spark.createDataFrame([(2, "A"), (3, "c")], schema))
+    index.flush(spark.createDataFrame([(9, "b")], schema))
+    assert sorted((r["keep_id"], r["n"]) for r in index.compact().collect()) == [(2, 3), (3, 1), (6, 2)]
+    assert index.merged == 3 and index.compact().count() == 3
+    assert sorted(r["id"] for r in index.lookup(hashlib.sha256(b"a").digest()).collect()) == [2, 5, 7]
+    new = index.rows(spark.createDataFrame([(20, "b"), (21, "c"), (22, "A")], schema), "doc_id", "text")
+    assert {20, 22} <= {r["id"] for r in index.may_hit(new).collect()}
+
+
 def test_exact_dedup_tells_texts_under_one_digest_apart(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "doc_id long, text string")
     got = {(r["doc_id"], r["keep_id"]) for r in exact_dedup.decisions(rows, digest=lambda t: F.encode(F.substring(t, 1, 0), "UTF-8")).collect()}
@@ -52,6 +72,15 @@ def test_sharding(docs, empty):
     assert sharding.assign(empty, 40).count() == 0
 
 
+def test_shards_are_written(spark, docs, empty, tmp_path):
+    clashing = docs.withColumns({"shard": F.lit("s"), "h": F.lit(1), "depth": F.lit(2), "part": F.lit(3)})
+    back = spark.read.parquet(sharding.write_shards(clashing, 40, f"file://{tmp_path}/shards"))
+    assert sorted((str(r["doc_id"]), r["text"] or "", r["shard"]) for r in back.collect()) == sorted((str(i), t or "", "s") for i, t in ROWS)
+    wanted = sorted((str(r["doc_id"]), r["shard"]) for r in sharding.assign(docs, 40).collect())
+    assert sorted({(str(r["doc_id"]), r["_shard"]) for r in spark.read.schema("doc_id long, _shard string").parquet(f"file://{tmp_path}/shards").collect()}) == sorted(set(wanted))
+    sharding.write_shards(empty, 40, f"file://{tmp_path}/none")
+
+
 def test_packing_bounds_are_optimal():
     rng = np.random.default_rng(1)
     for _ in range(20):
@@ -75,15 +104,56 @@ def test_packing(docs, empty):
     for some in batches.values():
         assert sum(r["bucket_length"] for r in some) <= 16 or len(some) == 1 and some[0]["over_budget"]
         assert sorted(r["slot"] for r in some) == list(range(len(some)))
+    assert [(r["key"], r["padding"]) for r in rows if r["over_budget"]] == [(8, 0)]
     assert packing.pack(packing.lengths_of(empty)).count() == 0
 
 
+def test_packing_only_rows_beyond_the_budget_are_marked(spark):
+    lengths = [100] * 30 + [8000] * 10 + [9000]
+    rows = spark.createDataFrame([(None if i % 3 else i, n) for i, n in enumerate(lengths)], "doc_id long, n long")
+    got = packing.pack(packing.lengths_of(rows, length=F.col("n")), budget=8192, buckets=2).collect()
+    assert sorted((r["length"], r["bucket_length"], r["over_budget"]) for r in got) == sorted((n, n, n > 8192) for n in lengths)
+    assert sum(r["padding"] for r in got) == 0 and len({(r["bucket"], r["batch"], r["slot"]) for r in got}) == 41
+
+
+def test_packing_places_repeated_keys_in_several_cells(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CELL_ROWS", 4)
+    rows = spark.range(300).selectExpr("if(id < 200, 7, id) as doc_id", "10 + id % 3 as n")
+    got = packing.pack(packing.lengths_of(rows, length=F.col("n")), budget=40, buckets=2).collect()
+    for bucket in {r["bucket"] for r in got}:
+        own = [r for r in got if r["bucket"] == bucket]
+        capacity = 40 // own[0]["bucket_length"]
+        places = sorted(r["batch"] * capacity + r["slot"] for r in own)
+        assert places == list(range(len(own)))  # every batch but the last is full
+
+
+def test_packing_places_by_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = packing.pack(packing.lengths_of(docs), 512, 4).collect()
+    plain = {r["doc_id"]: len((r["text"] or "").replace("\x1c", "x").split()) for r in docs.collect()}
+    fit = sorted(n for n in plain.values() if n <= 512)
+    assert {r["key"]: r["length"] for r in got} == plain
+
+    def padding(bounds):
+        return sum(min(b for b in bounds if b >= n) - n for n in fit)
+
+    distinct = sorted(set(fit))
+    used = sorted({r["bucket_length"] for r in got if not r["over_budget"]})
+    assert sum(r["padding"] for r in got) == padding(used)
+    rnd = random.Random(1)
+    for _ in range(300):  # no other bounds do better
+        assert padding(used) <= padding([*rnd.sample(distinct, min(3, len(distinct))), distinct[-1]])
+    for b in used:
+        own = [r for r in got if r["bucket_length"] == b and not r["over_budget"]]
+        assert max(r["batch"] for r in own) == (len(own) - 1) // (512 // max(b, 1))
+
+
 def test_packing_is_optimal_with_many_lengths_and_an_outlier(spark):
     lengths = np.array([*range(1, 2101), 200_000])
     rows = spark.range(1, 2102).selectExpr("id as key", "if(id = 2101, 200000L, id) as length")
     got = packing.pack(rows, budget=8192, buckets=4).agg(F.sum("padding"), F.countDistinct("bucket")).first()
-    # the outlier alone; 2100 lengths in three buckets of 700, each with padding 0 + 1 + ... + 699
-    assert tuple(got) == (3 * 700 * 699 // 2, 4)
+    # the outlier alone, beyond the budget; 2100 lengths in four buckets of 525, each with padding 0 + 1 + ... + 524
+    assert tuple(got) == (4 * 525 * 524 // 2, 5)
     assert packing.optimal_bounds(lengths, np.ones(2101, np.int64), 4) == [700, 1400, 2100, 200_000]
 
 
@@ -111,7 +181,51 @@ def test_ngram_join(spark, docs, empty):
     got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_links"]) for r in got) == brute_links(rows)
     assert ngram_join.join(empty).count() == 0
-    assert ngram_join.runs_for(0.8, 0.99999) == 8
+    assert ngram_join.runs_for(0.8, 0.99998) == 8 and ngram_join.expected_recall(0.8, 8) > 0.99998
+    with pytest.raises(ValueError):
+        ngram_join.runs_for(0.8, 0.999999)
+
+
+def test_ngram_join_with_repeated_rows(spark):
+    rnd = random.Random(8)
+    base = [f"w{rnd.randint(0, 500)}" for _ in range(150)]
+
+    def near():
+        words = list(base)
+        for _ in range(rnd.randint(0, 3)):
+            words[rnd.randrange(150)] = f"z{rnd.randint(0, 10**6)}"
+        return " ".join(words)
+
+    rows = [(i, near()) for i in range(130)] + [(i, near()) for i in (3, 3, 7)]  # one id with several near texts
+    rows += [rows[5]] * 3 + [rows[0]] * 2 + [(3, "another text of its own, with words that nobody else has"), (9, "yet another text, alone in the whole world of this table")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"id": F.lit(1), "hash": F.lit(2), "sid": F.lit(3), "n": F.lit(4)})
+    got = ngram_join.join(df).collect()
+    assert sorted((r["doc_id"], r["n_links"]) for r in got) == brute_links(rows)
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"], r["text"][:7]) for r in kept.collect()) == sorted([(0, rows[0][1][:7]), (3, "another"), (9, "yet ano")])
+
+
+def test_ngram_join_deals_out_a_hot_bucket(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", 100)
+    rnd = random.Random(9)
+    base = [f"w{rnd.randint(0, 500)}" for _ in range(80)]
+    rows = []
+    for i in range(260):
+        words = list(base)
+        for _ in range(rnd.randint(0, 3)):
+            words[rnd.randrange(80)] = f"z{rnd.randint(0, 10**6)}"
+        rows.append((i, " ".join(words)))
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_links"]) for r in got) == brute_links(rows)
+
+
+def test_ngram_join_recall_on_documents(spark, sf_dir):
+    """Every 50th document against all, and links of all of them, by brute force on the shingles of whole texts."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    found = {r["doc_id"]: r["n_links"] for r in ngram_join.join(docs).collect()}
+    assert sorted(found.items()) == brute_links(rows)
 
 
 def test_components(spark):
@@ -141,24 +255,97 @@ def test_license_scan_labels_one_line_notices(spark):
     assert [(r["doc_id"], r["labels"]) for r in sorted(got, key=lambda r: r["doc_id"])] == [(i, notices[i][1]) for i, _ in rows]
 
 
-def test_quality_rules(docs, empty):
+def plain_license_scan(text, least=0.6):
+    """(n_words, n_base, first, last, base labels, labels) by trying every alignment of every template."""
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    ws = re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+
+    def places(some, phrase):
+        wanted = phrase.split()
+        return [i for i in range(len(some) - len(wanted) + 1) if some[i : i + len(wanted)] == wanted]
+
+    base = [(at, label) for phrase, label in license_scan.BASE_PHRASES for at in places(ws, phrase)]
+    frequency = {}
+    for _, body, _ in license_scan.TEMPLATES:
+        for w in set(body.split()):
+            frequency[w] = frequency.get(w, 0) + 1
+    idf = {w: np.log((1 + len(license_scan.TEMPLATES)) / (1 + n)) + 1 for w, n in frequency.items()}
+    labels = {label for _, label in base}
+    for label, body, keys in license_scan.TEMPLATES:
+        body = body.split()
+        total = sum(idf[w] for w in body)
+        for shift in range(1 - len(body), len(ws)):
+            got = sum(idf[w] for i, w in enumerate(body) if 0 <= shift + i < len(ws) and ws[shift + i] == w)
+            if got >= least * total and all(places(ws[max(shift, 0) : max(shift + len(body), 0)], k) for k in keys):
+                labels.add(label)
+    at = [a for a, _ in base]
+    return len(ws), len(base), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in base})), ",".join(sorted(labels))
+
+
+def test_license_scan_equals_brute_force(spark):
+    rnd, texts = random.Random(12), ["", "The CC-BY! general Public license all rights reserved é", "All rights RESERVED"]
+    bodies = [body for _, body, _ in license_scan.TEMPLATES]
+    filler = "the software is provided to any person under this license and the following a of in with copy é Ünder".split()
+    for _ in range(60):
+        ws = rnd.choices(filler, k=rnd.randint(0, 40))
+        for body in rnd.sample(bodies, rnd.randint(0, 2)):
+            body = body.split()
+            share = rnd.choice([0, 0, 0.05, 0.2, 0.5])
+            ws += [rnd.choice(filler) if rnd.random() < share else w for w in body[: rnd.choice([len(body), len(body) // 2, 8])]]
+            ws += rnd.choices(filler, k=rnd.randint(0, 20))
+        texts.append(rnd.choice([" ", ", ", "\n"]).join(w.title() if rnd.random() < 0.2 and w.isascii() else w for w in ws))
+    got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        r = got[i]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"]) == plain_license_scan(text), text
+
+
+def test_license_words_are_compared_by_their_bytes():
+    index = license_scan.build_index()
+    wrong = license_scan.Index(index.vocabulary, tuple("x" * len(w) if i == 0 else w.decode() for i, w in enumerate(index.spelling)), index.templates, index.phrases)
+    wrong = license_scan.Index(wrong.vocabulary, tuple(w.encode() for w in wrong.spelling), wrong.templates, wrong.phrases)
+    text = [b" ".join(index.spelling)]
+    assert (license_scan.number_words(text, index)[0] >= 0).all() and (license_scan.number_words(text, wrong)[0] < 0).sum() == 1
+
+
+def test_quality_rules(spark, docs, empty):
     rows = {r["doc_id"]: r for r in quality_rules.apply_policy(quality_rules.ledger(docs)).collect()}
     assert (rows[8]["n_words"], rows[8]["n_repeat_words"], rows[8]["kept"]) == (30_000, 30_000, False)
     assert (rows[3]["n_words"], rows[4]["word_chars"], rows[5]["word_chars"]) == (0, 0, 2)
     assert quality_rules._repeated_words(b"a b c x a b c".split()) == 6 and quality_rules._repeated_words(b"a a a a".split()) == 4
     assert quality_rules.ablation(quality_rules.ledger(docs)).count() == 8
-    assert quality_rules.keep_rows(docs).columns == docs.columns and quality_rules.ledger(empty).count() == 0
+    clashing = docs.withColumns({"_q_n_words": F.lit(0), "n_words": F.lit(7), "fail_bits": F.lit(1), "n_lines": F.lit("x")})
+    assert quality_rules.keep_rows(clashing).columns == clashing.columns and quality_rules.keep_rows(empty).count() == 0
+    long = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(60)), 5)], "doc_id long, text string, n_words int")
+    assert [tuple(r) for r in quality_rules.keep_rows(long).collect()] == [tuple(r) for r in long.collect()]
+    assert quality_rules.ledger(empty).count() == 0
 
 
 def test_warc(spark, empty):
-    pages = spark.createDataFrame([(2, "u2", "x"), (1, "u1", "x"), (3, None, None), (4, "u", "é" * 9)], "page_id long, url string, html string")
+    pages = spark.createDataFrame([(2, "u2", "x", 0), (1, "u1", "x", 0), (3, None, None, 1), (4, "u", "é" * 9, 2), (None, "n", "x", 3), (5, "u5", "a\r\n\r\nWARC/1.1\r\nb" * 5000, 3), (4, "u4", "é" * 9, 2)], "page_id long, url string, html string, digest int")
     path = warc.write_archive(pages)
-    rows = {r["id"]: r for r in warc.read_back(spark, path).collect()}
-    assert (rows[1]["record_type"], rows[2]["record_type"], rows[2]["refers_to"]) == ("response", "revisit", 1)
-    assert rows[4]["payload_bytes"] == 18 and rows[3]["payload_digest"] == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ" and all(r["intact"] for r in rows.values())
+    rows = warc.read_back(spark, path).collect()
+    assert len(rows) == 7 and all(r["intact"] for r in rows)
+    by_id = {r["id"]: r for r in rows}
+    assert (by_id[1]["record_type"], by_id[2]["record_type"], by_id[2]["refers_to"], by_id[None]["refers_to"]) == ("response", "revisit", 1, 1)
+    assert [r["record_type"] for r in rows if r["id"] == 4] == ["response"] * 2
+    assert by_id[4]["payload_bytes"] == 18 and by_id[3]["payload_digest"] == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
     records = warc.parse_warc(b"".join(r["member"] for r in warc.warc_bytes(warc.reconstruct(spark, path)).collect()))
-    assert sorted(len(b) for _, b in records) == [0, 0, 1, 18]
+    assert sorted(len(b) for _, b in records) == [0, 0, 0, 1, 18, 18, 80_000]
+    whole = [r["record"].partition(b"\r\n\r\n")[2] for r in warc.reconstruct(spark, path, originals=True).collect()]
+    assert sorted(len(b) - 4 for b in whole) == [0, 1, 1, 1, 18, 18, 80_000]
     assert warc.read_back(spark, warc.write_archive(pages.limit(0))).count() == 0
+    small = {r["id"]: r["record_type"] for r in warc.read_back(spark, warc.write_archive(pages, min_bytes=2)).collect()}
+    assert small[1] == small[2] == "response"
+
+
+def test_warc_files_read_by_a_plain_parser(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i % 7}\r\n\r\n</p>" * (i % 7)) for i in range(600)], "page_id long, url string, html string")
+    path = warc.write_archive(pages, min_bytes=1)
+    warc.export(spark, path, f"file://{tmp_path}/out")
+    found = [x for f in sorted((tmp_path / "out").glob("part-*")) for x in warc.parse_warc(f.read_bytes())]
+    types = {int(h["WARC-Record-ID"].split(":")[-1][:-1]): (h["WARC-Type"], b.decode()) for h, b in found}
+    assert len(types) == 600 and all(types[i] == ("response", f"<p>{i % 7}\r\n\r\n</p>" * (i % 7)) if i < 7 or i % 7 == 0 else types[i] == ("revisit", "") for i in range(600))
 
 
 def test_token_files(spark, docs, empty):
@@ -167,7 +354,10 @@ def test_token_files(spark, docs, empty):
     from tokenizers import Tokenizer
 
     t, start = Tokenizer.from_file(path), 0
-    for r, (doc_id, text) in zip(made, sorted(ROWS, key=lambda x: (x[0] is not None, x[0] or 0)), strict=True):
+    marked = [(20, "a <|endoftext|> b"), (21, "<|endoftext|><|endoftext|>")]
+    made += token_codec.read_tokens(spark, token_codec.write_tokens(spark.createDataFrame(marked, "doc_id long, text string"), path)).orderBy("start").collect()
+    for r, (doc_id, text) in zip(made, [*sorted(ROWS, key=lambda x: (x[0] is not None, x[0] or 0)), *marked], strict=True):
+        start = 0 if doc_id == 20 else start
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
         assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) == (doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
@@ -183,14 +373,27 @@ def test_code_lengths_are_limited_and_complete():
     assert (book.decode([(payload, checkpoints, 5000), (payload, checkpoints, 5000)])[1] == ids).all()
 
 
-def test_pieces(docs, empty):
+def test_pieces(spark, docs, empty):
     model = queries.tokenizer_file("piece_bpe_32k.model")
-    assert all(r["decoded_equal"] for r in piece_codec.encode_and_check(docs, model).collect())
-    pieces = piece_codec.pieces_of(model)
+    rows = piece_codec.encode_and_check(docs, model).collect()
+    assert len(rows) == len(ROWS) and all(r["decoded_equal"] for r in rows)
+    texts = ["a  b ", " ", None, "", "日本 ▁x", "word " * 5000, "x" * 3000, "\n\t\0"]
+    odd = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    back = {r["doc_id"]: r["text"] for r in piece_codec.decode(piece_codec.encode(odd, model), model).collect()}
+    assert back == {i: t or "" for i, t in enumerate(texts)}
+    assert piece_codec.encode(empty, model).count() == 0 and piece_codec.encode_and_check(empty, model).count() == 0
+
+
+def test_piece_paths_equal_a_plain_viterbi():
+    pieces = piece_codec.Pieces(queries.tokenizer_file("piece_bpe_32k.model"))
+    rnd, letters = random.Random(4), "abcdefghijklmnop the-é日▁.ing0"
     words = [piece_codec.MARK + w.encode() for w in ["hello", "wörld", "a▁b", "日本", "", "xyzzyq"]]
+    words += [piece_codec.MARK + "".join(rnd.choices(letters, k=rnd.randint(0, 80))).encode() for _ in range(200)]
     for w in words:
-        assert pieces.segment([w, w])[1] == pieces.segment_slowly(w)
-    assert piece_codec.encode(empty, model).count() == 0
+        plain = pieces.segment_slowly(w)
+        ids, counts = pieces.segment([w, w])
+        assert ids.tolist() == plain * 2 and counts.tolist() == [len(plain)] * 2
+        assert pieces.segment_long(w) == plain
 
 
 def test_pii(spark, docs, empty):
@@ -207,7 +410,7 @@ def test_pii(spark, docs, empty):
 def test_pii_finds_long_secrets_and_secrets_of_few_digits_at_all_offsets():
     rnd = random.Random(3)
     mixed, small = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
-    prose = "the rain in the plain stays mainly and the old man went there again to see the other " * 3
+    prose = "the rain in the plain stays mainly and the old man went there again to see the other " * 8
     model = pii.model_from(pii.trained())
     for length in (64, 150):
         texts, wanted = [], []
@@ -224,6 +427,41 @@ def test_pii_finds_long_secrets_and_secrets_of_few_digits_at_all_offsets():
     assert pii.find_spans(["-" * 300 + " some-very-long-name-of-a-page"], model)[0][1] == []
 
 
+def test_base_patterns_equal_the_expressions():
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    rnd = random.Random(1)
+    for _ in range(5000):
+        t = "".join(rnd.choices("ab1.@-2+ 3é", k=rnd.randint(0, 30)))
+        wanted = [(m.start(), 0, m.end()) for m in email.finditer(t)] + [(m.start(), 1, m.end()) for m in ip.finditer(t) if all(int(p) <= 255 for p in m[0].split("."))]
+        assert [x for x in pii.base_spans(t) if x[1] < 2] == sorted(wanted)
+
+
+def test_pii_takes_long_runs_in_linear_time():
+    model = pii.model_from(pii.trained())
+    for text in ("a" * 300_000 + "@b.c", "7" * 300_000, "1." * 60_000, "@a" * 60_000, "+1" * 60_000):
+        began = time.time()
+        pii.find_spans([text], model)
+        assert time.time() - began < 20
+
+
+def test_pii_decoding_is_the_best_path():
+    model = pii.model_from(pii.trained())
+    x, _ = pii.training_windows(40, seed=3)
+    e, trans = model.emissions(np.ascontiguousarray(x.T))[0], model.p["t"]
+
+    def score(tags):
+        return e[np.arange(len(tags)), k, tags].sum() + trans[tags[:-1], tags[1:]].sum()
+
+    rnd = np.random.default_rng(0)
+    for k, tags in enumerate(model.decode(x)):
+        for _ in range(200):
+            other = tags.copy()
+            a = rnd.integers(0, len(other) - 3)
+            other[a : a + rnd.integers(1, 4)] = rnd.integers(0, pii.TAGS)
+            assert score(other) <= score(tags) + 1e-3
+
+
 def test_pii_gradient():
     model, (x, y) = pii.Model(1), pii.training_windows(3, seed=2)
     x, y = np.ascontiguousarray(x[:, :12].T), np.ascontiguousarray(y[:, :12].T)
@@ -240,24 +478,14 @@ def test_pii_gradient():
         assert (up - down) / 2e-3 == pytest.approx(float(grad[k][at]), rel=0.05)
 
 
-def test_pipeline(spark, sf_dir):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, sf_dir)
-        assert out.columns == docs.columns and 0 < out.count() <= docs.count()
-        docs = out
-    assert corpus_pipeline.run(spark, sf_dir).count() == docs.count()
-
-
 def test_piece_tokenizer_equals_library():
-    import random
+    from tokenizers import Tokenizer
 
-    t, r = token_codec.PieceTokenizer(queries.tokenizer_file("byte_bpe_50k.json")), random.Random(5)
+    path, r = queries.tokenizer_file("byte_bpe_50k.json"), random.Random(5)
+    t, library = token_codec.PieceTokenizer(path), Tokenizer.from_file(path)
     parts = ["a", "B", "s", " ", "  ", "\n", "\t", "\r", "'", "'s", ",", "***", "7", "é", "à", "日", "€", "😀", "́", "x y", "<|endoftext|>", "\x85", "½", "Ã "]
     for _ in range(100):
         texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(60)]
         ids, n = t.encode(pa.array(texts, pa.string()))
-        wanted = [[*t.tokenizer.encode(x, add_special_tokens=False).ids, 0] for x in texts]
+        wanted = [[*library.encode(x, add_special_tokens=False).ids, 0] for x in texts]
         assert n.tolist() == [len(x) for x in wanted] and ids.tolist() == [i for x in wanted for i in x]
