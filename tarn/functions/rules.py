@@ -281,8 +281,8 @@ def contained_join(root: Column, path: Column) -> Column:
 
 
 def normal_server_path(path: Column) -> Column:
-    """A path as typed, for comparison with a server path: trimmed, without leading ./ and slashes, and without slashes at the end."""
-    return F.regexp_replace(F.regexp_replace(_strip(path), r"^(?:\./)*/*", ""), r"/+\z", "")
+    """A path as typed, for comparison with a server path: trimmed, without ./ and then slashes before it."""
+    return F.regexp_replace(_strip(path), r"^(?:\./)*/*", "")
 
 
 def snippet_text(s: Column) -> Column:

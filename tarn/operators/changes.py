@@ -192,23 +192,22 @@ def settle_removals(pending: DataFrame, tracked: DataFrame) -> DataFrame:
     return rules.with_fold_key(pending.select("path")).join(claimed, "fold_key", "left_anti").select("path").distinct()
 
 
-def redelivery(deliveries: DataFrame, disk: DataFrame, state: DataFrame) -> DataFrame:
-    """(id, path, outcome) of deliveries(id, path, sha) against disk(path, sha) and state(id, path, sha), the last delivered.
+def redelivery(deliveries: DataFrame, disk: DataFrame, state: DataFrame, vacated: DataFrame | None = None) -> DataFrame:
+    """(id, path, outcome) of deliveries(id, path, sha) against disk(path, sha) and state(id, path, sha), what was last delivered.
 
-    A path that nothing stands at is written; one that this node is tracked at is overwritten, and is an edit by hand (and still
-    overwritten) if its bytes are neither the last delivered nor the incoming ones; of a path that it is not tracked at, equal bytes
-    are adopted and others park for the time being.
+    A path where nothing stands is written. One that some tracked node claims, or that was vacated(path) in this page, is overwritten;
+    that loses an edit by hand if the node's last bytes are known and those on disk are neither them nor the incoming ones. Of a path
+    that nobody claims, equal bytes are adopted, so that a delivery may come again, and others park for the time being.
     """
-    own = state.select("id", F.col("path").alias("held_path"), F.col("sha").alias("held_sha"))
+    claims = state.select("path") if vacated is None else state.select("path").union(vacated.select("path"))
+    claimed = rules.with_fold_key(claims).select("fold_key", F.lit(True).alias("claimed")).distinct()
+    own = state.select("id", F.nullif("sha", F.lit("")).alias("last_sha"))
     there = disk.select("path", F.col("sha").alias("disk_sha"))
-    joined = deliveries.join(there, "path", "left").join(own, "id", "left")
-    tracked = F.coalesce(F.col("held_path") == F.col("path"), F.lit(False))
-    same, known = F.col("disk_sha") == F.col("sha"), F.col("disk_sha").eqNullSafe(F.col("held_sha"))
-    outcome = (
-        F.when(F.col("disk_sha").isNull(), "write").when(tracked & same, "unchanged").when(tracked & known, "overwrite").when(tracked, "overwrite_edit")
-        .when(same, "adopt").otherwise("park_transient")
-    )
-    return joined.select("id", "path", outcome.alias("outcome"))
+    rows = rules.with_fold_key(deliveries).join(there, "path", "left").join(own, "id", "left").join(claimed, "fold_key", "left")
+    same = F.col("disk_sha") == F.col("sha")
+    edited = (F.col("disk_sha") != F.col("last_sha")) & ~same
+    outcome = F.when(F.col("disk_sha").isNull(), "write").when(F.col("claimed") & edited, "overwrite_edit").when(F.col("claimed"), "overwrite").when(same, "adopt").otherwise("park_transient")
+    return rows.select("id", "path", outcome.alias("outcome"))
 
 
 def invalidator(mounts: DataFrame, nodes: DataFrame, disk: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ def status(mounts: DataFrame, state: DataFrame, folders: DataFrame) -> DataFrame
     exists = F.col("entries").isNotNull()
     return rows.select(
         "mount", "workspace", "nodes", yes(F.col("at_head")).alias("at_head"), yes(changes.incomplete() | ~F.col("scope_key").eqNullSafe(F.col("scope"))).alias("raw_incomplete"), yes(F.col("has_state")).alias("has_state"),
-        F.coalesce("parks", F.lit(0)).alias("parks"), F.greatest(F.col("now") - F.col("head_reached_at"), F.lit(0)).alias("head_age"), exists.alias("exists_on_disk"),
+        F.coalesce("parks", F.lit(0)).alias("parks"), F.when(F.col("head_reached_at").isNotNull(), F.greatest(F.col("now") - F.col("head_reached_at"), F.lit(0))).alias("head_age"), exists.alias("exists_on_disk"),
         yes(F.col("identity") == "ours").alias("claimed"), yes(F.col("identity") == "held").alias("busy"), yes(F.col("identity") == "unreadable").alias("unreadable"),
         (yes(F.col("nodes") > 0) & yes(F.col("entries") == 0)).alias("emptied"),
     ).withColumn("incomplete", F.col("has_state") & F.col("raw_incomplete")).drop("raw_incomplete", "has_state")

@@ -12,11 +12,15 @@ WRITE_TEMP_PREFIX = ".write-"
 
 
 def expectations(server: DataFrame, state: DataFrame, parks: DataFrame, scope: str | None = None, ignore_case: bool = True) -> DataFrame:
-    """(id, kind, path, fold_key, digest): what server(id, kind, path, digest) wants on disk. Parked nodes want nothing, nor do
-    nodes that classify() would not put; an attachment wants its marker, where state(id, kind, local_path, marker_path) has it or beside it."""
-    placed = changes.classify(server.withColumn("trashed", F.lit(False)), state, scope).filter("disposition = 'put'").select("id")
-    live = server.join(parks.select("id"), "id", "left_anti").join(placed, "id", "left_semi")
-    local = rules.scope_relative(F.col("path"), scope) if scope else F.col("path")
+    """(id, kind, path, fold_key, digest): what server(id, kind, path, digest) wants on disk. Parked nodes want nothing, nor do nodes
+    of unknown kinds, with reserved or control names, outside the scope, or whose names cannot be those of notes or of files; an
+    attachment wants its marker, where state(id, kind, local_path, marker_path) has it or beside it."""
+    path = F.col("path")
+    local = rules.scope_relative(path, scope) if scope else path
+    fits = ~F.exists(rules.segments(local), lambda x: rules.component_units(x) > 255)
+    note_name = (F.col("kind") != "file") | rules.is_note_name(rules.leaf_of(path))
+    wanted = changes.known_kind(F.col("kind")).isNotNull() & ~rules.has_reserved_segment(path) & ~rules.in_control_namespace(path) & (local != "") & note_name & fits
+    live = server.filter(wanted).join(parks.select("id"), "id", "left_anti")
     known = state.select("id", "marker_path")
     want = F.when(F.col("kind") == "attachment", F.coalesce("marker_path", F.concat(local, F.lit(rules.CONTROL_SUFFIX)))).otherwise(local)
     rows = live.join(known, "id", "left").select("id", changes.known_kind(F.col("kind")).alias("kind"), want.alias("path"), "digest")

@@ -41,7 +41,7 @@ STATUS = """m AS (SELECT s_name AS mount, s_suppkey AS workspace, 'd' || s_suppk
   st AS (SELECT s_suppkey AS workspace, s_suppkey % 4 AS nodes, s_suppkey % 2 AS parks, s_suppkey % 11 = 0 AS from_zero, s_suppkey % 13 <> 0 AS at_head, 0 AS transient_parks, CASE WHEN s_suppkey % 17 = 0 THEN 1 ELSE 0 END AS pending_removals,
     CASE WHEN s_suppkey % 3 = 0 THEN 'a' WHEN s_suppkey % 19 = 0 THEN 'b' END AS scope_key, s_suppkey * 10 AS head FROM supplier WHERE s_suppkey % 5 <> 0),
   fo AS (SELECT 'd' || s_suppkey AS dir, s_suppkey % 3 AS entries, CASE s_suppkey % 7 WHEN 0 THEN 'held' WHEN 1 THEN 'foreign' WHEN 2 THEN 'unreadable' ELSE 'ours' END AS identity FROM supplier WHERE s_suppkey % 8 <> 0),
-  r AS (SELECT mount, workspace, nodes, coalesce(at_head, FALSE) AS at_head, coalesce(parks, 0) AS parks, greatest(500 - head, 0) AS head_age, entries IS NOT NULL AS exists_on_disk, coalesce(identity = 'ours', FALSE) AS claimed,
+  r AS (SELECT mount, workspace, nodes, coalesce(at_head, FALSE) AS at_head, coalesce(parks, 0) AS parks, CASE WHEN head IS NOT NULL THEN greatest(500 - head, 0) END AS head_age, entries IS NOT NULL AS exists_on_disk, coalesce(identity = 'ours', FALSE) AS claimed,
       coalesce(identity = 'held', FALSE) AS busy, coalesce(identity = 'unreadable', FALSE) AS unreadable, coalesce(nodes > 0, FALSE) AND coalesce(entries = 0, FALSE) AS emptied,
       coalesce(from_zero OR NOT at_head OR transient_parks > 0 OR pending_removals > 0 OR scope_key IS DISTINCT FROM scope, FALSE) AS incomplete, st.workspace IS NOT NULL AS has FROM m LEFT JOIN st USING (workspace) LEFT JOIN fo USING (dir)),
   q AS (SELECT * EXCLUDE (incomplete, has), has AND incomplete AS incomplete FROM r)"""
@@ -114,13 +114,14 @@ def settle_removals(s, d):
     return changes.settle_removals(rows.select(F.col("p_type").alias("path")), rows.filter("p_size = 1").select(F.upper("p_type").alias("path")))
 
 
-@query(with_sql("dn", """SELECT id, path, CASE WHEN id % 7 = 0 THEN 'write' WHEN id % 3 <> 0 AND id % 5 = 1 THEN 'unchanged' WHEN id % 3 <> 0 AND id % 5 = 0 THEN 'overwrite' WHEN id % 3 <> 0 THEN 'overwrite_edit' WHEN id % 5 = 1 THEN 'adopt' ELSE 'park_transient' END AS outcome FROM dn WHERE live"""))
+@query(with_sql("dn", """SELECT id, path, CASE WHEN id % 7 = 0 THEN 'write' WHEN id % 3 = 1 AND id % 5 > 1 THEN 'overwrite_edit' WHEN id % 3 <> 0 OR id % 11 = 0 THEN 'overwrite' WHEN id % 5 = 1 THEN 'adopt' ELSE 'park_transient' END AS outcome FROM dn WHERE live"""))
 def redelivery(s, d):
     nodes = tables.doc_nodes(s, d)
     now = F.when(F.col("id") % 5 == 0, "old").when(F.col("id") % 5 == 1, "new").otherwise("edit")
     disk = nodes.filter("id % 7 <> 0").select("path", now.alias("sha"))
-    state = nodes.filter("id % 3 <> 0").select("id", "path", F.lit("old").alias("sha"))
-    return changes.redelivery(nodes.filter("live").select("id", "path", F.lit("new").alias("sha")), disk, state)
+    # a third of the paths is tracked by the delivered node itself, a third by another one, in another letter case; some are vacated
+    own, other = nodes.filter("id % 3 = 1").select("id", "path", F.lit("old").alias("sha")), nodes.filter("id % 3 = 2").select(F.col("id") + 10_000_000, F.upper("path"), F.lit("else"))
+    return changes.redelivery(nodes.filter("live").select("id", "path", F.lit("new").alias("sha")), disk, own.union(other), nodes.filter("id % 11 = 0").select("path"))
 
 
 @query("""WITH k AS (SELECT s_suppkey AS mount FROM supplier), n AS (SELECT c_nationkey AS mount, bool_or(c_custkey % 10 = 0) AS named, bool_or(c_custkey % 3 = 0 OR c_custkey % 2 = 1) AS gone FROM customer GROUP BY 1)

@@ -40,7 +40,7 @@ def _located(s, d):
     gone = rows.filter("id % 13 = 0").select("mount", "id", F.lit("gone").alias("fact"))
     by_id = rows.select((F.col("id") * 2).alias("target"), "mount", "id", F.lit(None).cast("string").alias("path"))
     every = rows.select("id", "path", F.explode(F.array(*[F.lit(m) for m in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")])).alias("mount"))
-    by_path = every.select((F.col("id") * 2 + 1).alias("target"), "mount", F.lit(None).cast("long").alias("id"), F.concat(F.lit(" ./"), "path", F.lit("/ ")).alias("path"))
+    by_path = every.select((F.col("id") * 2 + 1).alias("target"), "mount", F.lit(None).cast("long").alias("id"), F.concat(F.lit(" ././/"), "path", F.lit(" ")).alias("path"))
     return reading.locate(by_id.unionByName(by_path), places, nodes, parks, rows.select("mount", "id"), gone)
 
 

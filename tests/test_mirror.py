@@ -123,7 +123,7 @@ def test_missing_claim_log_is_empty(spark, at):
 
 
 def test_parked_is_told_before_not_held(spark):
-    targets = spark.createDataFrame([(1, "m", None, "/p.md/"), (2, "m", 5, None), (3, "m", 6, None), (4, "m", None, "q.md"), (5, "m", 7, None)], "target long, mount string, id long, path string")
+    targets = spark.createDataFrame([(1, "m", None, " .//p.md "), (2, "m", 5, None), (3, "m", 6, None), (4, "m", None, "q.md"), (5, "m", 7, None)], "target long, mount string, id long, path string")
     mounts = spark.createDataFrame([("m", "ours", "present")], "mount string, identity string, state string")
     nodes = spark.createDataFrame([("m", 7, "n.md", "note")], "mount string, id long, path string, kind string")
     parks = spark.createDataFrame([("m", 5, "p.md")], "mount string, id long, path string")
@@ -140,6 +140,16 @@ def test_reconciliation_goes_by_id_and_folded_path(spark):
     assert got == [("state-orphan", "gone.md", 9), ("untracked", "New.md", 1)]
 
 
+def test_redelivery(spark):
+    frame = lambda schema, *rows: spark.createDataFrame(list(rows), schema)
+    deliveries = frame("id long, path string, sha string", *[(i, f"p{i}", "new") for i in range(1, 9)])
+    disk = frame("path string, sha string", ("p2", "new"), ("p3", "x"), ("p4", "old"), ("p5", "x"), ("p6", "x"), ("p7", "x"), ("p8", "new"))
+    state = frame("id long, path string, sha string", (4, "p4", "old"), (5, "p5", "old"), (6, "p6", ""), (90, "P7", "y"), (8, "p8", "old"))
+    got = {r["id"]: r["outcome"] for r in changes.redelivery(deliveries, disk, state).collect()}
+    assert got == {1: "write", 2: "adopt", 3: "park_transient", 4: "overwrite", 5: "overwrite_edit", 6: "overwrite", 7: "overwrite", 8: "overwrite"}
+    assert {r["id"]: r["outcome"] for r in changes.redelivery(deliveries, disk, state, frame("path string", ("p3",))).collect()}[3] == "overwrite"
+
+
 def test_settled_removals_and_first_claimants(spark):
     pending, tracked = spark.createDataFrame([("A/b",), ("c",)], "path string"), spark.createDataFrame([("a/B",)], "path string")
     assert [r["path"] for r in changes.settle_removals(pending, tracked).collect()] == ["c"]
