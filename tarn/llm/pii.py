@@ -1,21 +1,23 @@
 """Personal data: base patterns, and a character-level bidirectional LSTM with CRF transitions trained in numpy.
 
 The model is trained once a driver process on TRAIN_WINDOWS synthetic windows with labelled spans (a documented bound; the
-labels come from the generator, no row of the corpus is used). Every kind it knows holds a digit or an @, or is a run of
-token characters as long as a secret, so the windows to decode are all windows of WINDOW characters (start STRIDE apart, so
-each place is in two) that hold one; the rest of the text cannot hold a span. Windows are decoded by Viterbi over the CRF, and
-their spans are reconciled over the whole text: a span cut by a window's edge gives way to a neighbour's whole span; cut
-pieces of one kind that overlap or touch are joined, and a cut secret goes on to the end of its run of token characters, so
-spans of any length come out whole (so does a secret of which the model found a part as long as one); of overlapping spans the one decoded nearer a window's middle stays. Base spans always stay; a model span is added only if it overlaps none of them and is well-formed for its kind.
-
-Defined cases: a null or empty text has no spans; ids are passed through, null and repeated ones too; other columns are
-ignored; offsets are code points, end exclusive.
+labels come from the generator, no row of the corpus is used). Every text is decoded whole, in windows of WINDOW characters whose
+starts are STRIDE apart, by Viterbi over the CRF, and the windows' spans are reconciled over the whole text: a span cut by a
+window's edge gives way to a neighbour's whole span; cut pieces of one kind that overlap or touch are joined, and a cut secret
+goes on to the end of its run of token characters, so spans of any length come out whole (so does a secret of which the model
+found a part as long as one); of overlapping spans the one decoded nearer a window's middle stays. Base spans always stay; a
+model span is added only if it overlaps none of them and is well-formed for its kind.
+
+Defined cases: a null or empty text has no spans; texts of any length are read whole, in time that grows with their length, runs
+of one character included; ids are passed through, null and repeated ones too; an empty table gives an empty result; other
+columns are ignored; offsets are code points, end exclusive.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,20 +27,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-WINDOW, STRIDE = 96, 48
-HIDDEN = 16
-TRAIN_WINDOWS = 4096
-EPOCHS = 5
-
-#: Base patterns, leftmost and non-overlapping by kind.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+WINDOW, STRIDE = 512, 448
+#: Windows that are decoded together, of one length; shorter windows go by lengths that are multiples of STEP.
+BATCH, STEP = 1024, 64
+HIDDEN = 8
+#: Training windows, and their length.
+TRAIN_WINDOWS, TRAIN_LENGTH = 8192, 96
+EPOCHS = 12
+
+#: Base patterns, leftmost and non-overlapping by kind: email is a run of _LOCAL, @ and _HOST; ip is four of the parts of _DOTTED.
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_HOST = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 #: Characters of secrets, and their least length.
 TOKEN, SECRET = "A-Za-z0-9_-", 20
-_TRIGGER = re.compile(rf"[{TOKEN}]{{{SECRET},}}|[0-9@]")
 _RUN, _ONE = re.compile(rf"[{TOKEN}]+"), re.compile(rf"[{TOKEN}]")
 _PREFIX = re.compile(r"sk-|ghp_|AKIA")
 
@@ -62,14 +67,41 @@ def _small(part: str) -> bool:
     return len(part) <= 3 and (not part or int(part) <= 255)
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Places of `[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+`, looked for from each @, so that long runs cost their length."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        host = _HOST.match(text, at + 1)
+        if host:
+            start = at
+            while start > done and text[start - 1] in _LOCAL:
+                start -= 1
+            if start < at:
+                done = host.end()
+                yield start, done
+        at = text.find("@", max(at + 1, done))
+
+
+def _ips(text: str) -> Iterator[tuple[int, int]]:
+    """Places of `[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)`: four parts at a time of each dotted run, those above 255 dropped."""
+    for run in _DOTTED.finditer(text):
+        parts, at = run[0].split("."), run.start()
+        for low in range(0, len(parts) - 3, 4):
+            four = parts[low : low + 4]
+            size = sum(map(len, four)) + 3
+            if all(map(_small, four)):
+                yield at, at + size
+            at += size + 1
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the base patterns, in order."""
     out = []
     if "@" in text:
-        out += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+        out += [(a, 0, b) for a, b in _emails(text)]
     if _DIGIT.search(text):
         if "." in text:
-            out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(map(_small, m[0].split(".")))]
+            out += [(a, 1, b) for a, b in _ips(text)]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 14 and 14 <= len(d := _digits(m[0])) <= 19 and luhn(d):
                 out.append((m.start(), 2, m.end()))
@@ -107,7 +139,7 @@ TABLE = _class_table()
 
 def classes_of(text: str) -> np.ndarray:
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(points < 128, TABLE[np.minimum(points, 127)], len(OWN) + 6).astype(np.int64)
+    return np.where(points < 128, TABLE[np.minimum(points, 127)], np.uint8(len(OWN) + 6))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -199,21 +231,58 @@ class Model:
             grad |= {d + "x": gx, d + "h": gh}
         return float((log_z - gold).mean()), grad
 
+    def _inference(self) -> dict:
+        """Weights for decoding: a logistic gate is (1 + tanh(z / 2)) / 2, so one tanh serves all gates; states are held doubled."""
+        if not hasattr(self, "ready"):
+            half = np.repeat(np.array([0.5, 1], np.float32), [3 * HIDDEN, HIDDEN])
+            self.ready = {k: np.ascontiguousarray(v) for k, v in {
+                "fx": self.p["fx"] * half, "bx": self.p["bx"] * half, "fh": self.p["fh"] * half / 2, "bh": self.p["bh"] * half / 2,
+                "fw": self.p["w"][:HIDDEN].T / 2, "bw": self.p["w"][HIDDEN:].T / 2,
+            }.items()}
+        return self.ready
+
+    def _add_emissions(self, e: np.ndarray, x: np.ndarray, d: str) -> None:
+        """Adds one direction's part to the emissions e (T, TAGS, B) of classes x (T, B)."""
+        ready = self._inference()
+        wx, wh, w = ready[d + "x"], ready[d + "h"], ready[d + "w"]
+        steps, batch = x.shape
+        z, gates = np.empty((batch, 4 * HIDDEN), np.float32), np.empty((batch, 4 * HIDDEN), np.float32)
+        h, c, own = np.zeros((batch, HIDDEN), np.float32), np.zeros((batch, HIDDEN), np.float32), np.empty((batch, HIDDEN), np.float32)
+        i, f, o, g = (gates[:, k * HIDDEN : (k + 1) * HIDDEN] for k in range(4))
+        part = np.empty((TAGS, batch), np.float32)
+        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+            np.take(wx, x[t], axis=0, out=z, mode="clip")
+            np.matmul(h, wh, out=gates)
+            gates += z
+            np.tanh(gates, out=gates)
+            gates[:, : 3 * HIDDEN] += 1
+            np.multiply(f, c, out=c)
+            np.multiply(i, g, out=own)
+            c += own
+            c *= 0.5
+            np.tanh(c, out=own)
+            np.multiply(o, own, out=h)
+            np.matmul(w, h.T, out=part)
+            e[t] += part
+
     def decode(self, x: np.ndarray) -> np.ndarray:
         """Best tags (B, T) for classes (B, T)."""
-        e = self.emissions(np.ascontiguousarray(x.T))[0]
-        steps, batch, _ = e.shape
+        x = np.ascontiguousarray(x.T)
+        steps, batch = x.shape
+        e = np.empty((steps, TAGS, batch), np.float32)
+        e[:] = self.p["o"][:, None]
+        self._add_emissions(e, x, "f")
+        self._add_emissions(e, x, "b")
         trans = self.p["t"]
-        score, back = e[0], np.empty((steps, batch, TAGS), np.int8)
-        for t in range(1, steps):
-            total = score[:, :, None] + trans[None]
-            back[t] = total.argmax(axis=1)
-            score = np.take_along_axis(total, back[t][:, None].astype(np.int64), 1)[:, 0] + e[t]
+        into, total, top = np.ascontiguousarray(trans.T), np.empty((TAGS, TAGS, batch), np.float32), np.empty((TAGS, batch), np.float32)
+        for t in range(1, steps):  # e[t] becomes the greatest score of a path that ends in each tag
+            np.add(e[t - 1][:, None, :], trans[:, :, None], out=total)
+            total.max(axis=0, out=top)
+            e[t] += top
         tags = np.empty((steps, batch), np.int64)
-        tags[-1] = score.argmax(axis=1)
-        cols = np.arange(batch)
+        tags[-1] = e[-1].argmax(axis=0)
         for t in range(steps - 1, 0, -1):
-            tags[t - 1] = back[t, cols, tags[t]]
+            tags[t - 1] = (e[t - 1] + into[tags[t]].T).argmax(axis=0)
         return tags.T
 
 
@@ -241,14 +310,14 @@ def _made(rng: np.random.Generator, kind: int) -> str:
 
 
 def training_windows(n: int = TRAIN_WINDOWS, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
-    """Classes and tags (n, WINDOW) of synthetic text with labelled spans; some windows hold numbers that are no entity."""
+    """Classes and tags (n, TRAIN_LENGTH) of synthetic text with labelled spans; some windows hold numbers that are no entity."""
     rng = np.random.default_rng(seed)
     syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ou", "la", "que", "der", "sch", "ción", "é", "ü", "lly", "ing", "ent"]
     decoys = [lambda: str(rng.integers(0, 10 ** int(rng.integers(1, 6)))), lambda: f"{rng.integers(1, 32)}/{rng.integers(1, 13)}/{rng.integers(1950, 2030)}", lambda: f"{rng.integers(0, 24)}:{rng.integers(0, 60):02d}", lambda: f"v{rng.integers(0, 9)}.{rng.integers(0, 20)}", lambda: f"{rng.integers(0, 1000)}.{rng.integers(0, 100):02d}", lambda: "@" + "".join(rng.choice(syllables, 2))]
-    xs, ys = np.zeros((n, WINDOW), np.int64), np.zeros((n, WINDOW), np.int64)
+    xs, ys = np.zeros((n, TRAIN_LENGTH), np.int64), np.zeros((n, TRAIN_LENGTH), np.int64)
     for k in range(n):
         text, tags = "", []
-        while len(text) < 2 * WINDOW:
+        while len(text) < 2 * TRAIN_LENGTH:
             u = rng.random()
             if u < 0.12:
                 kind = int(rng.integers(0, len(KINDS)))
@@ -262,8 +331,8 @@ def training_windows(n: int = TRAIN_WINDOWS, seed: int = 11) -> tuple[np.ndarray
                 text, tags = text + made, tags + [O_TAG] * len(made)
                 tail = str(rng.choice([" ", " ", " ", " ", ", ", ". ", "\n", "$$$ "]))
             text, tags = text + tail, tags + [O_TAG] * len(tail)
-        s = int(rng.integers(0, len(text) - WINDOW))
-        xs[k], ys[k] = classes_of(text)[s : s + WINDOW], tags[s : s + WINDOW]
+        s = int(rng.integers(0, len(text) - TRAIN_LENGTH))
+        xs[k], ys[k] = classes_of(text)[s : s + TRAIN_LENGTH], tags[s : s + TRAIN_LENGTH]
     return xs, ys
 
 
@@ -300,12 +369,9 @@ def model_from(p: dict) -> Model:
 # --- spans over whole texts ------------------------------------------------------------------------------------------
 
 
-def window_starts(text: str) -> list[int]:
-    """Starts of all windows that hold a digit, an @ or part of a run of token characters as long as a secret."""
-    starts: set[int] = set()
-    for m in _TRIGGER.finditer(text):
-        starts.update(range(max(0, m.start() // STRIDE - 1), (m.end() - 1) // STRIDE + 1))
-    return [k * STRIDE for k in sorted(starts)]
+def window_starts(n: int) -> range:
+    """Starts of the windows that cover a text of n characters."""
+    return range(0, max(1, n - WINDOW + STRIDE), STRIDE)
 
 
 def _spans_of(tags: np.ndarray) -> list[tuple[int, int, int]]:
@@ -333,7 +399,7 @@ def well_formed(text: str, kind: int, start: int, end: int) -> bool:
     if kind == 1:
         return bool(re.fullmatch(r"[0-9]+(\.[0-9]+){3}", s)) and all(map(_small, s.split(".")))
     if kind == 2:
-        return 13 <= len(d) <= 19 and luhn(d) and bool(re.fullmatch(r"[0-9]+([ .-]?[0-9]+)*", s))
+        return 13 <= len(d) <= 19 and luhn(d) and bool(re.fullmatch(r"[0-9]([ .-]?[0-9])*", s))
     if kind == 3:
         return 10 <= len(d) <= 15 and bool(re.fullmatch(r"[+(]?[0-9][ ().0-9-]*[0-9]", s)) and bool(re.search(r"[ ().-]", s)) and not re.fullmatch(r"[0-9]+(\.[0-9]+){3,}", s)
     # a word of few digits is a secret only with a known prefix, or with capitals or digits amid its letters
@@ -374,35 +440,46 @@ def reconcile(text: str, base: list[tuple[int, int, int]], windows: list[tuple[i
                 pieces += [(x, kind, y, left and x == a, right and y == b) for x, y in runs]
             found.append((2 if left or right else 0, abs(begin + WINDOW // 2 - (begin + s + begin + e) // 2), begin + s, kind, min(begin + e, len(text))))
     found += [(1, 0, *span) for span in _joined(text, pieces)]
-    taken = [(s, e) for s, _, e in base]
+    # what is taken: disjoint stretches in order
+    starts, ends = [], []
+    for s, _, e in base:
+        if starts and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s), ends.append(e)
     added = []
     for _, _, s, kind, e in sorted(found):
         while e > s and text[e - 1] in " .,\n\"'":
             e -= 1
         while s < e and text[s] in " .,\n\"'":
             s += 1
-        if e > s and all(e <= a or s >= b for a, b in taken) and well_formed(text, kind, s, e):
-            taken.append((s, e))
+        k = bisect_left(starts, e)
+        if e > s and (k == 0 or ends[k - 1] <= s) and well_formed(text, kind, s, e):
+            starts.insert(k, s), ends.insert(k, e)
             added.append((s, kind, e))
     return sorted([*base, *added])
 
 
 def find_spans(texts: list[str], model: Model) -> list[tuple[list, list]]:
     """For each text, (base spans, all spans)."""
-    starts = [window_starts(t) for t in texts]
-    rows, owner = [], []
-    for k, (text, some) in enumerate(zip(texts, starts, strict=True)):
-        for s in some:
-            rows.append(text[s : s + WINDOW].ljust(WINDOW, "\n"))
-            owner.append((k, s))
+    groups: dict[int, list[tuple[int, int]]] = {}  # windows (text, start) by padded length
+    for k, text in enumerate(texts):
+        for s in window_starts(len(text)) if text else ():
+            size = min(WINDOW, len(text) - s)
+            groups.setdefault(-(-size // STEP) * STEP, []).append((k, s))
+    classes = [classes_of(t) for t in texts]
     windows: list[list] = [[] for _ in texts]
-    for low in range(0, len(rows), 1024):
-        part = rows[low : low + 1024]
-        x = classes_of("".join(part)).reshape(len(part), WINDOW)
-        tags = model.decode(x)
-        for j in np.flatnonzero(tags.any(axis=1)).tolist():
-            k, s = owner[low + j]
-            windows[k].append((s, _spans_of(tags[j])))
+    for length, some in groups.items():
+        for low in range(0, len(some), BATCH):
+            part = some[low : low + BATCH]
+            x = np.full((len(part), length), OWN.index("\n"), np.uint8)
+            for row, (k, s) in zip(x, part, strict=True):
+                own = classes[k][s : s + length]
+                row[: len(own)] = own
+            tags = model.decode(x)
+            for j in np.flatnonzero(tags.any(axis=1)).tolist():
+                k, s = part[j]
+                windows[k].append((s, _spans_of(tags[j])))
     out = []
     for text, own in zip(texts, windows, strict=True):
         base = base_spans(text)
