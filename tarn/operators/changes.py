@@ -147,6 +147,11 @@ def park_counts(parks: DataFrame) -> DataFrame:
     return parks.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
 
 
+def ledger(held: DataFrame, page: DataFrame) -> DataFrame:
+    """(id): what a ledger(id) holds after a page(id, trashed) of one row an id: delivered ids join it, trashed ones leave it."""
+    return held.select("id").union(page.filter("not trashed").select("id")).distinct().join(page.filter("trashed").select("id"), "id", "left_anti")
+
+
 def prune(tracked: DataFrame, delivered: DataFrame) -> DataFrame:
     """Tracked ids that were not delivered."""
     return tracked.join(delivered.select("id"), "id", "left_anti")

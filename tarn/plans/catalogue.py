@@ -221,6 +221,12 @@ def collision_fixpoint(s, d):
     return changes.collision_fixpoint(rows.unionByName(below), store, held, parks)
 
 
+@query(with_sql("cl lt", "SELECT id FROM (SELECT DISTINCT c_custkey AS id FROM customer UNION SELECT id FROM lt WHERE NOT trashed) WHERE id NOT IN (SELECT id FROM lt WHERE trashed)"))
+def ledger(s, d):
+    held = tables.table(s, d, "customer").select(F.col("c_custkey").alias("id"))
+    return changes.ledger(held, changes.latest(tables.changelog(s, d)))
+
+
 @query(with_sql("cl lt st", "SELECT id, rev FROM st WHERE id NOT IN (SELECT id FROM lt WHERE kind = 'view')"))
 def prune(s, d):
     """Tracked ids that a replay does not deliver; here it delivers those last viewed."""
@@ -442,6 +448,13 @@ def top_shared_terms(s, d):
     return related.top_shared_terms(terms, related.cosine_pairs(terms, _subjects(s, d)))
 
 
+@query("WITH " + DOTS[2:] + """ SELECT subject, id, list(n_name ORDER BY place) AS words FROM (SELECT x.id AS subject, y.id, x.term, row_number() OVER (PARTITION BY x.id, y.id ORDER BY x.weight * y.weight DESC, x.term) AS place
+    FROM tm x JOIN tm y USING (term) WHERE x.id % 25 = 0) JOIN nation ON n_nationkey = term WHERE place <= 3 GROUP BY 1, 2""")
+def shared_words(s, d):
+    """Shared terms spelled by a dictionary that knows the first 25 of them."""
+    return related.spelled(top_shared_terms(s, d), tables.table(s, d, "nation").select(F.col("n_nationkey").alias("term"), F.col("n_name").alias("word")))
+
+
 EXCL = "SELECT DISTINCT e.vec_id AS subject, f.vec_id AS other FROM embeddings e JOIN embeddings f ON f.vec_id % 97 = e.vec_id % 97 WHERE e.vec_id % 25 = 0"
 ARMS = DOTS + f""", ex AS ({EXCL}), liv AS (SELECT vec_id AS id, vec_id % 11 <> 0 AS live, label FROM embeddings),
   l1 AS (SELECT subject, id, row_number() OVER (PARTITION BY subject ORDER BY cosine DESC, id) AS r FROM cs WHERE cosine > 0 AND NOT EXISTS (SELECT 1 FROM ex WHERE ex.subject = cs.subject AND ex.other = cs.id)),
