@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import rules
 from tarn.operators.graph import global_rank
+from tarn.sources.scratch import store
 
 PAGE_ROWS = 500
 HEAD_AGE_SECONDS = 30 * 86400
@@ -80,7 +81,7 @@ def first_claimants(rows: DataFrame, incumbents: DataFrame) -> DataFrame:
 
     The first claimant is a minimum, which is combined map-side: a key that many rows claim moves one row a task.
     """
-    keyed = rules.with_fold_key(rows.join(incumbents.select("id", F.lit(0).alias("newcomer")).distinct(), "id", "left"))
+    keyed = store(rules.with_fold_key(rows.join(incumbents.select("id", F.lit(0).alias("newcomer")).distinct(), "id", "left")))
     first = F.min_by("id", F.struct(F.coalesce("newcomer", F.lit(1)), "seq", "id"))
     holders = keyed.groupBy("fold_key").agg(first.alias("holder"))
     return keyed.join(holders, "fold_key").select("id", "fold_key", "holder")
@@ -92,19 +93,18 @@ def _ancestors(path: str) -> Column:
     return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).otherwise(F.expr("cast(array() as array<string>)"))
 
 
-def collision_fixpoint(rows: DataFrame, store, incumbents: DataFrame | None = None, parks: DataFrame | None = None) -> DataFrame:
+def collision_fixpoint(rows: DataFrame, incumbents: DataFrame | None = None, parks: DataFrame | None = None) -> DataFrame:
     """(id, path, park) of deliveries rows(id, path, seq, parked): which of them park, and why.
 
     Every round derives the parks anew from those of the round before, until they stay: a delivery parks as `ancestor` below the
     path of a parked delivery (one that came `parked`, or parked in the last round) or of a durable park(id, path); as
     `projection` if another node holds its very path, as `fold` if another holds its folded key. Incumbents(id, path) hold theirs
     before any delivery, unless they are delivered themselves; then deliveries that do not park hold theirs in the order of seq.
-    With n deliveries there are n + 2 rounds at most, and the last one stands; a cycle of rounds is run once and counted on.
-    `store` writes a DataFrame and reads it back.
+    With n deliveries there are n + 2 rounds at most, and the last one stands; a cycle of rounds is run once and counted on. Every
+    round is a written table.
     """
-    none = rows.select("id", "path").limit(0)
-    delivered = rows.select("id")
     base = store(rules.with_fold_key(rows.select("id", "path", "seq", "parked")))
+    none, delivered = base.select("id", "path").limit(0), base.select("id")
     fixed = (parks if parks is not None else none).join(delivered, "id", "left_anti").select("path").union(base.filter("parked").select("path"))
     fixed = store(fixed.filter("path <> ''").distinct())
     held = store(rules.with_fold_key((incumbents if incumbents is not None else none).join(delivered, "id", "left_anti").select("id", "path")))
@@ -122,7 +122,7 @@ def collision_fixpoint(rows: DataFrame, store, incumbents: DataFrame | None = No
         same = F.coalesce("path_held", F.lit(False)) | (F.col("key_held").isNull() & (F.col("path") == F.col("first.path")))
         return under.select("id", F.lit("ancestor").alias("park")).union(lost.select("id", F.when(same, "projection").otherwise("fold")))
 
-    rounds, seen = rows.count() + 2, {(0, None): 0}
+    rounds, seen = base.count() + 2, {(0, None): 0}
     history: list[DataFrame | None] = [None]
     for number in range(1, rounds + 1):
         history.append(store(derive(history[-1])))

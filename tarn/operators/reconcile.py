@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import rules
 from tarn.operators import changes
+from tarn.sources.scratch import store
 
 WRITE_TEMP_PREFIX = ".write-"
 
@@ -31,8 +32,8 @@ def reconcile(server: DataFrame, disk: DataFrame, state: DataFrame, parks: DataF
     """(path, id, class): one row a discrepancy between server(id, kind, path, digest), disk(path, is_folder, digest) and
     state(id, kind, local_path, marker_path); parks(id, path). Digests of attachments are those of their markers. Markers that were
     moved to the control folder stand in `disk` under their path there. Ids are numbers."""
-    wanted = expectations(server, state, parks, scope, ignore_case)
-    there = rules.with_fold_key(disk, ignore_case=ignore_case)
+    wanted = store(expectations(server, state, parks, scope, ignore_case))  # both are read by several branches
+    there = store(rules.with_fold_key(disk, ignore_case=ignore_case))
     own = state.select("id", F.when(F.col("kind") == "attachment", F.col("marker_path")).otherwise(F.col("local_path")).alias("held_at"))
     by_path = state.filter("kind <> 'attachment'").groupBy(F.col("local_path").alias("path")).agg(F.min("id").alias("held_by"))
     facts = there.select("fold_key", F.col("is_folder"), F.col("digest").alias("disk_digest"), F.lit(True).alias("on_disk"))

@@ -9,7 +9,7 @@ from tarn.functions import rules
 from tarn.operators import changes, graph, reconcile, related, search, tasks
 from tarn.plans.registry import ORACLES, QUERIES, Query, query
 from tarn.sources import tables
-from tarn.sources.scratch import new_path, store
+from tarn.sources.scratch import new_path
 from tarn.sources.tables import with_sql
 from tarn.streaming import replay
 
@@ -218,7 +218,7 @@ def collision_fixpoint(s, d):
     below = rows.select((F.col("id") + 10_000_000).alias("id"), F.concat("path", F.lit("/child.md")).alias("path"), "seq", F.lit(False).alias("parked"))
     held = rows.select((F.col("id") + 20_000_000).alias("id"), "path").filter(F.col("id") % 50 == 0)
     parks = rows.select((F.col("id") + 30_000_000).alias("id"), "path").filter(F.col("id") % 41 == 0)
-    return changes.collision_fixpoint(rows.unionByName(below), store, held, parks)
+    return changes.collision_fixpoint(rows.unionByName(below), held, parks)
 
 
 @query(with_sql("cl lt", "SELECT id FROM (SELECT DISTINCT c_custkey AS id FROM customer UNION SELECT id FROM lt WHERE NOT trashed) WHERE id NOT IN (SELECT id FROM lt WHERE trashed)"))

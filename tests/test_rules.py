@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from tarn.functions import rules
 from tarn.operators import changes, related, tasks
 from tarn.operators.search import Filter
-from tarn.sources.scratch import store
 
 
 def values(spark, inputs, make):
@@ -119,7 +118,7 @@ def plain_fixpoint(rows, incumbents=(), parks=()):
 
 def fixpoint(spark, rows, incumbents=(), parks=()):
     frame = lambda some: spark.createDataFrame(list(some), "id long, path string")
-    made = changes.collision_fixpoint(spark.createDataFrame(rows, "id long, path string, seq long, parked boolean"), store, frame(incumbents), frame(parks))
+    made = changes.collision_fixpoint(spark.createDataFrame(rows, "id long, path string, seq long, parked boolean"), frame(incumbents), frame(parks))
     return {r["id"]: r["park"] for r in made.collect()}
 
 
@@ -206,6 +205,25 @@ def test_tasks_as_rows(spark):
     assert got == [(1, 0, "a", (), False), (1, 0, "a", (), False), (1, 1, "b #t", ("t",), True)]
 
 
+def test_tasks_of_documents_by_a_plain_search(spark, sf_dir):
+    """The registered query: every line that begins with a capital letter is an item, and none nests."""
+    from tarn.plans import catalogue
+
+    wanted, docs = [], [r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if "%%" not in (r["text"] or "")]
+    for r in docs:
+        lines = (r["text"] or "").split("\n")
+        n = 0
+        for number, line in enumerate(lines, 1):
+            if line[:1].isupper():
+                wanted.append((r["doc_id"], n, number, f"{tasks.fnv1a(('- [/] ' + line.rstrip()).encode()):08x}"))
+                n += 1
+    got = [r for r in catalogue.queries()["markdown_tasks"](spark, sf_dir).collect() if r["id"] in {r["doc_id"] for r in docs}]
+    plain = [r for r in got if not r["dates"] and not r["fields"]]
+    assert len(plain) > 100 and {(r["id"], r["ordinal"], r["line"], r["hash"]) for r in plain} <= set(wanted)
+    assert {r["category"] for r in got} == {"in_progress"} and all(r["is_task"] for r in got) and {r["parent"] for r in got} == {None}
+    assert len(wanted) == len(got)
+
+
 def test_front_matter(spark):
     texts = ["---\ndescription: a\n  b\nwhen: c\n---\n", "---\ndescription: a\n\n  b\n---", "---\nname: a\n---\ndescription: x", "description: a", "---\ndescription:\n b\n:c\n---"]
     assert values(spark, texts, lambda c: rules.front_matter_value(c, "description")) == ["a b", "a", None, None, " b :c"]
