@@ -9,6 +9,11 @@ is compared in pairs of blocks instead, each bounded in memory, so no bucket is
 recall reaches `recall`: two sets of similarity s meet in none of R runs with probability (1 - s)^R, and a bucket that splits
 loses them at a level with probability (1 - s)^BRANCH, at most LEVELS times, since later runs leave a pair to the first.
 
+Before that, large classes of near copies become balls: of the sets that share a bucket of one of the first BALL_RUNS runs with at
+least BALL others, those whose similarity to the bucket's pivot (the most typical of some of them) is at least 1 - (1 - s) / 2, exactly. Jaccard distance is a metric,
+so all sets of a ball are linked with one another; their links are a sum, and no run compares them again. The cost of a class of
+copies that lie that near to a pivot thus grows with its size, not with its square.
+
 Pairs are made once: a bucket compares a pair only if no earlier run or sibling token has brought the two together. Brute
 force in small buckets first compares byte sketches (pairs far below the threshold go), then the whole shingle sets, exactly;
 blocks count shared shingles by matrix products, also exactly.
@@ -23,7 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +40,14 @@ from tarn.llm.tokens import as_bytes, chunks, mix, slices, words
 
 SHINGLE = 5
 SMALL = 96
-#: Bounds of a block: rows, and shingles of all its sets together (a longer set is a block of its own).
+#: Bounds of a block, about twice what it is dealt: rows, and shingles of all its sets together.
 BLOCK = 2048
 BLOCK_SHINGLES = 1_000_000
 BRANCH = 8
 LEVELS = 6
+#: Sets of a ball, at least; runs whose buckets make balls; of a sketch's values, how many a ball's set shares with the pivot's, at least
+#: (a set that is missed by that is no loss, it goes the ordinary way).
+BALL, BALL_RUNS, BALL_SKETCH = 128, 2, 36
 #: Rows of a bucket that one task may walk; see _hot.
 HOT_ROWS = 512
 SKETCH = BRANCH * LEVELS
@@ -120,8 +128,8 @@ def signatures(df: DataFrame, runs: int, id_col: str, text_col: str) -> DataFram
     return rows.mapInArrow(run, "doc_id long, hash long, sid binary, n int, keys array<long>, sketch binary")
 
 
-PATH = "bucket long, run int, level int, trail binary, sid binary, n int, keys array<long>, sketch binary"
-_PATH_COLUMNS = ["bucket", "run", "level", "trail", "sid", "n", "keys", "sketch"]
+PATH = "bucket long, run int, level int, trail binary, sid binary, n int, keys array<long>, sketch binary, ball binary"
+_PATH_COLUMNS = ["bucket", "run", "level", "trail", "sid", "n", "keys", "sketch", "ball"]
 
 
 def _mean_agreement(sketch: np.ndarray) -> float:
@@ -140,6 +148,10 @@ def _own_pairs(rows: list[tuple], sides: list[int] | None, threshold: float) ->
     if sides is not None:
         side = np.array(sides)
         ok &= side[:, None] != side[None, :]
+    number: dict[bytes, int] = {}
+    ball = np.array([-1 if r[8] is None else number.setdefault(r[8], len(number)) for r in rows])
+    if number:
+        ok &= (ball[:, None] != ball[None, :]) | (ball < 0)[:, None]
     if run:
         keys = np.array([r[6][:run] for r in rows])
         for k in range(run):
@@ -164,11 +176,11 @@ def _candidates(rows: list[tuple], threshold: float, sketch_least: int) -> list[
 
 
 def _children(row: tuple) -> Iterator[tuple]:
-    bucket, run, level, trail, sid, n, keys, sketch = row
+    bucket, run, level, trail, sid, n, keys, sketch, ball = row
     for j in range(BRANCH):
         value = sketch[(level - 1) * BRANCH + j]
         child = int.from_bytes(hashlib.blake2b(b"%d:%d:%d" % (bucket, j, value), digest_size=8).digest(), "little", signed=True)
-        yield (child, run, level + 1, trail + bytes([j]), sid, n, keys, sketch)
+        yield (child, run, level + 1, trail + bytes([j]), sid, n, keys, sketch, ball)
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -176,14 +188,14 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
 
-OUT = f"{PATH}, kind int, at long, partners array<binary>"
+OUT = f"{PATH}, kind int, partners array<binary>"
 LEAF, CHILD, DENSE = 0, 1, 2
 
 
 def _emit(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.binary())]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.binary())]
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*_PATH_COLUMNS, "kind", "at", "partners"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*_PATH_COLUMNS, "kind", "partners"])
 
 
 def _leaf_rows(rows: list[tuple], pairs: list[tuple[int, int]], leaf: int) -> list[tuple]:
@@ -191,7 +203,7 @@ def _leaf_rows(rows: list[tuple], pairs: list[tuple[int, int]], leaf: int) -> li
     for a, b in pairs:
         partners.setdefault(a, []).append(rows[b][4])
         partners.setdefault(b, [])
-    return [(leaf, None, None, None, rows[i][4], rows[i][5], None, None, LEAF, None, p) for i, p in partners.items()]
+    return [(leaf, None, None, None, rows[i][4], rows[i][5], None, None, None, LEAF, p) for i, p in partners.items()]
 
 
 def _walk(threshold: float, sketch_least: int):
@@ -201,42 +213,35 @@ def _walk(threshold: float, sketch_least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         out: list[tuple] = []
-        state, block, rows_in, shingles_in = None, 0, 0, 0  # of a large bucket: CHILD or DENSE, and where its last block stands
+        bucket = state = None  # state of a large bucket: CHILD or DENSE
 
         def close() -> None:
             if state is None and len(held) > 1:
                 out.extend(_leaf_rows(held, _candidates(held, threshold, sketch_least), held[0][0]))
 
-        def large(row: tuple) -> None:
-            nonlocal block, rows_in, shingles_in
-            if state == CHILD:
-                out.extend((*c, CHILD, None, None) for c in _children(row))
-                return
-            if rows_in and (rows_in >= BLOCK or shingles_in + row[5] > BLOCK_SHINGLES):
-                block, rows_in, shingles_in = block + 1, 0, 0
-            rows_in, shingles_in = rows_in + 1, shingles_in + row[5]
-            out.append((*row, DENSE, block, None))
-
-        bucket = None
+        def large(row: tuple, kind: int) -> None:
+            if kind == CHILD:
+                out.extend((*c, CHILD, None) for c in _children(row))
+            else:
+                out.append((*row, DENSE, None))
+
         for *row, mode in _grouped(batches):
             if mode is not None:
-                out.extend((*c, CHILD, None, None) for c in _children(row))
-            elif row[0] != bucket:
-                close()
-                bucket, held, state = row[0], [], None
-                block, rows_in, shingles_in = 0, 0, 0
-            if mode is not None:
-                pass
-            elif state is None:
-                held.append(row)
-                if len(held) > SMALL:
-                    sketch = np.frombuffer(b"".join(r[7] for r in held), np.uint8).reshape(len(held), SKETCH)
-                    state = DENSE if row[2] > LEVELS or _mean_agreement(sketch) * BRANCH >= 1 else CHILD
-                    for r in held:
-                        large(r)
-                    held = []
+                large(row, mode)
             else:
-                large(row)
+                if row[0] != bucket:
+                    close()
+                    bucket, held, state = row[0], [], None
+                if state is not None:
+                    large(row, state)
+                else:
+                    held.append(row)
+                    if len(held) > SMALL:
+                        sketch = np.frombuffer(b"".join(r[7] for r in held), np.uint8).reshape(len(held), SKETCH)
+                        state = DENSE if row[2] > LEVELS or _mean_agreement(sketch) * BRANCH >= 1 else CHILD
+                        for r in held:
+                            large(r, state)
+                        held = []
             if len(out) >= 4096:
                 yield _emit(out)
                 out.clear()
@@ -246,6 +251,89 @@ def _walk(threshold: float, sketch_least: int):
     return run
 
 
+def _drawn(rows: DataFrame, buckets: DataFrame, of_bucket: Callable[[list[tuple]], tuple], schema: str) -> DataFrame:
+    """What of_bucket makes of about SMALL rows (bucket, sid, sketch), drawn by their hash, of each of buckets(bucket, _rows)."""
+    kinds = {"long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        out: list[tuple] = []
+        for row in _grouped(batches):
+            if held and row[0] != held[0][0]:
+                out.append(of_bucket(held))
+                held = []
+            held.append(row)
+        if held:
+            out.append(of_bucket(held))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kinds[t]) for k, (_, t) in enumerate(fields)], [n for n, _ in fields])
+
+    some = rows.select("bucket", "sid", "sketch").join(buckets.select("bucket", "_rows"), "bucket")
+    some = some.filter(F.pmod(F.xxhash64("sid"), F.greatest(F.lit(1), F.floor(F.col("_rows") / SMALL))) == 0).select("bucket", "sid", "sketch")
+    return some.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, schema)
+
+
+def _medoid(held: list[tuple]) -> tuple:
+    """(bucket, sid, sketch) of the row whose sketch agrees most with the others'."""
+    sketch = np.frombuffer(b"".join(r[2] for r in held), np.uint8).reshape(len(held), SKETCH)
+    return held[int((sketch[:, None, :] == sketch[None, :, :]).sum(axis=(1, 2)).argmax())]
+
+
+def _near_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (pivot, sid, pivot_sketch, sketch), the (pivot, sid) whose sketches agree in BALL_SKETCH values."""
+    for batch in slices(batches, 4096):
+        pivots, sids, a, b = (c.to_pylist() for c in batch.columns)
+        own, of_pivot = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, SKETCH) for x in (b, a))
+        near = np.flatnonzero((own == of_pivot).sum(axis=1) >= BALL_SKETCH).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for i in near], pa.binary()) for x in (pivots, sids)], ["pivot", "sid"])
+
+
+def _in_ball(least: float):
+    """Of rows (pivot, salt, first, sid, text) sorted by pivot, salt and first, the sets at least that similar to the pivot, which is the
+    first of its rows; a text's shingles are compared with the pivot's, exactly."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, pivot = None, np.zeros(0, np.uint64)
+        for batch in slices(batches, 256):
+            pivots, salts, _, sids, _ = (c.to_pylist() if k < 4 else None for k, c in enumerate(batch.columns))
+            out = []
+            for p, salt, sid, s in zip(pivots, salts, sids, shingle_sets(as_bytes(batch.column(4))), strict=True):
+                if (p, salt) != at:
+                    at, pivot = (p, salt), s
+                shared = len(np.intersect1d(pivot, s, assume_unique=True))
+                if set_digest(s) == sid and shared >= least * (len(pivot) + len(s) - shared):
+                    out.append((sid, p))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in range(2)], ["sid", "ball"])
+
+    return run
+
+
+def balls(sets: DataFrame, texts_of: Callable[[DataFrame], DataFrame], threshold: float, runs: int) -> DataFrame:
+    """(sid, ball): sets that lie so near to a pivot that all of them are linked; a written table. A set is in one ball at most."""
+    found = None
+    for run in range(min(BALL_RUNS, runs)):
+        rows = sets if found is None else sets.join(found, "sid", "left_anti")
+        rows = rows.select("sid", "sketch", F.xxhash64(F.lit(run), F.col("keys")[run]).alias("bucket"))
+        large = stored(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") >= BALL), f"large{run}")
+        pivots = _drawn(rows, large, _medoid, "bucket long, pivot binary, pivot_sketch binary")
+        met = rows.join(pivots, "bucket").select("pivot", "sid", "pivot_sketch", "sketch")
+        near = stored(met.mapInArrow(_near_pivots, "pivot binary, sid binary"), f"near{run}")
+        sizes = stored(near.groupBy("pivot").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= BALL), f"pivots{run}")
+        if sizes.isEmpty():
+            continue
+        near = near.join(sizes, "pivot")
+        texts = texts_of(near.select("sid").union(sizes.select(F.col("pivot").alias("sid"))).distinct())
+        parts = F.ceil(F.col("m") / HOT_ROWS).cast("long")
+        members = near.filter("sid <> pivot").select("pivot", F.pmod(F.xxhash64("sid"), parts).alias("salt"), F.lit(1).alias("first"), "sid")
+        firsts = sizes.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("salt"), F.lit(0).alias("first"), F.col("pivot").alias("sid"))
+        dealt = members.unionByName(firsts).join(texts.select("sid", "text"), "sid").select("pivot", "salt", "first", "sid", "text")
+        dealt = dealt.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "first", "sid")
+        own = dealt.mapInArrow(_in_ball(1 - (1 - threshold) / 2 + 1e-9), "sid binary, ball binary").distinct()
+        more = stored(own, f"balls{run}")
+        found = more if found is None else stored(found.unionByName(more), f"all_balls{run}")
+    return found if found is not None else sets.select("sid", F.col("sid").alias("ball")).limit(0)
+
+
 def _hot(rows: DataFrame, total: int) -> DataFrame | None:
     """(bucket, rows, shingles, mean similarity) of buckets that hold over total / HOT_PARTS rows, and HOT_ROWS at least. The mean, by
     which a bucket splits or goes in blocks, is that of about SMALL of its rows, drawn by their hash; either way gives the same pairs."""
@@ -254,30 +342,18 @@ def _hot(rows: DataFrame, total: int) -> DataFrame | None:
     if hot.isEmpty():
         return None
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
-        out: list[tuple] = []
-        bucket = None
-        for row in [*_grouped(batches), (None, b"")]:
-            if row[0] != bucket:
-                if len(held) > 1:
-                    out.append((bucket, _mean_agreement(np.frombuffer(b"".join(held), np.uint8).reshape(len(held), SKETCH))))
-                bucket, held = row[0], []
-            held.append(row[1])
-        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([m for _, m in out], pa.float64())], ["bucket", "_mean"])
+    def mean(held: list[tuple]) -> tuple:
+        return held[0][0], _mean_agreement(np.frombuffer(b"".join(r[2] for r in held), np.uint8).reshape(len(held), SKETCH)) if len(held) > 1 else 1.0
 
-    some = rows.select("bucket", "sid", "sketch").join(F.broadcast(hot.select("bucket", "_rows")), "bucket")  # at most HOT_PARTS buckets, or one for HOT_ROWS rows
-    some = some.filter(F.pmod(F.xxhash64("sid"), F.floor(F.col("_rows") / SMALL)) == 0).select("bucket", "sketch")
-    mean = some.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket long, _mean double")
-    return stored(hot.join(mean, "bucket", "left").withColumn("_mean", F.coalesce("_mean", F.lit(1.0))), "agreement")
+    return stored(hot.join(_drawn(rows, hot, mean, "bucket long, _mean double"), "bucket", "left").withColumn("_mean", F.coalesce("_mean", F.lit(1.0))), "agreement")
 
 
 def candidates(sets: DataFrame, runs: int, threshold: float) -> tuple[DataFrame, DataFrame | None]:
     """(leaf, sid, partners): for each small bucket, the sets in pairs that may reach the threshold; and the rows of block
     pairs (path columns, at), with `at` the row's side, 0 where both sides are one block. Written tables."""
     sketch_least = int(SKETCH * (threshold - 0.38))
-    rows = sets.select(F.posexplode("keys").alias("run", "key"), "sid", "n", "keys", "sketch").filter(F.col("run") < runs)
-    rows = rows.select(F.xxhash64("run", "key").alias("bucket"), "run", F.lit(1).alias("level"), F.lit(b"").alias("trail"), "sid", "n", "keys", "sketch")
+    rows = sets.select(F.posexplode("keys").alias("run", "key"), "sid", "n", "keys", "sketch", "ball").filter(F.col("run") < runs)
+    rows = rows.select(F.xxhash64("run", "key").alias("bucket"), "run", F.lit(1).alias("level"), F.lit(b"").alias("trail"), "sid", "n", "keys", "sketch", "ball")
     leaves, dense = [], []
     for level in range(1, LEVELS + 3):
         total = rows.count()
@@ -288,23 +364,29 @@ def candidates(sets: DataFrame, runs: int, threshold: float) -> tuple[DataFrame,
         if hot is not None:
             marked = rows.drop("mode").join(F.broadcast(hot), "bucket", "left")
             splits = (F.col("_mean") * BRANCH < 1) & (F.col("level") <= LEVELS)
-            count = F.ceil(F.greatest(F.col("_rows") / (BLOCK // 2), F.col("_shingles") / (BLOCK_SHINGLES // 2)))
-            dense.append(marked.filter(F.col("_mean").isNotNull() & ~splits).select(*_PATH_COLUMNS, F.pmod(F.xxhash64("sid"), count).alias("at")))
+            dense.append(marked.filter(F.col("_mean").isNotNull() & ~splits).select(*_PATH_COLUMNS))
             rows = marked.filter(F.col("_mean").isNull() | splits).select(*_PATH_COLUMNS, F.when(splits, F.lit(CHILD)).alias("mode"))
         # the rows of a hot bucket that splits need not meet: each makes its own children, wherever it is dealt to
         dealt = rows.withColumn("salt", F.when(F.col("mode").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("sid"), F.lit(4096))))
         dealt = dealt.repartition("bucket", "salt").drop("salt").sortWithinPartitions("bucket", "sid")
         walked = stored(dealt.mapInArrow(_walk(threshold, sketch_least), OUT), f"level{level}")
         leaves.append(walked.filter(F.col("kind") == LEAF).select(F.col("bucket").alias("leaf"), "sid", "partners"))
-        dense.append(walked.filter(F.col("kind") == DENSE).select(*_PATH_COLUMNS, "at"))
+        dense.append(walked.filter(F.col("kind") == DENSE).select(*_PATH_COLUMNS))
         rows = walked.filter(F.col("kind") == CHILD).select(*_PATH_COLUMNS)
     all_dense = None
     for d in dense:
         all_dense = d if all_dense is None else all_dense.unionByName(d)
     if all_dense is not None and not all_dense.isEmpty():
-        most = all_dense.groupBy("bucket").agg(F.max("at").alias("last"))
-        # a bucket of m rows makes m / BLOCK rows a row: pairs of blocks, not pairs of sets
-        paired = all_dense.join(most, "bucket").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))))
+        # a ball's rows of a bucket and the rows without a ball are dealt to blocks apart, and two blocks of one ball do not meet; other
+        # rows of a bucket of m make m / BLOCK rows a row: pairs of blocks, not pairs of sets
+        count = F.ceil(F.greatest(F.count(F.lit(1)) / (BLOCK // 2), F.sum("n") / (BLOCK_SHINGLES // 2))).cast("long")
+        parts = all_dense.groupBy("bucket", "ball").agg(count.alias("parts"))
+        parts = parts.groupBy("bucket").agg(F.collect_list(F.struct("ball", "parts")).alias("groups"))
+        placed = all_dense.join(parts, "bucket").withColumn("own", F.filter("groups", lambda g: g["ball"].eqNullSafe(F.col("ball")))[0]["parts"])
+        at = F.struct(F.coalesce("ball", F.lit(b"")).alias("b"), F.pmod(F.xxhash64("sid"), F.col("own")).alias("k"))
+        others = F.filter("groups", lambda g: ~(g["ball"].isNotNull() & g["ball"].eqNullSafe(F.col("ball"))))
+        blocks_of = F.flatten(F.transform(others, lambda g: F.transform(F.sequence(F.lit(0).cast("long"), g["parts"] - 1), lambda k: F.struct(F.coalesce(g["ball"], F.lit(b"")).alias("b"), k.alias("k")))))
+        paired = placed.withColumn("at", at).withColumn("other", F.explode(blocks_of))
         low, high = F.least("at", "other"), F.greatest("at", "other")
         side = F.when(low == high, 0).when(F.col("at") == low, 1).otherwise(2).cast("long")
         blocks = stored(paired.select(F.xxhash64("bucket", low, high).alias("bucket"), *_PATH_COLUMNS[1:], side.alias("at")), "blocks")
@@ -350,18 +432,18 @@ def _verify_blocks(threshold: float):
     """Exact links in pairs of blocks: rows (path columns, at, copies, text) come sorted by bucket."""
 
     def of_pair(held: list[tuple]) -> list[tuple]:
-        made = shingle_sets([r[10] for r in held])
+        made = shingle_sets([r[11] for r in held])
         true = [i for i, s in enumerate(made) if set_digest(s) == held[i][4]]
         held, made = [held[i] for i in true], [made[i] for i in true]
         if len(held) < 2:
             return []
-        sides = [r[8] for r in held]
+        sides = [r[9] for r in held]
         ok = _own_pairs(held, sides if any(sides) else None, threshold)
         n = np.array([len(s) for s in made], np.float64)
         shared = _shared(made)
         ok &= shared >= threshold * (n[:, None] + n[None, :] - shared) - 1e-9
         ok |= ok.T
-        links = ok.astype(np.float64) @ np.array([r[9] for r in held], np.float64)
+        links = ok.astype(np.float64) @ np.array([r[10] for r in held], np.float64)
         label = np.arange(len(held))
         while True:
             low = np.where(ok, label[None, :], len(held)).min(axis=1)
@@ -446,19 +528,29 @@ def _decided(df: DataFrame, id_col: str, text_col: str, threshold: float, recall
     first = F.min(F.struct("doc_id", "hash", "n", "keys", "sketch")).alias("f")
     sets = alive.groupBy("sid").agg(first, F.count(F.lit(1)).alias("copies"))
     sets = stored(sets.select("sid", "copies", F.col("f.doc_id").alias("set_id"), F.col("f.hash").alias("set_hash"), "f.n", "f.keys", "f.sketch"), "sets")
-    pairs, blocks = candidates(sets.select("sid", "n", "keys", "sketch"), runs, threshold)
     known = sets.select("sid", "copies", "set_id", "set_hash")
+
+    def texts_of(sids: DataFrame, name: str = "texts") -> DataFrame:
+        """(sid, copies, text) of the sets, each once; a written table."""
+        own = ["set_id", "set_hash"]
+        needed = stored(sids.join(known, "sid"), f"needed_{name}")
+        rows = df.select(F.col(id_col).cast("long").alias("set_id"), F.xxhash64(text_col).alias("set_hash"), F.col(text_col).alias("text"))
+        rows = may_be_among(rows, own, needed, needed.count())
+        return stored(rows.dropDuplicates(own).join(needed, own).select("sid", "copies", "text"), name)
+
+    in_balls = balls(sets, texts_of, threshold, runs)
+    sets = stored(sets.join(in_balls, "sid", "left"), "sets_and_balls")
+    pairs, blocks = candidates(sets.select("sid", "n", "keys", "sketch", "ball"), runs, threshold)
     needed = pairs.select("sid").union(blocks.select("sid")) if blocks is not None else pairs.select("sid")
-    needed = stored(needed.distinct().join(known, "sid"), "needed")
-    own = ["set_id", "set_hash"]
-    texts = df.select(F.col(id_col).cast("long").alias("set_id"), F.xxhash64(text_col).alias("set_hash"), F.col(text_col).alias("text"))
-    texts = may_be_among(texts, own, needed, needed.count())
-    texts = stored(texts.dropDuplicates(own).join(needed, own).select("sid", "copies", "text"), "texts")  # one row a set
+    texts = texts_of(needed.distinct())
     listed = pairs.join(texts, "sid").select("leaf", "sid", "partners", "copies", "text")
     linked = listed.repartition("leaf").sortWithinPartitions("leaf", "sid").mapInArrow(_verify(threshold), LINKS)
     if blocks is not None:
         listed = blocks.join(texts, "sid").select(*_PATH_COLUMNS, "at", "copies", "text")
         linked = linked.unionByName(listed.repartition("bucket").sortWithinPartitions("bucket", "sid").mapInArrow(_verify_blocks(threshold), LINKS))
+    inside = sets.filter("ball is not null").select("sid", "copies", "ball")
+    sizes = inside.groupBy("ball").agg(F.sum("copies").alias("all"))
+    linked = linked.unionByName(inside.join(sizes, "ball").select("sid", (F.col("all") - F.col("copies")).alias("links"), F.col("ball").alias("root")))
     linked = stored(linked, "links")
     roots = components(linked.select(F.col("sid").alias("a"), F.col("root").alias("b")))
     counted = linked.groupBy("sid").agg(F.sum("links").alias("links"))

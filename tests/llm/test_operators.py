@@ -206,8 +206,10 @@ def test_ngram_join_with_repeated_rows(spark):
     assert sorted((r["doc_id"], r["text"][:7]) for r in kept.collect()) == sorted([(0, rows[0][1][:7]), (3, "another"), (9, "yet ano")])
 
 
-def test_ngram_join_deals_out_a_hot_bucket(spark, monkeypatch):
+@pytest.mark.parametrize("ball", [10**6, 20])
+def test_ngram_join_deals_out_a_hot_bucket(spark, monkeypatch, ball):
     monkeypatch.setattr(ngram_join, "HOT_ROWS", 100)
+    monkeypatch.setattr(ngram_join, "BALL", ball)
     rnd = random.Random(9)
     base = [f"w{rnd.randint(0, 500)}" for _ in range(80)]
     rows = []
@@ -220,6 +222,30 @@ def test_ngram_join_deals_out_a_hot_bucket(spark, monkeypatch):
     assert sorted((r["doc_id"], r["n_links"]) for r in got) == brute_links(rows)
 
 
+def test_ngram_join_with_balls_and_what_lies_around_them(spark, monkeypatch):
+    """Two classes around pivots, sets between and beyond them, and copies of all of these."""
+    for name, value in {"BALL": 15, "SMALL": 24, "HOT_ROWS": 40, "BLOCK": 32}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    rnd = random.Random(14)
+    base = [f"w{rnd.randint(0, 5000)}" for _ in range(200)]
+    other = base[:170] + [f"o{i}" for i in range(30)]
+    rows = []
+    for i in range(200):
+        words = list(base if i % 2 else other)
+        for _ in range(rnd.choice([0, 1, 2, 3, 6, 9])):
+            words[rnd.randrange(200)] = f"z{rnd.randint(0, 10**6)}"
+        rows.append((i, " ".join(words)))
+    rows += [(300 + i, rows[rnd.randrange(200)][1]) for i in range(40)]
+    sids = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.join(sids).collect()
+    assert sorted((r["doc_id"], r["n_links"]) for r in got) == brute_links(rows)
+    found = []
+    plain = ngram_join.balls
+    monkeypatch.setattr(ngram_join, "balls", lambda *a: found.append(plain(*a)) or found[-1])
+    ngram_join.join(sids).count()
+    assert found[0].count() > 20  # there were balls at all
+
+
 def test_ngram_join_recall_on_documents(spark, sf_dir):
     """Every 50th document against all, and links of all of them, by brute force on the shingles of whole texts."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
