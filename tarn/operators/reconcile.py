@@ -78,11 +78,13 @@ def exit_code(found: DataFrame) -> DataFrame:
     return found.agg(F.count(F.lit(1)).alias("total")).select("total", F.when(F.col("total") > 0, 1).otherwise(0).alias("code"))
 
 
-def overlapping_mounts(mounts: DataFrame) -> DataFrame:
-    """(a, b) of mounts(name, dir) whose folders contain one another. Ancestors are exploded, so it is an equi-join."""
+def overlapping_mounts(mounts: DataFrame, ignore_case: bool = True) -> DataFrame:
+    """(a, b) of mounts(name, dir) whose folders, as geometry_key() has them, contain one another. Ancestors are exploded, so it is an
+    equi-join."""
+    placed = rules.geometry_key(mounts.select("name", "dir"), ignore_case=ignore_case).select("name", F.col("key").alias("dir"))
     up = F.transform(F.sequence(F.lit(1), F.size(F.split("dir", "/"))), lambda i: F.array_join(F.slice(F.split(F.col("dir"), "/"), 1, i), "/"))
-    inner = mounts.select(F.col("name").alias("inner_name"), F.explode(up).alias("dir"))
-    pairs = inner.join(mounts, "dir").filter("inner_name <> name")
+    inner = placed.select(F.col("name").alias("inner_name"), F.explode(up).alias("dir"))
+    pairs = inner.join(placed, "dir").filter("inner_name <> name")
     return pairs.select(F.least("name", "inner_name").alias("a"), F.greatest("name", "inner_name").alias("b")).distinct()
 
 

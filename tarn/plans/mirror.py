@@ -168,6 +168,27 @@ def saved_state(s, d):
     return saved.load()
 
 
+@query("""WITH f AS (SELECT r_name || '/' || n_name || '.md' AS path, CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE n_name END AS body FROM nation JOIN region ON r_regionkey = n_regionkey)
+    SELECT path, FALSE AS is_folder, sha256(body) AS digest FROM f UNION ALL SELECT DISTINCT split_part(path, '/', 1), TRUE, NULL FROM f""")
+def mirror_walk(s, d):
+    """A mirror of small notes, some of them empty, written by tasks and walked again."""
+    regions = tables.table(s, d, "region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
+    notes = tables.table(s, d, "nation").join(regions, "n_regionkey").select(F.concat("r_name", F.lit("/"), "n_name", F.lit(".md")).alias("path"), F.when(F.col("n_nationkey") % 5 == 0, "").otherwise(F.col("n_name")).alias("content"))
+    root = new_path(s, "mirror")
+    files.write_files(notes.unionByName(s.createDataFrame([("MOUNT", "m")], "path string, content string")), root)
+    return files.mirror(s, root, ("MOUNT",))
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS content FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)")
+def blob_fetch(s, d):
+    """Attachments by id: those that suppliers name."""
+    root = new_path(s, "blobs")
+    rows = tables.table(s, d, "nation").select(F.concat(F.col("n_nationkey").cast("string"), F.when(F.col("n_nationkey") % 2 == 0, ".png").otherwise("")).alias("path"), F.col("n_name").alias("content"))
+    files.write_files(rows, root)
+    found = files.blobs(s, root, tables.table(s, d, "supplier").select(F.col("s_nationkey").alias("id")))
+    return found.select("id", F.col("content").cast("string").alias("content"))
+
+
 @query("SELECT r_regionkey || chr(9) || r_name || '�' || chr(9) AS line, '{\"regionKey\":' || r_regionkey || ',\"name\":\"' || r_name || '\"}' AS json FROM region")
 def result_lines(s, d):
     rows = tables.table(s, d, "region").select(F.col("r_regionkey").alias("region_key"), F.col("r_name").alias("name"), F.lit(None).cast("string").alias("gone"))

@@ -150,6 +150,12 @@ def test_redelivery(spark):
     assert {r["id"]: r["outcome"] for r in changes.redelivery(deliveries, disk, state, frame("path string", ("p3",))).collect()}[3] == "overwrite"
 
 
+def test_overlapping_mounts_by_geometry(spark):
+    mounts = spark.createDataFrame([("a", "M/x"), ("b", "./m//X/y"), ("c", "m/xx"), ("d", "n")], "name string, dir string")
+    assert [tuple(r) for r in reconcile.overlapping_mounts(mounts).collect()] == [("a", "b")]
+    assert reconcile.overlapping_mounts(mounts, ignore_case=False).count() == 0
+
+
 def test_settled_removals_and_first_claimants(spark):
     pending, tracked = spark.createDataFrame([("A/b",), ("c",)], "path string"), spark.createDataFrame([("a/B",)], "path string")
     assert [r["path"] for r in changes.settle_removals(pending, tracked).collect()] == ["c"]
