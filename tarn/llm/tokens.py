@@ -124,7 +124,8 @@ def pieces_between(buf: np.ndarray, begins: np.ndarray) -> tuple[list[bytes], np
 
 class Slots:
     """The ids of remembered byte strings, which stand in numbered slots of one flat array. `limit` bounds the memory: with more
-    strings than that all are forgotten, and learnt again where they occur."""
+    strings than that, those which no second call has asked for are forgotten (all, if that leaves over half of the limit), and
+    learnt again where they occur."""
 
     def __init__(self, limit: int):
         self.limit = limit
@@ -132,7 +133,18 @@ class Slots:
 
     def clear(self) -> None:
         self.slot_of: dict[bytes, int] = {}
-        self.ids, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
+        self.ids, self.ends, self.calls = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+
+    def _forget(self) -> None:
+        n = len(self.slot_of)
+        kept = np.flatnonzero(self.calls[:n] > 1)
+        if len(kept) > self.limit // 2:
+            kept = kept[:0]
+        every = list(self.slot_of)  # in the order of their slots
+        strings, sizes = [every[k] for k in kept.tolist()], self.ends[kept + 1] - self.ends[kept]
+        ids = self.gathered(kept)[0]
+        self.clear()
+        self.append(strings, ids, sizes)
 
     def append(self, strings: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
         """The strings' ids, one after another, as the next slots."""
@@ -142,6 +154,7 @@ class Slots:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while n + len(strings) >= len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+            self.calls = np.concatenate([self.calls, np.zeros_like(self.calls)])
         self.ids[used : used + len(ids)] = ids
         self.ends[n + 1 : n + 1 + len(strings)] = used + np.cumsum(sizes)
         self.slot_of.update(zip(strings, range(n, n + len(strings)), strict=True))
@@ -149,13 +162,14 @@ class Slots:
     def slots(self, distinct: list[bytes], learn: Callable[[list[bytes]], None]) -> np.ndarray:
         """The slot of each string; `learn` appends those that are new."""
         if len(self.slot_of) > self.limit:
-            self.clear()
+            self._forget()
         found = np.fromiter(map(self.slot_of.get, distinct, repeat(-1)), np.int64, len(distinct))
         missing = np.flatnonzero(found < 0)
         if len(missing):
             new = [distinct[i] for i in missing.tolist()]
             learn(new)
             found[missing] = np.fromiter(map(self.slot_of.__getitem__, new), np.int64, len(new))
+        self.calls[found] += 1
         return found
 
     def gathered(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
