@@ -494,14 +494,14 @@ def related_fused(s, d):
 
 # --- search and reading ----------------------------------------------------------------------------------------------
 
-LISTED = """WITH x AS (SELECT o_orderkey AS id, o_orderpriority || '/' || o_orderstatus || '/' || o_orderkey || '.md' AS path, o_totalprice AS price, o_orderdate AS changed FROM orders
+LISTED = """WITH x AS (SELECT o_orderkey AS id, o_orderpriority || '/' || o_orderstatus || '/' || o_orderkey || '.md' AS path, o_totalprice AS price, strftime(o_orderdate, '%Y-%m-%d') AS changed FROM orders
     WHERE (o_orderpriority = '1-URGENT' OR o_orderpriority || '/' || o_orderstatus = '2-HIGH/F') AND o_orderstatus IN ('F', 'P') AND o_totalprice >= 1000 AND o_totalprice <= 300000)"""
 
 
 @query(LISTED + " SELECT id, path, price, changed, (SELECT count(*) FROM x) AS total FROM x ORDER BY changed DESC, id LIMIT 20")
 def search_filter(s, d):
     path = F.concat_ws("/", "o_orderpriority", "o_orderstatus", F.concat(F.col("o_orderkey").cast("string"), F.lit(".md")))
-    rows = tables.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), path.alias("path"), F.col("o_totalprice").alias("price"), F.col("o_orderdate").alias("changed"), F.array("o_orderstatus").alias("tags"))
+    rows = tables.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), path.alias("path"), F.col("o_totalprice").alias("price"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("changed"), F.array("o_orderstatus").alias("tags"))
     where = search.Filter.parse(["1-URGENT", "2-HIGH/F"], ["#F", "P"], ["price=1000..300000"])
     return search.listing(rows, where, "changed", 20).drop("tags")
 

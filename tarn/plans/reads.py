@@ -113,7 +113,7 @@ def folder_exists(s, d):
 
 
 @query("WITH " + catalogue.ARMS[2:] + """, sh AS (SELECT x.id AS subject, y.id, list(x.term ORDER BY x.weight * y.weight DESC, x.term)[1:3] AS shared_terms FROM tm x JOIN tm y USING (term) WHERE x.id % 25 = 0 GROUP BY 1, 2)
-    SELECT g.subject, g.id, g.rank, CASE WHEN (g.subject + g.id) % 3 > 0 THEN (g.subject + g.id) % 3 END AS shared_neighbours, CASE WHEN lx.id IS NOT NULL THEN shared_terms END AS shared_terms, CASE WHEN t.id IS NOT NULL THEN ['label'] END AS shared_tags
+    SELECT g.subject, g.id, CAST(g.rank AS INTEGER) AS rank, CASE WHEN (g.subject + g.id) % 3 > 0 THEN (g.subject + g.id) % 3 END AS shared_neighbours, CASE WHEN lx.id IS NOT NULL THEN shared_terms END AS shared_terms, CASE WHEN t.id IS NOT NULL THEN ['label'] END AS shared_tags
     FROM g LEFT JOIN lx USING (subject, id) LEFT JOIN sh USING (subject, id) LEFT JOIN t USING (subject, id)""")
 def related_why(s, d):
     by_graph, lexical, by_tag = catalogue._arms(s, d)
@@ -269,6 +269,6 @@ def geometry_keys(s, d):
     return rules.geometry_key(rows).select("id", F.replace("key", F.lit(" "), F.lit("")).alias("key"))
 
 
-@query("SELECT max(length(p_name)) AS width FROM part")
+@query("SELECT CAST(max(length(p_name)) AS INTEGER) AS width FROM part")
 def column_width(s, d):
     return mounts.column_width(tables.table(s, d, "part"), "p_name")
