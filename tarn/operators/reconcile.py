@@ -25,7 +25,7 @@ def expectations(server: DataFrame, state: DataFrame, parks: DataFrame, scope: s
     known = state.select("id", "marker_path")
     want = F.when(F.col("kind") == "attachment", F.coalesce("marker_path", F.concat(local, F.lit(rules.CONTROL_SUFFIX)))).otherwise(local)
     rows = live.join(known, "id", "left").select("id", changes.known_kind(F.col("kind")).alias("kind"), want.alias("path"), "digest")
-    return rules.with_fold_key(rows, ignore_case=ignore_case)
+    return rules.with_fold_key(store(rows), ignore_case=ignore_case)
 
 
 def reconcile(server: DataFrame, disk: DataFrame, state: DataFrame, parks: DataFrame, scope: str | None = None, ignore_case: bool = True) -> DataFrame:
@@ -33,7 +33,7 @@ def reconcile(server: DataFrame, disk: DataFrame, state: DataFrame, parks: DataF
     state(id, kind, local_path, marker_path); parks(id, path). Digests of attachments are those of their markers. Markers that were
     moved to the control folder stand in `disk` under their path there. Ids are numbers."""
     wanted = store(expectations(server, state, parks, scope, ignore_case))  # both are read by several branches
-    there = store(rules.with_fold_key(disk, ignore_case=ignore_case))
+    there = store(rules.with_fold_key(store(disk), ignore_case=ignore_case))
     own = state.select("id", F.when(F.col("kind") == "attachment", F.col("marker_path")).otherwise(F.col("local_path")).alias("held_at"))
     by_path = state.filter("kind <> 'attachment'").groupBy(F.col("local_path").alias("path")).agg(F.min("id").alias("held_by"))
     facts = there.select("fold_key", F.col("is_folder"), F.col("digest").alias("disk_digest"), F.lit(True).alias("on_disk"))
