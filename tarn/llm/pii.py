@@ -492,7 +492,7 @@ def written(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for each row."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans) for each row: n_spans counts all spans, the model's too."""
     parameters = df.sparkSession.sparkContext.broadcast(trained())  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -503,10 +503,11 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
                 made = find_spans([x or "" for x in some.column(1).to_pylist()], model)
                 counts = [pa.array([sum(k == kind for _, k, _ in base) for base, _ in made], pa.int64()) for kind in range(4)]
                 digests = pa.array([hashlib.sha256(written(base).encode()).hexdigest() for base, _ in made])
-                yield pa.RecordBatch.from_arrays([some.column(0), *counts, digests, pa.array([written(every) for _, every in made])], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+                yield pa.RecordBatch.from_arrays([some.column(0), *counts, digests, pa.array([written(every) for _, every in made]), pa.array([len(every) for _, every in made], pa.int64())], names)
 
+    names = ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"]
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def mask_text(text: str, spans: list[tuple[int, int, int]]) -> str:
