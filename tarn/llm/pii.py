@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-WINDOW, STRIDE = 512, 448
+WINDOW, STRIDE = 512, 480
 #: Windows that are decoded together, of one length; shorter windows go by lengths that are multiples of STEP.
 BATCH, STEP = 1024, 64
 HIDDEN = 8
@@ -274,10 +274,14 @@ class Model:
         self._add_emissions(e, x, "f")
         self._add_emissions(e, x, "b")
         trans = self.p["t"]
-        into, total, top = np.ascontiguousarray(trans.T), np.empty((TAGS, TAGS, batch), np.float32), np.empty((TAGS, batch), np.float32)
+        into, one, top = np.ascontiguousarray(trans.T), np.empty((TAGS, batch), np.float32), np.empty((TAGS, batch), np.float32)
+        out_of = [np.ascontiguousarray(trans[k][:, None]) for k in range(TAGS)]
         for t in range(1, steps):  # e[t] becomes the greatest score of a path that ends in each tag
-            np.add(e[t - 1][:, None, :], trans[:, :, None], out=total)
-            total.max(axis=0, out=top)
+            before = e[t - 1]
+            np.add(before[0], out_of[0], out=top)
+            for k in range(1, TAGS):
+                np.add(before[k], out_of[k], out=one)
+                np.maximum(top, one, out=top)
             e[t] += top
         tags = np.empty((steps, batch), np.int64)
         tags[-1] = e[-1].argmax(axis=0)
