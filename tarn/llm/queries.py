@@ -8,13 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import exact_dedup, license_scan, ngram_join, packing, pii, piece_codec, quality_rules, sharding, token_codec, warc
+from tarn.llm import exact_dedup, license_scan, ngram_join, packing, pii, piece_codec, prefix_trie, quality_rules, sharding, token_codec, warc
 
 #: Production parameters.
 SHARD_BYTES = 64 << 20
 SMALL_SHARD_BYTES = 64 << 10
 TOKEN_BUDGET = 8192
 BUCKETS = 16
+#: Conversations that take their first turns from one of them.
+TRIE_FAMILY = 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +88,13 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_and_check(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    take = F.crc32(F.col("conv_id").cast("string")) % (prefix_trie.MAX_GRAFT + 1)
+    rows = prefix_trie.grafted(turns, F.col("conv_id") - F.col("conv_id") % TRIE_FAMILY, take)
+    return prefix_trie.trie(rows)
+
+
 def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.ablation(quality_rules.ledger(table(spark, sf_dir, "documents")))
 
@@ -102,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_pii": op9_pii,
         "op10_sentencepiece": op10_sentencepiece,
+        "op12_prefix_trie": op12_prefix_trie,
         "sharding_small_limit": sharding_small_limit,
         "quality_ablation": quality_ablation,
     }
@@ -121,6 +131,33 @@ def _sharding_sql(limit: int) -> str:
     FROM s JOIN r USING (doc_id) JOIN n ON n.depth = s.depth AND n.prefix = r.h >> CAST(60 - s.depth AS INTEGER)"""
 
 
+#: crc32 of a decimal id: one list element a byte, then eight for its bits.
+CRC32_SQL = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(CAST({} AS VARCHAR), ''),
+    lambda x: list_concat([CAST(ascii(x) AS BIGINT)], list_transform(range(8), lambda i: -1::BIGINT))))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END))"""
+
+
+def _trie_sql() -> str:
+    return rf"""
+    WITH RECURSIVE t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+    c AS (SELECT conv_id, conv_id - conv_id % {TRIE_FAMILY} AS base, {CRC32_SQL.format("conv_id")} % 4 AS h, max(pos) AS n FROM t GROUP BY conv_id),
+    g AS (SELECT c.conv_id, c.base, c.h, least(c.h, coalesce(b.n, 0)) AS nb FROM c LEFT JOIN c b ON b.conv_id = c.base),
+    r AS (SELECT g.conv_id, t.pos AS d, t.role, t.text FROM g JOIN t ON t.conv_id = g.base AND t.pos <= g.nb
+          UNION ALL SELECT g.conv_id, t.pos - g.h + g.nb, t.role, t.text FROM g JOIN t ON t.conv_id = g.conv_id AND t.pos > g.h),
+    p AS (SELECT conv_id, d, sha256(string_agg(sha256(role) || sha256(text), '') OVER (PARTITION BY conv_id ORDER BY d)) AS k, text FROM r
+          UNION ALL SELECT conv_id, 0, '', '' FROM g),
+    l AS (SELECT conv_id, max(d) AS d FROM p GROUP BY conv_id),
+    n AS (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, max(len(regexp_extract_all(text, '[^ 	-]+'))) AS w FROM p GROUP BY d, k),
+    u AS (SELECT DISTINCT n.conv_id, n.d, m.conv_id AS up FROM n LEFT JOIN p ON p.d = n.d - 1 AND p.conv_id = n.conv_id LEFT JOIN n m ON m.d = p.d AND m.k = p.k),
+    f AS (SELECT n.*, u.up, (SELECT count(*) FROM u v WHERE v.up = n.conv_id AND v.d = n.d + 1) AS n_children FROM n JOIN u ON u.conv_id = n.conv_id AND u.d = n.d),
+    a AS (SELECT conv_id AS a_conv, d AS a_d, conv_id, d FROM f UNION ALL SELECT f.up, a.a_d - 1, a.conv_id, a.d FROM a JOIN f ON f.conv_id = a.a_conv AND f.d = a.a_d WHERE f.d > 0),
+    s AS (SELECT a.a_conv, a.a_d, CAST(sum((f.n_children = 0)::INT) AS BIGINT) AS n_leaves, CAST(sum((f.n_convs - 1) * f.w) AS BIGINT) AS saved_tokens FROM a JOIN f ON f.conv_id = a.conv_id AND f.d = a.d GROUP BY 1, 2),
+    e AS (SELECT p.d, p.k, sha256(string_agg(CAST(p.conv_id AS VARCHAR), ',' ORDER BY p.conv_id)) AS h FROM p JOIN l ON l.conv_id = p.conv_id AND l.d = p.d GROUP BY p.d, p.k)
+    SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, f.up AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, coalesce(e.h, sha256('')) AS ends_sha256
+    FROM f JOIN s ON s.a_conv = f.conv_id AND s.a_d = f.d LEFT JOIN e ON e.d = f.d AND e.k = f.k"""
+
+
 def oracle_sql() -> dict[str, str]:
     rules = " + ".join(f"CASE WHEN {sql} THEN {1 << i} ELSE 0 END" for i, (_, sql) in enumerate(quality_rules.RULES))
     veto = sum(quality_rules.BIT[r] for r in quality_rules.STANDARD.veto)
@@ -139,6 +176,7 @@ def oracle_sql() -> dict[str, str]:
            {" || ".join(f"substr('{warc.BASE32}', CAST((CAST('0x' || substr(s, {5 * i + 1}, 5) AS BIGINT) >> {b}) & 31 AS INTEGER) + 1, 1)" for i in range(8) for b in (15, 10, 5, 0))} AS payload_digest,
            CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
            CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to, TRUE AS intact FROM d""",
+        "op12_prefix_trie": _trie_sql(),
         "op8_quality_rules": rf"""
     WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
                       list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
