@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import exact_dedup, license_scan, ngram_join, packing, pii, piece_codec, prefix_trie, quality_rules, sharding, token_codec, warc
+from tarn.llm import exact_dedup, hard_negatives, language_id, license_scan, ngram_join, packing, pii, piece_codec, prefix_trie, quality_rules, sharding, token_codec, warc
 
 #: Production parameters.
 SHARD_BYTES = 64 << 20
@@ -88,6 +88,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_and_check(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.usable(table(spark, sf_dir, "embeddings"), "vec_id", label, "embedding")
+    return hard_negatives.mine(rows, F.col("id") % 50 == 0)
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"))
     take = F.crc32(F.col("conv_id").cast("string")) % (prefix_trie.MAX_GRAFT + 1)
@@ -95,6 +101,13 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(rows)
 
 
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.learn(docs.filter(~language_id.held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()))
+    made = language_id.predict(docs, model)
+    return made.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.ablation(quality_rules.ledger(table(spark, sf_dir, "documents")))
 
@@ -111,7 +124,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_pii": op9_pii,
         "op10_sentencepiece": op10_sentencepiece,
+        "op11_hard_negatives": op11_hard_negatives,
         "op12_prefix_trie": op12_prefix_trie,
+        "op13_language_id": op13_language_id,
         "sharding_small_limit": sharding_small_limit,
         "quality_ablation": quality_ablation,
     }
@@ -148,7 +163,8 @@ def _trie_sql() -> str:
     p AS (SELECT conv_id, d, sha256(string_agg(sha256(role) || sha256(text), '') OVER (PARTITION BY conv_id ORDER BY d)) AS k, text FROM r
           UNION ALL SELECT conv_id, 0, '', '' FROM g),
     l AS (SELECT conv_id, max(d) AS d FROM p GROUP BY conv_id),
-    n AS (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, max(len(regexp_extract_all(text, '[^ 	-]+'))) AS w FROM p GROUP BY d, k),
+    n AS (SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, max(len(regexp_extract_all(text, '[^ 	-
+]+'))) AS w FROM p GROUP BY d, k),
     u AS (SELECT DISTINCT n.conv_id, n.d, m.conv_id AS up FROM n LEFT JOIN p ON p.d = n.d - 1 AND p.conv_id = n.conv_id LEFT JOIN n m ON m.d = p.d AND m.k = p.k),
     f AS (SELECT n.*, u.up, (SELECT count(*) FROM u v WHERE v.up = n.conv_id AND v.d = n.d + 1) AS n_children FROM n JOIN u ON u.conv_id = n.conv_id AND u.d = n.d),
     a AS (SELECT conv_id AS a_conv, d AS a_d, conv_id, d FROM f UNION ALL SELECT f.up, a.a_d - 1, a.conv_id, a.d FROM a JOIN f ON f.conv_id = a.a_conv AND f.d = a.a_d WHERE f.d > 0),
@@ -176,6 +192,14 @@ def oracle_sql() -> dict[str, str]:
            {" || ".join(f"substr('{warc.BASE32}', CAST((CAST('0x' || substr(s, {5 * i + 1}, 5) AS BIGINT) >> {b}) & 31 AS INTEGER) + 1, 1)" for i in range(8) for b in (15, 10, 5, 0))} AS payload_digest,
            CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
            CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to, TRUE AS intact FROM d""",
+        "op11_hard_negatives": """
+    WITH r AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+               WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS a, r.vec_id AS i, r.label = a.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS s FROM r a JOIN r ON a.vec_id % 50 = 0 AND r.vec_id <> a.vec_id),
+    p AS (SELECT a, i, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, i) <= 5)
+    SELECT p.a AS anchor_id, p.i AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.i ORDER BY n.s DESC, n.i) AS INTEGER) AS rank, n.i AS negative_id, p.s AS positive_score, n.s AS negative_score
+    FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 50 * p.s <= 100 * n.s AND 100 * n.s <= 95 * p.s
+    QUALIFY rank <= 3""",
         "op12_prefix_trie": _trie_sql(),
         "op8_quality_rules": rf"""
     WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
