@@ -88,17 +88,17 @@ def valid_label(label: Column) -> Column:
 
 
 def parse_range(spec: Column) -> Column:
-    """struct(from, to, error): A-B, A- or A; errors not_a_range, starts_at_zero, backwards, in that order of tests."""
-    s = F.trim(spec)
+    """struct(from, to, error): A-B, A- or A; white space around the whole and each number is ignored. The first number is read first, and
+    a number that is none (not_a_range) or zero (starts_at_zero) ends the reading; then backwards."""
+    s = _strip(spec)
     dash = F.instr(s, "-")
-    first = F.trim(F.regexp_extract(s, r"(?s)^([^-]*)", 1))
-    second = F.trim(F.when(dash > 0, F.regexp_extract(s, r"(?s)^[^-]*-(.*)\z", 1)))
-    number = lambda c: F.when(F.rlike(c, F.lit(r"^\+?[0-9]+\z")), c.try_cast("bigint"))
-    a, b = number(first), number(second)
-    open_end = (dash > 0) & (second == "")
-    bad = a.isNull() | ((dash > 0) & ~open_end & b.isNull())
-    error = F.when(bad, "not_a_range").when((a == 0) | (F.coalesce(b, F.lit(1)) == 0), "starts_at_zero").when(b < a, "backwards")
-    return F.struct(F.when(error.isNull(), a).alias("from"), F.when(error.isNull() & ~open_end, F.when(dash > 0, b).otherwise(a)).alias("to"), error.alias("error"))
+    rest = F.when(dash > 0, F.substring(s, dash + 1, F.lit(1 << 30)))
+    first, second = _strip(F.regexp_extract(s, r"(?s)^([^-]*)", 1)), _strip(rest)
+    number = lambda c: F.when(F.rlike(c, F.lit(r"^\+?[0-9]+\z")), F.ltrim(c, F.lit("+")).try_cast("bigint"))
+    fault = lambda n: F.when(n.isNull(), "not_a_range").when(n == 0, "starts_at_zero")
+    a, b, open_end = number(first), number(second), rest == ""
+    error = F.coalesce(fault(a), F.when((dash > 0) & ~open_end, fault(b)), F.when(b < a, "backwards"))
+    return F.struct(F.when(error.isNull(), a).alias("from"), F.when(error.isNull() & ((dash == 0) | ~open_end), F.when(dash > 0, b).otherwise(a)).alias("to"), error.alias("error"))
 
 
 def render_range(r: Column) -> Column:
@@ -128,14 +128,23 @@ def version_notice(latest: Column, current: Column) -> Column:
     return F.coalesce(parse_semver(latest) > parse_semver(current), F.lit(False))
 
 
+def _in_units(seconds: Column, n: int, before: str, after: str) -> Column:
+    return F.concat(F.lit(before), F.floor(seconds / n).cast("string"), F.lit(after))
+
+
 def human_age(seconds: Column) -> Column:
-    unit = lambda n, u: F.concat(F.floor(seconds / n).cast("string"), F.lit(u + " ago"))
-    return F.when(seconds < 60, unit(1, "s")).when(seconds < 3600, unit(60, "m")).when(seconds < 86400, unit(3600, "h")).otherwise(unit(86400, "d"))
+    """How long ago; below a minute, and for an age below zero, "just now"."""
+    made = F.when(seconds < 60, "just now")
+    for below, n, unit in ((3600, 60, "m ago"), (86400, 3600, "h ago")):
+        made = made.when(seconds < below, _in_units(seconds, n, "", unit))
+    return made.otherwise(_in_units(seconds, 86400, "", "d ago"))
 
 
 def human_until(seconds: Column) -> Column:
-    unit = lambda n, u: F.concat(F.lit("in "), F.floor(seconds / n).cast("string"), F.lit(u))
-    return F.when(seconds < 60, unit(1, "s")).when(seconds < 3600, unit(60, "m")).when(seconds < 86400, unit(3600, "h")).otherwise(unit(86400, "d"))
+    """How long from now, a minute at least; "expired" where nothing is left."""
+    minutes = F.greatest(seconds, F.lit(60))
+    made = F.when(seconds <= 0, "expired").when(seconds < 3600, _in_units(minutes, 60, "in ", "m"))
+    return made.when(seconds < 86400, _in_units(seconds, 3600, "in ", "h")).otherwise(_in_units(seconds, 86400, "in ", "d"))
 
 
 def is_due(then: Column, now: Column, period: int = 86400) -> Column:
@@ -152,24 +161,43 @@ def plural(n: Column, one: str, many: str) -> Column:
 
 
 def sanitize_label(name: Column) -> Column:
-    """Lower case; a-z0-9 stay; blank, _, . and - become one -; at most 64; else project- and 8 hex digits."""
+    """Lower case; a-z0-9 stay; runs of blank, _, . and - become one -, other characters go; cut at 64, then dashes at the ends go; if
+    nothing is left, project- and 8 hex digits of the name's hash."""
     kept = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(name), r"[ _.-]", "-"), "[^a-z0-9-]", ""), "-+", "-")
-    cut = F.regexp_replace(F.substring(F.regexp_replace(kept, "^-+", ""), 1, 64), r"-+\z", "")
+    cut = F.regexp_replace(F.substring(kept, 1, 64), r"^-+|-+\z", "")
     return F.when(cut != "", cut).otherwise(F.concat(F.lit("project-"), F.substring(F.sha2(name, 256), 1, 8)))
 
 
-def safe_directory(name: Column) -> Column:
-    kept = F.regexp_replace(F.regexp_replace(name, r"[^\p{L}\p{N}_-]", "-"), r"^-+|-+\z", "")
+def safe_directory(handle: Column) -> Column:
+    """A handle without @ before it and white space around it, as a folder's name: all but letters, digits, - and _ becomes -."""
+    kept = F.regexp_replace(_strip(F.regexp_replace(handle, "^@+", "")), r"[^\p{IsAlphabetic}\p{N}_-]", "-")
+    kept = F.regexp_replace(kept, r"^-+|-+\z", "")
     return F.when(kept != "", kept).otherwise("workspace")
 
 
+def default_directory(handle: Column, parent: str = ".mirror") -> Column:
+    """Where a workspace is mirrored if nobody says otherwise."""
+    return F.concat(F.lit(parent + "/"), safe_directory(handle))
+
+
 def lexical_contained(path: Column) -> Column:
     """Whether a relative path stays inside its root."""
     return ~F.startswith(path, F.lit("/")) & ~F.exists(segments(path), lambda x: x == "..")
 
 
+#: Media types whose parts are not pages, and what they are called.
+PART_UNITS = {
+    "application/vnd.openxmlformats-officedocument.presentationml.presentation": "slide",
+    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": "sheet",
+}
+
+
 def unit_label(mime: Column) -> Column:
-    return F.when(F.contains(mime, F.lit("presentation")), "slide").when(F.contains(mime, F.lit("spreadsheet")), "sheet").otherwise("page")
+    """What a part of an attachment is called: by exactly these media types; a page for any other, and for none."""
+    made = F
+    for kind, unit in PART_UNITS.items():
+        made = made.when(mime == kind, unit)
+    return made.otherwise("page")
 
 
 def same_text(a: Column, b: Column) -> Column:
@@ -326,7 +354,7 @@ def node_marker(id_: Column, mime: Column, path: Column, sha256: Column, size: C
 def highlight_runs(s: Column) -> Column:
     """array(struct(text, hit)): <b> opens where none is open, </b> closes where one is; other tags are text."""
     init = F.struct(F.lit("").alias("text"), F.lit(False).alias("on"), F.expr("cast(array() as array<struct<text:string,hit:boolean>>)").alias("runs"))
-    parts = F.split(F.regexp_replace(s, r"(?s)(</b>|<b>)", "\x01$1\x01"), "\x01")
+    parts = F.split(s, "(?<=</?b>)|(?=</?b>)")
 
     def push(acc: Column) -> Column:
         return F.when(acc["text"] == "", acc["runs"]).otherwise(F.concat(acc["runs"], F.array(F.struct(acc["text"].alias("text"), acc["on"].alias("hit")))))

@@ -54,12 +54,14 @@ def classify(rows: DataFrame, tracked: DataFrame, scope: str | None = None, max_
     """(id, path, disposition, reason) of rows(id, kind, path, trashed): the first test that holds decides.
 
     A reserved segment is skipped (removed where it is tracked), not parked; names that agents read as instructions are looked
-    for below the scope only, since only those land on disk; a part's length counts bytes, or UTF-16 units under Windows rules.
+    for below the scope only, since only those land on disk; a part's length counts bytes, or under Windows rules the UTF-16 units
+    of its spelling on disk.
     """
     path = F.col("path")
     local = rules.scope_relative(path, scope) if scope else path
     name = rules.leaf_of(path)
-    long_part = F.exists(rules.segments(local), lambda x: rules.component_units(x, windows) > max_component)
+    projected = rules.encode_win_path(local) if windows else local
+    long_part = F.exists(rules.segments(projected), lambda x: rules.component_units(x, windows) > max_component)
     reason = (
         F.when(F.col("trashed"), "trashed").when(known_kind(F.col("kind")).isNull(), "unknown_kind").when(rules.has_reserved_segment(path), "reserved")
         .when(rules.in_control_namespace(path), "control").when(local.isNull(), "out_of_scope").when(local == "", "scope_root").when(rules.names_instructions(local), "instruction_name")

@@ -27,39 +27,53 @@ class Filter:
 
     @classmethod
     def parse(cls, under: list[str], tags: list[str], specs: list[str]) -> Filter:
-        """KEY=VALUE, KEY= (not set) or KEY=a..b; one key merges its values and has one range at most."""
+        """KEY=VALUE, KEY= (not set) or KEY=a..b; white space around keys, values and ends is ignored; one key merges its values and has one
+        range at most, with an end at least."""
         out = cls(under=list(under), tags=[t.lstrip("#") for t in tags])
         for spec in specs:
             key, found, value = spec.partition("=")
+            key = key.strip()
             if not found or not key:
                 raise ValueError(f"not KEY=VALUE: {spec!r}")
             if ".." in value:
-                low, _, high = value.partition("..")
-                if not low and not high or key in out.ranges:
-                    raise ValueError(f"an empty or second range: {spec!r}")
-                out.ranges[key] = (low or None, high or None)
+                low, high = (x.strip() or None for x in value.split("..", 1))
+                if key in out.ranges:
+                    raise ValueError(f"a second range of {key!r}: {spec!r}")
+                if low is None and high is None:
+                    raise ValueError(f"a range without ends: {spec!r}")
+                out.ranges[key] = (low, high)
             else:
-                out.fields.setdefault(key, []).append(value)
+                out.fields.setdefault(key, []).append(value.strip())
         return out
 
     def predicate(self, path: str = "path", tags: str = "tags") -> Column:
+        """Every condition holds; the values and the range of one key are alternatives of one condition."""
         every = F.lit(True)
         if self.under:
             one = [(F.col(path) == u) | F.startswith(F.col(path), F.lit(u + "/")) for u in self.under]
             every = every & _any(one)
         if self.tags:
             every = every & F.exists(F.col(tags), lambda x: _any([(x == t) | F.startswith(x, F.lit(t + "/")) for t in self.tags]))
-        for key, values in self.fields.items():
-            every = every & _any([self._matches(key, v) for v in values])
-        for key, (low, high) in self.ranges.items():
-            value = self._typed(key)
-            bound = (lambda x: F.to_date(F.lit(x))) if self.kinds.get(key) == "date" else (lambda x: F.lit(float(x)))
-            every = every & (F.lit(True) if low is None else value >= bound(low)) & (F.lit(True) if high is None else value <= bound(high))
+        for key in dict.fromkeys([*self.fields, *self.ranges]):
+            ways = [self._matches(key, v) for v in self.fields.get(key, [])]
+            every = every & _any([*ways, self._within(key, *self.ranges[key])] if key in self.ranges else ways)
         return every
 
+    def _within(self, key: str, low: str | None, high: str | None) -> Column:
+        """Whether the value lies between the ends, which count; an end that does not fit the field's kind lets nothing in."""
+        value, inside = self._typed(key), F.lit(True)
+        for end, holds in ((low, lambda x: value >= x), (high, lambda x: value <= x)):
+            if end is not None:
+                inside = inside & F.coalesce(holds(self._as_kind(key, F.lit(end))), F.lit(False))
+        return inside
+
     def _typed(self, key: str) -> Column:
-        """The field's value as its declared kind; null where it does not fit. A number may have a decimal comma."""
-        text = F.trim(F.col(key).cast("string"))
+        """The field's value as its declared kind; null where it does not fit."""
+        return self._as_kind(key, F.col(key).cast("string"))
+
+    def _as_kind(self, key: str, value: Column) -> Column:
+        """A text as the field's kind, a number unless it is declared as a date; a number may have a decimal comma."""
+        text = F.trim(value)
         if self.kinds.get(key) == "date":
             return F.when(F.rlike(text, F.lit(r"^\d{4}-\d{2}-\d{2}\z")), text.try_cast("date"))
         return F.when(F.rlike(text, F.lit(r"^-?[0-9]+([.,][0-9]+)?\z")), F.replace(text, F.lit(","), F.lit(".")).try_cast("double"))

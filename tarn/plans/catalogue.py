@@ -557,11 +557,11 @@ def scalars_text(s, d):
 
 
 @query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 < 2 THEN NULL WHEN o_orderkey % 10 = 0 THEN NULL WHEN o_orderkey % 4 = 2 AND o_orderkey % 10 > o_orderkey % 7 THEN NULL WHEN o_orderkey % 4 = 2 AND o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey % 10 END AS low,
-    CASE WHEN o_orderkey % 4 = 0 THEN 'not_a_range' WHEN o_orderkey % 4 = 1 THEN 'not_a_range' WHEN o_orderkey % 10 = 0 OR (o_orderkey % 4 = 2 AND o_orderkey % 7 = 0) THEN 'starts_at_zero' WHEN o_orderkey % 4 = 2 AND o_orderkey % 7 < o_orderkey % 10 THEN 'backwards' END AS error FROM orders""")
+    CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 10 = 0 THEN 'starts_at_zero' WHEN o_orderkey % 4 = 0 THEN 'not_a_range' WHEN o_orderkey % 4 = 1 THEN 'not_a_range' WHEN o_orderkey % 10 = 0 OR (o_orderkey % 4 = 2 AND o_orderkey % 7 = 0) THEN 'starts_at_zero' WHEN o_orderkey % 4 = 2 AND o_orderkey % 7 < o_orderkey % 10 THEN 'backwards' END AS error FROM orders""")
 def line_ranges(s, d):
     k = F.col("o_orderkey")
     a, b = (k % 10).cast("string"), (k % 7).cast("string")
-    spec = F.when(k % 4 == 0, F.concat(a, F.lit("-1-2"))).when(k % 4 == 1, F.concat(F.lit("a-"), a)).when(k % 4 == 2, F.concat(F.lit(" "), a, F.lit(" - +"), b)).otherwise(F.concat(a, F.lit("-")))
+    spec = F.when(k % 4 == 0, F.concat(a, F.lit("-1-2"))).when(k % 4 == 1, F.concat(F.lit("a-"), a)).when(k % 4 == 2, F.concat(F.lit("\t"), a, F.lit(" - +"), b)).otherwise(F.concat(a, F.lit("-")))
     r = rules.parse_range(spec)
     return tables.table(s, d, "orders").select(k.alias("id"), r["from"].alias("low"), r["error"].alias("error"))
 
@@ -573,9 +573,9 @@ def semver_order(s, d):
     return tables.table(s, d, "orders").select(k.alias("id"), rules.version_notice(F.when(k % 5 == 0, F.concat(F.lit("v"), version)).otherwise(version), F.lit("1.2.3")).alias("newer"))
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN x < 60 THEN x || 's ago' WHEN x < 3600 THEN x // 60 || 'm ago' WHEN x < 86400 THEN x // 3600 || 'h ago' ELSE x // 86400 || 'd ago' END AS age, NOT (x < 86400) AS due, x <= 60 AS expired FROM (SELECT o_orderkey, o_orderkey * 37 AS x FROM orders)")
+@query("SELECT o_orderkey AS id, CASE WHEN x < 60 THEN 'just now' WHEN x < 3600 THEN x // 60 || 'm ago' WHEN x < 86400 THEN x // 3600 || 'h ago' ELSE x // 86400 || 'd ago' END AS age, NOT (x >= 0 AND x < 86400) AS due, x <= 60 AS expired FROM (SELECT o_orderkey, o_orderkey * 37 - 5000 AS x FROM orders)")
 def human_age(s, d):
-    x = F.col("o_orderkey") * 37
+    x = F.col("o_orderkey") * 37 - 5000
     return tables.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), rules.human_age(x).alias("age"), rules.is_due(F.lit(0), x).alias("due"), rules.expires(x, F.lit(0)).alias("expired"))
 
 

@@ -225,7 +225,7 @@ def hit_lists(s, d):
 
 @query("""WITH r AS (SELECT o_orderkey AS id, o_orderkey % 9 + 1 AS a, o_orderkey % 9 + o_orderkey % 4 AS b FROM orders)
     SELECT id, CASE WHEN id % 4 = 0 THEN a || '-' WHEN id % 4 = 1 THEN CAST(a AS VARCHAR) WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END AS range_text,
-      CASE WHEN id < 60 THEN 'in ' || id || 's' WHEN id < 3600 THEN 'in ' || id // 60 || 'm' WHEN id < 86400 THEN 'in ' || id // 3600 || 'h' ELSE 'in ' || id // 86400 || 'd' END AS until,
+      CASE WHEN id <= 40 THEN 'expired' WHEN id < 100 THEN 'in 1m' WHEN id < 3640 THEN 'in ' || (id - 40) // 60 || 'm' WHEN id < 86440 THEN 'in ' || (id - 40) // 3600 || 'h' ELSE 'in ' || (id - 40) // 86400 || 'd' END AS until,
       id % 6 < 4 AS above, id % 2 = 0 AS temp, CASE id % 3 WHEN 0 THEN 'slide' WHEN 1 THEN 'sheet' ELSE 'page' END AS unit, id % 5 <> 0 AS same, id % 700 < 500 AS head FROM r""")
 def scalars_range(s, d):
     k = F.col("o_orderkey")
@@ -233,9 +233,10 @@ def scalars_range(s, d):
     spec = F.when(k % 4 == 0, F.concat(a.cast("string"), F.lit("-"))).when(k % 4 == 1, a.cast("string")).otherwise(F.concat_ws("-", a.cast("string"), b.cast("string")))
     below = F.when(k % 6 < 2, "a/b").when(k % 6 < 4, "a/b/c").when(k % 6 == 4, "a/bc").otherwise("a")
     temp = F.concat(F.lit(".write-"), F.lpad(F.lower(F.hex(k)), 16, "0"), F.when(k % 2 == 0, ".tmp").otherwise(".tmpx"))
-    mime = F.when(k % 3 == 0, "application/vnd.presentation").when(k % 3 == 1, "application/spreadsheet").otherwise("application/pdf")
+    office = "application/vnd.openxmlformats-officedocument."
+    mime = F.when(k % 3 == 0, office + "presentationml.presentation").when(k % 3 == 1, office + "spreadsheetml.sheet").when(k % 2 == 0, "application/vnd.oasis.opendocument.presentation")
     return tables.table(s, d, "orders").select(
-        k.alias("id"), rules.render_range(rules.parse_range(spec)).alias("range_text"), rules.human_until(k).alias("until"), rules.is_ancestor_or_self(F.lit("a/b"), below).alias("above"),
+        k.alias("id"), rules.render_range(rules.parse_range(spec)).alias("range_text"), rules.human_until(k - 40).alias("until"), rules.is_ancestor_or_self(F.lit("a/b"), below).alias("above"),
         rules.is_write_temp(temp).alias("temp"), rules.unit_label(mime).alias("unit"), rules.same_text(F.lit("x\r\ny"), F.when(k % 5 == 0, "x\r\r\ny").otherwise("x\ny")).alias("same"), changes.is_head(k % 700).alias("head"),
     )
 

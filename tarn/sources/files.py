@@ -33,32 +33,28 @@ def workspaces(spark: SparkSession, path: str) -> DataFrame:
 
 
 class SavedTable:
-    """A table that is replaced as a whole: each save writes a new folder, and a pointer file is then moved into place, so a reader finds
-    the old table or the new one. `stamp` goes with it, for derived caches."""
+    """A table that is replaced as a whole: each save writes a new folder and then the next of numbered pointers, so a reader finds the
+    old table or the new one wherever a writer stops. The table before is kept until the next save, for those who still read it.
+    `stamp` goes with the table, for derived caches."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
     def save(self, df: DataFrame, stamp: dict | None = None) -> None:
-        before = self._pointer(strict=False)
-        name = uuid.uuid4().hex
+        name = f"table-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{name}")
-        scratch.write_text(self.spark, f"{self.path}/CURRENT", json.dumps({"folder": name, "schema": df.schema.json(), "stamp": stamp}))
-        if before:
-            scratch.delete(self.spark, f"{self.path}/{before['folder']}")
+        scratch.put_pointer(self.spark, f"{self.path}/CURRENT", json.dumps({"folder": name, "schema": df.schema.json(), "stamp": stamp}))
+        kept = {found["folder"] for raw in scratch.pointers(self.spark, f"{self.path}/CURRENT") if (found := _parsed(raw))}
+        for folder in scratch.names_in(self.spark, self.path):
+            if folder.startswith("table-") and folder not in kept:
+                scratch.delete(self.spark, f"{self.path}/{folder}")
 
     def _pointer(self, strict: bool) -> dict | None:
-        raw = scratch.read_text(self.spark, f"{self.path}/CURRENT")
-        if raw is None:
-            return None
-        try:
-            found = json.loads(raw)
-            found["folder"], found["schema"]
-            return found
-        except (ValueError, KeyError, TypeError):
-            if strict:
-                raise ValueError(f"{self.path}/CURRENT cannot be parsed") from None
-            return None
+        raw = scratch.get_pointer(self.spark, f"{self.path}/CURRENT")
+        found = _parsed(raw) if raw is not None else None
+        if strict and raw is not None and found is None:
+            raise ValueError(f"the pointer of {self.path} cannot be parsed")
+        return found
 
     def _table(self, pointer: dict) -> DataFrame:
         from pyspark.sql.types import StructType
@@ -82,6 +78,15 @@ class SavedTable:
         scratch.delete(self.spark, self.path)
 
 
+def _parsed(raw: str) -> dict | None:
+    try:
+        found = json.loads(raw)
+        found["folder"], found["schema"]
+        return found
+    except (ValueError, KeyError, TypeError):
+        return None
+
+
 def append_claims(claims: DataFrame, path: str) -> None:
     """Append claims(id, rev) to a log of `id rev` lines."""
     claims.select(F.concat_ws(" ", F.col("id").cast("string"), F.col("rev").cast("string")).alias("value")).write.mode("append").text(path)

@@ -19,8 +19,9 @@ class StateTable:
     """Versions of a latest-row table under a path, in any file system that Spark writes.
 
     Rows are dealt to `parts` parts by id; a version rewrites only the parts that its batch touches, and a small manifest names for
-    each part the version that wrote it last. A version that is written again replaces itself. Tombstones stay as rows, so older
-    rows that come late cannot revive an id. vacuum() drops parts that no kept manifest names.
+    each part the version that wrote it last. The manifest is written last and never again: a version that has one is done, and its
+    batch, if it comes again, changes nothing. Tombstones stay as rows, so older rows that come late cannot revive an id. vacuum()
+    drops parts that no kept manifest names.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema, parts: int = PARTS):
@@ -47,6 +48,8 @@ class StateTable:
 
     def merge(self, batch: DataFrame, number: int, fresh: bool = False) -> None:
         """Write version `number`: the latest of old and new rows of each id; a fresh one begins without old rows."""
+        if scratch.exists(self.spark, f"{self.path}/manifest/v={number}"):
+            return
         earlier = max((int(n[2:]) for n in scratch.names_in(self.spark, f"{self.path}/manifest") if n.startswith("v=") and n[2:].isdigit() and int(n[2:]) < number), default=-1)
         held = {} if fresh or earlier < 0 else self.manifest(earlier)
         part = F.pmod(F.xxhash64("id"), F.lit(self.parts)).cast("int")
@@ -56,7 +59,7 @@ class StateTable:
         if touched:
             merged = changes.latest(old.unionByName(batch.select(*self.names))).select(*self.names).withColumn("part", part)
             merged.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.path}/data/v={number}")
-        scratch.write_text(self.spark, f"{self.path}/manifest/v={number}", json.dumps(held | {str(p): number for p in touched}))
+        scratch.write_new(self.spark, f"{self.path}/manifest/v={number}", json.dumps(held | {str(p): number for p in touched}))
 
     def vacuum(self, keep: int = 2) -> None:
         """Drop manifests but the last `keep`, and the data that none of those names."""
@@ -123,11 +126,11 @@ class Mirror:
 
     def position(self) -> Position:
         """The saved position; a mirror without one begins from zero. One that cannot be parsed is an error."""
-        raw = scratch.read_text(self.spark, f"{self.path}/POSITION")
+        raw = scratch.get_pointer(self.spark, f"{self.path}/POSITION")
         return Position(**json.loads(raw)) if raw is not None else Position()
 
     def save(self, position: Position) -> Position:
-        scratch.write_text(self.spark, f"{self.path}/POSITION", json.dumps(asdict(position)))
+        scratch.put_pointer(self.spark, f"{self.path}/POSITION", json.dumps(asdict(position)))
         return position
 
     def state(self) -> DataFrame:

@@ -72,8 +72,8 @@ def test_saved_tables(spark, at):
     saved.save(spark.range(3), {"e": 1})
     saved.save(spark.range(5), {"e": 2})
     assert saved.load().count() == 5 and saved.load_cache({"e": 2}).count() == 5 and saved.load_cache({"e": 1}) is None
-    assert len(scratch.names_in(spark, f"{at}/s")) == 2
-    scratch.write_text(spark, f"{at}/s/CURRENT", "no json")
+    assert len(scratch.names_in(spark, f"{at}/s")) == 4
+    scratch.put_pointer(spark, f"{at}/s/CURRENT", "no json")
     assert saved.load_cache({"e": 2}) is None
     with pytest.raises(ValueError):
         saved.load()
@@ -82,6 +82,33 @@ def test_saved_tables(spark, at):
     assert saved.load() is None
 
 
+def test_a_save_that_stops_leaves_the_old_table(spark, at, monkeypatch):
+    saved = files.SavedTable(spark, f"{at}/s")
+    saved.save(spark.range(3))
+    held = saved.load()
+    for step in ("write_new", "put_pointer"):
+        with monkeypatch.context() as m:
+            m.setattr(scratch, step, lambda *_: (_ for _ in ()).throw(KeyboardInterrupt()))
+            with pytest.raises(KeyboardInterrupt):
+                saved.save(spark.range(7))
+        assert saved.load().count() == 3
+    saved.save(spark.range(5))
+    assert saved.load().count() == 5 and held.count() == 3  # who reads the table before goes on
+    assert sum(n.startswith("table-") for n in scratch.names_in(spark, f"{at}/s")) == 2  # nothing of the stopped ones is left
+    saved.save(spark.range(6))
+    assert sum(n.startswith(("table-", "CURRENT")) for n in scratch.names_in(spark, f"{at}/s")) == 4
+
+
+def test_a_position_outlives_a_run_that_stops(spark, at, monkeypatch):
+    mirror = replay.Mirror(spark, f"{at}/m", LOG, parts=2)
+    mirror.sync(replay.Served(log(spark, (1, 1, False, "a")), 7, 1), 50)
+    before = mirror.position()
+    monkeypatch.setattr(scratch, "write_new", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt()))
+    with pytest.raises(KeyboardInterrupt):
+        mirror.save(replay.Position(rev=9))
+    assert mirror.position() == before
+
+
 def test_files_are_written_walked_and_fetched(spark, at):
     rows = spark.createDataFrame([("a b/ü%.md", b"x"), ("a b/c/d.md", b""), ("MOUNT", b"m")], "path string, content binary")
     assert sorted(tuple(r) for r in files.write_files(rows, f"{at}/root").collect()) == [("MOUNT", 1), ("a b/c/d.md", 0), ("a b/ü%.md", 1)]

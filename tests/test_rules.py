@@ -17,7 +17,7 @@ def values(spark, inputs, make):
 
 @pytest.mark.parametrize(
     ("spec", "low", "high", "error"),
-    [("12-19", 12, 19, None), ("7-", 7, None, None), ("  8 ", 8, 8, None), ("+2 -  +6", 2, 6, None), ("0", None, None, "starts_at_zero"), ("3-0", None, None, "starts_at_zero"), ("21-20", None, None, "backwards"), ("  ", None, None, "not_a_range"), ("-", None, None, "not_a_range"), ("4-x", None, None, "not_a_range"), ("5-6-", None, None, "not_a_range"), ("1.5", None, None, "not_a_range")],
+    [("12-19", 12, 19, None), ("7-", 7, None, None), ("  8 ", 8, 8, None), ("+2 -  +6", 2, 6, None), ("0", None, None, "starts_at_zero"), ("3-0", None, None, "starts_at_zero"), ("21-20", None, None, "backwards"), ("  ", None, None, "not_a_range"), ("-", None, None, "not_a_range"), ("4-x", None, None, "not_a_range"), ("5-6-", None, None, "not_a_range"), ("1.5", None, None, "not_a_range"), ("0-x", None, None, "starts_at_zero"), ("x-0", None, None, "not_a_range"), ("\t7 -\n", 7, None, None), ("\u00a07\t-\u20039", 7, 9, None), ("-5", None, None, "not_a_range"), ("++5", None, None, "not_a_range"), ("5-", 5, None, None), ("0-", None, None, "starts_at_zero")],
 )
 def test_ranges(spark, spec, low, high, error):
     (got,) = values(spark, [spec], rules.parse_range)
@@ -75,6 +75,33 @@ def test_subjects_without_words_are_ranked(spark):
     assert [tuple(r) for r in related.fuse(arm, arm.limit(0), arm.limit(0), words, paths).collect()] == [(9, 1, round(1 / 61, 4), 1)]
 
 
+def test_ages(spark):
+    made = spark.createDataFrame([(x,) for x in (-9, 0, 59, 60, 3599, 3600, 86399, 86400, 900000)], "x long").select(rules.human_age(F.col("x")), rules.human_until(F.col("x"))).collect()
+    assert [r[0] for r in made] == ["just now"] * 3 + ["1m ago", "59m ago", "1h ago", "23h ago", "1d ago", "10d ago"]
+    assert [r[1] for r in made] == ["expired", "expired", "in 1m", "in 1m", "in 59m", "in 1h", "in 23h", "in 1d", "in 10d"]
+
+
+def test_units_labels_and_folders(spark):
+    office = "application/vnd.openxmlformats-officedocument."
+    kinds = [office + "presentationml.presentation", office + "spreadsheetml.sheet", office + "presentationml.presentation; x", "application/vnd.oasis.opendocument.presentation", "application/pdf", None]
+    assert values(spark, kinds, rules.unit_label) == ["slide", "sheet", "page", "page", "page", "page"]
+    assert values(spark, ["-" + "a" * 70, "My Notes_v.2", "a--b", "a!-b", "x" * 63 + "-y", "--"], rules.sanitize_label)[:5] == ["a" * 63, "my-notes-v-2", "a-b", "a-b", "x" * 63]
+    assert values(spark, ["@team", "@@ a b ", "заметки/2", "--", "Ⅻ½-x"], rules.safe_directory) == ["team", "a-b", "заметки-2", "workspace", "Ⅻ½-x"]
+    assert values(spark, ["@team"], lambda c: rules.default_directory(c, ".m")) == [".m/team"]
+
+
+def test_highlight_keeps_every_character(spark):
+    made = values(spark, ["a\x01<b>x\x01</b>", "<b></b>", "<b><b>x</b>", "", "a</b"], rules.highlight_runs)
+    assert [[(r["text"], r["hit"]) for r in runs] for runs in made] == [[("a\x01", False), ("x\x01", True)], [], [("<b>x", True)], [], [("a</b", False)]]
+
+
+def test_names_are_measured_as_they_stand_on_disk(spark):
+    rows = spark.createDataFrame([(1, "file", '"' * 60 + "x" * 150 + ".md", False), (2, "file", '"' * 90 + ".md", False), (3, "file", "Ж" * 200 + ".md", False)], "id long, kind string, path string, trashed boolean")
+    none = spark.createDataFrame([], "id long")
+    got = lambda windows: [r["disposition"] for r in changes.classify(rows, none, windows=windows).orderBy("id").collect()]
+    assert got(False) == ["put", "put", "park"] and got(True) == ["park", "park", "put"]
+
+
 def test_exact_cosine(spark):
     a = F.array(F.struct(F.lit(1).alias("term"), F.lit(3.0).cast("float").alias("weight")), F.struct(F.lit(2).alias("term"), F.lit(4.0).cast("float").alias("weight")))
     b = F.array(F.struct(F.lit(2).alias("term"), F.lit(2.0).cast("float").alias("weight")))
@@ -84,11 +111,26 @@ def test_exact_cosine(spark):
 def test_filter_parse():
     f = Filter.parse(["a"], ["#t"], ["k=1", "k=2", "n=1..", "e="])
     assert f.fields == {"k": ["1", "2"], "e": [""]} and f.ranges == {"n": ("1", None)} and f.tags == ["t"]
-    for bad in (["novalue"], ["=x"], ["n=.."], ["n=1..2", "n=3..4"]):
+    f = Filter.parse([], [], [" price = 5 ", "p= a .. b ", "p=c", "q=..7"])
+    assert f.fields == {"price": ["5"], "p": ["c"]} and f.ranges == {"p": ("a", "b"), "q": (None, "7")}
+    for bad in (["novalue"], ["=x"], ["  =x"], ["n=.."], ["n= .. "], ["n=1..2", "n=3..4"]):
         with pytest.raises(ValueError):
             Filter.parse([], [], bad)
 
 
+def test_values_and_range_of_a_key_are_alternatives(spark):
+    rows = spark.createDataFrame([("a",), ("1,5",), ("3",), (None,), ("2024-02-03",)], "p string")
+    got = lambda *specs, **kinds: [r["p"] for r in rows.filter(_with_kinds(Filter.parse([], [], list(specs)), kinds).predicate()).collect()]
+    assert got("p=a", "p=1..2") == ["a", "1,5"] and got("p=1..2", "p=") == ["1,5", None]
+    assert got("p=x..y") == [] and got("p=1..y") == [] and got("p=..2") == ["1,5"] and got("p=1,5..3") == ["1,5", "3"]
+    assert got("p=2024-01-01..", p="date") == ["2024-02-03"] and got("p=1..9", p="date") == []
+
+
+def _with_kinds(where, kinds):
+    where.kinds = kinds
+    return where
+
+
 def plain_fixpoint(rows, incumbents=(), parks=()):
     """The rule as a loop: rows (id, path, seq, parked)."""
     key = lambda p: unicodedata.normalize("NFC", p).lower()
