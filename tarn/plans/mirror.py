@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from tarn.operators import changes, mounts, reconcile
 from tarn.plans.registry import query
-from tarn.sources import files, tables
+from tarn.sources import files, pull, scratch, tables
 from tarn.sources.scratch import new_path, store
 from tarn.sources.tables import with_sql
-from tarn.streaming import replay
+from tarn.streaming import claims, pages, replay
 
 # --- mounts ----------------------------------------------------------------------------------------------------------
 
@@ -210,3 +210,74 @@ def sync_two_passes(s, d):
     position = mirror.sync(replay.Served(left, 1, live(left)), 200)
     assert position.at_head and not position.from_zero
     return mirror.state()
+
+
+@query(with_sql("cl", "SELECT id, rev, (row_number() OVER (ORDER BY rev, id) - 1) // 500 AS page FROM cl WHERE (rev, id) > (0, 0)"))
+def pull_pages(s, d):
+    """The log published and pulled by key in pages of 500, eight of them a micro-batch; each page is a partition."""
+    log, out, wide = tables.changelog(s, d).select("rev", "id", "kind"), new_path(s, "pulled"), 8
+    path = new_path(s, "log")
+    pull.publish(log, path, 1, None)
+
+    def step(rows, number):
+        rows.select("id", "rev", (F.spark_partition_id() + number * wide).cast("long").alias("page")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    pull.collected_pages(pull.pull(s, path, pages=wide), new_path(s, "checkpoint"), step)
+    return s.read.schema("id long, rev long, page long").parquet(*[f"{out}/batch={n}" for n in range(_batches(s, out))])
+
+
+def _batches(s, out):
+    return len(scratch.names_in(s, out))
+
+
+LANGS = ("de", "en", "es", "fr")
+#: Documents as a log: created; a fifth trashed and a seventh moved; a nineteenth given a twin in another letter case; the folders of one language trashed.
+NODE_LOG = """d AS (SELECT doc_id AS i, source, lang, source || '/' || lang || '/' || doc_id AS base FROM documents),
+    f AS (SELECT DISTINCT -(CAST(substr(source, 4) AS BIGINT) * 10 + list_position(['de', 'en', 'es', 'fr'], lang)) AS id, source || '/' || lang AS path, lang FROM documents),
+    l AS (SELECT i AS id, i + 1 AS rev, CASE WHEN i % 13 = 0 THEN 'attachment' ELSE 'file' END AS kind, base || CASE WHEN i % 13 = 0 THEN '.bin' WHEN i % 11 = 0 THEN '.txt' ELSE '.md' END AS path, FALSE AS trashed FROM d
+      UNION ALL SELECT i, 1000000000 + i, CASE WHEN i % 13 = 0 THEN 'attachment' ELSE 'file' END, CASE WHEN i % 5 = 0 THEN base || '.md' ELSE 'moved/' || i || '.md' END, i % 5 = 0 FROM d WHERE i % 5 = 0 OR i % 7 = 0
+      UNION ALL SELECT i + 5000000000, 2000000000 + i, 'file', upper(source) || '/' || lang || '/' || i || '.MD', FALSE FROM d WHERE i % 19 = 0
+      UNION ALL SELECT id, 1, 'folder', path, FALSE FROM f UNION ALL SELECT id, 3000000000, 'folder', path, TRUE FROM f WHERE lang = 'es')"""
+
+
+@query(f"""WITH {NODE_LOG}, t AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY id ORDER BY rev DESC) = 1),
+    k AS (SELECT id, CASE WHEN kind = 'attachment' THEN path || '.ctl' ELSE path END AS place, lower(path) AS fold, kind = 'file' AND path LIKE '%.txt' AS bad FROM t WHERE NOT trashed),
+    n AS (SELECT k.id, k.place, bad, k.id >= 5000000000 AND EXISTS (SELECT 1 FROM k o WHERE o.fold = k.fold AND o.id < k.id AND NOT o.bad) AS twin FROM k)
+    SELECT 'node' AS part, id, place AS text FROM n WHERE NOT bad AND NOT twin UNION ALL SELECT 'park', id, CASE WHEN bad THEN 'bad_note_name' ELSE 'fold' END FROM n WHERE bad OR twin
+    UNION ALL SELECT 'debt', NULL, path FROM f WHERE lang = 'es' AND EXISTS (SELECT 1 FROM n WHERE NOT bad AND NOT twin AND starts_with(place, path || '/')) UNION ALL SELECT 'ledger', (SELECT count(*) FROM k), '' """)
+def apply_pages(s, d):
+    """A log of documents pulled page by page and applied to a mirror's books: what is tracked, parked and owed in the end, and the
+    number of ids in the ledger."""
+    docs = tables.table(s, d, "documents").select(F.col("doc_id").alias("i"), "source", "lang", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("base"))
+    i, kind = F.col("i"), F.when(F.col("i") % 13 == 0, "attachment").otherwise("file")
+    row = lambda id_, rev, kind, path, gone: [id_.cast("long").alias("id"), rev.cast("long").alias("rev"), kind.alias("kind"), path.alias("path"), gone.alias("trashed")]
+    made = docs.select(*row(i, i + 1, kind, F.concat("base", F.when(i % 13 == 0, ".bin").when(i % 11 == 0, ".txt").otherwise(".md")), F.lit(False)))
+    moved = F.when(i % 5 == 0, F.concat("base", F.lit(".md"))).otherwise(F.concat(F.lit("moved/"), i.cast("string"), F.lit(".md")))
+    later = docs.filter("i % 5 = 0 or i % 7 = 0").select(*row(i, i + 10**9, kind, moved, i % 5 == 0))
+    twin = F.concat(F.upper("source"), F.lit("/"), "lang", F.lit("/"), i.cast("string"), F.lit(".MD"))
+    twins = docs.filter("i % 19 = 0").select(*row(i + 5 * 10**9, i + 2 * 10**9, F.lit("file"), twin, F.lit(False)))
+    number = -(F.substring("source", 4, 9).cast("long") * 10 + F.array_position(F.array(*map(F.lit, LANGS)), F.col("lang")))
+    place = docs.select("source", "lang").distinct()
+    folders = place.select(*row(number, F.lit(1), F.lit("folder"), F.concat_ws("/", "source", "lang"), F.lit(False)))
+    gone = place.filter("lang = 'es'").select(*row(number, F.lit(3 * 10**9), F.lit("folder"), F.concat_ws("/", "source", "lang"), F.lit(True)))
+    log = store(made.union(later).union(twins).union(folders).union(gone).withColumns({"sha": F.sha2("path", 256), "stamp": F.lit(None).cast("string")}))
+    path, live = new_path(s, "log"), changes.latest_live(log).count()
+    pull.publish(log, path, 1, live)
+    books = pages.Books(s, new_path(s, "books"))
+    assert pages.follow(books, path, new_path(s, "checkpoint"), pages.Riders(live), 1).at_head
+    text = lambda name, value: books.read(name).select(F.lit(name[:-1]).alias("part"), "id", value.alias("text"))
+    debts = books.read("debts").select(F.lit("debt").alias("part"), F.lit(None).cast("long").alias("id"), F.col("path").alias("text"))
+    return text("nodes", F.col("place")).union(text("parks", F.col("reason"))).union(debts).union(books.read("ledger").agg(F.lit("ledger").alias("part"), F.count(F.lit(1)), F.lit("")))
+
+
+@query(with_sql("cl", "SELECT id, max(rev) AS rev FROM cl GROUP BY id"))
+def claim_stream(s, d):
+    """The whole log as a stream of claims in four goes, each of which stops and is started again; the log of claims holds none twice."""
+    rows = store(tables.changelog(s, d).select("id", "rev"))
+    source, log, checkpoint = new_path(s, "claims"), new_path(s, "log"), new_path(s, "checkpoint")
+    for k in range(4):
+        rows.filter(F.col("rev") % 4 == k).coalesce(1).write.mode("append").parquet(source)
+        claims.follow(s, source, log, checkpoint)
+    held = claims.appended(s, log)
+    assert held.groupBy("id", "rev").count().filter("count > 1").isEmpty()
+    return held.groupBy("id").agg(F.max("rev").alias("rev"))
