@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions import rules
-from tarn.operators import changes, graph, reconcile, related, search, tasks
+from tarn.operators import artifact, changes, graph, reconcile, related, search, tasks
 from tarn.plans.registry import ORACLES, QUERIES, Query, query
 from tarn.sources import tables
 from tarn.sources.scratch import new_path
@@ -411,7 +411,7 @@ def batch_read_exit(s, d):
 # --- related items ---------------------------------------------------------------------------------------------------
 
 ASKED = 25  # the stated subjects: every 25th vector, against all vectors
-TERMS = "SELECT vec_id AS id, CAST(i AS INTEGER) AS term, CAST(embedding[i + 1] AS FLOAT) AS weight FROM embeddings, range(0, 64) t(i) WHERE embedding[i + 1] > 0.1"
+TERMS = "SELECT vec_id AS id, CAST(i AS INTEGER) AS term, CAST(embedding[i + 1] AS FLOAT) AS weight FROM embeddings, range(0, 64) t(i) WHERE embedding[i + 1] <> 0"
 # sums in single precision, in the order of terms; a quotient or root of doubles, rounded to single, is that of the singles
 DOTS = f""", tm AS ({TERMS}), nm AS (SELECT id, CAST(sqrt(CAST(list_reduce(list(weight * weight ORDER BY term), lambda a, b: a + b) AS DOUBLE)) AS FLOAT) AS norm FROM tm GROUP BY id),
   dt AS (SELECT x.id AS subject, y.id, list_reduce(list(x.weight * y.weight ORDER BY x.term), lambda a, b: a + b) AS dot FROM tm x JOIN tm y USING (term) WHERE x.id % {ASKED} = 0 GROUP BY 1, 2),
@@ -419,7 +419,7 @@ DOTS = f""", tm AS ({TERMS}), nm AS (SELECT id, CAST(sqrt(CAST(list_reduce(list(
 
 
 def _terms(s, d):
-    return tables.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("term", "w")).select("id", "term", F.col("w").cast("double").alias("weight")).filter("w > 0.1")
+    return tables.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode("embedding").alias("term", "w")).select("id", "term", F.col("w").cast("double").alias("weight")).filter("w <> 0")
 
 
 def _subjects(s, d):
@@ -449,10 +449,45 @@ def top_shared_terms(s, d):
 
 
 @query("WITH " + DOTS[2:] + """ SELECT subject, id, list(n_name ORDER BY place) AS words FROM (SELECT x.id AS subject, y.id, x.term, row_number() OVER (PARTITION BY x.id, y.id ORDER BY x.weight * y.weight DESC, x.term) AS place
-    FROM tm x JOIN tm y USING (term) WHERE x.id % 25 = 0) JOIN nation ON n_nationkey = term WHERE place <= 3 GROUP BY 1, 2""")
+    FROM tm x JOIN tm y USING (term) WHERE x.id % 25 = 0) JOIN (SELECT p_partkey, min(p_name) AS n_name FROM part GROUP BY 1) ON p_partkey = term + 1 WHERE place <= 3 GROUP BY 1, 2""")
 def shared_words(s, d):
-    """Shared terms spelled by a dictionary that knows the first 25 of them."""
-    return related.spelled(top_shared_terms(s, d), tables.table(s, d, "nation").select(F.col("n_nationkey").alias("term"), F.col("n_name").alias("word")))
+    """Shared terms spelled by a dictionary of all of them."""
+    return related.spelled(top_shared_terms(s, d), tables.table(s, d, "part").select((F.col("p_partkey") - 1).alias("term"), F.col("p_name").alias("word")))
+
+
+VECTORS = r"""w AS (SELECT doc_id AS id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM documents),
+  c AS (SELECT id, term, count(*) AS tf FROM w GROUP BY 1, 2), a AS (SELECT sum(tf) AS total, count(DISTINCT id) AS notes FROM c), ln AS (SELECT id, sum(tf) AS length FROM c GROUP BY 1), co AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM c GROUP BY 1),
+  tm AS (SELECT id, term, CAST(round(tf * ln(notes / CAST(df AS DOUBLE)) * 64) / 64 AS FLOAT) AS weight FROM (SELECT id, term, tf, df, notes, row_number() OVER (PARTITION BY id ORDER BY tf * ln(tf * total / CAST(length * cf AS DOUBLE)) DESC, term) AS n
+    FROM c JOIN co USING (term) JOIN ln USING (id), a) WHERE n <= 32 AND round(tf * ln(notes / CAST(df AS DOUBLE)) * 64) > 0)"""
+
+
+def _word_vectors(s, d):
+    return artifact.distinctive_terms(tables.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+@query("WITH " + VECTORS + " SELECT id, term, CAST(weight AS DOUBLE) AS weight FROM tm")
+def word_vectors(s, d):
+    return _word_vectors(s, d)
+
+
+@query("WITH " + VECTORS + """, nm AS (SELECT id, CAST(sqrt(CAST(list_reduce(list(weight * weight ORDER BY term), lambda a, b: a + b) AS DOUBLE)) AS FLOAT) AS norm FROM tm GROUP BY id),
+  dt AS (SELECT x.id AS subject, y.id, list_reduce(list(x.weight * y.weight ORDER BY x.term), lambda a, b: a + b) AS dot FROM tm x JOIN tm y USING (term) WHERE x.id % 25 = 0 AND y.id <> x.id GROUP BY 1, 2),
+  r AS (SELECT subject, dt.id, CAST(CAST(dot AS DOUBLE) / CAST(m.norm * n.norm AS DOUBLE) AS FLOAT) AS cosine FROM dt JOIN nm m ON m.id = subject JOIN nm n ON n.id = dt.id WHERE dot <> 0),
+  p AS (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY cosine DESC, id) AS n FROM r)
+  SELECT subject, id, CAST(row_number() OVER (PARTITION BY subject ORDER BY n) AS INTEGER) AS rank, CAST(cosine AS DOUBLE) AS cosine FROM p WHERE n <= 20 AND id % 11 <> 0""")
+def lexical_neighbours(s, d):
+    """Of every 25th document the twenty nearest by its words, without itself, by way of the term index; a few ids are dead."""
+    docs = tables.table(s, d, "documents").select(F.col("doc_id").alias("id"))
+    asked = docs.filter("id % 25 = 0")
+    made = related.pruned_arm(_word_vectors(s, d), asked, asked.select(F.col("id").alias("subject"), F.col("id").alias("other")), docs.filter("id % 11 <> 0"))
+    return made.withColumn("cosine", F.col("cosine").cast("double"))
+
+
+@query("""WITH k AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS m FROM lineitem) SELECT a.id AS subject, b.id, count(*) AS shared FROM k a JOIN k b USING (m) WHERE a.id % 25 = 0 AND a.id <> b.id GROUP BY 1, 2""")
+def shared_neighbours(s, d):
+    """For every 25th order, with which others it has how many parts in common."""
+    links = tables.table(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("mediator"))
+    return artifact.shared_mediators(links, links.filter("id % 25 = 0").select("id"))
 
 
 EXCL = "SELECT DISTINCT e.vec_id AS subject, f.vec_id AS other FROM embeddings e JOIN embeddings f ON f.vec_id % 97 = e.vec_id % 97 WHERE e.vec_id % 25 = 0"
@@ -472,7 +507,7 @@ def _arms(s, d):
     live = vectors.filter(F.col("id") % 11 != 0)
     by_graph = asked.withColumn("k", F.col("subject") % 31).join(vectors.select("id", (F.col("id") % 31).alias("k")), "k").select("subject", "id", F.col("id").alias("position"))
     by_tag = asked.join(vectors.filter(F.col("id") % 3 == 0), "label").select("subject", "id", F.col("id").alias("position"))
-    return related.held_arm(by_graph, excluded, live), related.lexical_arm(_terms(s, d), _subjects(s, d), excluded, live).drop("cosine"), related.held_arm(by_tag, excluded, live)
+    return related.held_arm(by_graph, excluded, live), related.pruned_arm(_terms(s, d), _subjects(s, d), excluded, live).drop("cosine"), related.held_arm(by_tag, excluded, live)
 
 
 @query("WITH " + ARMS[2:] + " SELECT 'graph' AS arm, subject, id, CAST(rank AS INTEGER) AS rank FROM g UNION ALL SELECT 'lexical', subject, id, CAST(rank AS INTEGER) FROM lx UNION ALL SELECT 'tags', subject, id, CAST(rank AS INTEGER) FROM t")

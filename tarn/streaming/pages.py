@@ -139,7 +139,10 @@ def apply_page(books: Books, rows: DataFrame, batch: int | None, limit: int, rid
     spark, old = books.spark, books.standing()
     if batch is not None and batch <= books.manifest()["batch"]:
         return old  # this page was committed
-    page = scratch.store(changes.latest(rows.select("id", "rev", "kind", "path", "trashed", "sha", "stamp")))
+    path = scratch.new_path(spark, "page")
+    rows.select("id", "rev", "kind", "path", "trashed", "sha", "stamp").write.parquet(path)
+    rows = spark.read.schema(rows.select("id", "rev", "kind", "path", "trashed", "sha", "stamp").schema).parquet(path)  # by the books' session: a stream's own does not plan anew at run time
+    page = scratch.store(changes.latest(rows))
     size, end = rows.agg(F.count(F.lit(1)), F.max(F.struct("rev", "id"))).first()
     at_head = size < limit
     if at_head and riders.live_nodes is None:
@@ -152,9 +155,10 @@ def apply_page(books: Books, rows: DataFrame, batch: int | None, limit: int, rid
     told = changes.classify(page, nodes.select("id"), scope)
     facts = page.select("id", "rev", "kind", "sha", "stamp", F.struct("rev", "id").alias("seq"))
     told = scratch.store(told.join(facts, "id").withColumn("path", F.coalesce(local, F.col("path"))))
-    held = nodes.join(ledger, "id", "left_semi").select("id", "path")
+    delivered = page.select("id")
+    held = nodes.join(delivered, "id", "left_anti").join(ledger, "id", "left_semi").select("id", "path")
     puts = told.filter("disposition in ('put', 'park')").select("id", "path", "seq", (F.col("disposition") == "park").alias("parked"))
-    clashes = changes.collision_fixpoint(puts, held, parks.select("id", "path"))
+    clashes = changes.collision_fixpoint(puts, held, parks.join(delivered, "id", "left_anti").select("id", "path"))
     told = told.join(clashes.select("id", "park"), "id", "left")
 
     # what a put meets on disk: owned are the places that were tracked before this page
@@ -210,7 +214,6 @@ def apply_page(books: Books, rows: DataFrame, batch: int | None, limit: int, rid
         else:
             graph = riders.graph if riders.graph is not None or riders.graph_asked else old.graph
             new = replace(new, at_head=True, head_reached_at=now, graph=graph, related=riders.related or old.related)
-    delivered = page.select("id")
     gone = {"nodes": delivered, "ledger": page.filter("trashed").select("id"), "parks": delivered, "debts": settled.select("id")}
     added = {"nodes": tracked, "ledger": page.filter("not trashed").select("id"), "parks": parked, "debts": number_of(owed)}
     books.commit(batch, gone, added, work, new)

@@ -171,6 +171,8 @@ def test_pages_equal_a_plain_loop(spark, at, seed):
     books, plain, owed = pages.Books(spark, f"{at}/books", parts=3), Plain(), 0
     for number in range(3):
         rows = random_rows(rng, 28, number * 100) + [(101, number * 100 + 28, "folder", "q", number > 0, None, None), (102 + number, number * 100 + 29, "file", f"q/{number}.md", False, "s", None)]
+        # an incumbent that is trashed in the page, and a durable park that is lifted in it, bar nobody
+        rows = [*rows[:-4], (200, rows[-4][1], "file", "Held.md", number > 0, "s", None), (201 + number, rows[-3][1], "file", "held.MD", False, "s", None), *rows[-2:]]
         disk = {n["place"]: (n["kind"] == "folder", rng.choice([n["sha"], "s9"])) for n in plain.nodes.values() if rng.random() < 0.8}
         disk |= {p: (f, s) for p, f, s in [("d.md", False, "s1"), ("b", False, "s2"), ("a/keep.txt", False, "s3")] if p not in disk}
         there = spark.createDataFrame([(p, f, s) for p, (f, s) in disk.items()], "path string, is_folder boolean, sha string")

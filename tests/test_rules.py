@@ -68,6 +68,37 @@ def test_blocks_give_the_same_arm(spark, monkeypatch):
     assert sorted(map(tuple, related.lexical_arm(terms, subjects, none, terms.select("id").distinct(), 7).collect())) == whole
 
 
+def test_the_term_index_gives_the_same_arm_from_fewer_pairs(spark):
+    """Groups of rows with rare words of their own, and common words that all have with small weights; ties, excluded and dead rows."""
+    rnd = random.Random(5)
+    rows = [(i, f"g{i % 40}w{k}", rnd.choice([2.0, 3.0, 4.0])) for i in range(1200) for k in rnd.sample(range(12), 8)]
+    rows += [(i, f"common{k}", rnd.choice([0.125, 0.25, -0.125])) for i in range(1200) for k in rnd.sample(range(30), 4)] + [(5000, "common1", 1.0), (5001, "zero", 0.0)]
+    terms = spark.createDataFrame(rows, "id long, term string, weight double")
+    subjects = spark.createDataFrame([(i,) for i in (*range(0, 1200, 40), 5000, 5001, 7000)], "id long")
+    excluded = subjects.select(F.col("id").alias("subject"), F.col("id").alias("other")).union(spark.createDataFrame([(0, 40), (0, 80)], "subject long, other long"))
+    live = terms.filter("id % 7 <> 0").select("id").distinct()
+    pairs, dense, every = related.essential_pairs(terms, subjects, excluded)
+    compared = pairs.count() + dense.count() * 1202
+    assert 0 < compared < 0.3 * 32 * 1202 and pairs.join(excluded.withColumnRenamed("other", "id"), ["subject", "id"]).isEmpty()
+    whole = sorted(map(tuple, related.lexical_arm(terms, subjects, excluded, live).collect()))
+    assert sorted(map(tuple, related.pruned_arm(terms, subjects, excluded, live).collect())) == whole and len(whole) > 300
+
+
+def test_shared_mediators(spark, monkeypatch):
+    from tarn.operators import artifact
+
+    rnd = random.Random(6)
+    links = [(i, m) for i in range(60) for m in rnd.sample(range(12), 3)] + [(i, 99) for i in range(60)] + [(1, 99), (2, None), (None, 3)]
+    count = lambda a, b: len({m for i, m in links if i == a} & {m for i, m in links if i == b} - {None})
+    wanted = sorted((a, b, count(a, b)) for a in range(0, 60, 7) for b in range(60) if a != b and count(a, b))
+    df, asked = spark.createDataFrame(links, "id long, mediator long"), spark.createDataFrame([(a,) for a in range(0, 60, 7)], "id long")
+    for salt in (2048, 8):  # the hub dealt to one task, and to eight
+        monkeypatch.setattr(artifact, "NEIGHBOURS_A_SALT", salt)
+        assert sorted(map(tuple, artifact.shared_mediators(df, asked).collect())) == wanted
+    top = artifact.held_list(artifact.shared_mediators(df, asked), 5).filter("subject = 7").orderBy("position").collect()
+    assert [r["id"] for r in top] == [b for a, b, n in sorted(wanted, key=lambda w: (-w[2], w[1])) if a == 7][:5]
+
+
 def test_subjects_without_words_are_ranked(spark):
     arm = spark.createDataFrame([(9, 1, 1)], "subject long, id long, rank int")
     words = spark.createDataFrame([(5, 10)], "subject long, wc int")
