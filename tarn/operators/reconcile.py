@@ -12,53 +12,80 @@ from tarn.sources.scratch import store
 WRITE_TEMP_PREFIX = ".write-"
 
 
-def expectations(server: DataFrame, state: DataFrame, parks: DataFrame, scope: str | None = None, ignore_case: bool = True) -> DataFrame:
-    """(id, kind, path, fold_key, digest): what server(id, kind, path, digest) wants on disk. Parked nodes want nothing, nor do nodes
-    of unknown kinds, with reserved or control names, outside the scope, or whose names cannot be those of notes or of files; an
-    attachment wants its marker, where state(id, kind, local_path, marker_path) has it or beside it."""
+def _by_id(server: DataFrame, state: DataFrame, parks: DataFrame) -> DataFrame:
+    """(id, served, held, parked): what the three sides say of an id, in one grouping."""
+    sides = (
+        server.select("id", F.struct("kind", "path", "digest").alias("served")),
+        state.select("id", F.struct("kind", "local_path", "marker_path").alias("held")), parks.select("id", F.lit(True).alias("parked")),
+    )
+    rows = sides[0].unionByName(sides[1], allowMissingColumns=True).unionByName(sides[2], allowMissingColumns=True)
+    return rows.groupBy("id").agg(F.max("served").alias("served"), F.max("held").alias("held"), F.max("parked").alias("parked"))
+
+
+def _wanted(by_id: DataFrame, scope: str | None, ignore_case: bool, windows: bool) -> DataFrame:
+    """(id, kind, path, fold_key, digest, held_at); held_at: where the state tracks the node."""
+    rows = by_id.filter("served is not null and parked is null").select("id", "served.*", "held")
     path = F.col("path")
     local = rules.scope_relative(path, scope) if scope else path
-    fits = ~F.exists(rules.segments(local), lambda x: rules.component_units(x) > 255)
+    local = rules.encode_win_path(local) if windows else local
+    fits = ~F.exists(rules.segments(local), lambda x: rules.component_units(x, windows) > 255)
     note_name = (F.col("kind") != "file") | rules.is_note_name(rules.leaf_of(path))
     wanted = changes.known_kind(F.col("kind")).isNotNull() & ~rules.has_reserved_segment(path) & ~rules.in_control_namespace(path) & (local != "") & note_name & fits
-    live = server.filter(wanted).join(parks.select("id"), "id", "left_anti")
-    known = state.select("id", "marker_path")
-    want = F.when(F.col("kind") == "attachment", F.coalesce("marker_path", F.concat(local, F.lit(rules.CONTROL_SUFFIX)))).otherwise(local)
-    rows = live.join(known, "id", "left").select("id", changes.known_kind(F.col("kind")).alias("kind"), want.alias("path"), "digest")
-    return rules.with_fold_key(store(rows), ignore_case=ignore_case)
+    want = F.when(F.col("kind") == "attachment", F.coalesce("held.marker_path", F.concat(local, F.lit(rules.CONTROL_SUFFIX)))).otherwise(local)
+    held_at = F.when(F.col("held.kind") == "attachment", F.col("held.marker_path")).otherwise(F.col("held.local_path"))
+    rows = rows.filter(wanted).select("id", changes.known_kind(F.col("kind")).alias("kind"), want.alias("path"), "digest", held_at.alias("held_at"))
+    return rules.with_fold_key(store(rows), ignore_case=ignore_case).select("id", "kind", "path", "fold_key", "digest", "held_at")
 
 
-def reconcile(server: DataFrame, disk: DataFrame, state: DataFrame, parks: DataFrame, scope: str | None = None, ignore_case: bool = True) -> DataFrame:
+def expectations(server: DataFrame, state: DataFrame, parks: DataFrame, scope: str | None = None, ignore_case: bool = True, windows: bool = False) -> DataFrame:
+    """(id, kind, path, fold_key, digest): what server(id, kind, path, digest) wants on disk. Parked nodes want nothing, nor do nodes
+    of unknown kinds, with reserved or control names, outside the scope, or whose names cannot be those of notes or of files; an
+    attachment wants its marker, where state(id, kind, local_path, marker_path) has it or beside it. windows: names as Windows can
+    spell them."""
+    return _wanted(_by_id(server, state, parks), scope, ignore_case, windows).drop("held_at")
+
+
+#: The classes of discrepancies between server, disk and state, in the order in which a node is tested.
+CLASSES = ("missing-local", "digest-mismatch", "id-mismatch", "marker-drift", "untracked", "fold-collision", "crash-residue", "missing-remote", "state-orphan", "parked")
+
+
+def reconcile(server: DataFrame, disk: DataFrame, state: DataFrame, parks: DataFrame, scope: str | None = None, ignore_case: bool = True, windows: bool = False) -> DataFrame:
     """(path, id, class): one row a discrepancy between server(id, kind, path, digest), disk(path, is_folder, digest) and
     state(id, kind, local_path, marker_path); parks(id, path). Digests of attachments are those of their markers. Markers that were
-    moved to the control folder stand in `disk` under their path there. Ids are numbers."""
-    wanted = store(expectations(server, state, parks, scope, ignore_case))  # both are read by several branches
-    there = store(rules.with_fold_key(store(disk), ignore_case=ignore_case))
-    own = state.select("id", F.when(F.col("kind") == "attachment", F.col("marker_path")).otherwise(F.col("local_path")).alias("held_at"))
-    by_path = state.filter("kind <> 'attachment'").groupBy(F.col("local_path").alias("path")).agg(F.min("id").alias("held_by"))
-    facts = there.select("fold_key", F.col("is_folder"), F.col("digest").alias("disk_digest"), F.lit(True).alias("on_disk"))
-    rows = wanted.join(facts, "fold_key", "left").join(own, "id", "left").join(by_path, "path", "left")
+    moved to the control folder stand in `disk` under their path there. Ids are numbers.
+
+    The three sides meet once by id, and once by place: facts of a path (what stands there, who is tracked there, attachments too) and of
+    a folded path are reduced map-side to one row each before they are joined. What stands at the very path counts, else what stands at
+    its folded key, of several the first by path.
+    """
+    by_id = store(_by_id(server, state, parks))
+    wanted = store(_wanted(by_id, scope, ignore_case, windows))
+    there = store(rules.with_fold_key(store(disk.select("path", "is_folder", "digest")), ignore_case=ignore_case))
+    loose = ~F.coalesce(F.col("held_at") == F.col("path"), F.lit(False))
+    seen = F.struct("is_folder", F.col("digest").alias("seen"))
+    at_path = there.select("path", seen.alias("exact")).unionByName(state.select(F.col("local_path").alias("path"), F.col("id").alias("held_by")), allowMissingColumns=True)
+    at_path = at_path.groupBy("path").agg(F.max("exact").alias("exact"), F.min("held_by").alias("held_by"))
+    # of several nodes on one folded path the one that the state tracks at its path keeps it, else the first
+    at_key = there.select("fold_key", F.struct("path", seen.alias("x")).alias("alike")).unionByName(wanted.select("fold_key", F.struct(loose.alias("loose"), "id").alias("keeper")), allowMissingColumns=True)
+    at_key = store(at_key.groupBy("fold_key").agg(F.min("alike").alias("alike"), F.min("keeper").alias("keeper")))
+    rows = wanted.join(at_path, "path", "left").join(at_key, "fold_key").withColumn("disk", F.coalesce("exact", "alike.x"))
     is_kind = lambda k: F.col("kind") == k
-    present = F.coalesce(F.col("on_disk") & (F.col("is_folder") == is_kind("folder")), F.lit(False))
-    differs = ~F.col("disk_digest").eqNullSafe(F.col("digest"))
-    elsewhere = ~F.coalesce(F.col("held_at") == F.col("path"), F.lit(False))
+    present = F.coalesce(F.col("disk.is_folder") == is_kind("folder"), F.lit(False))
+    differs = ~F.col("disk.seen").eqNullSafe(F.col("digest"))
     classes = F.array_compact(
         F.array(
             F.when(~present, "missing-local"), F.when(present & is_kind("note") & differs, "digest-mismatch"),
             F.when(present & is_kind("note") & (F.col("held_by") != F.col("id")), "id-mismatch"), F.when(present & is_kind("attachment") & differs, "marker-drift"),
-            F.when(present & F.when(is_kind("note"), F.col("held_by").isNull()).when(is_kind("folder"), elsewhere).otherwise(~differs & elsewhere), "untracked"),
+            F.when(present & F.when(is_kind("note"), F.col("held_by").isNull()).when(is_kind("folder"), loose).otherwise(~differs & loose), "untracked"),
+            F.when(F.col("id") != F.col("keeper.id"), "fold-collision"),
         )
     )
     found = rows.select("path", "id", F.explode(classes).alias("class"))
-    # of several nodes on one folded path the one that the state tracks at its path keeps it, else the first
-    tracked = wanted.join(own, "id", "left").withColumn("loose", elsewhere)
-    keeper = tracked.groupBy("fold_key").agg(F.min_by("id", F.struct("loose", "id")).alias("keeper"))
-    collided = tracked.join(keeper, "fold_key").filter("id <> keeper").select("path", "id", F.lit("fold-collision").alias("class"))
     left_over = rules.is_write_temp(rules.leaf_of(F.col("path")), WRITE_TEMP_PREFIX) & ~F.col("is_folder")
-    strays = there.join(wanted.select("fold_key"), "fold_key", "left_anti").select("path", F.lit(None).cast("long").alias("id"), F.when(left_over, "crash-residue").otherwise("missing-remote").alias("class"))
-    orphans = changes.prune(state, server).select(F.col("local_path").alias("path"), "id", F.lit("state-orphan").alias("class"))
+    strays = there.join(at_key.filter("keeper is not null").select("fold_key"), "fold_key", "left_anti").select("path", F.lit(None).cast("long").alias("id"), F.when(left_over, "crash-residue").otherwise("missing-remote").alias("class"))
+    orphans = by_id.filter("served is null and held is not null").select(F.col("held.local_path").alias("path"), "id", F.lit("state-orphan").alias("class"))
     parked = parks.select("path", "id", F.lit("parked").alias("class"))
-    return found.unionByName(collided).unionByName(strays).unionByName(orphans).unionByName(parked)
+    return found.unionByName(strays).unionByName(orphans).unionByName(parked)
 
 
 def mount_findings(mounts: DataFrame) -> DataFrame:

@@ -320,19 +320,22 @@ RECON = """, srv AS (SELECT id, 'file' AS kind, path, CAST(n_chars AS VARCHAR) A
     UNION ALL SELECT id + 5000000, 'note', path, NULL FROM dn WHERE id % 13 = 0
     UNION ALL SELECT page_id + 1000000000, 'attachment', 'pages/' || page_id || '.html', CASE WHEN page_id % 3 = 0 THEN '.ctl/markers/' ELSE 'pages/' END || page_id || '.html.ctl' FROM pages WHERE page_id % 4 <> 0
     UNION ALL SELECT s_suppkey + 2000000000, 'folder', 'dir/' || s_suppkey, NULL FROM supplier WHERE s_suppkey % 2 = 0
-    UNION ALL SELECT p_partkey + 3000000000, 'note', 'fold/n' || p_partkey // 2 || '.md', NULL FROM part WHERE p_partkey % 6 = 1),
+    UNION ALL SELECT p_partkey + 3000000000, 'note', 'fold/n' || p_partkey // 2 || '.md', NULL FROM part WHERE p_partkey % 6 = 1
+    UNION ALL SELECT id + 8000000, 'attachment', path, 'm/' || id || '.ctl' FROM dn WHERE id % 23 = 0),
   pk AS (SELECT id, path FROM dn WHERE live AND id % 29 = 0),
   e AS (SELECT s.id, CASE s.kind WHEN 'file' THEN 'note' ELSE s.kind END AS kind, CASE WHEN s.kind = 'attachment' THEN coalesce(t.marker_path, s.path || '.ctl') ELSE s.path END AS path, digest
     FROM srv s LEFT JOIN st t ON t.id = s.id WHERE s.id NOT IN (SELECT id FROM pk)),
   dk AS (SELECT CASE WHEN id % 19 = 0 THEN upper(path) ELSE path END AS path, FALSE AS is_folder, CASE WHEN id % 5 = 0 THEN 'x' ELSE CAST(n_chars AS VARCHAR) END AS digest FROM dn WHERE id % 7 <> 0
+    UNION ALL SELECT upper(path), FALSE, 'alias' FROM dn WHERE id % 17 = 0 AND id % 19 <> 0
     UNION ALL SELECT path, FALSE, CASE WHEN id % 5 = 0 THEN 'drift' ELSE digest END FROM e WHERE kind = 'attachment' AND id % 8 <> 1
     UNION ALL SELECT 'dir/' || s_suppkey, s_suppkey % 5 <> 0, NULL FROM supplier WHERE s_suppkey % 3 <> 0
     UNION ALL SELECT 'fold/n' || p_partkey // 2 || '.md', FALSE, 'p' FROM part WHERE p_partkey % 2 = 1
     UNION ALL SELECT 'stray/' || n_name || '.txt', FALSE, 's' FROM nation UNION ALL SELECT 'stray/' || n_name, TRUE, NULL FROM nation
     UNION ALL SELECT 'tmp/.write-' || lpad(CAST(r_regionkey AS VARCHAR), 16, '0') || '.tmp', FALSE, 't' FROM region),
   o AS (SELECT id, CASE WHEN kind = 'attachment' THEN marker_path ELSE local_path END AS at FROM st),
-  j AS (SELECT e.*, dk.path IS NOT NULL AND dk.is_folder = (kind = 'folder') AS present, dk.digest IS DISTINCT FROM e.digest AS differs, coalesce(o.at <> e.path, TRUE) AS elsewhere, h.id AS held_by
-    FROM e LEFT JOIN dk ON lower(dk.path) = lower(e.path) LEFT JOIN o ON o.id = e.id LEFT JOIN (SELECT local_path, min(id) AS id FROM st WHERE kind <> 'attachment' GROUP BY 1) h ON h.local_path = e.path),
+  y AS (SELECT * FROM dk QUALIFY row_number() OVER (PARTITION BY lower(path) ORDER BY path) = 1),
+  j AS (SELECT e.*, y.path IS NOT NULL AND CASE WHEN x.path IS NULL THEN y.is_folder ELSE x.is_folder END = (kind = 'folder') AS present, CASE WHEN x.path IS NULL THEN y.digest ELSE x.digest END IS DISTINCT FROM e.digest AS differs, coalesce(o.at <> e.path, TRUE) AS elsewhere, h.id AS held_by
+    FROM e LEFT JOIN dk x ON x.path = e.path LEFT JOIN y ON lower(y.path) = lower(e.path) LEFT JOIN o ON o.id = e.id LEFT JOIN (SELECT local_path, min(id) AS id FROM st GROUP BY 1) h ON h.local_path = e.path),
   c AS (SELECT path, id, unnest([CASE WHEN NOT present THEN 'missing-local' END, CASE WHEN present AND kind = 'note' AND differs THEN 'digest-mismatch' END, CASE WHEN present AND kind = 'note' AND held_by <> id THEN 'id-mismatch' END,
       CASE WHEN present AND kind = 'attachment' AND differs THEN 'marker-drift' END,
       CASE WHEN present AND (kind = 'note' AND held_by IS NULL OR kind = 'folder' AND elsewhere OR kind = 'attachment' AND NOT differs AND elsewhere) THEN 'untracked' END]) AS class FROM j
@@ -360,12 +363,14 @@ def _reconciled(s, d):
         .union(table("pages").filter("page_id % 4 <> 0").select(F.col("page_id") + 1_000_000_000, F.lit("attachment"), page, marker))
         .union(table("supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey") + 2_000_000_000, F.lit("folder"), dir_, none))
         .union(table("part").filter("p_partkey % 6 = 1").select(F.col("p_partkey") + 3_000_000_000, F.lit("note"), F.concat(F.lit("fold/n"), half, F.lit(".md")), none))
+        .union(nodes.filter("id % 23 = 0").select(F.col("id") + 8_000_000, F.lit("attachment"), "path", F.concat(F.lit("m/"), text("id"), F.lit(".ctl"))))
     )
     parks = nodes.filter("live and id % 29 = 0").select("id", "path")
     wanted = reconcile.expectations(server, state, parks).filter("kind = 'attachment' and id % 8 <> 1")
     file = F.lit(False).alias("is_folder")
     disk = (
         nodes.filter("id % 7 <> 0").select(F.expr("if(id % 19 = 0, upper(path), path)").alias("path"), file, F.when(F.col("id") % 5 == 0, "x").otherwise(digest).alias("digest"))
+        .union(nodes.filter("id % 17 = 0 and id % 19 <> 0").select(F.upper("path"), file, F.lit("alias")))
         .union(wanted.select("path", file, F.expr("if(id % 5 = 0, 'drift', digest)")))
         .union(table("supplier").filter("s_suppkey % 3 <> 0").select(dir_, F.col("s_suppkey") % 5 != 0, none))
         .union(table("part").filter("p_partkey % 2 = 1").select(F.concat(F.lit("fold/n"), half, F.lit(".md")), file, F.lit("p")))

@@ -167,6 +167,18 @@ def test_reconciliation_goes_by_id_and_folded_path(spark):
     assert got == [("state-orphan", "gone.md", 9), ("untracked", "New.md", 1)]
 
 
+def test_reconciliation_prefers_the_very_path_and_knows_attachments(spark):
+    frame = lambda schema, *rows: spark.createDataFrame(list(rows), schema)
+    server = frame("id long, kind string, path string, digest string", (1, "file", "n.md", "d1"), (2, "file", "b.md", "d2"), (3, "file", "c.md", "d3"), (4, "attachment", "p.bin", "m4"), (5, "folder", "Dir", None), (6, "folder", "dir", None), (7, "file", 'q".md', "d7"))
+    disk = frame("path string, is_folder boolean, digest string", ("N.MD", False, "other"), ("n.md", False, "d1"), ("b.md", False, "d2"), ("C.md", False, "x"), ("c.MD", False, "d3"), ("P.bin.ctl", False, "m4"), ("p.bin", False, "s"), ("dir", True, None), ('q".md', False, "d7"), ("q%22.md", False, "d7"))
+    state = frame("id long, kind string, local_path string, marker_path string", (1, "note", "n.md", None), (9, "attachment", "b.md", "m/b.ctl"), (3, "note", "c.md", None), (4, "attachment", "p.bin", "p.bin.ctl"), (6, "folder", "dir", None), (7, "note", "q%22.md", None))
+    none = server.select("id", "path").limit(0)
+    got = lambda **how: sorted((r["class"], r["path"], r["id"]) for r in reconcile.reconcile(server, disk, state, none, **how).collect())
+    shared = [("digest-mismatch", "c.md", 3), ("fold-collision", "Dir", 5), ("id-mismatch", "b.md", 2), ("missing-remote", "p.bin", None), ("state-orphan", "b.md", 9), ("untracked", "Dir", 5)]
+    assert got() == sorted([*shared, ("missing-remote", "q%22.md", None), ("untracked", 'q".md', 7)])
+    assert got(windows=True) == sorted([*shared, ("missing-remote", 'q".md', None)])
+
+
 def test_redelivery(spark):
     frame = lambda schema, *rows: spark.createDataFrame(list(rows), schema)
     deliveries = frame("id long, path string, sha string", *[(i, f"p{i}", "new") for i in range(1, 9)])
