@@ -1,21 +1,22 @@
 """License scans with a positional rare-token index over licence templates.
 
-Index: the words of all templates, each with its inverse document frequency over templates and its postings (template,
-position). A scan looks up the words of a file that are in the index, byte by byte, keeps for each template the postings of its
-rare words (highest IDF; at least SEEDS of them must occur, or all if it has fewer), and intersects them by relative position:
-file position minus template position is the same for words of one copy. The well-supported alignments are scored over the whole
-template; a label needs an alignment with a score of `least` and with every mandatory key phrase of the template inside it, as
-consecutive words. Templates are whole licence bodies, their first sentences, and one-line notices. Plain base phrases give
-labels of their own.
+Index: word -> postings (template, position, IDF) of the template's rarest words: positions of highest IDF over templates, until they
+hold the share 1 - `least` of the template's IDF mass and VOTES more. A label needs an alignment of file and template on which words of
+at least the share `least` of that mass agree, so words of at most 1 - `least` of it differ, and indexed words of at least VOTES must
+agree: no such alignment is missed. A scan looks up the words of all files of a call in the index at once and sums IDF by (file,
+template, file position minus template position); only alignments with enough votes are scored over the whole template. A label also
+needs every mandatory key phrase of the template inside the alignment, as consecutive words. The cost grows with the postings that a
+file's words have, not with the number of templates. Templates are the bodies of short licences, the standard notices of long ones, their
+first sentences, and one-line notices. Plain base phrases give labels of their own.
 
 Defined cases: a null text counts as empty; texts of any length are scanned whole; texts without words have null positions, empty
-labels and score 0; of alignments that tie any may give the label, and the score is theirs; ids are passed through, null and
-repeated ones too; an empty table gives an empty result; other columns are ignored.
+labels and score 0; score is 1 with a base label, else the greatest share on an alignment with enough votes, or 0; of alignments that tie
+any may give the label; ids are passed through, null and repeated ones too; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -25,11 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.tokens import as_bytes, chunks, words
-
-#: Rare words of a template that a file must hold before its postings are intersected.
-SEEDS = 3
+from tarn.llm.tokens import as_bytes, chunks, slices, words
 
+#: Share of a template's IDF mass on which indexed words must agree before the whole template is looked at.
+VOTES = 0.15
 #: Alignments scored at once.
 ALIGNMENTS = 4096
 
@@ -74,16 +74,22 @@ TEMPLATES = (
 
 @dataclass(frozen=True)
 class Index:
-    """Sorted word hashes with IDF, and for each template its words, the rare ones' positions, and its key phrases."""
+    """Sorted word hashes with their spelling; templates as (label, words, IDF of each, key phrases); the postings of word w are
+    begins[w] to begins[w + 1] of (template, position, IDF); need: IDF on which a template's postings must agree; base phrases."""
 
     vocabulary: np.ndarray
     spelling: tuple[bytes, ...]
     templates: tuple
     phrases: tuple
+    begins: np.ndarray
+    template: np.ndarray
+    position: np.ndarray
+    weight: np.ndarray
+    need: np.ndarray
 
 
 @lru_cache(maxsize=4)
-def build_index(templates: tuple = TEMPLATES, phrases: tuple = BASE_PHRASES, rare: int = 12) -> Index:
+def build_index(templates: tuple = TEMPLATES, phrases: tuple = BASE_PHRASES, least: float = 0.6) -> Index:
     texts = [t for _, t, _ in templates] + [k for _, _, keys in templates for k in keys] + [p for p, _ in phrases]
     spelled: dict[bytes, int] = {}
     for text in texts:
@@ -94,17 +100,23 @@ def build_index(templates: tuple = TEMPLATES, phrases: tuple = BASE_PHRASES, rar
     number = {w: i for i, w in enumerate(ordered)}
     vocabulary = np.array([spelled[w] for w in ordered], np.uint64)
     frequency = np.zeros(len(ordered))
-    numbered = [[number[w] for w in text.encode().split()] for _, text, _ in templates]
+    numbered = [np.array([number[w] for w in text.encode().split()]) for _, text, _ in templates]
     for t in numbered:
-        frequency[list(set(t))] += 1
+        frequency[np.unique(t)] += 1
     idf = np.log((1 + len(templates)) / (1 + frequency)) + 1
-    built = []
-    for (label, _, keys), t in zip(templates, numbered, strict=True):
-        postings = defaultdict(list)
-        for w in sorted(set(t), key=lambda w: (-idf[w], w))[:rare]:
-            postings[w] = [i for i, x in enumerate(t) if x == w]
-        built.append((label, np.array(t), idf[t], dict(postings), tuple(tuple(number[w] for w in k.encode().split()) for k in keys)))
-    return Index(vocabulary, tuple(ordered), tuple(built), tuple((tuple(number[w] for w in p.encode().split()), label) for p, label in phrases))
+    built, postings, need = [], [], []
+    for k, ((label, _, keys), t) in enumerate(zip(templates, numbered, strict=True)):
+        mass = idf[t].sum()
+        rarest = np.argsort(-idf[t], kind="stable")
+        held = np.cumsum(idf[t][rarest])
+        rarest = rarest[: np.searchsorted(held, (1 - least + VOTES) * mass) + 1]
+        postings += [(int(t[i]), k, int(i)) for i in rarest]
+        need.append(idf[t][rarest].sum() - (1 - least) * mass - 1e-9 * mass)
+        built.append((label, t, idf[t], tuple(tuple(number[w] for w in key.encode().split()) for key in keys)))
+    word, template, position = np.array(sorted(postings)).T
+    begins = np.searchsorted(word, np.arange(len(ordered) + 1))
+    base = tuple((tuple(number[w] for w in p.encode().split()), label) for p, label in phrases)
+    return Index(vocabulary, tuple(ordered), tuple(built), base, begins, template, position, idf[word], np.array(need))
 
 
 def _phrase_at(ids: np.ndarray, phrase: tuple[int, ...]) -> np.ndarray:
@@ -118,18 +130,44 @@ def _phrase_at(ids: np.ndarray, phrase: tuple[int, ...]) -> np.ndarray:
     return np.flatnonzero(hit)
 
 
-def _alignments(ids: np.ndarray, template: tuple, where: dict[int, np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(shifts, scores) of the alignments on which the rare words agree nearly as often as on any: shares of the template's IDF mass."""
-    _, wanted, weight, postings, _ = template
-    votes = [where[w] - p for w, places in postings.items() if w in where for p in places]
-    shift, n = np.unique(np.concatenate(votes), return_counts=True)
-    shift = shift[n >= least * n.max()]
-    scores = np.zeros(len(shift))
-    for low in range(0, len(shift), ALIGNMENTS):
-        at = shift[low : low + ALIGNMENTS, None] + np.arange(len(wanted))
+def candidates(texts: list[np.ndarray], index: Index) -> dict[int, list[tuple[int, np.ndarray]]]:
+    """For each text (words as numbers of the index, -1 for others), (template, shifts) of the alignments with enough votes."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    every = np.concatenate(texts) if texts else np.zeros(0, np.int64)
+    known = np.flatnonzero(every >= 0)
+    word = every[known]
+    n = index.begins[word + 1] - index.begins[word]
+    known, word, n = known[n > 0], word[n > 0], n[n > 0]
+    if not len(known):
+        return {}
+    text = np.repeat(np.arange(len(texts)), lengths)[known]
+    place = known - (np.cumsum(lengths) - lengths)[text]
+    first = np.cumsum(n) - n
+    at = np.arange(n.sum()) - np.repeat(first, n) + np.repeat(index.begins[word], n)
+    longest = max(len(t[1]) for t in index.templates)
+    span = int(lengths.max()) + longest
+    key = (np.repeat(text, n) * len(index.templates) + index.template[at]) * span + np.repeat(place, n) - index.position[at] + longest
+    key, which = np.unique(key, return_inverse=True)
+    votes = np.bincount(which, index.weight[at])
+    pair, shift = key // span, key % span - longest
+    keep = votes >= index.need[pair % len(index.templates)]
+    out: dict[int, list[tuple[int, np.ndarray]]] = {}
+    pair, shift = pair[keep], shift[keep]
+    cuts = np.flatnonzero(pair[1:] != pair[:-1]) + 1
+    for some in np.split(np.arange(len(pair)), cuts) if len(pair) else ():
+        out.setdefault(int(pair[some[0]]) // len(index.templates), []).append((int(pair[some[0]]) % len(index.templates), shift[some]))
+    return out
+
+
+def scores(ids: np.ndarray, template: tuple, shifts: np.ndarray) -> np.ndarray:
+    """Of each alignment the share of the template's IDF mass on which file and template agree."""
+    _, wanted, weight, _ = template
+    out = np.zeros(len(shifts))
+    for low in range(0, len(shifts), ALIGNMENTS):
+        at = shifts[low : low + ALIGNMENTS, None] + np.arange(len(wanted))
         same = (at >= 0) & (at < len(ids)) & (ids[np.clip(at, 0, len(ids) - 1)] == wanted)
-        scores[low : low + ALIGNMENTS] = same @ weight / weight.sum()
-    return shift, scores
+        out[low : low + ALIGNMENTS] = same @ weight / weight.sum()
+    return out
 
 
 def _has_phrases(ids: np.ndarray, template: tuple, shifts: np.ndarray) -> bool:
@@ -137,33 +175,27 @@ def _has_phrases(ids: np.ndarray, template: tuple, shifts: np.ndarray) -> bool:
     size = len(template[1])
     for shift in shifts.tolist():
         inside = ids[max(shift, 0) : max(shift + size, 0)]
-        if all(len(_phrase_at(inside, k)) for k in template[4]):
+        if all(len(_phrase_at(inside, k)) for k in template[3]):
             return True
     return False
 
 
-def scan_text(ids: np.ndarray, index: Index, least: float) -> tuple:
-    """(n_base, first, last, base labels, labels, score) of a text whose words are numbered by the index, -1 for others."""
+def scan_text(ids: np.ndarray, found: list[tuple[int, np.ndarray]], index: Index, least: float) -> tuple:
+    """(n_base, first, last, base labels, labels, score) of a text and its candidates()."""
     places, base = [], set()
-    known = np.flatnonzero(ids >= 0)
-    numbers = ids[known]
-    present = np.bincount(numbers, minlength=len(index.vocabulary)) > 0
+    present = np.bincount(ids[ids >= 0], minlength=len(index.vocabulary)) > 0
     for phrase, label in index.phrases:
-        if not all(present[w] for w in phrase):
-            continue
-        at = _phrase_at(ids, phrase)
-        if len(at):
-            places.append(at)
-            base.add(label)
+        if all(present[w] for w in phrase):
+            at = _phrase_at(ids, phrase)
+            if len(at):
+                places.append(at)
+                base.add(label)
     labels, score = set(base), 1.0 if base else 0.0
-    for template in index.templates:
-        rare = [w for w in template[3] if present[w]]
-        if len(rare) < min(SEEDS, len(template[3])):
-            continue
-        where = {w: known[numbers == w] for w in rare}
-        shifts, scores = _alignments(ids, template, where, least)
-        score = max(score, float(scores.max()))
-        if template[0] not in labels and _has_phrases(ids, template, shifts[scores >= least]):
+    for k, shifts in found:
+        template = index.templates[k]
+        shares = scores(ids, template, shifts)
+        score = max(score, float(shares.max()))
+        if template[0] not in labels and _has_phrases(ids, template, shifts[shares >= least]):
             labels.add(template[0])
     at = np.concatenate(places) if places else np.zeros(0, np.int64)
     return len(at), int(at.min()) if len(at) else None, int(at.max()) if len(at) else None, ",".join(sorted(base)), ",".join(sorted(labels)), round(min(score, 1.0), 6)
@@ -195,10 +227,11 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", template
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = build_index(templates, phrases)
-        for batch in batches:
+        index = build_index(templates, phrases, least)
+        for batch in slices(batches):
             numbered = number_words(as_bytes(batch.column(1)), index)
-            made = [(len(ids), *(scan_text(ids, index, least) if (ids >= 0).any() else (0, None, None, "", "", 0.0))) for ids in numbered]
+            found = candidates(numbered, index)
+            made = [(len(ids), *(scan_text(ids, found.get(i, []), index, least) if (ids >= 0).any() else (0, None, None, "", "", 0.0))) for i, ids in enumerate(numbered)]
             columns = list(zip(*made, strict=True)) if made else [()] * 7
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names)
