@@ -1,8 +1,9 @@
 """Quality rules as a bitmask ledger.
 
-Every rule is evaluated once a text; the ledger keeps the measurements and one bit a failed rule. Policies are named,
+Every rule is evaluated once a text; the ledger, a written table, keeps the measurements and one bit a failed rule. Policies are named,
 versioned sets of (mask, votes): a row is rejected if it fails a rule of the policy's veto mask, or at least `votes` rules of
-its vote mask. Applying another policy, or asking what a rule alone rejects, reads the ledger's bits only.
+its vote mask. Applying another version of a policy, or asking what a rule alone rejects, reads the ledger's bits only: no text is
+measured again.
 
 Defined cases: a null text has no words; an empty text fails few_words; texts of any length are measured whole; ids are passed
 through, null and repeated ones too; an empty table gives an empty result (and an ablation of zeros); other columns are ignored,
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tarn.llm.common import free_names
+from tarn.llm.common import free_names, stored
 from tarn.llm.tokens import as_bytes, slices
 
 SYMBOLS = b"#*$%&|<>"
@@ -57,6 +58,8 @@ class Policy:
 
 
 BASE = Policy("base", 1, ("few_words", "repeated_windows"))
+#: The second version lets no row with odd words pass, and asks for nothing twice.
+STRICT = Policy("standard", 2, ("few_words", "repeated_windows", "symbol_heavy", "duplicate_lines", "exclaiming", "menu", "word_length", "shouting"))
 STANDARD = Policy("standard", 1, ("few_words", "repeated_windows", "symbol_heavy", "duplicate_lines", "exclaiming", "menu"), ("word_length", "shouting"), 2)
 
 
@@ -110,9 +113,9 @@ def measurements(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def ledger(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, the measurements, fail_bits)."""
+    """(doc_id, the measurements, fail_bits), written once and read from then on."""
     bits = sum((F.when(F.expr(sql), F.lit(BIT[name])).otherwise(F.lit(0)) for name, sql in RULES), F.lit(0))
-    return measurements(df, id_col, text_col).withColumn("fail_bits", bits.cast("int"))
+    return stored(measurements(df, id_col, text_col).withColumn("fail_bits", bits.cast("int")), "ledger")
 
 
 def apply_policy(rows: DataFrame, policy: Policy = STANDARD) -> DataFrame:
@@ -138,6 +141,20 @@ def ablation(rows: DataFrame, policy: Policy = STANDARD) -> DataFrame:
     return out
 
 
+def compared(rows: DataFrame, *policies: Policy) -> DataFrame:
+    """(policy, n_rows, n_kept, n_lost, n_won) of each policy over one ledger: rows it keeps, and rows that it rejects though the policy before
+    it keeps them, and the other way round."""
+    patterns = rows.groupBy("fail_bits").agg(F.count(F.lit(1)).alias("n"))
+    total = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+    out = None
+    for before, policy in zip((None, *policies), policies, strict=False):
+        old = before.rejects() if before else policy.rejects()
+        one = patterns.agg(total(F.lit(True)).alias("n_rows"), total(~policy.rejects()).alias("n_kept"), total(policy.rejects() & ~old).alias("n_lost"), total(~policy.rejects() & old).alias("n_won"))
+        one = one.select(F.lit(f"{policy.name}-{policy.version}").alias("policy"), *one.columns)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def keep_rows(df: DataFrame, policy: Policy = STANDARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df that the policy keeps, all columns, in one pass and without a join."""
     names = df.columns

@@ -108,8 +108,18 @@ def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+POLICIES = (quality_rules.STANDARD, quality_rules.STRICT)
+
+
 def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.ablation(quality_rules.ledger(table(spark, sf_dir, "documents")))
+    """Two versions of a policy over one ledger: what each rule rejects, and rejects alone."""
+    rows = quality_rules.ledger(table(spark, sf_dir, "documents"))
+    return quality_rules.ablation(rows, POLICIES[0]).unionByName(quality_rules.ablation(rows, POLICIES[1]))
+
+
+def quality_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two versions of a policy keep, and what the second takes away and gives back."""
+    return quality_rules.compared(quality_rules.ledger(table(spark, sf_dir, "documents")), *POLICIES)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -129,6 +139,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op13_language_id": op13_language_id,
         "sharding_small_limit": sharding_small_limit,
         "quality_ablation": quality_ablation,
+        "quality_versions": quality_versions,
     }
 
 
@@ -174,7 +185,31 @@ def _trie_sql() -> str:
     FROM f JOIN s ON s.a_conv = f.conv_id AND s.a_d = f.d LEFT JOIN e ON e.d = f.d AND e.k = f.k"""
 
 
+def _rejects_sql(policy: quality_rules.Policy, without: str = "") -> str:
+    veto, vote = (sum(quality_rules.BIT[r] for r in rules if r != without) for rules in (policy.veto, policy.vote))
+    return f"((fail_bits & {veto}) <> 0 OR bit_count(fail_bits & {vote}) >= {policy.votes})"
+
+
+def _policy_sql(ledger: str) -> dict[str, str]:
+    """SQL of the policies' queries, over the ledger as SQL has it."""
+    name = lambda p: f"{p.name}-{p.version}"
+    ablation = [
+        f"SELECT '{name(p)}' AS policy, '{rule}' AS rule, count(*) FILTER ((fail_bits & {quality_rules.BIT[rule]}) <> 0) AS n_failed, count(*) FILTER ({_rejects_sql(p)} AND NOT {_rejects_sql(p, rule)}) AS n_only_by_this FROM q"
+        for p in POLICIES for rule in (*p.veto, *p.vote)
+    ]
+    versions = []
+    for old, p in zip((POLICIES[0], *POLICIES), POLICIES, strict=False):
+        now, before = _rejects_sql(p), _rejects_sql(old)
+        versions.append(f"SELECT '{name(p)}' AS policy, count(*) AS n_rows, count(*) FILTER (NOT {now}) AS n_kept, count(*) FILTER ({now} AND NOT {before}) AS n_lost, count(*) FILTER (NOT {now} AND {before}) AS n_won FROM q")
+    return {k: f"WITH q AS ({ledger}) " + " UNION ALL ".join(parts) for k, parts in (("quality_ablation", ablation), ("quality_versions", versions))}
+
+
 def oracle_sql() -> dict[str, str]:
+    found = _oracles()
+    return found | _policy_sql(found["op8_quality_rules"])
+
+
+def _oracles() -> dict[str, str]:
     rules = " + ".join(f"CASE WHEN {sql} THEN {1 << i} ELSE 0 END" for i, (_, sql) in enumerate(quality_rules.RULES))
     veto = sum(quality_rules.BIT[r] for r in quality_rules.STANDARD.veto)
     vote = sum(quality_rules.BIT[r] for r in quality_rules.STANDARD.vote)

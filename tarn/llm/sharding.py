@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import free_names, new_path, stored
+from tarn.llm.common import free_names, hot_lookup, new_path, stored
 
 HASH_BITS = 60
 #: Shards of a directory that is broadcast when rows are written (some 40 bytes each); a larger one is joined by shuffle.
@@ -66,10 +66,22 @@ def assign(df: DataFrame, limit: int, key_col: str = "doc_id", text_col: str = "
     rows = stored(df.select(F.col(key_col).alias("key"), key_hash(F.col(key_col)).alias("h"), F.octet_length(text).cast("long").alias("n_bytes")), "rows")
     shards = directory(rows, limit, step)
     depths = sorted(r["depth"] for r in shards.select("depth").distinct().collect())  # at most 61 numbers
-    # each row is in exactly one shard, so probing every depth in use yields one match a row
-    probes = rows.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in depths]))) if depths else rows.withColumn("depth", F.lit(0))
-    probes = probes.withColumn("prefix", F.expr(f"shiftright(h, {HASH_BITS} - depth)"))
-    joined = probes.join(shards, ["depth", "prefix"])
+    few = shards.count() <= BROADCAST_SHARDS
+
+    def placed(hashes: DataFrame) -> DataFrame:
+        # each hash is in exactly one shard, so probing every depth in use yields one match
+        probes = hashes.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in depths]))) if depths else hashes.withColumn("depth", F.lit(0))
+        probes = probes.withColumn("prefix", F.expr(f"shiftright(h, {HASH_BITS} - depth)"))
+        if few:
+            return probes.join(F.broadcast(shards), ["depth", "prefix"])
+        return hot_lookup(probes, shards, ["depth", "prefix"], "shard_rows", total, F.col("h")).filter("shard_bytes is not null")
+
+    if few:
+        joined = placed(rows)
+    else:  # the rows of one key are one hash, looked up once
+        total = rows.count()
+        hashes = stored(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n_same")), "hashes")
+        joined = hot_lookup(rows, stored(placed(hashes), "placed"), ["h"], "n_same", total, F.xxhash64("key", "n_bytes"))
     bits = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.lpad(F.conv(F.col("prefix").cast("string"), 10, 2), F.col("depth"), F.lit("0")))
     return joined.select(F.col("key").alias("doc_id"), "n_bytes", F.col("depth").cast("int").alias("depth"), bits.alias("shard"), "shard_bytes", "shard_rows", "oversized")
 

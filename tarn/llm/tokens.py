@@ -123,16 +123,17 @@ def pieces_between(buf: np.ndarray, begins: np.ndarray) -> tuple[list[bytes], np
 
 
 class Slots:
-    """The ids of remembered byte strings, which stand in numbered slots of one flat array. `limit` bounds the memory: with more
-    strings than that, those which no second call has asked for are forgotten (all, if that leaves over half of the limit), and
-    learnt again where they occur."""
+    """The ids of remembered byte strings, which stand in numbered slots of one flat array. `limit` strings and `room` bytes of them bound
+    the memory: with more, those which no second call has asked for are forgotten (all, if that leaves over half of either), and learnt
+    again where they occur. What one call asks for is held during that call, whatever its size."""
 
-    def __init__(self, limit: int):
-        self.limit = limit
+    def __init__(self, limit: int, room: int = 64 << 20):
+        self.limit, self.room = limit, room
         self.clear()
 
     def clear(self) -> None:
         self.slot_of: dict[bytes, int] = {}
+        self.held = 0
         self.ids, self.ends, self.calls = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
 
     def _forget(self) -> None:
@@ -141,6 +142,8 @@ class Slots:
         if len(kept) > self.limit // 2:
             kept = kept[:0]
         every = list(self.slot_of)  # in the order of their slots
+        if sum(len(every[k]) for k in kept.tolist()) > self.room // 2:
+            kept = kept[:0]
         strings, sizes = [every[k] for k in kept.tolist()], self.ends[kept + 1] - self.ends[kept]
         ids = self.gathered(kept)[0]
         self.clear()
@@ -158,10 +161,11 @@ class Slots:
         self.ids[used : used + len(ids)] = ids
         self.ends[n + 1 : n + 1 + len(strings)] = used + np.cumsum(sizes)
         self.slot_of.update(zip(strings, range(n, n + len(strings)), strict=True))
+        self.held += sum(map(len, strings))
 
     def slots(self, distinct: list[bytes], learn: Callable[[list[bytes]], None]) -> np.ndarray:
         """The slot of each string; `learn` appends those that are new."""
-        if len(self.slot_of) > self.limit:
+        if len(self.slot_of) > self.limit or self.held > self.room:
             self._forget()
         found = np.fromiter(map(self.slot_of.get, distinct, repeat(-1)), np.int64, len(distinct))
         missing = np.flatnonzero(found < 0)

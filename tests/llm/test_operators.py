@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm import exact_dedup, license_scan, ngram_join, packing, pii, piece_codec, quality_rules, queries, sharding, token_codec, warc
 from tarn.llm.common import components
+from tarn.llm.tokens import Slots
 
 ROWS = [(1, "One two three four five six"), (2, "one TWO three four five six"), (3, None), (4, ""), (5, "É a"), (6, "é a"), (None, "x"), (7, "x"), (7, "x"), (8, "word " * 30_000)]
 
@@ -73,6 +74,28 @@ def test_sharding(docs, empty):
     assert sharding.assign(empty, 40).count() == 0
 
 
+def test_sharding_beyond_a_broadcast(spark, docs, monkeypatch):
+    """With more shards than are broadcast the same rows, one key and empty texts with very many of them too."""
+    rows = docs.select("doc_id", "text").union(spark.range(500).selectExpr("if(id < 200, null, id)", "if(id % 3 = 0, '', 'abcdef')"))
+    wanted = sorted(map(str, sharding.assign(rows, 40).collect()))
+    monkeypatch.setattr(sharding, "BROADCAST_SHARDS", 0)
+    assert sorted(map(str, sharding.assign(rows, 40).collect())) == wanted and len(wanted) == len(ROWS) + 500
+
+
+def test_remembered_strings_are_bounded_by_their_bytes():
+    slots = Slots(1000, room=4000)
+
+    def ids_of(strings):
+        at = slots.slots(strings, lambda new: slots.append(new, np.array([len(x) for x in new]), np.ones(len(new), np.int64)))
+        return slots.gathered(at)[0].tolist()
+
+    for k in range(50):
+        some = [bytes([k]) * (300 + k), b"often", bytes([k, 1]) * 400]
+        assert ids_of(some) == [300 + k, 5, 800]
+        assert slots.held == sum(map(len, slots.slot_of)) <= 4000 + 1300
+    assert ids_of([b"x" * 100_000]) == [100_000] and ids_of([b"often"]) == [5] and slots.held < 100
+
+
 def test_shards_are_written(spark, docs, empty, tmp_path):
     clashing = docs.withColumns({"shard": F.lit("s"), "h": F.lit(1), "depth": F.lit(2), "part": F.lit(3)})
     back = spark.read.parquet(sharding.write_shards(clashing, 40, f"file://{tmp_path}/shards"))
