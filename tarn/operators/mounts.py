@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import rules
 from tarn.operators import changes
+from tarn.operators.graph import global_rank
 
 _CONTROL = r"\p{Cc}"
 _UUID = r"^\{?[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}\}?\z"
@@ -85,11 +86,20 @@ def listing(workspaces: DataFrame, mounts: DataFrame, server: str) -> DataFrame:
     return workspaces.join(here, "id", "left").select("id", "handle", "name", F.col("m").isNotNull().alias("mounted"), "mounted_at", "scope")
 
 
-def calls(reads: DataFrame) -> DataFrame:
-    """(workspace, place, ids) of reads(seq, workspace, id): ids in the order of arrival, workspaces by their first read. A call
-    holds the reads of one command, so its lists are short."""
-    grouped = reads.groupBy("workspace").agg(F.array_sort(F.collect_list(F.struct("seq", "id"))).alias("r"))
-    return grouped.select("workspace", F.col("r")[0]["seq"].alias("place"), F.col("r.id").alias("ids"))
+#: Ids that one row of a call holds.
+CALL_IDS = 1000
+
+
+def calls(reads: DataFrame, size: int = CALL_IDS) -> DataFrame:
+    """(workspace, place, piece, ids) of reads(seq, workspace, id): ids in the order of arrival, in pieces of `size`; place: the first read of
+    the workspace. A workspace with very many reads has many rows and is no single task's work: reads are ranked in one total order, and
+    a workspace's own numbers begin where its reads do.
+    """
+    ranked = global_rank(reads.select("workspace", "seq", "id"), [F.col("workspace"), F.col("seq"), F.col("id")], "n")
+    begins = ranked.groupBy("workspace").agg(F.min("n").alias("begin"), F.min("seq").alias("place"))
+    rows = ranked.join(begins, "workspace").withColumn("piece", F.floor((F.col("n") - F.col("begin")) / size))
+    grouped = rows.groupBy("workspace", "place", "piece").agg(F.array_sort(F.collect_list(F.struct("n", "id"))).alias("r"))
+    return grouped.select("workspace", "place", "piece", F.col("r.id").alias("ids"))
 
 
 def column_width(rows: DataFrame, column: str) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.operators.graph import global_rank
+from tarn.sources import scratch
+
 K1, B = 1.2, 0.75
 MISFIT = "!misfit"
 #: Verdicts on a mirror's delta that this engine knows.
@@ -131,6 +135,95 @@ def postings(docs: DataFrame, path: str, parts: int = 64) -> None:
     counted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size("w")), F.lit(0.0)).alias("avg"), F.lit(parts).alias("parts")).write.parquet(f"{path}/totals")
 
 
+class SegmentedIndex:
+    """A text index that follows a change log: every batch of documents is a segment of postings, and a document is held by the last segment that
+    has it. Removals and replaced documents are tombstones in the small table of what each segment holds; merge() writes one segment
+    of what is left. The list of segments is a numbered pointer, so readers see a batch whole or not at all.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, parts: int = 16):
+        self.spark, self.path, self.parts = spark, path.rstrip("/"), parts
+
+    def segments(self) -> list[int]:
+        raw = scratch.get_pointer(self.spark, f"{self.path}/SEGMENTS")
+        return json.loads(raw) if raw else []
+
+    def apply(self, changed: DataFrame) -> None:
+        """Take in changed(id, text, gone), one row an id: what is gone leaves the index, all else replaces what is held of it."""
+        held = self.segments()
+        number = max((*held, *self._written()), default=0) + 1
+        words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+        rows = scratch.store(changed.select("id", F.coalesce("gone", F.lit(False)).alias("gone"), words.alias("w")))
+        rows.select("id", "gone", F.size("w").alias("len")).write.parquet(f"{self.path}/segment-{number}/documents")
+        counted = rows.filter("not gone").select("id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+        self._write(counted, number)
+        self._point([*held, number])
+
+    def _written(self) -> list[int]:
+        return [int(n[8:]) for n in scratch.names_in(self.spark, self.path) if n.startswith("segment-") and n[8:].isdigit()]
+
+    def _write(self, postings: DataFrame, number: int) -> None:
+        dealt = postings.withColumn("part", _part(F.col("term"), self.parts)).repartition("part", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("part", "term")
+        dealt.write.partitionBy("part").parquet(f"{self.path}/segment-{number}/postings")
+
+    def _point(self, numbers: list[int]) -> None:
+        scratch.put_pointer(self.spark, f"{self.path}/SEGMENTS", json.dumps(numbers))
+
+    def documents(self) -> DataFrame:
+        """(id, len, segment) of the documents that the index holds."""
+        numbers = self.segments()
+        if not numbers:
+            return self.spark.createDataFrame([], "id long, len int, segment int")
+        every = None
+        for n in numbers:
+            one = self.spark.read.schema("id long, gone boolean, len int").parquet(f"{self.path}/segment-{n}/documents").withColumn("segment", F.lit(n))
+            every = one if every is None else every.unionByName(one)
+        last = every.groupBy("id").agg(F.max_by(F.struct("gone", "len", "segment"), "segment").alias("x")).select("id", "x.*")
+        return last.filter("not gone").select("id", "len", "segment")
+
+    def _postings(self, terms: list[str] | None) -> DataFrame:
+        """(term, id, tf, len, segment) of the segments, of asked terms only; rows of replaced documents too."""
+        schema = "term string, id long, tf int, len int, part int"
+        numbers = None
+        if terms is not None:
+            numbers = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(_part(F.col("term"), self.parts)).distinct().collect()]
+        out = self.spark.createDataFrame([], f"{schema}, segment int")
+        for n in self.segments():
+            place = f"{self.path}/segment-{n}/postings"
+            if not any(x.startswith("part=") for x in scratch.names_in(self.spark, place)):
+                continue  # nothing but removals
+            one = self.spark.read.schema(schema).parquet(place)
+            if terms is not None:
+                one = one.filter(F.col("part").isin(numbers) & F.col("term").isin(terms))
+            out = out.unionByName(one.withColumn("segment", F.lit(n)))
+        return out
+
+    def ranked(self, query: list[str], limit: int = 20) -> DataFrame:
+        """(id, score): bm25() of the documents that the index holds."""
+        terms = sorted(set(query))
+        live = self.documents()
+        totals = live.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avg"))
+        rows = scratch.store(self._postings(terms).join(live.select("id", "segment"), ["id", "segment"], "left_semi"))
+        frequency = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        scored = rows.join(F.broadcast(frequency), "term").join(F.broadcast(totals))  # one row a term of the query, and one row
+        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
+        return scored.withColumn("s", part).groupBy("id").agg(F.round(F.sum("s"), 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+
+    def merge(self) -> None:
+        """One segment of all that is held; those before it are dropped when the pointer has moved on twice."""
+        old = self.segments()
+        live = scratch.store(self.documents())
+        number = max((*old, *self._written()), default=0) + 1
+        live.select("id", F.lit(False).alias("gone"), "len").write.parquet(f"{self.path}/segment-{number}/documents")
+        self._write(self._postings(None).join(live.select("id", "segment"), ["id", "segment"], "left_semi").select("id", "len", "term", "tf"), number)
+        self._point([number])
+        kept = {n for raw in scratch.pointers(self.spark, f"{self.path}/SEGMENTS") for n in json.loads(raw)}
+        for n in self._written():
+            if n not in kept and n < number:
+                scratch.delete(self.spark, f"{self.path}/segment-{n}")
+
+
 def _part(term: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(parts)).cast("int")
 
@@ -221,9 +314,9 @@ def search_verdict(refused: Column, degraded: Column, hits: Column) -> Column:
     return F.when(hits, "hits").when(refused, "refused").when(degraded, "degraded").otherwise("no_hits")
 
 
-def batches(workspaces: DataFrame, size: int = 16) -> DataFrame:
-    """workspaces(id) in batches for one request each; workspaces are configured by hand, so one window suffices."""
-    return workspaces.withColumn("batch", F.floor((F.row_number().over(Window.orderBy("id")) - 1) / size))
+def batches(rows: DataFrame, size: int = 16, order: str = "id") -> DataFrame:
+    """rows with `batch`, their number in the order of a column divided by the size of a batch; no task sorts all of them."""
+    return global_rank(rows, [F.col(order)], "_number").withColumn("batch", F.floor((F.col("_number") - 1) / size)).drop("_number")
 
 
 def hit_lists(notes: DataFrame, files: DataFrame) -> DataFrame:

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions import rules
-from tarn.operators import artifact, changes, graph, reconcile, related, search, tasks
+from tarn.operators import artifact, changes, folders, graph, reconcile, related, search, tasks
 from tarn.plans.registry import ORACLES, QUERIES, Query, query
 from tarn.sources import tables
-from tarn.sources.scratch import new_path
+from tarn.sources.scratch import new_path, store
 from tarn.sources.tables import with_sql
 from tarn.streaming import replay
 
@@ -561,6 +561,53 @@ def bm25_search(s, d):
     return search.bm25(tables.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), ["that", "threa"])
 
 
+HELD = """h AS (SELECT doc_id, text || CASE WHEN doc_id % 3 = 0 THEN ' that zzz' ELSE '' END AS text FROM documents WHERE doc_id % 4 <> 1)"""
+
+
+@query("WITH " + HELD + r""", w AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM h),
+  r AS (SELECT id, len(w) AS l, len(list_filter(w, lambda x: x = 'zzz')) AS a, len(list_filter(w, lambda x: x = 'that')) AS b FROM w), s AS (SELECT count(*) AS n, avg(l) AS av, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM r)
+  SELECT id, round(ln(1 + (n - da + 0.5::DOUBLE) / (da + 0.5::DOUBLE)) * a * 2.2::DOUBLE / (a + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / av)) + ln(1 + (n - db + 0.5::DOUBLE) / (db + 0.5::DOUBLE)) * b * 2.2::DOUBLE / (b + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / av)), 6) AS score
+  FROM r, s WHERE a > 0 OR b > 0 ORDER BY score DESC, id LIMIT 20""")
+def search_segments(s, d):
+    """An index that follows its documents: all of them, a quarter removed, a third replaced; merged, and asked."""
+    docs = tables.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    index = search.SegmentedIndex(s, new_path(s, "index"), parts=4)
+    index.apply(docs.withColumn("gone", F.lit(False)))
+    index.apply(docs.filter("id % 4 = 1").withColumn("gone", F.lit(True)))
+    index.merge()
+    index.apply(docs.filter("id % 3 = 0 and id % 4 <> 1").select("id", F.concat("text", F.lit(" that zzz")).alias("text"), F.lit(False).alias("gone")))
+    return index.ranked(["that", "zzz"])
+
+
+TREE = """t AS (SELECT DISTINCT source AS path FROM documents UNION SELECT DISTINCT source || '/' || lang FROM documents UNION ALL SELECT source || '/' || lang || '/' || doc_id || '.md' FROM documents),
+    n AS (SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS first FROM t), i AS (SELECT a.path, a.first, a.first + count(b.path) AS last FROM n a LEFT JOIN n b ON starts_with(b.path, a.path || '/') GROUP BY 1, 2)"""
+
+
+def _tree(s, d):
+    docs = tables.table(s, d, "documents").select("source", F.concat_ws("/", "source", "lang").alias("folder"), F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("path"))
+    paths = docs.select(F.col("source").alias("path")).union(docs.select("folder")).distinct().union(docs.select("path"))
+    return folders.intervals(paths.withColumn("id", F.xxhash64("path")))
+
+
+@query("WITH " + TREE + " SELECT path, first, last FROM i")
+def folder_intervals(s, d):
+    return _tree(s, d).select("path", "first", "last")
+
+
+@query("WITH " + TREE + """, p AS (SELECT path FROM t WHERE path LIKE '%/es' OR path = 'src3') SELECT t.path, EXISTS (SELECT 1 FROM p WHERE starts_with(t.path, p.path || '/')) AS inside FROM t""")
+def inside_parked(s, d):
+    """Which nodes lie below a parked folder, from the folders' intervals."""
+    placed = _tree(s, d)
+    return folders.below(placed, F.endswith("path", F.lit("/es")) | (F.col("path") == "src3")).select("path", "inside")
+
+
+@query("WITH " + TREE + " SELECT a.path AS folder, b.path FROM t a JOIN t b ON b.path = a.path OR starts_with(b.path, a.path || '/') WHERE a.path IN ('src1', 'src2/de')")
+def under_folders(s, d):
+    placed = store(_tree(s, d))
+    asked = placed.filter(F.col("path").isin("src1", "src2/de")).select(F.col("path").alias("folder"), "first", "last")
+    return folders.under(placed, asked).join(placed.select("id", "path"), "id").select("folder", "path")
+
+
 LINES = r"SELECT doc_id AS id, regexp_extract_all(text, '[^\n]*\n|[^\n]+$') AS l, text FROM documents"
 
 

@@ -80,9 +80,10 @@ def mount_listing(s, d):
     return mounts.listing(rows.select(k.alias("id"), F.concat(F.lit("h"), k.cast("string")).alias("handle"), F.col("n_name").alias("name")), places, "https://s")
 
 
-@query("SELECT c_nationkey AS workspace, min(c_custkey) AS place, list(c_acctbal ORDER BY c_custkey) AS ids FROM customer GROUP BY c_nationkey")
+@query("""WITH n AS (SELECT *, min(c_custkey) OVER (PARTITION BY c_nationkey) AS place, (row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1) // 40 AS piece FROM customer)
+    SELECT c_nationkey AS workspace, place, piece, list(c_acctbal ORDER BY c_custkey) AS ids FROM n GROUP BY 1, 2, 3""")
 def calls_by_workspace(s, d):
-    return mounts.calls(tables.table(s, d, "customer").select(F.col("c_custkey").alias("seq"), F.col("c_nationkey").alias("workspace"), F.col("c_acctbal").alias("id")))
+    return mounts.calls(tables.table(s, d, "customer").select(F.col("c_custkey").alias("seq"), F.col("c_nationkey").alias("workspace"), F.col("c_acctbal").alias("id")), 40)
 
 
 @query("""WITH m AS (SELECT s_name AS mount, CASE s_suppkey % 5 WHEN 0 THEN 'no-access' WHEN 1 THEN 'not-entitled' ELSE 'ok' END AS access, s_suppkey % 3 <> 0 AS has_state, s_suppkey % 7 = 0 AS from_zero, s_suppkey % 4 <> 0 AS at_head FROM supplier)
@@ -138,10 +139,12 @@ def invalidator(s, d):
 
 @query(with_sql("cl", "SELECT id, max(rev) AS rev FROM cl GROUP BY id"))
 def claim_log(s, d):
-    """Claims appended to a log in two goes, with garbled lines between, and read back."""
+    """Claims appended to a log in two goes and once more, which adds nothing, with garbled lines between, and read back."""
     path = new_path(s, "claims")
     log = tables.changelog(s, d).select("id", "rev")
     files.append_claims(log.filter("rev % 2 = 0"), path)
+    files.append_claims(log.filter("rev % 2 = 0"), path)
+    assert s.read.text(path).count() == log.filter("rev % 2 = 0").select("id").distinct().count()
     log.select(F.concat(F.lit("x"), F.col("id").cast("string"), F.lit(" 9999999 1")).alias("value")).write.mode("append").text(path)
     files.append_claims(log.filter("rev % 2 = 1"), path)
     return files.claims(s, path)

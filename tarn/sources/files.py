@@ -1,21 +1,27 @@
 """Sources and sinks other than tables: blobs, workspaces, states and caches, the claim log, the mirror's files, mount files, results.
 
-Paths are in any file system that Spark reaches; all but write_files() and write_out() go through Spark's own readers and writers.
+Paths are in any file system that Spark reaches. Walks and files of a mirror are listed, read and written by tasks; all else but write_out()
+goes through Spark's own readers and writers.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import tomllib
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 from tarn.functions import rules
+from tarn.operators import changes
 from tarn.sources import scratch
 
 
@@ -57,8 +63,6 @@ class SavedTable:
         return found
 
     def _table(self, pointer: dict) -> DataFrame:
-        from pyspark.sql.types import StructType
-
         return self.spark.read.schema(StructType.fromJson(json.loads(pointer["schema"]))).parquet(f"{self.path}/{pointer['folder']}")
 
     def load(self) -> DataFrame | None:
@@ -87,9 +91,13 @@ def _parsed(raw: str) -> dict | None:
         return None
 
 
-def append_claims(claims: DataFrame, path: str) -> None:
-    """Append claims(id, rev) to a log of `id rev` lines."""
-    claims.select(F.concat_ws(" ", F.col("id").cast("string"), F.col("rev").cast("string")).alias("value")).write.mode("append").text(path)
+def append_claims(new: DataFrame, path: str) -> None:
+    """Append claims(id, rev) to a log of `id rev` lines: of each id the largest, and only where the log does not cover it yet, so the same claims
+    given again write nothing."""
+    fresh = changes.new_claims(changes.fold_claims(new), claims(new.sparkSession, path))
+    fresh = scratch.store(fresh.select(F.concat_ws(" ", F.col("id").cast("string"), F.col("rev").cast("string")).alias("value")))
+    if not fresh.isEmpty():
+        fresh.write.mode("append").text(path)
 
 
 def claims(spark: SparkSession, path: str) -> DataFrame:
@@ -102,46 +110,163 @@ def claims(spark: SparkSession, path: str) -> DataFrame:
     return typed.groupBy("id").agg(F.max("rev").alias("rev"))
 
 
+def _listed(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBatch]:
+    """(path, is_folder, size) of what stands right in each folder of a root."""
+    from pyarrow import fs
+
+    system, base = fs.FileSystem.from_uri(root)
+    base = base.rstrip("/")
+    for batch in batches:
+        for folder in batch.column(0).to_pylist():
+            found = system.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/"), allow_not_found=True))
+            found = [f for f in found if f.type in (fs.FileType.File, fs.FileType.Directory)]
+            for low in range(0, len(found), 10_000):
+                some = found[low : low + 10_000]
+                paths, folders, sizes = [f.path[len(base) + 1 :] for f in some], [f.type == fs.FileType.Directory for f in some], [f.size or 0 for f in some]
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(folders, pa.bool_()), pa.array(sizes, pa.int64())], ["path", "is_folder", "size"])
+
+
+def walk(spark: SparkSession, root: str, tasks: int = 64) -> DataFrame:
+    """(path, is_folder, size) of all that stands below a root, empty files and folders too: folders are listed level by level in tasks, so
+    no name passes the driver, which only asks of each level whether there is another."""
+    level = spark.createDataFrame([("",)], "path string")
+    out = None
+    while True:
+        found = scratch.store(level.repartition(tasks).mapInArrow(lambda b: _listed(b, root), "path string, is_folder boolean, size long"))
+        out = found if out is None else out.unionByName(found)
+        level = found.filter("is_folder").select("path")
+        if level.isEmpty():
+            return out
+
+
+def _digested(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBatch]:
+    """(path, digest) of files, read in pieces."""
+    from pyarrow import fs
+
+    system, base = fs.FileSystem.from_uri(root)
+    for batch in batches:
+        paths, digests = batch.column(0).to_pylist(), []
+        for path in paths:
+            running = hashlib.sha256()
+            with system.open_input_stream(f"{base.rstrip('/')}/{path}") as source:
+                while piece := source.read(1 << 20):
+                    running.update(piece)
+            digests.append(running.hexdigest())
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(digests, pa.string())], ["path", "digest"])
+
+
 def mirror(spark: SparkSession, root: str, control_files: tuple[str, ...] = ()) -> DataFrame:
-    """(path, is_folder, digest) of the files below a root and the folders above them; control files at the root are left out. Spark's
-    reader leaves out empty files, which are listed; names only, no contents, come to the driver, as in any file listing."""
-    base = scratch._at(spark, root)[1].toUri().getPath().rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    place = F.regexp_replace("path", r"^[a-z0-9]+:/+", "/")
-    rows = files.select(F.substring(place, len(base) + 1, 1 << 30).alias("path"), F.lit(False).alias("is_folder"), F.sha2("content", 256).alias("digest"))
-    empty = [(p[len(base) :],) for p in scratch.empty_files(spark, root)]
-    blank = spark.createDataFrame(empty, "path string").select("path", F.lit(False).alias("is_folder"), F.sha2(F.lit(""), 256).alias("digest"))
-    rows = rows.unionByName(blank)
-    rows = rows.filter(~F.col("path").isin(*control_files)) if control_files else rows
-    parts = F.split("path", "/")
-    above = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/")))
-    folders = rows.select(F.explode(above).alias("path")).distinct().select("path", F.lit(True).alias("is_folder"), F.lit(None).cast("string").alias("digest"))
-    return rows.unionByName(folders)
-
-
-def write_files(df: DataFrame, root: str) -> DataFrame:
-    """Write each of df(path, content) below a root that all executors share, beside its place and then moved there, so a task that
-    runs again does no harm; returns (path, size) as written. A path that leaves the root is an error."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, is_folder, digest) of what stands below a root; control files at the root are left out."""
+    found = walk(spark, root)
+    found = found.filter(F.substring_index("path", "/", 1) != STAGE)
+    files = found.filter("not is_folder").filter(~F.col("path").isin(*control_files)) if control_files else found.filter("not is_folder")
+    digests = files.select("path").mapInArrow(lambda b: _digested(b, root), "path string, digest string")
+    folders = found.filter("is_folder").select("path", F.lit(True).alias("is_folder"), F.lit(None).cast("string").alias("digest"))
+    return digests.select("path", F.lit(False).alias("is_folder"), "digest").unionByName(folders)
+
+
+STAGE = ".stage"
+
+
+class MirrorSink(DataSource):
+    """Files of rows (path, content), staged below a root by tasks: a task writes into a folder of its own attempt, the commit names the
+    folders of the attempts that count, and an abort removes all of them."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "mirror_files"
+
+    def writer(self, schema: StructType, overwrite: bool) -> StageWriter:
+        return StageWriter(self.options["root"], self.options["job"])
+
+
+@dataclass
+class Staged(WriterCommitMessage):
+    folder: str
+    files: int
+
+
+class StageWriter(DataSourceWriter):
+    def __init__(self, root: str, job: str):
+        self.root, self.stage = root.rstrip("/"), f"{root.rstrip('/')}/{STAGE}/{job}"
+
+    def _system(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.stage)
+
+    def write(self, iterator: Iterator[Row]) -> Staged:
+        system, stage = self._system()
+        name, n = uuid.uuid4().hex, 0
+        for path, content in iterator:
+            if not path or path.startswith("/") or ".." in path.split("/"):
+                raise ValueError(f"{path!r} leaves the folder")
+            target = f"{stage}/{name}/{path}"
+            system.create_dir(os.path.dirname(target), recursive=True)
+            with system.open_output_stream(target) as out:
+                out.write(content or b"")
+            n += 1
+        return Staged(name, n)
+
+    def commit(self, messages: list[Staged | None]) -> None:
+        system, stage = self._system()
+        system.create_dir(stage, recursive=True)
+        with system.open_output_stream(f"{stage}/COMMITTED") as out:
+            out.write("\n".join(m.folder for m in messages if m is not None and m.files).encode())
+
+    def abort(self, messages: list[Staged | None]) -> None:
         from pyarrow import fs
 
-        system, base = fs.FileSystem.from_uri(root)
-        for batch in batches:
-            paths, sizes = batch.column(0).to_pylist(), []
-            for path, content in zip(paths, batch.column(1), strict=True):
-                if path.startswith("/") or ".." in path.split("/"):
-                    raise ValueError(f"{path!r} leaves the folder")
-                target, data = f"{base}/{path}", content.as_py() or b""
-                system.create_dir(os.path.dirname(target), recursive=True)
-                beside = f"{os.path.dirname(target)}/.write-{uuid.uuid4().hex[:16]}.tmp"
-                with system.open_output_stream(beside) as out:
-                    out.write(data)
-                system.move(beside, target)
-                sizes.append(len(data))
-            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], ["path", "size"])
-
-    return scratch.store(df.select("path", F.col("content").cast("binary").alias("content")).mapInArrow(run, "path string, size long"))
+        system, stage = self._system()
+        if system.get_file_info(stage).type != fs.FileType.NotFound:
+            system.delete_dir(stage)
+
+
+def write_files(df: DataFrame, root: str, read_only: bool = True) -> DataFrame:
+    """Write each of df(path, content) below a root that all executors share; returns (path, size) as written. A path that leaves the root is
+    an error, and then nothing is written.
+
+    Files are staged whole below the root, then moved to their places by tasks (again, if a task is lost in between: what was
+    moved is not there any more), and are read-only where the file system knows such a thing. Whatever dies on the way leaves no part of a
+    file in its place; what a task stages after its job was given up goes with sweep_stage().
+    """
+    spark, job = df.sparkSession, uuid.uuid4().hex
+    spark.dataSource.register(MirrorSink)
+    stage = f"{root.rstrip('/')}/{STAGE}/{job}"
+    try:
+        df.select("path", F.col("content").cast("binary").alias("content")).write.format("mirror_files").mode("append").options(root=root, job=job).save()
+        folders = (scratch.read_text(spark, f"{stage}/COMMITTED") or "").split()
+        staged = walk(spark, stage).filter("not is_folder").withColumn("folder", F.substring_index("path", "/", 1)) if folders else None
+        if staged is None:
+            return spark.createDataFrame([], "path string, size long")
+        staged = staged.filter(F.col("folder").isin(folders)).select("folder", F.expr("substring(path, length(folder) + 2)").alias("path"), "size")
+        return scratch.store(staged.mapInArrow(lambda b: _placed(b, root, stage, read_only), "path string, size long"))
+    finally:
+        scratch.delete(spark, stage)
+        if not scratch.names_in(spark, os.path.dirname(stage)):
+            scratch.delete(spark, os.path.dirname(stage))
+
+
+def sweep_stage(spark: SparkSession, root: str) -> None:
+    """Remove what tasks staged after their job had been given up; for when nothing else is being written below the root."""
+    scratch.delete(spark, f"{root.rstrip('/')}/{STAGE}")
+
+
+def _placed(batches: Iterator[pa.RecordBatch], root: str, stage: str, read_only: bool) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    system, base = fs.FileSystem.from_uri(root)
+    _, staged = fs.FileSystem.from_uri(stage)
+    for batch in batches:
+        for folder, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            source, target = f"{staged}/{folder}/{path}", f"{base.rstrip('/')}/{path}"
+            if system.get_file_info(source).type == fs.FileType.NotFound:
+                continue  # moved by an attempt that was lost
+            system.create_dir(os.path.dirname(target), recursive=True)
+            if read_only and isinstance(system, fs.LocalFileSystem):
+                os.chmod(source, 0o444)
+            system.move(source, target)
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2)], ["path", "size"])
 
 
 def mount_table(spark: SparkSession, raw: str) -> DataFrame:

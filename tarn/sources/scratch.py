@@ -50,17 +50,6 @@ def names_in(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(place)) if fs.exists(place) else []
 
 
-def empty_files(spark: SparkSession, root: str) -> list[str]:
-    """Paths, without scheme, of the empty files below a root."""
-    fs, place = _at(spark, root)
-    found, out = fs.listFiles(place, True), []
-    while found.hasNext():
-        status = found.next()
-        if status.getLen() == 0:
-            out.append(status.getPath().toUri().getPath())
-    return sorted(out)
-
-
 def delete(spark: SparkSession, path: str) -> None:
     fs, place = _at(spark, path)
     fs.delete(place, True)

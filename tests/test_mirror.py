@@ -1,8 +1,11 @@
 """States, logs, files and the sync of a mirror, on small inputs."""
 
+import hashlib
 import os
+import pathlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tarn.operators import changes, reading, reconcile
 from tarn.sources import files, scratch
@@ -112,8 +115,12 @@ def test_a_position_outlives_a_run_that_stops(spark, at, monkeypatch):
 def test_files_are_written_walked_and_fetched(spark, at):
     rows = spark.createDataFrame([("a b/ü%.md", b"x"), ("a b/c/d.md", b""), ("MOUNT", b"m")], "path string, content binary")
     assert sorted(tuple(r) for r in files.write_files(rows, f"{at}/root").collect()) == [("MOUNT", 1), ("a b/c/d.md", 0), ("a b/ü%.md", 1)]
-    walked = {r["path"]: r["is_folder"] for r in files.mirror(spark, f"{at}/root", ("MOUNT",)).collect()}
-    assert walked == {"a b/ü%.md": False, "a b/c/d.md": False, "a b": True, "a b/c": True}
+    os.makedirs(f"{at[7:]}/root/hollow/inner")
+    walked = {r["path"]: (r["is_folder"], r["digest"]) for r in files.mirror(spark, f"{at}/root", ("MOUNT",)).collect()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert walked == {"a b/ü%.md": (False, sha(b"x")), "a b/c/d.md": (False, sha(b"")), **dict.fromkeys(("a b", "a b/c", "hollow", "hollow/inner"), (True, None))}
+    assert not os.access(f"{at[7:]}/root/MOUNT", os.W_OK) or os.geteuid() == 0 and os.stat(f"{at[7:]}/root/MOUNT").st_mode & 0o777 == 0o444
+    assert files.write_files(rows.withColumn("content", F.lit(b"new")), f"{at}/root").count() == 3 and open(f"{at[7:]}/root/MOUNT", "rb").read() == b"new"
     files.write_files(spark.createDataFrame([("7.png", b"seven"), ("8", b"eight")], "path string, content binary"), f"{at}/blobs")
     got = files.blobs(spark, f"{at}/blobs", spark.createDataFrame([(7,), (9,)], "id long")).collect()
     assert [(r["id"], bytes(r["content"])) for r in got] == [("7", b"seven")]
@@ -121,6 +128,38 @@ def test_files_are_written_walked_and_fetched(spark, at):
         files.write_files(spark.createDataFrame([("../x", b"x")], "path string, content binary"), f"{at}/root")
 
 
+def test_a_task_that_dies_leaves_nothing(spark, at):
+    """One row of many cannot be written: no file is, and nothing that was staged is left."""
+    rows = spark.createDataFrame([(f"d{i}/f.md", b"x") for i in range(40)] + [("../out", b"x")], "path string, content binary").repartition(5)
+    with pytest.raises(Exception, match="leaves the folder"):
+        files.write_files(rows, f"{at}/root")
+    assert [p for p in pathlib.Path(f"{at[7:]}/root").iterdir() if p.name != ".stage"] == [] and not os.path.exists(f"{at[7:]}/out")
+    assert files.mirror(spark, f"{at}/root").count() == 0
+    assert files.write_files(rows.filter("path <> '../out'"), f"{at}/root").count() == 40
+    files.sweep_stage(spark, f"{at}/root")
+    assert len(list(pathlib.Path(f"{at[7:]}/root").rglob("f.md"))) == 40 and not os.path.exists(f"{at[7:]}/root/.stage")
+    assert files.mirror(spark, f"{at}/root").count() == 80
+
+
+def test_files_moved_by_a_lost_attempt_are_passed_over(spark, at):
+    import pyarrow as pa
+
+    os.makedirs(f"{at[7:]}/stage/t/a")
+    pathlib.Path(f"{at[7:]}/stage/t/a/f").write_bytes(b"1")
+    batch = pa.RecordBatch.from_arrays([pa.array(["t"]), pa.array(["a/f"]), pa.array([1])], ["folder", "path", "size"])
+    for _ in range(2):
+        assert [b.to_pylist() for b in files._placed(iter([batch]), f"{at}/root", f"{at}/stage", True)] == [[{"path": "a/f", "size": 1}]]
+    assert pathlib.Path(f"{at[7:]}/root/a/f").read_bytes() == b"1"
+
+
+def test_claims_that_are_covered_are_not_written(spark, at):
+    frame = lambda *rows: spark.createDataFrame(list(rows), "id long, rev long")
+    for some, lines in (([(1, 5), (1, 3), (2, 7)], 2), ([(1, 5), (2, 6)], 2), ([(2, 8), (3, -1)], 4)):
+        files.append_claims(frame(*some), f"{at}/log")
+        assert spark.read.text(f"{at}/log").count() == lines
+    assert sorted(tuple(r) for r in files.claims(spark, f"{at}/log").collect()) == [(1, 5), (2, 8), (3, -1)]
+
+
 def test_results_are_not_written_over_files_or_into_mounts(tmp_path):
     (tmp_path / "mount").mkdir()
     (tmp_path / "out").mkdir()
