@@ -3,7 +3,8 @@
 A text is cut at spaces; each word is its start mark (U+2581) and its UTF-8 bytes, and its segmentation is the path of
 greatest total score. Distinct words of equal length advance together: at each end position the hashes of all substrings
 that end there are probed in the sorted hashes of the pieces (a table of their leading bits is asked first), a vectorised
-maximum stores the back pointer, and all words step back together. Paths are checked against the words' bytes, so a hash that
+maximum stores the back pointer, and all words step back together. Long words, such as whole texts of scripts without blanks, are rarely
+of one length, so they advance together by place, from substrings probed beforehand. Paths are checked against the words' bytes, so a hash that
 matches by chance cannot pass. Words are cut, made distinct and put together again by numpy and Arrow, and decoding gathers
 from one table of all pieces' bytes; no loop runs over words or ids of a text.
 
@@ -35,8 +36,9 @@ REMEMBERED = 400_000
 CELLS = 400_000
 #: Bytes of text in one call; a longer text is a call of its own, never cut.
 CALL_BYTES = 1 << 21
-#: Words of more bytes than this go one by one, with the probes of all their places at once.
-LONG = 200
+#: Words of more bytes than this advance together whatever their lengths, with the probes of all their places at once, so many bytes a call;
+#: a longer word is a call of its own.
+LONG, LONG_BYTES = 200, 1 << 20
 #: Bits of the tables that tell most substrings apart from all pieces before the sorted keys are searched.
 SIEVE_BITS = 18
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -150,44 +152,70 @@ class Pieces:
         """The bytes of the pieces, start marks as they are."""
         return np.frombuffer(b"".join(map(self.bytes.__getitem__, ids.tolist())), np.uint8)
 
-    def segment_long(self, word: bytes) -> list[int]:
-        """The same path for one word: all its substrings of a length are probed at once."""
-        n = len(word)
-        data = np.frombuffer(word, np.uint8)
+    def segment_long(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """segment() for words of any lengths, which advance together all the same: the substrings of one length, of all words, are probed at
+        once; then each step takes the pieces that end at its place in every word that is that long."""
+        words, back = sorted(words, key=len, reverse=True), np.argsort(sorted(range(len(words)), key=lambda i: -len(words[i])), kind="stable")
+        sizes = np.array(list(map(len, words)))
+        data = np.frombuffer(b"".join(words), np.uint8)
+        starts = np.cumsum(sizes) - sizes
+        word = np.repeat(np.arange(len(words)), sizes)
+        offset = np.arange(len(data)) - starts[word]
+        remaining = sizes[word] - offset
         # hash of [s, e) is prefix[e] - prefix[s] * base^(e - s); prefixes come from sums of value * base^-place, which need no loop
-        up, down = np.full(n + 1, np.uint64(_BASE)), np.full(n + 1, np.uint64(pow(_BASE, -1, 2**64)))
+        up, down = np.full(len(data) + 1, np.uint64(_BASE)), np.full(len(data) + 1, np.uint64(pow(_BASE, -1, 2**64)))
         up[0] = down[0] = 1
         up, down = np.cumprod(up), np.cumprod(down)
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[data] * down[1:])])
-        starts, found, ends = [], [], []
-        for length, table in self.tables[1].items():
-            if length <= n - len(MARK):
-                low = np.arange(len(MARK), n - length + 1)
+        begins, found, lengths = [], [], []
+        for mark, tables in ((True, self.tables[0]), (False, self.tables[1])):
+            for length, table in tables.items():
+                low = starts[sizes >= length] if mark else np.flatnonzero((offset >= len(MARK)) & (remaining >= length))
                 here, ids = self._probe(table, (total[low + length] - total[low]) * up[low + length])
-                starts.append(low[here]), found.append(ids), ends.append(low[here] + length)
-        for length, table in self.tables[0].items():
-            if length <= n:
-                here, ids = self._probe(table, total[length : length + 1] * up[length : length + 1])
-                starts.append(here * 0), found.append(ids), ends.append(here * 0 + length)
-        begin, ids, end = (np.concatenate(x) for x in (starts, found, ends))
-        order = np.lexsort((begin, end))  # at each end the longest piece first
-        best, back = [0.0] + [-np.inf] * n, [-1] * (n + 1)
-        options = list(zip(begin[order].tolist(), ids[order].tolist(), self.score[ids[order]].tolist(), strict=True))
-        upto = np.searchsorted(end[order], np.arange(n + 2)).tolist()
-        for e in range(len(MARK), n + 1):
-            top, chosen = -np.inf, -1
-            for s, i, score in options[upto[e] : upto[e + 1]]:
-                if best[s] + score > top:
-                    top, chosen = best[s] + score, i
-            if e > len(MARK) and best[e - 1] + BYTE_SCORE > top:
-                top, chosen = best[e - 1] + BYTE_SCORE, self.byte_id[word[e - 1]]
-            best[e], back[e] = top, chosen
-        path, e = [], n
-        while e > 0:
-            path.append(back[e])
-            e -= len(self.bytes[back[e]])
-        path.reverse()
-        return path if b"".join(map(self.bytes.__getitem__, path)) == word else self.segment_slowly(word)
+                begins.append(low[here]), found.append(ids), lengths.append(np.full(len(here), length))
+        begin, ids, length = (np.concatenate(x) for x in (begins, found, lengths))
+        owner, end = word[begin], offset[begin] + length
+        order = np.lexsort((begin, owner, end))  # by place; in a word the longest piece first
+        begin, ids, owner, end = begin[order], ids[order], owner[order], end[order]
+        upto = np.searchsorted(end, np.arange(sizes[0] + 2))
+        group = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (end[1:] != end[:-1])]) if len(owner) else np.zeros(0, bool))
+        of = np.searchsorted(group, upto)
+        slot = starts + np.arange(len(words))  # of a word's place 0; it has one more than bytes
+        best = np.full(len(data) + len(words), -np.inf)
+        best[slot] = 0
+        piece = np.full(len(best), -1, np.int64)
+        at, gain = begin + owner, self.score[ids]
+        long = np.searchsorted(-sizes, -np.arange(sizes[0] + 1), side="right")  # how many words have that many bytes
+        for e in range(len(MARK), sizes[0] + 1):
+            places = slot[: long[e]] + e
+            low, high = upto[e], upto[e + 1]
+            if high > low:
+                sums = best[at[low:high]] + gain[low:high]
+                groups = group[of[e] : of[e + 1]] - low
+                top = np.maximum.reduceat(sums, groups)
+                first = np.where(sums == np.repeat(top, np.diff(np.append(groups, high - low))), np.arange(high - low), high)
+                chosen = np.minimum.reduceat(first, groups)
+                where = slot[owner[low:high][groups]] + e
+                real = top > -np.inf
+                best[where[real]], piece[where[real]] = top[real], ids[low:high][chosen[real]]
+            if e > len(MARK):
+                step = best[places - 1] + BYTE_SCORE
+                better = step > best[places]
+                best[places[better]] = step[better]
+                piece[places[better]] = self.byte_ids[data[starts[: long[e]][better] + e - 1]]
+        steps, ends, live = [], sizes.copy(), np.arange(len(words))
+        while len(live):  # all words step back together
+            taken = piece[slot[live] + ends[live]]
+            steps.append((live, taken))
+            ends[live] -= self.sizes[taken]
+            live = live[ends[live] > 0]
+        whose = np.concatenate([w for w, _ in steps[::-1]])
+        ids, counts = np.concatenate([f for _, f in steps[::-1]])[np.argsort(whose, kind="stable")], np.bincount(whose, minlength=len(words))
+        if not np.array_equal(self._spelled(ids), data):  # a hash matched by chance
+            paths = [self.segment_slowly(w) for w in words]
+            ids, counts = np.array([i for p in paths for i in p]), np.array([len(p) for p in paths])
+        cut = np.split(ids, np.cumsum(counts)[:-1])
+        return np.concatenate([cut[i] for i in back]), counts[back]
 
     def segment_slowly(self, word: bytes) -> list[int]:
         """The same path for one word, by its bytes."""
@@ -224,15 +252,21 @@ class Encoder:
     def _learn(self, new: list[bytes]) -> None:
         """new: words, each with the blank before it."""
         by_length: dict[int, list[bytes]] = {}
+        long: list[bytes] = []
         for w in new:
-            by_length.setdefault(len(w), []).append(w)
+            if len(w) - 1 + len(MARK) > LONG:
+                long.append(w)
+            else:
+                by_length.setdefault(len(w), []).append(w)
+        low = 0
+        while low < len(long):
+            high, size = low + 1, len(long[low])
+            while high < len(long) and size + len(long[high]) <= LONG_BYTES:
+                size, high = size + len(long[high]), high + 1
+            self.known.append(long[low:high], *self.pieces.segment_long([MARK + w[1:] for w in long[low:high]]))
+            low = high
         for length, some in by_length.items():
             n = length - 1 + len(MARK)
-            if n > LONG:
-                for w in some:
-                    path = self.pieces.segment_long(MARK + w[1:])
-                    self.known.append([w], np.array(path), np.array([len(path)]))
-                continue
             step = max(1, CELLS // n)
             for low in range(0, len(some), step):
                 part = some[low : low + step]

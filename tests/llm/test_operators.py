@@ -459,7 +459,22 @@ def test_piece_paths_equal_a_plain_viterbi():
         plain = pieces.segment_slowly(w)
         ids, counts = pieces.segment([w, w])
         assert ids.tolist() == plain * 2 and counts.tolist() == [len(plain)] * 2
-        assert pieces.segment_long(w) == plain
+    letters = "abcdefghijklmnopthe-é日本語漢字仮名文章一二三四五六ab"
+    long = ["".join(rnd.choices(letters, k=rnd.choice([1, 70, 300, 900]))) for _ in range(60)] + ["x" * 5000, "", "日" * 400]
+    for some in (words, [piece_codec.MARK + w.encode() for w in long], [piece_codec.MARK]):
+        plain = [pieces.segment_slowly(w) for w in some]
+        ids, counts = pieces.segment_long(some)
+        assert counts.tolist() == list(map(len, plain)) and ids.tolist() == [i for p in plain for i in p]
+
+
+def test_words_beyond_one_call_are_the_same(monkeypatch):
+    monkeypatch.setattr(piece_codec, "LONG_BYTES", 1000)
+    encoder = piece_codec.Encoder(queries.tokenizer_file("piece_bpe_32k.model"))
+    texts = ["字" * 90 + "a", "日本語" * 200, "x", None, "日本語" * 200, "y" * 700 + " z"]
+    ids, counts, marked, ends = encoder.encode(pa.array(texts, pa.string()))
+    for i, (text, part) in enumerate(zip(texts, np.split(ids, np.cumsum(counts)[:-1]), strict=True)):
+        plain = [x for w in (text or "").split(" ") for x in encoder.pieces.segment_slowly(piece_codec.MARK + w.encode())]
+        assert part.tolist() == plain, i
 
 
 def test_pii(spark, docs, empty):
