@@ -1,4 +1,8 @@
-"""Markdown task lines: one Arrow-batched pass from (id, text) to typed task rows.
+"""Markdown task lines: (id, text) to typed task rows.
+
+Where checkboxes stand is a matter of the lines before them, so a small scan of each text yields its checkbox items (line, parent, mark,
+body); all that a line says by itself (fields, dates, ids, hashes, tags, whether it is a task) is read from the items by Spark's own
+functions.
 
 A checkbox is a list item `[mark]` whose mark is one of CATEGORY, followed by a blank or the line's end. Items nest as lists do:
 an item belongs to the nearest one whose content it is indented to, and a checkbox's parent is the nearest checkbox among those.
@@ -9,10 +13,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from datetime import date
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Checkbox symbols and their categories, date marks, fields that make a checkbox a task.
@@ -24,26 +27,13 @@ _QUOTE = re.compile(r" {0,3}>[ \t]?")
 _FENCE = re.compile(r"[ \t]*(`{3,}|~{3,})")
 _ITEM = re.compile(r"(?P<indent>[ \t]*)(?P<bullet>[-*+]|\d{1,9}[.)])(?:(?P<gap>[ \t]+)(?P<rest>.*))?$")
 _BOX = re.compile(r"\[([ /hxX-])\](?:\s+(.*))?$")
-_FIELD = re.compile(r"(?<!\[)\[([^\[\]:]+)::\s*([^\[\]]*)\](?!\])")
-_DATE = re.compile(r"(?:^|\s)(📅|⏳|✅)️?\s*(\d{4}-\d{2}-\d{2})$")
-_ID = re.compile(r"(?:^|\s)\^([A-Za-z0-9-]+)$")
-_CODE = re.compile(r"(`+)(?!`).+?(?<!`)\1(?!`)")
-_TAG = re.compile(r"(?<![\w&#/])#([\w/-]+)")
-
-
-def fnv1a(data: bytes) -> int:
-    h = 0x811C9DC5
-    for b in data:
-        h = (h ^ b) * 0x01000193 & 0xFFFFFFFF
-    return h
-
+_CODE = re.compile(r"\0|(`+)(?!`).+?(?<!`)\1(?!`)")
 
-def _real_day(text: str) -> bool:
-    try:
-        date.fromisoformat(text)
-    except ValueError:
-        return False
-    return True
+#: What a line says, in Java's syntax; a code span stands as its number between two U+0000.
+_FIELD = r"(?U)(?<!\[)\[([^\[\]:]+)::\s*([^\[\]]*)\](?!\])"
+_ID = r"(?U)(?:^|\s)\^([A-Za-z0-9-]+)\z"
+_DATE = "(?:^|\\s)\\s*(?:" + "|".join(DATES) + ")️?\\s*[0-9]{4}-[0-9]{2}-[0-9]{2}"
+_TAG = r"(?U)(?<![\w&#/])#([\w/-]+)"
 
 
 def _front_matter(lines: list[str]) -> tuple[int, bool | None]:
@@ -80,47 +70,11 @@ def _visible(lines: list[str], first: int) -> Iterator[tuple[int, int, str]]:
         yield number, depth, "".join(kept).rstrip()
 
 
-def _tags(body: str) -> list[str]:
-    """Tags of a line, one per tag ignoring case, the first spelling kept."""
-    out: dict[str, str] = {}
-    for m in _TAG.finditer(body):
-        tag = m[1].strip("/")
-        if tag and not tag.replace("/", "").isdigit():
-            out.setdefault(tag.lower(), tag)
-    return list(out.values())
-
-
-def _task(bullet_on: str, mark: str, body: str) -> dict:
-    """What a checkbox line says; bullet_on is the line from its bullet to the end."""
-    hidden = _CODE.sub(lambda m: "\0" * len(m[0]), body)
-    tags = _tags(hidden)
-    task = block = None
-    if m := _ID.search(hidden):
-        task, block = (m[1], None) if m[1].startswith("t-") else (None, m[1])
-        hidden = hidden[: m.start()].rstrip()
-    dates = []
-    while (m := _DATE.search(hidden)) and _real_day(m[2]):
-        dates.append((DATES[m[1]], m[2]))
-        hidden = hidden[: m.start()].rstrip()
-    fields, text, at = [], [], 0
-    for m in _FIELD.finditer(hidden):
-        fields.append((m[1].strip(), m[2].strip()))
-        text.append(body[at : m.start()])
-        at = m.end()
-    text.append(body[at : len(hidden)])
-    signal = bool(task or dates or mark in "/h-" or any(k in SIGNAL_FIELDS for k, _ in fields))
-    return {
-        "category": CATEGORY[mark], "symbol": mark, "text": " ".join("".join(text).split()), "task_id": task, "block_id": block,
-        "hash": None if task or block else f"{fnv1a(bullet_on.encode()):08x}", "fields": [f"{k}={v}" for k, v in fields],
-        "dates": [f"{k}={v}" for k, v in reversed(dates)], "tags": tags, "is_task": signal,
-    }
-
-
-def parse_tasks(text: str) -> list[dict]:
-    """Task rows in document order."""
+def checkboxes(text: str) -> list[tuple]:
+    """(ordinal, parent, line, symbol, the line from its bullet, body, code spans of the body, the note's switch), in document order."""
     lines = text.replace("\r\n", "\n").split("\n")
     first, switch = _front_matter(lines)
-    out: list[dict] = []
+    out: list[tuple] = []
     open_items: list[tuple[int, int | None]] = []  # (column of the item's content, ordinal of a checkbox)
     quotes, blank = 0, True
     for number, depth, line in _visible(lines, first):
@@ -146,26 +100,89 @@ def parse_tasks(text: str) -> list[dict]:
         box = _BOX.match(m["rest"] or "")
         if box:
             parent = next((o for _, o in reversed(open_items) if o is not None), None)
-            made = _task(line.strip(), box[1], box[2] or "")
-            made["is_task"] = made["is_task"] if switch is None else switch
-            out.append({"ordinal": len(out), "parent": parent, "line": number, **made})
+            spans: list[str] = []
+
+            def masked(code: re.Match) -> str:
+                spans.append(code[0])
+                return f"\0{len(spans) - 1}\0"
+
+            body = _CODE.sub(masked, box[2] or "")
+            out.append((len(out), parent, number, box[1], line.strip(), body, spans, switch))
         open_items.append((content, len(out) - 1 if box else None))
     return out
 
 
-SCHEMA = "id long, ordinal int, parent int, line int, category string, symbol string, text string, task_id string, block_id string, hash string, fields array<string>, dates array<string>, tags array<string>, is_task boolean"
-_KINDS = [pa.int64(), *[pa.int32()] * 3, *[pa.string()] * 6, *[pa.list_(pa.string())] * 3, pa.bool_()]
+ITEMS = "id long, ordinal int, parent int, line int, symbol string, bullet_on string, body string, spans array<string>, switch boolean"
+_KINDS = [pa.int64(), *[pa.int32()] * 3, *[pa.string()] * 3, pa.list_(pa.string()), pa.bool_()]
 
 
-def extract_tasks(docs: DataFrame) -> DataFrame:
-    """One row a task of docs(id, text)."""
-    names = [part.split()[0] for part in SCHEMA.split(", ")]
+def items(docs: DataFrame) -> DataFrame:
+    """The checkbox items of docs(id, text)."""
+    names = [part.split()[0] for part in ITEMS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 ids, texts = (batch.column(k).slice(low, 1000).to_pylist() for k in range(2))
-                rows = [{"id": i, **task} for i, text in zip(ids, texts, strict=True) for task in parse_tasks(text or "")]
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, _KINDS, strict=True)], names)
+                rows = [(i, *item) for i, text in zip(ids, texts, strict=True) for item in checkboxes(text or "")]
+                columns = zip(*rows, strict=True) if rows else [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names)
+
+    return docs.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(run, ITEMS)
+
+
+def fnv1a(text: Column) -> Column:
+    """FNV-1a of a text's UTF-8, 32 bits, as eight hex digits."""
+    code = F.hex(F.encode(text, "UTF-8"))
+    step = lambda h, i: (h.bitwiseXOR(F.conv(F.substring(code, 2 * i - 1, F.lit(2)), 16, 10).cast("long")) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF))
+    places = F.when(code == "", F.array().cast("array<int>")).otherwise(F.sequence(F.lit(1), (F.length(code) / 2).cast("int")))
+    return F.lpad(F.lower(F.hex(F.aggregate(places, F.lit(0x811C9DC5).cast("long"), step))), 8, "0")
+
 
-    return docs.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(run, SCHEMA)
+def _end_trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)\s+\z", "")
+
+
+def _trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+
+
+def _shown(text: Column) -> Column:
+    """The text with its code spans."""
+    numbers = F.when(F.size("spans") > 0, F.sequence(F.lit(0), F.size("spans") - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(numbers, text, lambda t, k: F.replace(t, F.concat(F.lit("\0"), k.cast("string"), F.lit("\0")), F.element_at("spans", k + 1)))
+
+
+def _all(text: Column, pattern: str, group: int) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), group)
+
+
+def own_tags(body: Column) -> Column:
+    """Tags of a line, one per tag ignoring case, the first spelling kept."""
+    found = F.filter(F.transform(_all(body, _TAG, 1), lambda t: F.regexp_replace(t, "^/+|/+\\z", "")), lambda t: ~F.rlike(F.replace(t, F.lit("/"), F.lit("")), F.lit(r"(?U)^\d*\z")))
+    lower = F.transform(found, F.lower)
+    return F.filter(found, lambda t, i: F.array_position(lower, F.lower(t)) == i + 1)
+
+
+def extract_tasks(docs: DataFrame) -> DataFrame:
+    """One row a task of docs(id, text)."""
+    rows = items(docs).withColumn("tags", own_tags(F.col("body"))).withColumn("given", F.nullif(F.regexp_extract("body", _ID, 1), F.lit("")))
+    rows = rows.withColumn("rest", F.when(F.col("given").isNull(), F.col("body")).otherwise(_end_trimmed(F.regexp_replace("body", _ID, ""))))
+    # dates stand at the end; one that is no day ends the reading
+    rows = rows.withColumn("dated", _all(F.regexp_extract("rest", f"(?U)((?:{_DATE})*)\\z", 1), f"(?U)({_DATE})", 1))
+    day = lambda x: F.regexp_extract(x, r"([0-9]{4}-[0-9]{2}-[0-9]{2})\z", 1)
+    wrong = F.transform("dated", lambda x, i: F.when(day(x).try_cast("date").isNull() | F.startswith(day(x), F.lit("0000")), i + 1).otherwise(0))
+    rows = rows.withColumn("dated", F.slice("dated", F.coalesce(F.array_max(wrong), F.lit(0)) + 1, F.greatest(F.size("dated"), F.lit(1))))
+    rows = rows.withColumn("rest", F.when(F.size("dated") == 0, F.col("rest")).otherwise(_end_trimmed(F.expr("substring(rest, 1, char_length(rest) - char_length(array_join(dated, '')))"))))
+    mark = lambda x: F.coalesce(*(F.when(F.contains(x, F.lit(k)), v) for k, v in DATES.items()))
+    keys = F.transform(_all(F.col("rest"), _FIELD, 1), lambda x: _shown(_trimmed(x)))
+    values = F.transform(_all(F.col("rest"), _FIELD, 2), lambda x: _shown(_trimmed(x)))
+    text = _trimmed(F.regexp_replace(_shown(F.regexp_replace("rest", _FIELD, "")), r"(?U)\s+", " "))
+    task = F.when(F.startswith("given", F.lit("t-")), F.col("given"))
+    signal = task.isNotNull() | (F.size("dated") > 0) | F.col("symbol").isin("/", "h", "-") | F.arrays_overlap(keys, F.array(*map(F.lit, SIGNAL_FIELDS)))
+    category = F.coalesce(*(F.when(F.col("symbol") == k, v) for k, v in CATEGORY.items()))
+    return rows.select(
+        "id", "ordinal", "parent", "line", category.alias("category"), "symbol", text.alias("text"), task.alias("task_id"), F.when(task.isNull(), F.col("given")).alias("block_id"),
+        F.when(F.col("given").isNull(), fnv1a(F.col("bullet_on"))).alias("hash"), F.zip_with(keys, values, lambda k, v: F.concat(k, F.lit("="), v)).alias("fields"),
+        F.transform("dated", lambda x: F.concat(mark(x), F.lit("="), day(x))).alias("dates"), "tags", F.coalesce("switch", signal).alias("is_task"),
+    )
