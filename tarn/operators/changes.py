@@ -193,10 +193,15 @@ def changed_set(changes: DataFrame, rev: int, budget: int = CHANGED_BUDGET) -> D
     return above.join(F.broadcast(few)).filter("few").select("id", "rev", F.col("trashed").alias("gone"))  # one row
 
 
-def settle_removals(pending: DataFrame, tracked: DataFrame) -> DataFrame:
-    """What is still to be removed of pending(path): a path whose folded key a tracked(path) node claims again is no debt any more."""
+def settle_removals(pending: DataFrame, tracked: DataFrame, disk: DataFrame | None = None) -> DataFrame:
+    """What is still to be removed of pending(path): a path whose folded key a tracked(path) node claims again is no debt any more, nor is a
+    blank one, which would be the root itself, nor one that leaves the root, nor, where disk(path, is_folder) is known, one that is no folder
+    there."""
     claimed = rules.with_fold_key(tracked.select("path")).select("fold_key").distinct()
-    return rules.with_fold_key(pending.select("path")).join(claimed, "fold_key", "left_anti").select("path").distinct()
+    owed = pending.select("path").filter((F.col("path") != "") & rules.lexical_contained(F.col("path"))).distinct()
+    if disk is not None:
+        owed = owed.join(disk.filter("is_folder").select("path").distinct(), "path", "left_semi")
+    return rules.with_fold_key(owed).join(claimed, "fold_key", "left_anti").select("path")
 
 
 def redelivery(deliveries: DataFrame, disk: DataFrame, state: DataFrame, vacated: DataFrame | None = None) -> DataFrame:

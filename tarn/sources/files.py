@@ -41,7 +41,7 @@ def workspaces(spark: SparkSession, path: str) -> DataFrame:
 class SavedTable:
     """A table that is replaced as a whole: each save writes a new folder and then the next of numbered pointers, so a reader finds the
     old table or the new one wherever a writer stops. The table before is kept until the next save, for those who still read it.
-    `stamp` goes with the table, for derived caches."""
+    `stamp` goes with the table, for derived caches, which only their owner may read."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -49,6 +49,8 @@ class SavedTable:
     def save(self, df: DataFrame, stamp: dict | None = None) -> None:
         name = f"table-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{name}")
+        if stamp is not None:
+            scratch.owner_only(self.spark, f"{self.path}/{name}")
         scratch.put_pointer(self.spark, f"{self.path}/CURRENT", json.dumps({"folder": name, "schema": df.schema.json(), "stamp": stamp}))
         kept = {found["folder"] for raw in scratch.pointers(self.spark, f"{self.path}/CURRENT") if (found := _parsed(raw))}
         for folder in scratch.names_in(self.spark, self.path):

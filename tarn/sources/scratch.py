@@ -55,6 +55,12 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(place, True)
 
 
+def owner_only(spark: SparkSession, path: str) -> None:
+    """Nobody but the owner may read or enter a folder."""
+    fs, place = _at(spark, path)
+    fs.setPermission(place, spark.sparkContext._jvm.org.apache.hadoop.fs.permission.FsPermission("700"))
+
+
 def write_new(spark: SparkSession, path: str, text: str) -> None:
     """A small text at a path where nothing is yet, written beside it and moved there whole."""
     fs, place = _at(spark, path)

@@ -76,6 +76,7 @@ def test_saved_tables(spark, at):
     saved.save(spark.range(5), {"e": 2})
     assert saved.load().count() == 5 and saved.load_cache({"e": 2}).count() == 5 and saved.load_cache({"e": 1}) is None
     assert len(scratch.names_in(spark, f"{at}/s")) == 4
+    assert {os.stat(p).st_mode & 0o777 for p in pathlib.Path(f"{at[7:]}/s").glob("table-*")} == {0o700}
     scratch.put_pointer(spark, f"{at}/s/CURRENT", "no json")
     assert saved.load_cache({"e": 2}) is None
     with pytest.raises(ValueError):
@@ -237,6 +238,10 @@ def test_overlapping_mounts_by_geometry(spark):
 def test_settled_removals_and_first_claimants(spark):
     pending, tracked = spark.createDataFrame([("A/b",), ("c",)], "path string"), spark.createDataFrame([("a/B",)], "path string")
     assert [r["path"] for r in changes.settle_removals(pending, tracked).collect()] == ["c"]
+    more = pending.union(spark.createDataFrame([("",), ("../x",), ("d",), ("e",), ("c",)], "path string"))
+    disk = spark.createDataFrame([("c", True), ("e", False), ("A/b", True)], "path string, is_folder boolean")
+    assert sorted(r["path"] for r in changes.settle_removals(more, tracked).collect()) == ["c", "d", "e"]
+    assert [r["path"] for r in changes.settle_removals(more, tracked, disk).collect()] == ["c"]
     rows = spark.createDataFrame([(1, "É", 9), (2, "é", 1), (3, "e", 1)], "id long, path string, seq long")
     got = {r["id"]: r["holder"] for r in changes.first_claimants(rows, rows.filter("id = 1")).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
