@@ -3,6 +3,11 @@
 Quality rules drop rejected documents, exact deduplication keeps one of equal texts (the largest id), the n-gram Jaccard
 join keeps one of each class of near copies (the smallest id), personal data is masked in the texts, and packing places the
 remaining documents in length buckets and token-budget batches.
+
+Defined cases: a document whose text is null or empty has too few words, so quality rules drop it; texts of any length go through whole;
+documents with a null id are rows like others, and of equal texts one with an id is kept before one without; rows repeated in id and text
+are one document after exact deduplication; an empty table gives an empty result; columns beyond those of documents are carried to the
+last stage, whatever their names, and are left out by packing, whose columns are its own.
 """
 
 from __future__ import annotations
