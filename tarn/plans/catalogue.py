@@ -175,6 +175,18 @@ def classify(s, d):
     return changes.classify(rows, rows.filter(F.col("id") % 3 != 0), "src0")
 
 
+@query("""WITH n AS (SELECT p_partkey AS id, p_size AS q, 140 + p_partkey % 30 AS x, p_partkey % 4 AS k FROM part),
+    r AS (SELECT id, repeat(CASE k WHEN 0 THEN '"' WHEN 1 THEN 'Ж' WHEN 2 THEN '%' ELSE '|' END, CAST(q AS INTEGER)) || repeat('x', CAST(x AS INTEGER)) || '.md' AS path, CASE WHEN k IN (0, 3) THEN 3 ELSE 1 END * q + x + 3 AS units FROM n)
+    SELECT id, path, CASE WHEN units > 255 THEN 'park' ELSE 'put' END AS disposition, CASE WHEN units > 255 THEN 'unrepresentable' END AS reason FROM r""")
+def classify_windows(s, d):
+    """Names under Windows rules: what their spelling on disk takes, in UTF-16 units, decides."""
+    k = F.col("p_partkey") % 4
+    odd = F.when(k == 0, '"').when(k == 1, "Ж").when(k == 2, "%").otherwise("|")
+    path = F.concat(F.repeat(odd, F.col("p_size").cast("int")), F.repeat(F.lit("x"), (140 + F.col("p_partkey") % 30).cast("int")), F.lit(".md"))
+    rows = tables.table(s, d, "part").select(F.col("p_partkey").alias("id"), F.lit("file").alias("kind"), path.alias("path"), F.lit(False).alias("trashed"))
+    return changes.classify(rows, rows.limit(0), windows=True)
+
+
 @query(with_sql("dn", "").rstrip() + """, g AS (SELECT id, id % 7 AS n, path, live FROM dn), r AS (SELECT id, CASE n WHEN 0 THEN '.github/docs' WHEN 1 THEN '.github/docs/.claude/' || id || '.md' WHEN 2 THEN '.github/' || path
     WHEN 3 THEN '.github/docs/.GitHub/x/' || id || '.md' WHEN 4 THEN '.git/docs/' || path ELSE '.github/docs/' || path END AS path,
     CASE WHEN NOT live THEN 'trashed' WHEN n = 0 THEN 'scope_root' WHEN n IN (1, 3) THEN 'instruction_name' WHEN n = 2 THEN 'out_of_scope' WHEN n = 4 THEN 'reserved' END AS reason FROM g)
@@ -666,9 +678,9 @@ def human_age(s, d):
     return tables.table(s, d, "orders").select(F.col("o_orderkey").alias("id"), rules.human_age(x).alias("age"), rules.is_due(F.lit(0), x).alias("due"), rules.expires(x, F.lit(0)).alias("expired"))
 
 
-@query(r"""SELECT s_suppkey AS id, CASE WHEN s_suppkey % 5 = 0 THEN 'project-' || substr(sha256('мой'), 1, 8) ELSE lower(replace(replace(s_name, '#', ''), ' ', '-')) END AS label, CASE WHEN s_suppkey % 5 = 0 THEN 'мой' ELSE regexp_replace(regexp_replace(s_name, '[^\p{L}\p{N}_-]', '-', 'g'), '^-+|-+$', '', 'g') END AS dir FROM supplier""")
+@query(r"""SELECT s_suppkey AS id, CASE WHEN s_suppkey % 5 = 0 THEN 'project-' || substr(sha256('мой'), 1, 8) WHEN s_suppkey % 7 = 0 THEN repeat('a', 63) ELSE lower(replace(replace(s_name, '#', ''), ' ', '-')) END AS label, CASE WHEN s_suppkey % 5 = 0 THEN 'мой' WHEN s_suppkey % 7 = 0 THEN repeat('a', 70) ELSE regexp_replace(regexp_replace(s_name, '[^\p{L}\p{N}_-]', '-', 'g'), '^-+|-+$', '', 'g') END AS dir FROM supplier""")
 def sanitize_label(s, d):
-    name = F.when(F.col("s_suppkey") % 5 == 0, "мой").otherwise(F.col("s_name"))
+    name = F.when(F.col("s_suppkey") % 5 == 0, "мой").when(F.col("s_suppkey") % 7 == 0, "-" + "a" * 70).otherwise(F.col("s_name"))
     return tables.table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), rules.sanitize_label(name).alias("label"), rules.safe_directory(name).alias("dir"))
 
 

@@ -172,6 +172,10 @@ def saved_state(s, d):
     saved.save(last)
     saved.save(last.filter("kind <> 'view'"), {"epoch": 1, "cursor": 5})
     assert saved.load_cache({"epoch": 1, "cursor": 6}) is None
+    gone = files.SavedTable(s, new_path(s, "cache"))
+    gone.save(last.limit(1), {"epoch": 1})
+    gone.clear()
+    assert gone.load() is None
     return saved.load()
 
 
@@ -288,3 +292,38 @@ def claim_stream(s, d):
     held = claims.appended(s, log)
     assert held.groupBy("id", "rev").count().filter("count > 1").isEmpty()
     return held.groupBy("id").agg(F.max("rev").alias("rev"))
+
+
+@query(with_sql("cl lt", """, n AS (SELECT count(*) FILTER (NOT trashed) AS live FROM lt) SELECT step, verdict, CASE WHEN step = 'again' THEN 0 ELSE live END AS live FROM n,
+    (VALUES ('head', 'fresh'), ('behind', 'behind'), ('parked', 'parked'), ('owed', 'pending_removals'), ('missed', 'missed_delete'), ('epoch', 'epoch_changed'), ('rollback', 'rolled_back'), ('again', 'fresh')) v(step, verdict)""").replace(" , n AS", ", n AS"))
+def sync_verdicts(s, d):
+    """A mirror of the whole log asked whether it is fresh, of servers that are ahead, of another epoch, that lost a node without a trace, or
+    that were rolled back; and of one that is empty, after a rebuild."""
+    log = store(tables.changelog(s, d))
+    live = changes.latest_live(log).count()
+    mirror = replay.Mirror(s, new_path(s, "mirror"), log.schema, parts=4)
+    served = lambda rows=log, epoch=1, count=live: replay.Served(rows, epoch, count)
+    mirror.sync(served(), 100)
+    end = log.agg(F.max("rev")).first()[0]
+    ahead = log.union(log.limit(1).withColumn("rev", F.lit(end + 1)))
+    asked = [("head", mirror.check(served(), 101)[0]), ("behind", mirror.check(served(ahead), 102)[0])]
+    asked += [("parked", mirror.check(served(), 103, transient_parks=1)[0]), ("owed", mirror.check(served(), 104, pending_removals=1)[0])]
+    asked += [("missed", mirror.check(served(count=live - 1), 105)[0]), ("epoch", mirror.check(served(epoch=2), 106)[0])]
+    try:
+        mirror.check(served(count=None), 107)
+        asked.append(("rollback", "none"))
+    except replay.RolledBack:
+        asked.append(("rollback", "rolled_back"))
+    rows = s.createDataFrame(asked, "step string, verdict string").withColumn("live", F.lit(mirror.live().count()))
+    empty = served(log.limit(0), 2, 0)
+    mirror.sync(empty, 108)
+    last = s.createDataFrame([("again", mirror.check(empty, 109)[0])], "step string, verdict string").withColumn("live", F.lit(mirror.live().count()))
+    return rows.unionByName(last)
+
+
+@query("SELECT 'ws-' || n_nationkey AS workspace, CASE WHEN n_nationkey % 3 = 0 THEN n_name END AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'd/' || n_nationkey ELSE '' END AS dir, CASE WHEN n_nationkey % 5 = 0 THEN 'a b' END AS scope, 'https://s' AS server FROM nation")
+def mount_file(s, d):
+    """The mounts of a TOML text that is made of the nations."""
+    rows = tables.table(s, d, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()  # 25 rows; a mount file is small
+    entry = lambda k, name: "[[mount]]\n" + "\n".join([f'workspace = "ws-{k}"', *([f'name = "{name}"'] if k % 3 == 0 else []), *([f'dir = "d/{k}"'] if k % 2 == 0 else []), *(['folder = "a b"'] if k % 5 == 0 else [])])
+    return files.mount_table(s, 'server = "https://s"\n' + "\n".join(entry(*r) for r in rows))

@@ -197,7 +197,8 @@ FITS = """f AS (SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN '2024-02-
 
 
 @query(f"""WITH {FITS} SELECT id, v, v IS NULL AS unset, v IS NOT NULL AND TRY_CAST(CASE WHEN regexp_matches(v, '^-?[0-9]+([.,][0-9]+)?$') THEN replace(v, ',', '.') END AS DOUBLE) IS NULL AS no_number,
-    v IS NOT NULL AND TRY_CAST(CASE WHEN regexp_matches(v, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN v END AS DATE) IS NULL AS no_date, coalesce(TRY_CAST(CASE WHEN regexp_matches(v, '^[0-9]+(,[0-9]+)?$') THEN replace(v, ',', '.') END AS DOUBLE) BETWEEN 10 AND 20.5, FALSE) AS between FROM f""")
+    v IS NOT NULL AND TRY_CAST(CASE WHEN regexp_matches(v, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN v END AS DATE) IS NULL AS no_date, coalesce(TRY_CAST(CASE WHEN regexp_matches(v, '^[0-9]+(,[0-9]+)?$') THEN replace(v, ',', '.') END AS DOUBLE) BETWEEN 10 AND 20.5, FALSE) AS between,
+    coalesce(v = 'soon', FALSE) OR coalesce(TRY_CAST(CASE WHEN regexp_matches(v, '^[0-9]+(,[0-9]+)?$') THEN replace(v, ',', '.') END AS DOUBLE) >= 10, FALSE) AS either, FALSE AS nothing FROM f""")
 def field_misfits(s, d):
     k, size = F.col("p_partkey") % 6, F.col("p_size").cast("string")
     value = (
@@ -206,12 +207,12 @@ def field_misfits(s, d):
     )
     rows = tables.table(s, d, "part").select(F.col("p_partkey").alias("id"), value.alias("v"))
 
-    def holds(spec: str, kind: str):
-        where = search.Filter.parse([], [], [spec])
+    def holds(spec: str, kind: str, *more: str):
+        where = search.Filter.parse([], [], [spec, *more])
         where.kinds = {"v": kind}
         return F.coalesce(where.predicate(), F.lit(False))
 
-    return rows.select("id", "v", holds("v=", "number").alias("unset"), holds("v=!misfit", "number").alias("no_number"), holds("v=!misfit", "date").alias("no_date"), holds("v=10..20.5", "number").alias("between"))
+    return rows.select("id", "v", holds("v=", "number").alias("unset"), holds("v=!misfit", "number").alias("no_number"), holds("v=!misfit", "date").alias("no_date"), holds(" v = 10 .. 20.5 ", "number").alias("between"), holds("v=10..", "number", " v=soon ").alias("either"), holds("v=x..y", "number").alias("nothing"))
 
 
 @query(with_sql("dn a", "SELECT 'notes' AS arm, id, path, n_chars FROM dn WHERE live UNION ALL SELECT 'attachments', id, path, NULL FROM a WHERE live"))
