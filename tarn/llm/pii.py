@@ -276,18 +276,27 @@ class Model:
         trans = self.p["t"]
         into, one, top = np.ascontiguousarray(trans.T), np.empty((TAGS, batch), np.float32), np.empty((TAGS, batch), np.float32)
         out_of = [np.ascontiguousarray(trans[k][:, None]) for k in range(TAGS)]
+        stays, outside = np.ones(batch, bool), np.empty(batch, np.float32)
         for t in range(1, steps):  # e[t] becomes the greatest score of a path that ends in each tag
             before = e[t - 1]
             np.add(before[0], out_of[0], out=top)
+            outside[:] = top[O_TAG]
             for k in range(1, TAGS):
                 np.add(before[k], out_of[k], out=one)
                 np.maximum(top, one, out=top)
+            stays &= outside == top[O_TAG]
             e[t] += top
-        tags = np.empty((steps, batch), np.int64)
-        tags[-1] = e[-1].argmax(axis=0)
-        for t in range(steps - 1, 0, -1):
-            tags[t - 1] = (e[t - 1] + into[tags[t]].T).argmax(axis=0)
-        return tags.T
+        last = e[-1].argmax(axis=0)
+        tags = np.zeros((batch, steps), np.int64)
+        # where the best way to be outside always was to have been outside, a path that ends outside has no other tag: no need to step back
+        rest = np.flatnonzero(~stays | (last != O_TAG))
+        if len(rest):
+            e, back = np.ascontiguousarray(e[:, :, rest]), np.empty((steps, len(rest)), np.int64)
+            back[-1] = last[rest]
+            for t in range(steps - 1, 0, -1):
+                back[t - 1] = (e[t - 1] + into[back[t]].T).argmax(axis=0)
+            tags[rest] = back.T
+        return tags
 
 
 def _made(rng: np.random.Generator, kind: int) -> str:
