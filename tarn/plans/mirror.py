@@ -257,8 +257,8 @@ NODE_LOG = """d AS (SELECT doc_id AS i, source, lang, source || '/' || lang || '
     SELECT 'node' AS part, id, place AS text FROM n WHERE NOT bad AND NOT twin UNION ALL SELECT 'park', id, CASE WHEN bad THEN 'bad_note_name' ELSE 'fold' END FROM n WHERE bad OR twin
     UNION ALL SELECT 'debt', NULL, path FROM f WHERE lang = 'es' AND EXISTS (SELECT 1 FROM n WHERE NOT bad AND NOT twin AND starts_with(place, path || '/')) UNION ALL SELECT 'ledger', (SELECT count(*) FROM k), '' """)
 def apply_pages(s, d):
-    """A log of documents pulled page by page and applied to a mirror's books: what is tracked, parked and owed in the end, and the
-    number of ids in the ledger."""
+    """A log of documents pulled page by page and applied to a mirror's books, to its head, and again when it has grown: what is tracked, parked
+    and owed in the end, and the number of ids in the ledger."""
     docs = tables.table(s, d, "documents").select(F.col("doc_id").alias("i"), "source", "lang", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("base"))
     i, kind = F.col("i"), F.when(F.col("i") % 13 == 0, "attachment").otherwise("file")
     row = lambda id_, rev, kind, path, gone: [id_.cast("long").alias("id"), rev.cast("long").alias("rev"), kind.alias("kind"), path.alias("path"), gone.alias("trashed")]
@@ -271,11 +271,13 @@ def apply_pages(s, d):
     place = docs.select("source", "lang").distinct()
     folders = place.select(*row(number, F.lit(1), F.lit("folder"), F.concat_ws("/", "source", "lang"), F.lit(False)))
     gone = place.filter("lang = 'es'").select(*row(number, F.lit(3 * 10**9), F.lit("folder"), F.concat_ws("/", "source", "lang"), F.lit(True)))
-    log = store(made.union(later).union(twins).union(folders).union(gone).withColumns({"sha": F.sha2("path", 256), "stamp": F.lit(None).cast("string")}))
-    path, live = new_path(s, "log"), changes.latest_live(log).count()
-    pull.publish(log, path, 1, live)
-    books = pages.Books(s, new_path(s, "books"))
-    assert pages.follow(books, path, new_path(s, "checkpoint"), pages.Riders(live), 1).at_head
+    filled = lambda rows: store(rows.withColumns({"sha": F.sha2("path", 256), "stamp": F.lit(None).cast("string")}))
+    first, then = filled(made.union(folders)), filled(later.union(twins).union(gone))
+    path, checkpoint, books = new_path(s, "log"), new_path(s, "checkpoint"), pages.Books(s, new_path(s, "books"))
+    for new, every in ((first, first), (then, first.unionByName(then))):
+        live = changes.latest_live(every).count()
+        pull.publish(new, path, 1, live)
+        assert pages.follow(books, path, checkpoint, pages.Riders(live), 1).at_head
     text = lambda name, value: books.read(name).select(F.lit(name[:-1]).alias("part"), "id", value.alias("text"))
     debts = books.read("debts").select(F.lit("debt").alias("part"), F.lit(None).cast("long").alias("id"), F.col("path").alias("text"))
     return text("nodes", F.col("place")).union(text("parks", F.col("reason"))).union(debts).union(books.read("ledger").agg(F.lit("ledger").alias("part"), F.count(F.lit(1)), F.lit("")))
