@@ -130,14 +130,15 @@ def _listed(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordB
 
 def walk(spark: SparkSession, root: str, tasks: int = 64) -> DataFrame:
     """(path, is_folder, size) of all that stands below a root, empty files and folders too: folders are listed level by level in tasks, so
-    no name passes the driver, which only asks of each level whether there is another."""
-    level = spark.createDataFrame([("",)], "path string")
+    no name passes the driver, which only asks of each level how many folders it has."""
+    level, wide = spark.createDataFrame([("",)], "path string"), 1
     out = None
     while True:
-        found = scratch.store(level.repartition(tasks).mapInArrow(lambda b: _listed(b, root), "path string, is_folder boolean, size long"))
+        found = scratch.store(level.repartition(wide).mapInArrow(lambda b: _listed(b, root), "path string, is_folder boolean, size long"))
         out = found if out is None else out.unionByName(found)
         level = found.filter("is_folder").select("path")
-        if level.isEmpty():
+        wide = min(tasks, level.count())
+        if not wide:
             return out
 
 

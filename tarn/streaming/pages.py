@@ -195,7 +195,6 @@ def apply_page(books: Books, rows: DataFrame, batch: int | None, limit: int, rid
     due = scratch.store(due.join(after.select("fold_key"), "fold_key", "left_anti").filter("path <> ''"))
     remains = after.select(F.col("place").alias("path")).union(disk.join(files, "path", "left_anti").join(due, "path", "left_anti").select("path"))
     blocked = scratch.store(_occupied(due, remains))
-    blocked = scratch.store(blocked.union(_occupied(due, blocked)).distinct())
     removed, owed = due.join(blocked, "path", "left_anti"), due.join(blocked, "path", "left_semi")
 
     op = lambda rows, step, name: rows.select(F.lit(step).alias("step"), name.alias("op"), F.col("id").cast("long").alias("id"), "path")
