@@ -98,7 +98,7 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"))
     take = F.crc32(F.col("conv_id").cast("string")) % (prefix_trie.MAX_GRAFT + 1)
     rows = prefix_trie.grafted(turns, F.col("conv_id") - F.col("conv_id") % TRIE_FAMILY, take)
-    return prefix_trie.trie(rows)
+    return prefix_trie.trie(rows).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
 def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
