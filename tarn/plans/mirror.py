@@ -316,10 +316,10 @@ def sync_verdicts(s, d):
         asked.append(("rollback", "none"))
     except replay.RolledBack:
         asked.append(("rollback", "rolled_back"))
-    rows = s.createDataFrame(asked, "step string, verdict string").withColumn("live", F.lit(mirror.live().count()))
+    rows = s.createDataFrame(asked, "step string, verdict string").withColumn("live", F.lit(mirror.live().count()).cast("long"))
     empty = served(log.limit(0), 2, 0)
     mirror.sync(empty, 108)
-    last = s.createDataFrame([("again", mirror.check(empty, 109)[0])], "step string, verdict string").withColumn("live", F.lit(mirror.live().count()))
+    last = s.createDataFrame([("again", mirror.check(empty, 109)[0])], "step string, verdict string").withColumn("live", F.lit(mirror.live().count()).cast("long"))
     return rows.unionByName(last)
 
 
