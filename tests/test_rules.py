@@ -84,6 +84,37 @@ def test_the_term_index_gives_the_same_arm_from_fewer_pairs(spark):
     assert sorted(map(tuple, related.pruned_arm(terms, subjects, excluded, live).collect())) == whole and len(whole) > 300
 
 
+def test_pairs_leave_their_blocks_whole_and_unshuffled(spark, monkeypatch):
+    """Blocks of any size give the cosines, best terms and words of all pairs, also where a vector lacks terms, products are equal, and the
+    dictionary lacks terms or has two words for one; no pair meets a vector or a word by a join."""
+    rnd = random.Random(8)
+    rows = [(i, t, rnd.choice([-1.0, 0.5, 0.5, 2.0])) for i in range(50) for t in rnd.sample(range(12), rnd.randint(1, 12))]
+    terms = spark.createDataFrame(rows, "id long, term int, weight double")
+    subjects = spark.createDataFrame([(i,) for i in (*range(0, 50, 5), 99)], "id long")
+    dictionary = spark.createDataFrame([(t, f"w{t}") for t in range(12) if t % 4] + [(1, "a1"), (77, "x")], "term int, word string")
+    held, best, words = {}, {}, {}
+    for i, t, w in rows:
+        held.setdefault(i, {})[t] = w
+    for s in range(0, 50, 5):
+        for i in held:
+            if common := sorted(held[s].keys() & held[i].keys(), key=lambda t: (-held[s][t] * held[i][t], t)):
+                best |= {(s, i, n): t for n, t in enumerate(common[:3], 1)}
+                if known := [{1: "a1"}.get(t, f"w{t}") for t in common[:3] if t % 4]:
+                    words[s, i] = known
+    cosines = sorted(map(tuple, related.cosine_pairs(terms, subjects).collect()))
+    for block in ((1024, 1024), (3, 7)):
+        monkeypatch.setattr(related, "PAIR_BLOCK", block)
+        monkeypatch.setattr(related, "CELLS", 1 << 21 if block[0] > 3 else 8)
+        made = related.every_top_shared_terms(terms, subjects)
+        assert {(r["subject"], r["id"], r["place"]): r["term"] for r in made.collect()} == best and made.count() == len(best)
+        spelt = related.every_shared_words(terms, subjects, dictionary)
+        assert {(r["subject"], r["id"]): r["words"] for r in spelt.collect()} == words
+        assert sorted(map(tuple, related.cosine_pairs(terms, subjects).collect())) == cosines
+        for plan in (made, spelt):
+            after = plan._jdf.queryExecution().executedPlan().toString().split("FlatMapCoGroupsInArrow")[0]
+            assert "Exchange" not in after and "Join" not in after
+
+
 def test_shared_mediators(spark, monkeypatch):
     from tarn.operators import artifact
 
