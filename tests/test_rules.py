@@ -84,6 +84,22 @@ def test_the_term_index_gives_the_same_arm_from_fewer_pairs(spark):
     assert sorted(map(tuple, related.pruned_arm(terms, subjects, excluded, live).collect())) == whole and len(whole) > 300
 
 
+def test_task_lines_are_hashed_together_whatever_their_lengths(spark):
+    """Hashes of a few long lines among short ones; a line of a million bytes took a time that grew with its square."""
+
+    def fnv(data: bytes) -> str:
+        h = 0x811C9DC5
+        for b in data:
+            h = (h ^ b) * 16777619 & 0xFFFFFFFF
+        return f"{h:08x}"
+
+    bodies = ["a", "é" * 700, "x" * 1_000_000, "b" * 699 + "𝄞", *(f"{k}" * k for k in range(40)), "a"]
+    assert tasks.fnv1a_of(bodies) == [fnv(b.encode()) for b in bodies] and tasks.fnv1a_of([]) == []
+    text = "\n".join(f"- [/] {b}" for b in bodies)
+    rows = tasks.extract_tasks(spark.createDataFrame([(1, text), (2, None), (3, "none")], "id long, text string")).select("line", "hash").collect()
+    assert {r["line"]: r["hash"] for r in rows} == {n: fnv(f"- [/] {b}".strip().encode()) for n, b in enumerate(bodies, 1)}
+
+
 def test_pairs_leave_their_blocks_whole_and_unshuffled(spark, monkeypatch):
     """Blocks of any size give the cosines, best terms and words of all pairs, also where a vector lacks terms, products are equal, and the
     dictionary lacks terms or has two words for one; no pair meets a vector or a word by a join."""
