@@ -225,8 +225,8 @@ def sync_two_passes(s, d):
 
 @query(with_sql("cl", "SELECT id, rev, (row_number() OVER (ORDER BY rev, id) - 1) // 500 AS page FROM cl WHERE (rev, id) > (0, 0)"))
 def pull_pages(s, d):
-    """The log published and pulled by key in pages of 500, eight of them a micro-batch; each page is a partition."""
-    log, out, wide = tables.changelog(s, d).select("rev", "id", "kind"), new_path(s, "pulled"), 8
+    """The log published and pulled by key in pages of 500, many of them a micro-batch; each page is a partition."""
+    log, out, wide = tables.changelog(s, d).select("rev", "id", "kind"), new_path(s, "pulled"), pull.WIDE
     path = new_path(s, "log")
     pull.publish(log, path, 1, None)
 

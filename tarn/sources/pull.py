@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,6 +27,10 @@ from tarn.sources import scratch
 
 Key = tuple[int, int]
 START: Key = (0, 0)
+#: Rows of a published row group.
+GROUP_ROWS = 4 * PAGE_ROWS
+#: Pages of a micro-batch of a reader to which its width is all the same: a micro-batch has its own cost, and the driver holds its keys.
+WIDE = 512
 
 
 class EpochChanged(RuntimeError):
@@ -33,10 +38,11 @@ class EpochChanged(RuntimeError):
 
 
 def publish(log: DataFrame, path: str, epoch: int, live_nodes: int | None) -> None:
-    """Append log(rev, id, ...), whose keys lie after all that is there, to the log at a path; the pointer is written last."""
+    """Append log(rev, id, ...), whose keys lie after all that is there, to the log at a path; the pointer is written last. Row groups are
+    small, since a page is read from whole ones."""
     spark = log.sparkSession
     sorted_log = log.repartitionByRange("rev", "id").sortWithinPartitions("rev", "id")
-    sorted_log.write.mode("append").parquet(f"{path}/rows")
+    sorted_log.write.mode("append").option("parquet.block.row.count.limit", GROUP_ROWS).parquet(f"{path}/rows")
     scratch.put_pointer(spark, f"{path}/HEAD", json.dumps({"epoch": epoch, "live_nodes": live_nodes, "schema": log.schema.json()}))
 
 
@@ -87,6 +93,7 @@ class KeysetReader(DataSourceStreamReader):
         self.page, self.pages = int(options["page"]), int(options["pages"])
         self.at: Key = (int(options["rev"]), int(options["id"]))
         self.ranges: dict[str, list[tuple[int, int, int, int]]] = {}
+        self.made: list[Page] = []
 
     def _system(self):
         from pyarrow import fs
@@ -148,21 +155,25 @@ class KeysetReader(DataSourceStreamReader):
         return {"rev": self.at[0], "id": self.at[1]}
 
     def latestOffset(self) -> dict:
-        made = self._planned(self.at, None, self.pages)
+        self.made = made = self._planned(self.at, None, self.pages)
         at = made[-1].high if made else self.at
         return {"rev": at[0], "id": at[1]}
 
     def partitions(self, start: dict, end: dict) -> list[Page]:
         low, high = (start["rev"], start["id"]), (end["rev"], end["id"])
         self.at = max(self.at, high)
+        if self.made and (self.made[0].low, self.made[-1].high) == (low, high):
+            return self.made  # as latestOffset() planned them
         return self._planned(low, high, None) if low < high else []
 
     def read(self, partition: Page) -> Iterator[pa.RecordBatch]:
         system, _ = self._system()
-        for path, group in partition.groups:
+        for path, groups in groupby(partition.groups, lambda g: g[0]):
             with system.open_input_file(path) as f:
-                rows = _between(pq.ParquetFile(f).read_row_group(group, columns=self.columns), partition.low, partition.high)
-            yield from rows.select(self.columns).to_batches()
+                file = pq.ParquetFile(f)
+                for _, group in groups:
+                    rows = _between(file.read_row_group(group, columns=self.columns), partition.low, partition.high)
+                    yield from rows.select(self.columns).to_batches()
 
 
 def collected_pages(stream: DataFrame, checkpoint: str, step) -> None:

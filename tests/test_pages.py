@@ -48,6 +48,19 @@ def test_pull_pages_resume_at_the_saved_key(spark, at):
         pull.pull(spark, f"{at}/log", epoch=8)
 
 
+def test_a_page_reads_small_row_groups_and_is_planned_once(spark, at, monkeypatch):
+    monkeypatch.setattr(pull, "GROUP_ROWS", 20)
+    pull.publish(numbered(spark, *((n, n) for n in range(1, 401))).coalesce(1), f"{at}/log", 1, 400)
+    reader = pull.KeysetReader({"path": f"{at}/log", "rev": "0", "id": "0", "page": "10", "pages": "7"}, ["rev", "id", "body"])
+    end = reader.latestOffset()
+    made = reader.partitions({"rev": 0, "id": 0}, end)
+    assert end == {"rev": 70, "id": 70} and made is reader.made and len(made) == 7
+    for n, page in enumerate(made):
+        rows = sum(pull.pq.ParquetFile(path).metadata.row_group(g).num_rows for path, g in page.groups)
+        assert rows <= 40 and [b.column("rev").to_pylist() for b in reader.read(page) if b.num_rows] and sum(b.num_rows for b in reader.read(page)) == 10
+    assert [p.high for p in reader.partitions({"rev": 0, "id": 0}, {"rev": 35, "id": 35})] == [(10, 10), (20, 20), (30, 30), (35, 35)]  # planned before a restart
+
+
 def test_a_run_that_stops_in_mid_log_goes_on(spark, at):
     keys = [(n + 1, n) for n in range(30)]
     pull.publish(numbered(spark, *keys), f"{at}/log", 1, 30)
