@@ -105,13 +105,22 @@ def exit_code(found: DataFrame) -> DataFrame:
     return found.agg(F.count(F.lit(1)).alias("total")).select("total", F.when(F.col("total") > 0, 1).otherwise(0).alias("code"))
 
 
+#: Names of one folder that one task joins.
+MOUNTS_A_SALT = 2048
+
+
 def overlapping_mounts(mounts: DataFrame, ignore_case: bool = True) -> DataFrame:
     """(a, b) of mounts(name, dir) whose folders, as geometry_key() has them, contain one another. Ancestors are exploded, so it is an
-    equi-join."""
-    placed = rules.geometry_key(mounts.select("name", "dir"), ignore_case=ignore_case).select("name", F.col("key").alias("dir"))
+    equi-join; names are distinct on both sides of it, two in one folder meet once, and a folder of more than MOUNTS_A_SALT names is
+    dealt to several tasks."""
+    placed = store(rules.geometry_key(mounts.select("name", "dir"), ignore_case=ignore_case).select("name", F.col("key").alias("dir")).distinct())
     up = F.transform(F.sequence(F.lit(1), F.size(F.split("dir", "/"))), lambda i: F.array_join(F.slice(F.split(F.col("dir"), "/"), 1, i), "/"))
-    inner = placed.select(F.col("name").alias("inner_name"), F.explode(up).alias("dir"))
-    pairs = inner.join(placed, "dir").filter("inner_name <> name")
+    inner = placed.select(F.col("name").alias("inner_name"), F.col("dir").alias("own"), F.explode(up).alias("dir"))
+    inner = inner.groupBy("inner_name", "dir").agg(F.min(F.col("own") == F.col("dir")).alias("level"))
+    salts = placed.groupBy("dir").agg(F.ceil(F.count(F.lit(1)) / MOUNTS_A_SALT).cast("int").alias("salts"))
+    outer = placed.join(salts, "dir").withColumn("salt", F.pmod(F.xxhash64("name"), F.col("salts")).cast("int")).drop("salts")
+    inner = inner.join(salts, "dir").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    pairs = inner.join(outer, ["dir", "salt"]).filter((F.col("inner_name") < F.col("name")) | (~F.col("level") & (F.col("inner_name") != F.col("name"))))
     return pairs.select(F.least("name", "inner_name").alias("a"), F.greatest("name", "inner_name").alias("b")).distinct()
 
 

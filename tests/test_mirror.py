@@ -255,3 +255,14 @@ def test_a_shared_folder_must_be_named_on_a_cluster(spark):
     if spark.conf.get("spark.checkpoint.dir", None) is None:
         with pytest.raises(RuntimeError):
             scratch.new_path(Cluster, "x")
+
+
+def test_overlapping_mounts_meet_once_a_name(spark, monkeypatch):
+    """Names that are mounted many times, in one folder and below it, are joined once; folders of many names are dealt to several tasks."""
+    monkeypatch.setattr(reconcile, "MOUNTS_A_SALT", 2)
+    rows = [(f"n{i % 7}", d) for i in range(140) for d in ("m/a", f"m/a/{i}", f"k{i}")] + [("x", "m"), ("y", "m"), ("z", "M/A/3"), ("z", "other")]
+    wanted = {tuple(sorted((p, q))) for p, d in rows for q, e in rows if p != q and (e.lower() == d.lower() or e.lower().startswith(d.lower() + "/"))}
+    made = reconcile.overlapping_mounts(spark.createDataFrame(rows, "name string, dir string"))
+    assert sorted(map(tuple, made.collect())) == sorted(wanted)
+    many = spark.range(100_000).selectExpr("concat('n', id % 3) name", "'m' dir")  # joined row by row these are ten thousand million pairs
+    assert sorted(map(tuple, reconcile.overlapping_mounts(many).collect())) == [("n0", "n1"), ("n0", "n2"), ("n1", "n2")]
