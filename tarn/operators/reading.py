@@ -38,19 +38,24 @@ def locate(targets: DataFrame, mounts: DataFrame, nodes: DataFrame, parks: DataF
     path = rules.normal_server_path(F.col("path"))
     asked = targets.select("target", "mount", F.col("id").alias("wanted"), F.when(F.col("id").isNull(), path).alias("wanted_path"))
 
-    def lookup(rows: DataFrame, *values: str) -> DataFrame:
-        """Rows of the asked ids and paths, at most one a target."""
-        named = rows.select("mount", "id", "path", *values)
-        by_id = asked.filter("wanted is not null").join(named.withColumnRenamed("id", "wanted"), ["mount", "wanted"]).withColumn("id", F.col("wanted"))
-        by_path = asked.filter("wanted is null").join(named.withColumnRenamed("path", "wanted_path"), ["mount", "wanted_path"])
-        columns = ["target", "mount", "id", *values]
-        return by_id.select(*columns).unionByName(by_path.select(*columns)).groupBy("target", "mount").agg(F.min(F.struct("id", *values)).alias("v"))
-
-    parked = lookup(parks).select("target", "mount", F.lit(True).alias("parked"))
-    held = lookup(nodes, "kind").select("target", "mount", F.col("v.id").alias("id"), F.col("v.kind").alias("kind"))
-    counted = ledger.select("mount", F.col("id").alias("wanted"), F.lit(True).alias("delivered")).distinct()
-    rows = asked.join(mounts, "mount").join(parked, ["target", "mount"], "left").join(held, ["target", "mount"], "left")
-    rows = rows.join(counted, ["mount", "wanted"], "left").join(files.select("mount", "id", "fact"), ["mount", "id"], "left")
+    yes, parts = F.lit(True), int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    facts = files.groupBy("mount", "id").agg(F.min("fact").alias("fact"))
+    # what is known of an id, and of a path: one row a key, so a target meets one row and is not grouped again
+    every = nodes.select("mount", "id", "kind", yes.alias("held")).unionByName(parks.select("mount", "id", yes.alias("parked")), True)
+    every = every.unionByName(ledger.select("mount", "id", yes.alias("delivered")), True).unionByName(facts, True)
+    of_id = every.groupBy("mount", "id").agg(F.bool_or("held").alias("held"), F.bool_or("parked").alias("parked"), F.bool_or("delivered").alias("delivered"), F.min("kind").alias("kind"), F.min("fact").alias("fact"))
+    node = nodes.join(facts, ["mount", "id"], "left").select("mount", "path", F.struct("id", "kind", "fact").alias("node"))
+    of_path = node.unionByName(parks.select("mount", "path", yes.alias("parked")), True).groupBy("mount", "path").agg(F.min("node").alias("node"), F.bool_or("parked").alias("parked"))
+
+    def looked_up(rows: DataFrame, name: str, known: DataFrame) -> DataFrame:
+        """Targets are dealt to a fixed number of tasks: their keys are alike, so tasks of so many compressed bytes would be large ones."""
+        return rows.repartition(parts, "mount", name).join(known, ["mount", name], "left")
+
+    by_id = looked_up(asked.filter("wanted is not null").select("target", "mount", "wanted"), "wanted", of_id.withColumnRenamed("id", "wanted"))
+    by_id = by_id.select("target", "mount", F.when(F.col("held"), F.col("wanted")).alias("id"), "kind", "fact", "parked", "delivered")
+    by_path = looked_up(asked.filter("wanted is null").select("target", "mount", "wanted_path"), "wanted_path", of_path.withColumnRenamed("path", "wanted_path"))
+    by_path = by_path.select("target", "mount", "node.id", "node.kind", "node.fact", "parked", F.lit(False).alias("delivered"))
+    rows = by_id.unionByName(by_path).join(F.broadcast(mounts), "mount")  # mounts are configured by hand
     ours = F.col("identity") == "ours"
     outcome = (
         F.when(F.col("identity") == "held", "mount_held").when(F.col("identity") == "unreadable", "marker_unreadable").when(F.col("state") == "unreadable", "state_unreadable")
