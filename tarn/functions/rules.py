@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -230,26 +231,34 @@ def parse_marker(text: Column) -> Column:
     return F.map_from_entries(F.transform(lines, lambda x: F.struct(F.substring_index(x, " ", 1), F.regexp_extract(x, r"(?s)^[^ ]* (.*)\z", 1))))
 
 
-def _hex_escape(c: Column) -> Column:
-    return F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c)), 2, "0"))
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), for which the value is computed once a row, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 _ILLEGAL = r'[<>:"|?*\\\x00-\x1f]'
+_ESCAPED = ["%", *'<>:"|?*\\', *map(chr, range(32))]  # the mark of an escape first
 _DEVICE = r"(?is)^(con|prn|aux|nul|(com|lpt)[1-9¹²³])(\..*)?\z"
 
 
+def _needs_escape(segment: Column) -> Column:
+    return F.rlike(segment, F.lit(_ILLEGAL)) | F.rlike(segment, F.lit(_DEVICE)) | F.endswith(segment, F.lit(".")) | F.endswith(segment, F.lit(" "))
+
+
 def encode_win_segment(segment: Column) -> Column:
     """A Windows-safe spelling; legal names are themselves."""
-    needs = F.rlike(segment, F.lit(_ILLEGAL)) | F.rlike(segment, F.lit(_DEVICE)) | F.rlike(segment, F.lit(r"[. ]\z"))
-    return F.when(~needs, segment).otherwise(_core_escape(segment))
+    return F.when(~_needs_escape(segment), segment).otherwise(_core_escape(segment))
 
 
 def _core_escape(segment: Column) -> Column:
-    chars = F.filter(F.split(segment, ""), lambda x: x != "")
-    body = F.array_join(F.transform(chars, lambda x: F.when(F.rlike(x, F.lit(_ILLEGAL)) | (x == "%"), _hex_escape(x)).otherwise(x)), "")
-    body = F.when(F.rlike(body, F.lit(_DEVICE)), F.concat(_hex_escape(F.substring(body, 1, 1)), F.substring(body, 2, 1 << 30))).otherwise(body)
-    last = F.substring(body, -1, 1)
-    return F.when(last.isin(".", " "), F.concat(F.regexp_replace(body, r"(?s).\z", ""), _hex_escape(last))).otherwise(body)
+    body = segment
+    for c in _ESCAPED:
+        body = F.replace(body, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    rest = lambda x: F.substring(x, 2, 1 << 30)
+    device = lambda x: F.when(F.rlike(x, F.lit(_DEVICE)), F.concat(F.lit("%"), F.hex(F.ascii(x)), rest(x))).otherwise(x)
+    but_last = lambda x: F.substring(x, F.lit(1), F.char_length(x) - 1)
+    end = lambda x: F.when(F.endswith(x, F.lit(".")), F.concat(but_last(x), F.lit("%2E"))).when(F.endswith(x, F.lit(" ")), F.concat(but_last(x), F.lit("%20"))).otherwise(x)
+    return _let(_let(body, device), end)
 
 
 def encode_win_path(path: Column) -> Column:
@@ -258,9 +267,12 @@ def encode_win_path(path: Column) -> Column:
 
 def decode_win_segment(segment: Column) -> Column:
     """The name whose encoding is exactly this spelling; any other spelling is itself."""
-    parts = F.split(F.regexp_replace(segment, r"(?s)(%[0-9A-Fa-f]{2}|.)", "$1\x01"), "\x01")
-    decoded = F.array_join(F.transform(parts, lambda x: F.when(F.rlike(x, F.lit(r"^%[0-9A-Fa-f]{2}\z")), F.char(F.conv(F.substring(x, 2, 2), 16, 10).cast("long"))).otherwise(x)), "")
-    return F.when((decoded != segment) & (_core_escape(decoded) == segment) & (encode_win_segment(decoded) == segment), decoded).otherwise(segment)
+    parts = F.split(segment, "%")
+    char = lambda x: F.concat(F.char(F.conv(F.substring(x, 1, 2), 16, 10).cast("long")), F.substring(x, 3, 1 << 30))
+    after = F.transform(F.slice(parts, 2, 1 << 30), lambda x: F.when(F.rlike(x, F.lit(r"^[0-9A-Fa-f]{2}")), char(x)).otherwise(F.concat(F.lit("%"), x)))
+    decoded = F.concat(F.get(parts, F.lit(0)), F.array_join(after, ""))
+    held = _let(decoded, lambda x: F.when((x != segment) & _needs_escape(x) & (_core_escape(x) == segment), x).otherwise(segment))
+    return F.when(F.contains(segment, F.lit("%")), held).otherwise(segment)
 
 
 def _nfc(s: pd.Series) -> pd.Series:
