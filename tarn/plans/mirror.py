@@ -289,7 +289,7 @@ def claim_stream(s, d):
     rows = store(tables.changelog(s, d).select("id", "rev"))
     source, log, checkpoint = new_path(s, "claims"), new_path(s, "log"), new_path(s, "checkpoint")
     for k in range(4):
-        rows.filter(F.col("rev") % 4 == k).coalesce(1).write.mode("append").parquet(source)
+        rows.filter(F.col("rev") % 4 == k).write.mode("append").parquet(source)
         claims.follow(s, source, log, checkpoint)
     held = claims.appended(s, log)
     assert held.groupBy("id", "rev").count().filter("count > 1").isEmpty()
