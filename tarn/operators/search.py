@@ -124,15 +124,24 @@ def bm25(docs: DataFrame, query: list[str], limit: int = 20) -> DataFrame:
     return scored.select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
+def _words() -> Column:
+    return F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def posting_rows(docs: DataFrame) -> DataFrame:
+    """(id, len, term, tf) of docs(id, text): a text's words move once, as a whole, to the task of its id, and are counted there; the counts
+    do not move."""
+    words = docs.select("id", _words().alias("w")).repartition("id")
+    return words.select("id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
+
+
 def postings(docs: DataFrame, path: str, parts: int = 64) -> None:
     """Write docs(id, text) as an index for bm25_indexed(): postings(term, id, tf, len) in folders of term hashes, sorted by term, and
     one row of totals. It is written once and read by scans that are pruned to the asked terms."""
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    counted = docs.select("id", words.alias("w"))
-    rows = counted.select("id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-    dealt = rows.withColumn("part", _part(F.col("term"), parts)).repartition("part", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("part", "term")
+    dealt = posting_rows(docs).withColumn("part", _part(F.col("term"), parts)).repartition("part", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("part", "term")
     dealt.write.partitionBy("part").parquet(f"{path}/postings")
-    counted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size("w")), F.lit(0.0)).alias("avg"), F.lit(parts).alias("parts")).write.parquet(f"{path}/totals")
+    size = F.size(_words())
+    docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(size), F.lit(0.0)).alias("avg"), F.lit(parts).alias("parts")).write.parquet(f"{path}/totals")
 
 
 class SegmentedIndex:
