@@ -95,7 +95,7 @@ def _ancestors(path: str) -> Column:
     return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).otherwise(F.expr("cast(array() as array<string>)"))
 
 
-def collision_fixpoint(rows: DataFrame, incumbents: DataFrame | None = None, parks: DataFrame | None = None) -> DataFrame:
+def collision_fixpoint(rows: DataFrame, incumbents: DataFrame | None = None, parks: DataFrame | None = None, fewest: int | None = None) -> DataFrame | None:
     """(id, path, park) of deliveries rows(id, path, seq, parked): which of them park, and why.
 
     Every round derives the parks anew from those of the round before, until they stay: a delivery parks as `ancestor` below the
@@ -103,7 +103,8 @@ def collision_fixpoint(rows: DataFrame, incumbents: DataFrame | None = None, par
     `projection` if another node holds its very path, as `fold` if another holds its folded key. Incumbents(id, path) hold theirs
     before any delivery, unless they are delivered themselves; then deliveries that do not park hold theirs in the order of seq.
     With n deliveries there are n + 2 rounds at most, and the last one stands; a cycle of rounds is run once and counted on. Every
-    round is a written table.
+    round is a written table. fewest: rows are several sets, the smallest of so many deliveries; None is returned unless they stay as
+    early as that one's rounds end.
     """
     base = store(rules.with_fold_key(rows.select("id", "path", "seq", "parked")))
     none, delivered = base.select("id", "path").limit(0), base.select("id")
@@ -125,16 +126,23 @@ def collision_fixpoint(rows: DataFrame, incumbents: DataFrame | None = None, par
         return under.select("id", F.lit("ancestor").alias("park")).union(lost.select("id", F.when(same, "projection").otherwise("fold")))
 
     rounds, seen = base.count() + 2, {(0, None): 0}
+    if fewest is not None:
+        rounds = min(rounds, fewest + 3)  # the last of which shows that the one before stays
     history: list[DataFrame | None] = [None]
     for number in range(1, rounds + 1):
         history.append(store(derive(history[-1])))
         state = tuple(history[-1].agg(F.count(F.lit(1)), F.sum(F.xxhash64("id").cast("decimal(38,0)"))).first())
         if state in seen:
             start = seen[state]
+            if start < number - 1 and fewest is not None:
+                return None
             if start < number - 1:  # not stable but a cycle: the table that the last round would give
                 return _parked(base, history[start + (rounds - start) % (number - start)])
             break
         seen[state] = number
+    else:
+        if fewest is not None:
+            return None
     return _parked(base, history[-1])
 
 

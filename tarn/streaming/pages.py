@@ -1,10 +1,13 @@
-"""Pages of a change log applied to a mirror's books, one micro-batch a page.
+"""Pages of a change log applied to a mirror's books, page by page, or pages that do not meet at once.
 
 A page goes through the cascade of dispositions, the fixpoint of collisions with what stands and what is parked, and the rules of
 redelivery against the disk; then all of it is committed under one manifest: tracked nodes, ledger, parks, debts (folders that could
 not be removed yet), the work to be done on disk, and the position with its riders. A page that comes again finds its manifest and changes
 nothing. The order of work on disk is: files and folders written, then files removed, then folders, the deepest first, then what was
 in the way of another kind.
+
+Where no disk is looked at, apply_pages() takes many pages a micro-batch and cuts them into runs of pages of which no two meet (see
+meetings()); a run is applied at once, to the same books that its pages, one after the other, would leave.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ import json
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.functions import rules
@@ -29,6 +32,9 @@ SCHEMAS = {
 WORK = "step int, op string, id long, path string"
 #: Steps of the work on disk.
 WRITE, REMOVE_FILE, REMOVE_FOLDER, WRITE_LATE = 1, 2, 3, 4
+COLUMNS = ("id", "rev", "kind", "path", "trashed", "sha", "stamp")
+#: Pages of a micro-batch of which many may be applied at once.
+PAGES = 2048
 
 
 @dataclass(frozen=True)
@@ -125,8 +131,8 @@ def _above(path: Column) -> Column:
 
 
 def _occupied(folders: DataFrame, paths: DataFrame) -> DataFrame:
-    """Of folders(path), those below which a path of paths(path) lies. The folders of one page are few, so they are what is broadcast."""
-    return paths.select(F.explode(_above(F.col("path"))).alias("path")).join(F.broadcast(folders.select("path").distinct()), "path").distinct()
+    """Of folders(path), those below which a path of paths(path) lies."""
+    return paths.select(F.explode(_above(F.col("path"))).alias("path")).join(folders.select("path").distinct(), "path", "left_semi").distinct()
 
 
 def apply_page(books: Books, rows: DataFrame, batch: int | None, limit: int, riders: Riders, now: int, epoch: int, disk: DataFrame | None = None, scope: str | None = None) -> Standing:
@@ -139,14 +145,25 @@ def apply_page(books: Books, rows: DataFrame, batch: int | None, limit: int, rid
     spark, old = books.spark, books.standing()
     if batch is not None and batch <= books.manifest()["batch"]:
         return old  # this page was committed
+    rows = _kept(spark, rows.select(*COLUMNS))
+    return _apply(books, rows, batch, rows.count() < limit, riders, now, epoch, disk, scope)
+
+
+def _kept(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """rows written and read by the books' session: a stream's own does not plan anew at run time."""
     path = scratch.new_path(spark, "page")
-    rows.select("id", "rev", "kind", "path", "trashed", "sha", "stamp").write.parquet(path)
-    rows = spark.read.schema(rows.select("id", "rev", "kind", "path", "trashed", "sha", "stamp").schema).parquet(path)  # by the books' session: a stream's own does not plan anew at run time
-    page = scratch.store(changes.latest(rows))
-    size, end = rows.agg(F.count(F.lit(1)), F.max(F.struct("rev", "id"))).first()
-    at_head = size < limit
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def _apply(books: Books, rows: DataFrame, batch: int | None, at_head: bool, riders: Riders, now: int, epoch: int, disk: DataFrame | None, scope: str | None, several: bool = False) -> Standing | None:
+    """apply_page() for kept rows: those of one page, or with their `page` of several that do not meet; None, and nothing is done, where the
+    collisions of several pages take more rounds than one of them has, or go in a cycle."""
+    spark, old = books.spark, books.standing()
     if at_head and riders.live_nodes is None:
         raise ValueError("the log ends without a number of live nodes")
+    page = scratch.store(changes.latest(rows))
+    end = rows.agg(F.max(F.struct("rev", "id"))).first()[0]
     disk = disk if disk is not None else spark.createDataFrame([], "path string, is_folder boolean, sha string")
     nodes, ledger, parks, debts = (books.read(n) for n in ("nodes", "ledger", "parks", "debts"))
 
@@ -157,8 +174,12 @@ def apply_page(books: Books, rows: DataFrame, batch: int | None, limit: int, rid
     told = scratch.store(told.join(facts, "id").withColumn("path", F.coalesce(local, F.col("path"))))
     delivered = page.select("id")
     held = nodes.join(delivered, "id", "left_anti").join(ledger, "id", "left_semi").select("id", "path")
-    puts = told.filter("disposition in ('put', 'park')").select("id", "path", "seq", (F.col("disposition") == "park").alias("parked"))
-    clashes = changes.collision_fixpoint(puts, held, parks.join(delivered, "id", "left_anti").select("id", "path"))
+    puts = told.filter("disposition in ('put', 'park')")
+    fewest = puts.join(page.select("id", "page"), "id").groupBy("page").count().agg(F.min("count")).first()[0] if several else None
+    puts = puts.select("id", "path", "seq", (F.col("disposition") == "park").alias("parked"))
+    clashes = changes.collision_fixpoint(puts, held, parks.join(delivered, "id", "left_anti").select("id", "path"), fewest)
+    if clashes is None:
+        return None
     told = told.join(clashes.select("id", "park"), "id", "left")
 
     # what a put meets on disk: owned are the places that were tracked before this page
@@ -220,13 +241,92 @@ def apply_page(books: Books, rows: DataFrame, batch: int | None, limit: int, rid
     return new
 
 
+def meetings(rows: DataFrame, nodes: DataFrame, parks: DataFrame, scope: str | None = None) -> DataFrame:
+    """(page, before) of rows(page, id, rev, kind, path, trashed): the last earlier page that a page meets, if any. Pages meet, whatever comes of it,
+    where they deliver one id; where a folded path or place that one of them gives or takes away is given or taken away by the other; and where
+    something that one of them gives or takes away lies below a path of the other that bars or holds it: what is parked or was, a delivery whose
+    folded path another node has too, or a folder that was tracked. Pages of which no two meet read nothing that another of them changes.
+
+    nodes and parks are those before the first page; what a page's ids held before it comes from them, or from the page that delivered them last.
+    """
+    told = rows.groupBy("page", "id").agg(F.max_by(F.struct("kind", "path", "trashed"), "rev").alias("r")).select(F.struct("page", "id").alias("id"), "r.*")
+    told = told.join(changes.classify(told, told.select("id").limit(0), scope).select("id", "disposition"), "id").select("id.*", "kind", "path", "disposition")
+    local = F.coalesce(rules.scope_relative(F.col("path"), scope), F.col("path")) if scope else F.col("path")
+    told = told.withColumn("path", local).withColumn("place", F.when(F.col("kind") == "attachment", F.concat("path", F.lit(rules.CONTROL_SUFFIX))).otherwise(F.col("path")))
+    here, put = Window.partitionBy("id").orderBy("page"), F.col("disposition") == "put"
+    before = F.lag(F.struct("page", F.when(F.col("disposition").isin("put", "park"), F.struct("path", "place", "kind")).alias("had"))).over(here)
+    node = nodes.select("id", F.struct("path", "place", "kind").alias("node"))
+    rows = told.withColumn("before", before).join(node, "id", "left").join(parks.select("id", F.col("path").alias("lifted")), "id", "left")
+    first = F.col("before").isNull()
+    had = F.when(first, F.col("node")).otherwise(F.col("before.had"))
+    lifted = F.when(first, F.col("lifted")).otherwise(F.col("before.had.path"))
+    none = F.expr("cast(array() as array<string>)")
+    touched = F.array_union(F.when(put, F.array("path", "place")).otherwise(none), F.when(had.isNotNull(), F.array(had["path"], had["place"])).otherwise(none))
+    was_folder = F.when(had["kind"] == "folder", had["place"])
+    rows = scratch.store(rows.select("page", "id", "path", put.alias("put"), F.col("before.page").alias("before"), touched.alias("touched"), F.array_compact(F.array(F.when(F.col("disposition") == "park", F.col("path")), lifted, was_folder)).alias("bars")))
+
+    keys = scratch.store(rules.with_fold_key(rows.select("page", "id", F.explode("touched").alias("path"))).select("page", "id", "fold_key").distinct())
+    shared = keys.select("fold_key", "page").distinct().withColumn("before", F.lag("page").over(Window.partitionBy("fold_key").orderBy("page")))
+    given = rules.with_fold_key(rows.filter("put").select("page", "id", "path"))
+    holders = rules.with_fold_key(nodes.select("id", "path")).select("fold_key", "id").union(keys.select("fold_key", "id")).join(given.select("fold_key"), "fold_key", "left_semi")
+    several = holders.groupBy("fold_key").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high")
+    bars = rows.select("page", F.explode("bars").alias("path")).union(given.join(several, "fold_key", "left_semi").select("page", "path"))
+    bars = bars.groupBy("path").agg(F.collect_set("page").alias("pages"))  # of a path as many as a micro-batch has pages
+    below = rows.select("page", F.explode("touched").alias("path")).select("page", F.explode(_above(F.col("path"))).alias("path"))
+    below = below.join(bars, "path").select("page", "path", "pages").distinct()
+    earlier, later = (F.filter("pages", lambda x: x < F.col("page")), F.filter("pages", lambda x: x > F.col("page")))
+    pairs = below.select("page", F.array_max(earlier).alias("before")).union(below.select(F.array_min(later), "page"))
+    pairs = pairs.union(shared.select("page", "before")).union(rows.select("page", "before"))
+    return pairs.dropna().groupBy("page").agg(F.max("before").alias("before"))
+
+
+def runs(numbers: list[int], before: dict[int, int]) -> list[list[int]]:
+    """Pages cut into runs: one that meets a page of the run so far begins the next."""
+    out: list[list[int]] = []
+    for n in numbers:
+        if out and before.get(n, -1) < out[-1][0]:
+            out[-1].append(n)
+        else:
+            out.append([n])
+    return out
+
+
+def apply_pages(books: Books, rows: DataFrame, batch: int, limit: int, riders: Riders, now: int, epoch: int, scope: str | None = None) -> Standing:
+    """apply_page() for the pages of a micro-batch, rows(page, id, ...), in as few runs as they meet in. The last run is committed with the
+    batch's number; a batch that comes again goes on after the books' position."""
+    old = books.standing()
+    if batch <= books.manifest()["batch"]:
+        return old
+    rows = _kept(books.spark, changes.after(rows.select("page", *COLUMNS), old.rev, old.id))
+    sizes = dict(sorted((r["page"], r["count"]) for r in rows.groupBy("page").count().collect()))  # a number a page
+    if not sizes:
+        return old
+    last = max(sizes)
+    at_head = sizes[last] < limit
+    met = {r["page"]: r["before"] for r in meetings(rows, books.read("nodes"), books.read("parks"), scope).collect()} if len(sizes) > 1 else {}
+    todo = runs(list(sizes), met)
+    if at_head and riders.live_nodes is None and len(todo[-1]) > 1:
+        todo[-1:] = [todo[-1][:-1], todo[-1][-1:]]  # what comes before the head is committed
+    while todo:
+        run = todo.pop(0)
+        some, end = rows.filter(F.col("page").between(run[0], run[-1])), run[-1] == last
+        done = _apply(books, some, batch if end else None, at_head and end, riders, now, epoch, None, scope, len(run) > 1)
+        if done is None:
+            todo[:0] = [run[: len(run) // 2], run[len(run) // 2 :]]
+    return books.standing()
+
+
 def follow(books: Books, log: str, checkpoint: str, riders: Riders, now: int, disk: Callable[[], DataFrame] | None = None, page: int = changes.PAGE_ROWS, scope: str | None = None) -> Standing:
-    """Read a published log from the books' position and apply it page by page until its head; also one that ends with a full page."""
+    """Read a published log from the books' position and apply it until its head; also one that ends with a full page. With a disk, which may change
+    from page to page, every page is a micro-batch."""
     old, found = books.standing(), pull.head(books.spark, log)
-    stream = pull.pull(books.spark, log, (old.rev, old.id), old.epoch or None, page)
+    stream = pull.pull(books.spark, log, (old.rev, old.id), old.epoch or None, page, 1 if disk else PAGES)
 
     def step(rows: DataFrame, number: int) -> None:
-        apply_page(books, rows, number, page, riders, now, found["epoch"], disk() if disk else None, scope)
+        if disk:
+            apply_page(books, rows, number, page, riders, now, found["epoch"], disk(), scope)
+        else:
+            apply_pages(books, rows.withColumn("page", F.spark_partition_id()), number, page, riders, now, found["epoch"], scope)
 
     pull.collected_pages(stream, checkpoint, step)
     last = books.standing()

@@ -236,6 +236,64 @@ def test_follow_reads_pages_until_the_head(spark, at):
     assert "f5" in {r["path"] for r in books.work(books.manifest()["number"]).filter("op = 'remove_folder'").collect()}
 
 
+def wide_rows(rng, n, first):
+    """Rows that seldom meet: most are new notes of their own, some move, vanish, clash in another letter case, or are folders above the others."""
+    out = []
+    for k in range(n):
+        i, u = first + k, rng.random()
+        top = f"d{rng.randint(0, 4)}"
+        if u < 0.6:
+            out.append((i, i, "file", f"{top}/{i}.md", False, "s", None))
+        elif u < 0.75:
+            j = rng.randint(1, max(1, i - 1))
+            out.append((j, i, "file", rng.choice([f"{top}/{j}.md", f"m/{j}.md", f"M/{j}.MD"]), rng.random() < 0.4, "t", None))
+        elif u < 0.92:
+            out.append((i, i, rng.choice(["file", "attachment"]), f"{top.upper()}/{rng.randint(1, i)}.{rng.choice(['MD', 'md', 'txt'])}", False, "u", None))
+        else:
+            out.append((-rng.randint(1, 5), i, rng.choice(["folder", "file"]), rng.choice([top, f"{top}.txt", f"{top}/{rng.randint(1, i)}.md"]), rng.random() < 0.5, "v", None))
+    return out
+
+
+@pytest.mark.parametrize("seed", [110])
+def test_runs_of_pages_equal_a_plain_loop(spark, at, seed):
+    rng, size, count = random.Random(seed), 6, 8
+    books, plain, work = pages.Books(spark, f"{at}/books", parts=2), Plain(), set()
+    books.vacuum = lambda keep=2: None
+    rows = wide_rows(rng, size * count - 2, 1)
+    of_page = [rows[low : low + size] for low in range(0, len(rows), size)]
+    for some in of_page:
+        work |= plain.page(some, len(some) == size, {})
+    log = spark.createDataFrame([(n, *row) for n, some in enumerate(of_page) for row in some], "page int, " + ROW)
+    for _ in range(2):  # a batch that comes twice changes nothing
+        standing = pages.apply_pages(books, log, 0, size, pages.Riders(len(plain.ledger)), 50, 7)
+    assert tables(books) == (plain.nodes, plain.ledger, plain.parks, plain.debts)
+    versions = books.manifest()["number"] + 1
+    assert 1 < versions < count and standing.at_head and standing.rev == rows[-1][1] and len(plain.parks) > 3
+    assert {tuple(r) for n in range(versions) for r in books.work(n).collect()} == work
+
+
+def test_pages_that_do_not_meet_are_one_version(spark, at):
+    rows = [(i, i, "file", f"f/{i}.md", False, "s", None) for i in range(1, 31)]
+    books = pages.Books(spark, f"{at}/books", parts=2)
+    pull.publish(spark.createDataFrame(rows, ROW).select("rev", "id", "kind", "path", "trashed", "sha", "stamp"), f"{at}/log", 3, 30)
+    assert pages.follow(books, f"{at}/log", f"{at}/cp", pages.Riders(30), 9, page=4).at_head
+    assert books.manifest()["number"] == 0 and books.read("nodes").count() == 30
+
+
+def test_a_batch_that_stopped_between_its_runs_goes_on(spark, at, monkeypatch):
+    rows = [(0, 1, 1, "file", "a.md", False, "s", None), (0, 2, 2, "file", "b.md", False, "s", None), (1, 1, 3, "file", "c.md", False, "s", None), (1, 3, 4, "file", "A.md", False, "s", None), (2, 4, 5, "file", "d.md", False, "s", None)]
+    log, books = spark.createDataFrame(rows, "page int, " + ROW), pages.Books(spark, f"{at}/books", parts=2)
+    assert {tuple(r) for r in pages.meetings(log, books.read("nodes"), books.read("parks")).collect()} == {(1, 0)}
+    whole = pages._apply
+    with monkeypatch.context() as m:
+        m.setattr(pages, "_apply", lambda *a: whole(*a) if a[2] is None else (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            pages.apply_pages(books, log, 0, 2, pages.Riders(4), 5, 7)
+    assert tables(books)[0].keys() == {1, 2} and books.standing().rev == 2
+    assert pages.apply_pages(books, log, 0, 2, pages.Riders(4), 5, 7).at_head
+    assert {i: n["path"] for i, n in tables(books)[0].items()} == {1: "c.md", 2: "b.md", 3: "A.md", 4: "d.md"} and books.manifest()["number"] == 1
+
+
 def test_claims_are_appended_once(spark, at):
     from tarn.streaming import claims
 
