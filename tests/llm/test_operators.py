@@ -570,3 +570,21 @@ def test_piece_tokenizer_equals_library():
         ids, n = t.encode(pa.array(texts, pa.string()))
         wanted = [[*library.encode(x, add_special_tokens=False).ids, 0] for x in texts]
         assert n.tolist() == [len(x) for x in wanted] and ids.tolist() == [i for x in wanted for i in x]
+
+
+def test_windows_without_a_span_are_told_before_the_paths_are_searched(monkeypatch):
+    rng, searched = np.random.default_rng(3), []
+    best = pii.Model._best
+    monkeypatch.setattr(pii.Model, "_best", lambda self, e: searched.append(e.shape[2]) or best(self, e))
+    for bias in (0.0, 3.0, 6.0):
+        model = pii.Model(7)
+        model.p["t"] += rng.normal(0, 0.3, model.p["t"].shape).astype(np.float32)
+        model.p["o"][pii.O_TAG] = bias
+        x = rng.integers(0, pii.CLASSES, (60, 40)).astype(np.uint8)
+        e = np.ascontiguousarray(model.emissions(x.T)[0].transpose(0, 2, 1))
+        found = model._outside(e)
+        searched.clear()
+        tags = model.decode(x)
+        assert (tags == best(model, e.copy())).all() and not tags[found].any()
+        assert sum(searched) == (~found).sum()
+    assert found.sum() > 30 and sum(searched) < 30
