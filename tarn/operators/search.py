@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.operators import words
 from tarn.operators.graph import global_rank
 from tarn.sources import scratch
 
@@ -16,6 +18,8 @@ K1, B = 1.2, 0.75
 MISFIT = "!misfit"
 #: Verdicts on a mirror's delta that this engine knows.
 KNOWN_DELTA = ("none", "pending", "epoch_mismatch", "rebuild_required")
+#: Documents of a segment: their words are kept too, for merges.
+DOCUMENTS = "id long, gone boolean, len int, words string"
 
 
 @dataclass
@@ -161,19 +165,20 @@ class SegmentedIndex:
         """Take in changed(id, text, gone), one row an id: what is gone leaves the index, all else replaces what is held of it."""
         held = self.segments()
         number = max((*held, *self._written()), default=0) + 1
-        words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-        rows = scratch.store(changed.select("id", F.coalesce("gone", F.lit(False)).alias("gone"), words.alias("w")))
-        rows.select("id", "gone", F.size("w").alias("len")).write.parquet(f"{self.path}/segment-{number}/documents")
-        counted = rows.filter("not gone").select("id", F.size("w").alias("len"), F.explode("w").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"))
-        self._write(counted, number)
+        gone = F.coalesce("gone", F.lit(False))
+        rows = changed.select("id", gone.alias("gone"), words.spaced(F.when(~gone, F.col("text"))).alias("words"))
+        rows.select("id", "gone", words.n_words(F.col("words")).alias("len"), "words").write.parquet(f"{self.path}/segment-{number}/documents")
+        self._write(number)
         self._point([*held, number])
 
     def _written(self) -> list[int]:
         return [int(n[8:]) for n in scratch.names_in(self.spark, self.path) if n.startswith("segment-") and n[8:].isdigit()]
 
-    def _write(self, postings: DataFrame, number: int) -> None:
-        dealt = postings.withColumn("part", _part(F.col("term"), self.parts)).repartition("part", F.pmod(F.xxhash64("id"), F.lit(4))).sortWithinPartitions("part", "term")
-        dealt.write.partitionBy("part").parquet(f"{self.path}/segment-{number}/postings")
+    def _write(self, number: int) -> None:
+        """The postings of a segment from its documents: every task inverts its own, and sorts its lists by term."""
+        held = self.spark.read.schema(DOCUMENTS).parquet(f"{self.path}/segment-{number}/documents").filter("not gone")
+        lists = words.posting_lists(held).withColumn("part", _part(F.col("term"), self.parts))
+        lists.sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{self.path}/segment-{number}/postings")
 
     def _point(self, numbers: list[int]) -> None:
         scratch.put_pointer(self.spark, f"{self.path}/SEGMENTS", json.dumps(numbers))
@@ -190,21 +195,17 @@ class SegmentedIndex:
         last = every.groupBy("id").agg(F.max_by(F.struct("gone", "len", "segment"), "segment").alias("x")).select("id", "x.*")
         return last.filter("not gone").select("id", "len", "segment")
 
-    def _postings(self, terms: list[str] | None) -> DataFrame:
-        """(term, id, tf, len, segment) of the segments, of asked terms only; rows of replaced documents too."""
-        schema = "term string, id long, tf int, len int, part int"
-        numbers = None
-        if terms is not None:
-            numbers = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(_part(F.col("term"), self.parts)).distinct().collect()]
-        out = self.spark.createDataFrame([], f"{schema}, segment int")
+    def _postings(self, terms: list[str]) -> DataFrame:
+        """(term, id, tf, segment) of asked terms in the segments; rows of replaced documents too."""
+        schema = "term string, ids array<long>, tfs array<int>, part int"
+        numbers = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "term string").select(_part(F.col("term"), self.parts)).distinct().collect()]
+        out = self.spark.createDataFrame([], "term string, id long, tf int, segment int")
         for n in self.segments():
             place = f"{self.path}/segment-{n}/postings"
             if not any(x.startswith("part=") for x in scratch.names_in(self.spark, place)):
                 continue  # nothing but removals
-            one = self.spark.read.schema(schema).parquet(place)
-            if terms is not None:
-                one = one.filter(F.col("part").isin(numbers) & F.col("term").isin(terms))
-            out = out.unionByName(one.withColumn("segment", F.lit(n)))
+            one = self.spark.read.schema(schema).parquet(place).filter(F.col("part").isin(numbers) & F.col("term").isin(terms))
+            out = out.unionByName(one.select("term", F.inline(F.arrays_zip("ids", "tfs")).alias("id", "tf"), F.lit(n).alias("segment")))
         return out
 
     def ranked(self, query: list[str], limit: int = 20) -> DataFrame:
@@ -212,7 +213,7 @@ class SegmentedIndex:
         terms = sorted(set(query))
         live = self.documents()
         totals = live.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("avg"))
-        rows = scratch.store(self._postings(terms).join(live.select("id", "segment"), ["id", "segment"], "left_semi"))
+        rows = scratch.store(self._postings(terms).join(live, ["id", "segment"]))
         frequency = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         scored = rows.join(F.broadcast(frequency), "term").join(F.broadcast(totals))  # one row a term of the query, and one row
         idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -222,10 +223,14 @@ class SegmentedIndex:
     def merge(self) -> None:
         """One segment of all that is held; those before it are dropped when the pointer has moved on twice."""
         old = self.segments()
-        live = scratch.store(self.documents())
         number = max((*old, *self._written()), default=0) + 1
-        live.select("id", F.lit(False).alias("gone"), "len").write.parquet(f"{self.path}/segment-{number}/documents")
-        self._write(self._postings(None).join(live.select("id", "segment"), ["id", "segment"], "left_semi").select("id", "len", "term", "tf"), number)
+        if old:
+            every = [self.spark.read.schema(DOCUMENTS).parquet(f"{self.path}/segment-{n}/documents").filter("not gone").withColumn("segment", F.lit(n)) for n in old]
+            live = scratch.store(self.documents().select("id", "segment"))
+            reduce(DataFrame.unionByName, every).join(live, ["id", "segment"], "left_semi").drop("segment").write.parquet(f"{self.path}/segment-{number}/documents")
+        else:
+            self.spark.createDataFrame([], DOCUMENTS).write.parquet(f"{self.path}/segment-{number}/documents")
+        self._write(number)
         self._point([number])
         kept = {n for raw in scratch.pointers(self.spark, f"{self.path}/SEGMENTS") for n in json.loads(raw)}
         for n in self._written():
