@@ -3,6 +3,9 @@ rows of the same bar from a subject. No pair of a subject and a row is stored; r
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,3 +68,61 @@ def fuse(graph: tuple[DataFrame, DataFrame], lexical: DataFrame, tags: tuple[Dat
     depth = related.RRF_K + 2 * min(max(limit, 1), 25)
     tried = store(first_of(*graph, depth).union(first_of(*tags, depth)).union(lexical.select("subject", "id")).distinct())
     return related.fuse(ranks(tried, *graph), lexical, ranks(tried, *tags), words, paths, limit)
+
+
+#: Subjects and rows of a list at most that a task puts together.
+SUBJECTS, ROWS = 512, 2048
+
+
+def reasons(graph: tuple[DataFrame, DataFrame], lexical: DataFrame, tags: tuple[DataFrame, DataFrame], terms: DataFrame) -> DataFrame:
+    """(subject, id, rank, tagged, shared_terms): the whole arm by graph, as related.held_arm() gives it, with what related.why() says of each
+    row: whether the arm by tag has it, and three shared terms at most where the arm lexical(subject, id) has it; terms(id, term, weight).
+
+    Both arms are (subjects, numbered rows); a row has one tag list at most. Blocks of a list's subjects meet blocks of its rows, and the pairs
+    leave their tasks: none is joined or shuffled. Counts of what bars take before a block come with its subjects.
+    """
+    (subjects, rows), (by_tag, tag_rows), key = graph, tags, ["list", "r", "s"]
+    subjects = subjects.filter("list is not null").join(by_tag.select("subject", F.col("list").cast("string").alias("tag")), "subject", "left")
+    rows = rows.join(tag_rows.select("id", F.col("list").cast("string").alias("tag")), "id", "left").withColumn("r", F.floor((F.col("n") - 1) / ROWS))
+    both = lexical.select("subject", "id").join(subjects.select("subject", "list"), "subject").join(rows.select("id", "list", "r"), ["id", "list"])
+    both = store(both.select("subject", "id", "r"))
+    best = related.top_shared_terms(terms, both).groupBy("subject", "id").agg(F.array_sort(F.collect_list(F.struct("place", "term"))).alias("t"))
+    hits = both.join(best, ["subject", "id"]).groupBy("subject", "r").agg(F.collect_list(F.struct("id", F.col("t.term").alias("terms"))).alias("hits"))
+    size = rows.groupBy("list").agg(F.max("r").alias("last"))
+    parts = subjects.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / SUBJECTS).alias("parts"))
+    dealt = subjects.join(size, "list").join(parts, "list").withColumn("s", F.pmod(F.xxhash64("subject"), F.col("parts")))
+    dealt = store(dealt.withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), "last"))).withColumn("n", F.col("r") * ROWS).drop("last", "parts"))
+    before = barred_upto(dealt.select("list", "bar", "n").distinct(), rows)
+    left = dealt.join(before, ["list", "bar", "n"], "left").join(hits, ["subject", "r"], "left")  # a subject may have no bar
+    left = left.select(*key, "subject", F.col("bar").cast("long").alias("bar"), "tag", F.coalesce("barred", F.lit(0)).alias("barred"), F.col("hits.id").alias("hit_ids"), F.col("hits.terms").alias("hit_terms"))
+    right = rows.join(parts, "list").select("list", "r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("s"), "id", F.col("n"), F.col("bar").cast("long").alias("bar"), "tag")
+    kind = dict(terms.dtypes)["term"]
+    wanted = pa.schema([("subject", pa.int64()), ("id", pa.int64()), ("rank", pa.int32()), ("tagged", pa.bool_()), ("shared_terms", pa.list_({"int": pa.int32(), "bigint": pa.int64()}.get(kind, pa.string())))])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return wanted.empty_table()
+        right = right.sort_by("n")
+        own, theirs = related.coded_alike(left.column("bar"), right.column("bar"))
+        tag, tags = related.coded_alike(left.column("tag"), right.column("tag"))
+        open_ = own[:, None] != theirs[None, :]
+        s, r = np.nonzero(open_)
+        ids, place = right.column("id").to_numpy(), right.column("n").to_numpy()
+        rank = place[r] - left.column("barred").to_numpy()[s] - np.cumsum(~open_, axis=1)[s, r]
+        row, lengths, found = {int(x): k for k, x in enumerate(ids)}, np.zeros(len(s), np.int64), []
+        for k in np.flatnonzero(pc.is_valid(left.column("hit_ids")).to_numpy()).tolist():
+            for i, t in zip(left.column("hit_ids")[k].as_py(), left.column("hit_terms")[k].as_py(), strict=True):
+                if open_[k, row[i]]:
+                    found.append((k * len(ids) + row[i], t))
+        found.sort(key=lambda x: x[0])
+        if found:
+            lengths[np.searchsorted(s * len(ids) + r, [x[0] for x in found])] = [len(x[1]) for x in found]
+        values = pa.array([t for _, x in found for t in x], wanted.field("shared_terms").type.value_type)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+        lists = pa.ListArray.from_arrays(offsets, values, mask=pa.array(lengths == 0))
+        subject = left.column("subject").to_numpy()
+        return pa.table([pa.array(subject[s]), pa.array(ids[r]), pa.array(rank.astype(np.int32)), pa.array(tag[s] == tags[r]), lists], schema=wanted)
+
+    groups = size.join(parts, "list").agg(F.coalesce(F.sum((F.col("last") + 1) * F.col("parts")), F.lit(1))).first()[0]
+    dealt_out = lambda df: df.repartition(min(groups, related.MOST_TASKS), *key).groupBy(*key)  # noqa: E731  by work, not by bytes: few make many pairs
+    return dealt_out(left).cogroup(dealt_out(right)).applyInArrow(run, f"subject long, id long, rank int, tagged boolean, shared_terms array<{kind}>")
